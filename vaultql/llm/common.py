@@ -65,6 +65,10 @@ def column_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
 
 
+def column_strings(batch: pa.RecordBatch, name: str) -> list[str | None]:
+    return batch.column(batch.schema.get_field_index(name)).to_pylist()
+
+
 def with_columns(
     df: DataFrame,
     fields: list[tuple[str, str]],
