@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .decontaminate import decontaminate
 from .language import identify_language, learn_languages
 from .neardup import near_duplicates
+from .oracle import ORACLE  # noqa: F401
 from .pieces import DEFAULT_MODEL, load_pieces, sample_encode
 from .pii import replace_pii
 from .quality import learn_quality, score_quality
@@ -18,7 +19,6 @@ from .warc import derive, responses_from_pages
 
 #: Of the surrogates; a deployment passes its own.
 KEY = "a key for tests"
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,4 +90,3 @@ QUERIES = {
     "op4_remove_repeats": repeats, "op5_warc_derivatives": warc_derivatives, "op6_line_rules": line_rules,
     "op7_pii_surrogates": surrogates, "op8_language": language, "op9_sample_pieces": pieces, "op10_quality": quality,
 }
-ORACLE: dict[str, str] = {}

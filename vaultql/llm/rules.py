@@ -9,7 +9,7 @@ BLANK = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
 
 # The line rules' patterns.
-LINE_ENDS = r"""[.!?:;…。！？"'”’»)\]#*$%&|<>][\x20\x09-\x0D]*$"""
+SENTENCE_END = r"""[.!?:;…。！？]["'”’»)\]]*([\x20\x09-\x0D]|$)"""
 NAVIGATION = r"(\|[^|]*\|)|(»[^»]*»)|(›[^›]*›)|(^[\x20\x09-\x0D]*(home|menu|next|previous|back to top|skip to content|share|log in|sign up|read more)[\x20\x09-\x0D]*$)"
 BOILERPLATE = r"(all rights reserved|terms of (use|service)|privacy policy|cookie (policy|settings)|use cookies|enable javascript|lorem ipsum|licensed under|copyright \(c\)|©)"
 
@@ -19,7 +19,7 @@ def _lower(c: Column) -> Column:
 
 
 def clean_lines(
-    docs: DataFrame, *, text: str = "text", min_words: int = 20, max_repeat_percent: int = 30, window: int = 8, min_kept_percent: int = 50,
+    docs: DataFrame, *, text: str = "text", min_words: int = 20, max_repeat_percent: int = 30, window: int = 8, max_symbol_percent: int = 30, min_kept_percent: int = 50,
 ) -> DataFrame:
     """docs with the counts below, clean_text, base_failed and kept.
 
@@ -27,8 +27,9 @@ def clean_lines(
     fewer than `min_words` words, or more than `max_repeat_percent` % of its words in windows of `window` words that
     occur twice or more, fails. Windows and lines are told apart by 64-bit hashes within one document.
 
-    Then each line with a word is judged: it fails without a mark at its end (no_end), with two separators or as a lone
-    menu word (navigation), or with a boilerplate phrase (boilerplate). clean_text has the other lines, and blank ones
+    Then each line with a word is judged: it fails without a mark that ends a sentence or with more than
+    `max_symbol_percent` symbols for 100 words (punctuation), with two separators or as a lone menu word (navigation),
+    or with a boilerplate phrase (boilerplate). clean_text has the other lines, and blank ones
     as they were. A document is kept unless the base failed or its remaining lines have less than `min_kept_percent` %
     of the characters of all lines with a word; n_lines, n_bad_lines and kept_chars tell how it came about.
 
@@ -46,7 +47,9 @@ def clean_lines(
         "_vq_all": F.split("_vq_text", "\n", -1),
     })
     has_word = lambda x: F.translate(x, " \t\n\x0b\f\r", "") != ""
-    bad = lambda x: ~x.rlike(LINE_ENDS) | _lower(x).rlike(NAVIGATION) | _lower(x).rlike(BOILERPLATE)
+    words = lambda x: F.size(F.filter(F.split(x, BLANK + "+"), lambda w: w != ""))
+    noisy = lambda x: 100 * (F.length(x) - F.length(F.translate(x, SYMBOLS, ""))) > max_symbol_percent * words(x)
+    bad = lambda x: ~x.rlike(SENTENCE_END) | noisy(x) | _lower(x).rlike(NAVIGATION) | _lower(x).rlike(BOILERPLATE)
     starts = F.when(F.size("_vq_words") >= window, F.sequence(F.lit(1), F.size("_vq_words") - (window - 1))).otherwise(F.array().cast("array<int>"))
     hashed = F.transform(starts, lambda i: F.xxhash64(*[F.element_at("_vq_words", i + k) for k in range(window)]))
     out = out.withColumns({"_vq_windows": hashed, "_vq_lines": F.filter("_vq_all", has_word)})
