@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, release, slices, with_columns, written
+from .common import column_bytes, slices, with_columns, written
 
 #: Bytes of a trigger. A match of `length` bytes always holds one, as it is the least of the hashes in it.
 TRIGGER = 20
@@ -105,16 +105,13 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, doc_id: str = "doc_id",
     Edge cases: a null text is empty; texts shorter than `length` are whole. A row without id repeats nothing and
     is repeated by nothing. Rows with one id are the same document: they don't remove each other's bytes.
     """
-    spark = docs.sparkSession
     known = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
     parsed = known.mapInArrow(_phrases(length), "trigger long, item long, doc long")
     found = written(_in_order(parsed).mapInArrow(_repeats(True), "doc long, trigger long, item long, whole boolean"), "phrases")
-    release(spark)
 
     opened = found.where("NOT whole").groupBy("doc").agg(F.collect_set("item").alias("open"))
     suffixes = known.join(opened, "doc").select("doc", "text", "open").mapInArrow(_suffixes(length), "trigger long, item long, doc long")
     matched = written(_in_order(suffixes).mapInArrow(_repeats(False), "doc long, trigger long, item long, whole boolean"), "matches")
-    release(spark)
 
     lists = found.where("whole").selectExpr("doc", "item AS phrase", "CAST(NULL AS long) AS match").unionByName(matched.selectExpr("doc", "CAST(NULL AS long) AS phrase", "item AS match"))
     lists = lists.groupBy("doc").agg(F.collect_set("phrase").alias("_phrases"), F.collect_set("match").alias("_matches"))
