@@ -9,6 +9,8 @@ import pyarrow as pa
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import globs
 from ..functions import values as V
@@ -160,17 +162,13 @@ def read_tree(spark: SparkSession, root: str, ignore: tuple[str, ...] = ()) -> t
     raw = raw.withColumn("path", F.try_url_decode(F.replace(local, F.lit("+"), F.lit("%2B")))).where(~F.col("path").rlike(r"(^|/)\."))
     for pattern in ignore:
         raw = raw.where(~F.col("path").rlike(globs.ignore_regex(pattern)))
-    folder, stem, _ = V.path_parts(F.col("path"))
-    del folder
-    files = raw.select("path", stem.alias("stem"), F.regexp_extract("path", r"\.([^./]*)$", 1).alias("extension"), "length", "modificationTime")
+    files = raw.select("path", V.path_parts(F.col("path"))[1].alias("stem"), F.regexp_extract("path", r"\.([^./]*)$", 1).alias("extension"), "length", "modificationTime")
+
+    schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
 
     def run(batches):
         for batch in batches:
             made = [parse(p, r) for p, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            from pyspark.sql.pandas.types import to_arrow_schema
-            from pyspark.sql.types import StructType
-
-            schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
             rows = [{**m, **{k: [dict(zip([f.name for f in schema.field(k).type.value_type], x, strict=True)) for x in m[k]] for k in ("links", "headings", "diagnostics")}} for m in made]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 

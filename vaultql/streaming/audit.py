@@ -21,8 +21,9 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return _flat(spark.read.schema(RAW).option("mode", "PERMISSIVE").json(folder))
 
 
-def stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
-    return _flat(spark.readStream.schema(RAW).option("maxFilesPerTrigger", files_per_batch).json(folder))
+def stream(spark: SparkSession, folder: str, files_per_batch: int = 100, late: str = "10 minutes") -> DataFrame:
+    """The folder's events as they arrive; state and windows wait for those up to `late` behind."""
+    return _flat(spark.readStream.schema(RAW).option("maxFilesPerTrigger", files_per_batch).json(folder)).withWatermark("timestamp", late)
 
 
 def select(events: DataFrame, trace: str | None = None, status: str | None = None, target: str | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
@@ -45,16 +46,15 @@ def newest(events: DataFrame, limit: int = 20) -> DataFrame:
     return events.orderBy(F.desc("timestamp"), F.desc("span")).limit(limit)
 
 
-def windowed(events: DataFrame, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Events by tumbling window and name; on a stream, windows close `late` after their end."""
-    marked = events.withWatermark("timestamp", late) if events.isStreaming else events
-    return marked.groupBy(F.window("timestamp", every).alias("w"), "event").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event", "n")
+def windowed(events: DataFrame, every: str = "1 hour") -> DataFrame:
+    """Events by tumbling window and name; on a stream, windows close when the watermark passes."""
+    return events.groupBy(F.window("timestamp", every).alias("w"), "event").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event", "n")
 
 
-def once(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+def once(events: DataFrame) -> DataFrame:
     """Each span once; on a stream the state goes with the watermark."""
     if events.isStreaming:
-        return events.withWatermark("timestamp", late).dropDuplicatesWithinWatermark(["span"])
+        return events.dropDuplicatesWithinWatermark(["span"])
     return events.dropDuplicates(["span"])
 
 
