@@ -8,12 +8,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank_words, column_bytes, components, release, slices, written
-
-#: A signature has CHUNKS chunks of 8 values of 8 bits. Two signatures that differ in at most 2 * CHUNKS - 1 values
-#: have, by pigeonhole, a chunk with one error at most.
-CHUNKS = 16
-_VALUES = 8 * CHUNKS
+from .common import blank_words, column_bytes, components, slices, written
+
+#: A signature has CHUNKS chunks of WIDTH values of BITS bits. Two signatures that differ in at most 2 * CHUNKS - 1
+#: values have, by pigeonhole, a chunk with one error at most.
+CHUNKS, WIDTH, BITS = 11, 6, 12
+_VALUES = WIDTH * CHUNKS
+#: Ids (8 bytes each) that may be broadcast.
+MOST_BROADCAST = 1 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
 _N = np.uint64(0xD6E8FEB86659FD93)
 
@@ -50,86 +52,114 @@ def _factors() -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature(found: np.ndarray) -> bytes:
-    """The low bits of _VALUES minimum hashes."""
+    """BITS bits of each of _VALUES minimum hashes."""
     a, b = _factors()
     least = np.full(_VALUES, np.iinfo(np.uint64).max)
     for at in range(0, len(found), 256):  # stays in the cache
         mixed = found[None, at : at + 256] * a + b
         np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(1), out=least)
-    return (least * _N >> np.uint64(56)).astype(np.uint8).tobytes()
+    return (least * _N >> np.uint64(64 - BITS)).astype(np.uint16).tobytes()
 
 
 def chunk_keys(sigs: np.ndarray) -> np.ndarray:
-    """For signatures (n, _VALUES) the 8 * CHUNKS keys each: a chunk with one of its values left out, and which."""
-    chunks = np.ascontiguousarray(sigs).view("<u8").reshape(len(sigs), CHUNKS)
-    keys = np.empty((len(sigs), CHUNKS, 8), np.uint64)
-    for gap in range(8):
-        low = chunks & np.uint64((1 << 8 * gap) - 1)
-        high = chunks >> np.uint64(8 * gap + 8) if gap < 7 else np.zeros_like(chunks)
-        keys[:, :, gap] = low | high << np.uint64(8 * gap) | np.arange(gap, 8 * CHUNKS, 8, dtype=np.uint64) << np.uint64(56)
+    """For signatures (n, _VALUES) the _VALUES keys each: a chunk with one of its values left out, and which."""
+    chunks = sigs.reshape(len(sigs), CHUNKS, WIDTH).astype(np.uint64)
+    keys = np.empty((len(sigs), CHUNKS, WIDTH), np.uint64)
+    for gap in range(WIDTH):
+        made = np.zeros((len(sigs), CHUNKS), np.uint64)
+        for j in range(WIDTH):
+            if j != gap:
+                made = made << np.uint64(BITS) | chunks[:, :, j]
+        made = (made ^ np.arange(gap, _VALUES, WIDTH, dtype=np.uint64) << np.uint64(60)) * _M
+        keys[:, :, gap] = made ^ (made >> np.uint64(29)) ^ np.arange(gap, _VALUES, WIDTH, dtype=np.uint64) * _N
     return keys.reshape(len(sigs), -1).view(np.int64)
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = 80, size: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, percent: int = 80, size: int = 5, max_differ: int = 28, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id, kept) for each row of docs.
 
     Documents are linked when their sets of `size`-word shingles have at least `percent` % of their union in common.
 
     1. Documents with equal sets are one class; only one of a class goes on.
-    2. Classes are joined by the chunk keys of their signatures. Each key's smallest class is its pivot, found by a
-       partial aggregation, and every other member is paired with that pivot alone: a key never gives more pairs than
-       it has members.
-    3. Pairs are confirmed on the whole shingle sets of their texts, which are read again for those classes only.
-    4. Members of one key that are in different components after that are compared too, unless their sizes or their
-       distances from the pivot (Jaccard distance is a metric) exclude a link. So no pair with a key in common goes
-       unexamined.
-
-    Signatures that differ in at most 31 of 128 values always share a key. Two sets at a similarity of exactly 0.8
-    share none with a probability of 1.4e-5.
+    2. Classes meet by the chunk keys of their signatures. Each key's smallest class is its pivot, found by a partial
+       aggregation. Every class is compared with the one pivot that it shares most keys with, and components follow.
+    3. Classes and pivots that share a key and are in different components yet are compared: one pivot of a class at a
+       time while such pairs are many, as each round lets most of them fall into one component.
+    4. So are members of one key that are in different components after that, unless their sizes or their distances
+       from the pivot (Jaccard distance is a metric) exclude a link.
+    Comparing two of one component couldn't change the components; all other pairs with a key in common are examined,
+    on the whole shingle sets of their texts, which are read again for those classes only.
+
+    Signatures that differ in at most 2 * CHUNKS - 1 = 21 of 66 values always share a key; of those further apart most
+    do. Two sets at a similarity of exactly 0.8 share none with a probability of 7.7e-6, and differ in more than 28
+    with one of 9e-6; `max_differ` has to grow for a lower `percent`.
 
     Edge cases: a text without words, or null, has an empty set and is linked with nothing. A row without doc_id is
     kept, alone, with a null component. Rows that repeat a doc_id are one document, linked by any of its texts.
     """
-    spark = docs.sparkSession
     rows = written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_sketches(size), "doc_id long, n_shingles long, digest binary, sig binary"), "sketches")
     full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = written(full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig")), "nodes")
-    of = full.select("doc_id", "digest").join(nodes.select("digest", "node"), "digest")
+    texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text"))
 
-    keys = nodes.select("node", "n", "sig").mapInArrow(_keys, "key long, node long, n long")
-    pivots = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("p"), F.max("node").alias("last")).where("p.node < last").selectExpr("key", "p.node AS pivot", "p.n AS pivot_n")
+    keys = nodes.select("node", "sig").mapInArrow(_keys, "key long, node long, left_out int")
+    pivots = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("key", "pivot")
     shared = written(keys.join(pivots, "key"), "shared")
-    release(spark)
-    texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text"))
-    first = shared.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"), F.col("n").alias("n_a"), F.col("pivot_n").alias("n_b")).distinct()
+    details = nodes.select("node", "n", F.transform(F.sequence(F.lit(0), F.lit(_VALUES - 1)), lambda i: F.substring(F.col("sig"), 2 * i + 1, F.lit(2))).alias("sig"))
     bound = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    star = written(_confirmed(first.where(bound(F.col("n_a"), F.col("n_b"))), texts, size), "star")
-    release(spark)
 
-    repeated = full.groupBy("doc_id").agg(F.min("digest").alias("d1"), F.max("digest").alias("d2")).where("d1 <> d2").select("doc_id")
+    of = full.select("doc_id", "digest").join(nodes.select("digest", "node"), "digest")
+    repeated = rows.groupBy("doc_id").count().where("count > 1").select("doc_id")
     again = of.join(repeated, "doc_id", "left_semi").selectExpr("doc_id AS a", "node AS b")
-    linked = lambda pairs: pairs.where(f"100 * n_both >= {int(percent)} * n_any").select("a", "b")
-    label = components(linked(star).unionByName(again))
-
+    linked = lambda found: found.where(f"100 * n_both >= {int(percent)} * n_any").select("a", "b")
+
+    def split(rows):
+        """rows with their component, of keys that have several."""
+        member = rows.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        some = member.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("key")
+        return member.join(some, "key", "left_semi")
+
+    best = shared.where("node <> pivot").groupBy(F.col("node").alias("a")).agg(F.min("pivot").alias("b"))
+    compared, apart, most = written(_confirmed(best, texts, size), "star"), shared, 4 * nodes.count()
+    while True:
+        label = written(components(linked(compared).unionByName(again)), "label")
+        apart = written(split(apart.drop("component")), "apart")
+        ends = label.select(F.col("node").alias("pivot"), F.col("component").alias("of_pivot"))
+        more = apart.where("node <> pivot").join(ends, "pivot", "left").where(F.col("component") != F.coalesce("of_pivot", "pivot"))
+        more = more.groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.lit(1)).select("a", "b").join(compared.select("a", "b"), ["a", "b"], "left_anti")
+        more = more.join(details.selectExpr("node AS a", "n AS n_a"), "a").join(details.selectExpr("node AS b", "n AS n_b"), "b").where(bound(F.col("n_a"), F.col("n_b")))
+        more = written(more.select("a", "b"), "more")
+        n = more.count()
+        if not n:
+            break
+        if n > max(most, 100_000):  # one pivot a class each round, until few pairs are left
+            more = more.groupBy("a").agg(F.min("b").alias("b"))
+        compared = written(compared.unionByName(_confirmed(more, texts, size)), "compared")
+
+    left = split(apart.where("node <> pivot").drop("component")).join(compared.selectExpr("a AS node", "b AS pivot", "n_both", "n_any"), ["node", "pivot"], "left")
+    left = left.join(details, "node").join(details.selectExpr("node AS pivot", "n AS pivot_n"), "pivot")
+    # the pair's distance from the pivot, or the range in which it lies if the two weren't compared
     far = F.when(F.col("n_both").isNotNull(), 1 - F.col("n_both") / F.col("n_any"))
-    member = shared.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = member.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("key")
-    left = member.where("node <> pivot").join(split, "key", "left_semi").join(star.selectExpr("a AS node", "b AS pivot", "n_both", "n_any"), ["node", "pivot"], "left")
-    # the pair's distance from the pivot, or the range in which it lies if sizes alone ruled out a link
-    left = written(left.select("key", "node", "n", "component", F.coalesce(far, 1 - F.least("n", "pivot_n") / F.greatest("n", "pivot_n")).alias("near"), F.coalesce(far, F.lit(1.0)).alias("far")), "left")
+    left = left.join(_unshared(left.select("node").distinct(), texts, size), "node", "left").withColumn("lone", F.coalesce("lone", F.lit(0).cast("long")))
+    left = left.where(100 * (F.col("n") - F.col("lone")) >= percent * F.col("n"))
+    left = written(left.select("key", "node", "n", "lone", "component", "left_out", "sig", F.coalesce(far, 1 - F.least("n", "pivot_n") / F.greatest("n", "pivot_n")).alias("near"), F.coalesce(far, F.lit(1.0)).alias("far")), "left")
     limit = 1 - percent / 100 + 1e-9
     x, y = left.alias("x"), left.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & bound(F.col("x.n"), F.col("y.n")) & (F.col("x.near") - F.col("y.far") <= limit) & (F.col("y.near") - F.col("x.far") <= limit))
+    # chunks that agree in all values share the keys of all their gaps: the first one will do
+    once = F.col("x.left_out").isNull() | (F.col("x.left_out") != F.col("y.left_out"))
+    differ = F.aggregate(F.zip_with("x.sig", "y.sig", lambda p, q: F.when(p == q, 0).otherwise(1)), F.lit(0), lambda s, d: s + d)
+    both = F.least(F.col("x.n") - F.col("x.lone"), F.col("y.n") - F.col("y.lone"))  # all that they can have in common
+    may = 100 * both >= percent * (F.col("x.n") + F.col("y.n") - both)
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & may & (F.col("x.component") < F.col("y.component")) & once & bound(F.col("x.n"), F.col("y.n")) & (F.col("x.near") - F.col("y.far") <= limit) & (F.col("y.near") - F.col("x.far") <= limit) & (differ <= max_differ))
     rest = written(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "rest")
     if not rest.isEmpty():
-        label = components(linked(star).unionByName(again).unionByName(linked(_confirmed(rest, texts, size))))
+        label = components(linked(compared).unionByName(again).unionByName(linked(_confirmed(rest, texts, size))))
 
     ends = nodes.select("digest", "node").join(label, "node", "left").select("digest", F.col("node").alias("class_id"), F.coalesce("component", "node").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("digest")).alias("digest")).join(ends, "digest", "left")
-    alone = F.when(F.col("class_id").isNull(), F.col("doc_id"))
-    return out.select(
-        "doc_id", "n_shingles", F.coalesce("class_id", alone).alias("class_id"), F.coalesce("component_id", alone).alias("component_id"),
-    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    some = full.join(ends, "digest").select("doc_id", "n_shingles", "class_id", "component_id")
+    none = rows.where("doc_id IS NULL OR n_shingles = 0").join(label, F.col("doc_id") == F.col("node"), "left")
+    none = none.select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))
+    return some.unionByName(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def _sketches(size: int):
@@ -152,19 +182,42 @@ def _sketches(size: int):
 
 
 def _keys(batches):
+    """The keys of each node, with the value that was left out (null for a chunk's first)."""
     for batch in batches:
         for part in slices(batch, 2000):
-            sigs = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(-1, _VALUES)
-            per = 8 * CHUNKS
-            node, n = (np.repeat(part.column(i).to_numpy(zero_copy_only=False), per) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(chunk_keys(sigs).ravel()), pa.array(node), pa.array(n)], names=["key", "node", "n"])
+            sigs = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, _VALUES)
+            node = np.repeat(part.column(0).to_numpy(zero_copy_only=False), _VALUES)
+            first = np.tile(np.arange(_VALUES) % WIDTH == 0, len(sigs))
+            columns = [pa.array(chunk_keys(sigs).ravel()), pa.array(node), pa.array(sigs.ravel().astype(np.int32), mask=first)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "left_out"])
+
+
+def _held(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The texts of some nodes. Up to MOST_BROADCAST ids go to all executors; beyond that the texts are shuffled once."""
+    nodes = written(nodes, "needed")
+    return texts.join(F.broadcast(nodes) if nodes.count() <= MOST_BROADCAST else nodes, "node", "left_semi")
+
+
+def _unshared(nodes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(node, lone): how many of a node's shingles no other one of the nodes has."""
+
+    def run(batches):
+        hashes = _WordHash()
+        for batch in batches:
+            for part in slices(batch, 256):
+                sets = [shingle_set(blank_words(raw), size, hashes) for raw in column_bytes(part, "text")]
+                node = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "shingle"])
+
+    made = _held(texts, nodes).select("node", "text").mapInArrow(run, "node long, shingle long")
+    once = made.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
+    return once.groupBy("node").agg(F.count("*").alias("lone"))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """(a, b, n_both, n_any): what the shingle sets of each pair's texts have in common and together."""
     pairs = written(pairs.select("a", "b"), "pairs")
-    needed = pairs.selectExpr("explode(array(a, b)) AS node").distinct()
-    texts = texts.join(needed, "node", "left_semi")
+    texts = _held(texts, pairs.selectExpr("explode(array(a, b)) AS node").distinct())
     both = pairs.join(texts.selectExpr("node AS a", "text AS text_a"), "a").join(texts.selectExpr("node AS b", "text AS text_b"), "b")
 
     def run(batches):
