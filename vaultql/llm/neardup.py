@@ -75,7 +75,7 @@ def chunk_keys(sigs: np.ndarray) -> np.ndarray:
     return keys.reshape(len(sigs), -1).view(np.int64)
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = 80, size: int = 5, max_differ: int = 28, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, percent: int = 80, size: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id, kept) for each row of docs.
 
     Documents are linked when their sets of `size`-word shingles have at least `percent` % of their union in common.
@@ -85,14 +85,13 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, size: int = 5, max_di
        aggregation. Every class is compared with the one pivot that it shares most keys with, and components follow.
     3. Classes and pivots that share a key and are in different components yet are compared: one pivot of a class at a
        time while such pairs are many, as each round lets most of them fall into one component.
-    4. So are members of one key that are in different components after that, unless their sizes or their distances
-       from the pivot (Jaccard distance is a metric) exclude a link.
+    4. Members of one key that are in different components after that are all compared with their pivot, and with each
+       other only where their parts within the pivot suffice for a link or those outside it share a rare shingle.
     Comparing two of one component couldn't change the components; all other pairs with a key in common are examined,
     on the whole shingle sets of their texts, which are read again for those classes only.
 
     Signatures that differ in at most 2 * CHUNKS - 1 = 21 of 66 values always share a key; of those further apart most
-    do. Two sets at a similarity of exactly 0.8 share none with a probability of 7.7e-6, and differ in more than 28
-    with one of 9e-6; `max_differ` has to grow for a lower `percent`.
+    do: two sets at a similarity of exactly 0.8 share none with a probability of 7.7e-6.
 
     Edge cases: a text without words, or null, has an empty set and is linked with nothing. A row without doc_id is
     kept, alone, with a null component. Rows that repeat a doc_id are one document, linked by any of its texts.
@@ -105,7 +104,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, size: int = 5, max_di
     keys = nodes.select("node", "sig").mapInArrow(_keys, "key long, node long, left_out int")
     pivots = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("key", "pivot")
     shared = written(keys.join(pivots, "key"), "shared")
-    details = nodes.select("node", "n", F.transform(F.sequence(F.lit(0), F.lit(_VALUES - 1)), lambda i: F.substring(F.col("sig"), 2 * i + 1, F.lit(2))).alias("sig"))
+    details = nodes.select("node", "n")
     bound = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
     of = full.select("doc_id", "digest").join(nodes.select("digest", "node"), "digest")
@@ -136,22 +135,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, size: int = 5, max_di
             more = more.groupBy("a").agg(F.min("b").alias("b"))
         compared = written(compared.unionByName(_confirmed(more, texts, size)), "compared")
 
-    left = split(apart.where("node <> pivot").drop("component")).join(compared.selectExpr("a AS node", "b AS pivot", "n_both", "n_any"), ["node", "pivot"], "left")
-    left = left.join(details, "node").join(details.selectExpr("node AS pivot", "n AS pivot_n"), "pivot")
-    # the pair's distance from the pivot, or the range in which it lies if the two weren't compared
-    far = F.when(F.col("n_both").isNotNull(), 1 - F.col("n_both") / F.col("n_any"))
-    left = left.join(_unshared(left.select("node").distinct(), texts, size), "node", "left").withColumn("lone", F.coalesce("lone", F.lit(0).cast("long")))
-    left = left.where(100 * (F.col("n") - F.col("lone")) >= percent * F.col("n"))
-    left = written(left.select("key", "node", "n", "lone", "component", "left_out", "sig", F.coalesce(far, 1 - F.least("n", "pivot_n") / F.greatest("n", "pivot_n")).alias("near"), F.coalesce(far, F.lit(1.0)).alias("far")), "left")
-    limit = 1 - percent / 100 + 1e-9
-    x, y = left.alias("x"), left.alias("y")
-    # chunks that agree in all values share the keys of all their gaps: the first one will do
-    once = F.col("x.left_out").isNull() | (F.col("x.left_out") != F.col("y.left_out"))
-    differ = F.aggregate(F.zip_with("x.sig", "y.sig", lambda p, q: F.when(p == q, 0).otherwise(1)), F.lit(0), lambda s, d: s + d)
-    both = F.least(F.col("x.n") - F.col("x.lone"), F.col("y.n") - F.col("y.lone"))  # all that they can have in common
-    may = 100 * both >= percent * (F.col("x.n") + F.col("y.n") - both)
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & may & (F.col("x.component") < F.col("y.component")) & once & bound(F.col("x.n"), F.col("y.n")) & (F.col("x.near") - F.col("y.far") <= limit) & (F.col("y.near") - F.col("x.far") <= limit) & (differ <= max_differ))
-    rest = written(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "rest")
+    left = written(split(apart.where("node <> pivot").drop("component")).select("key", "node", "pivot", "component", "left_out"), "left")
+    rest = _through_pivots(left, texts, size, percent)
     if not rest.isEmpty():
         label = components(linked(compared).unionByName(again).unionByName(linked(_confirmed(rest, texts, size))))
 
@@ -198,41 +183,70 @@ def _held(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(nodes) if nodes.count() <= MOST_BROADCAST else nodes, "node", "left_semi")
 
 
-def _unshared(nodes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """(node, lone): how many of a node's shingles no other one of the nodes has."""
-
-    def run(batches):
-        hashes = _WordHash()
-        for batch in batches:
-            for part in slices(batch, 256):
-                sets = [shingle_set(blank_words(raw), size, hashes) for raw in column_bytes(part, "text")]
-                node = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(x) for x in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "shingle"])
+def _through_pivots(left: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): pairs of left's nodes, in different components, that may be linked, judged by their common pivot.
 
-    made = _held(texts, nodes).select("node", "text").mapInArrow(run, "node long, shingle long")
-    once = made.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
-    return once.groupBy("node").agg(F.count("*").alias("lone"))
-
-
-def _confirmed(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """(a, b, n_both, n_any): what the shingle sets of each pair's texts have in common and together."""
-    pairs = written(pairs.select("a", "b"), "pairs")
+    With a pivot P, two sets have at most the smaller of their parts within P in common, and what their parts outside P
+    share. So either the parts within P suffice for a link, which sizes tell, or the parts outside P must share a
+    shingle: then only the rarest of those have to meet, as many as leave too few for a link (prefix filter).
+    """
+    parts = _confirmed(left.select("node", "pivot").distinct(), texts, size, outside=True)
+    parts = written(parts.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "base", "n_both", "n_a", "outside", F.xxhash64("outside").alias("part")), "parts")
+    lows = written(parts.groupBy("base").agg(F.min("n_a").alias("low")), "lows")  # few: one a pivot
+    own = left.select("node", "component").distinct()
+    parts = written(parts.join(lows, "base").join(own, "node"), "parts")
+    needs = lambda n, other: F.ceil(percent * (n + other) / (100 + percent) - 1e-9)  # noqa: E731  in common, for a link
+
+    within = parts.where(F.col("n_both") >= needs(F.col("n_a"), F.col("low"))).select("node", "pivot", "base", "n_both", "n_a")
+    within = written(left.join(within, ["node", "pivot"]).select("key", "base", "node", "component", "left_out", "n_both", "n_a"), "within")
+    x, y = within.alias("x"), within.alias("y")
+    # chunks that agree in all values share the keys of all their gaps: the first one will do
+    once = F.col("x.left_out").isNull() | (F.col("x.left_out") != F.col("y.left_out"))
+    apart = F.col("x.component") < F.col("y.component")
+    enough = F.least("x.n_both", "y.n_both") >= needs(F.col("x.n_a"), F.col("y.n_a"))
+    by_size = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.base") == F.col("y.base")) & apart & once & enough)
+
+    each = parts.select("base", "node", "part", F.explode("outside").alias("shingle"))
+    often = written(each.groupBy("base", "shingle").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    ranked = each.join(often, ["base", "shingle"]).groupBy("base", "node", "part").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).shingle.alias("ranked"))
+    least = F.greatest(F.lit(1), needs(F.col("n_a"), F.col("low")) - F.col("n_both"))
+    some = ranked.join(parts.drop("outside"), ["base", "node", "part"]).withColumn("n_shared", F.size("ranked"))
+    some = some.withColumn("n_first", F.col("n_shared") - least + 1).where("n_first > 0").withColumn("shingle", F.explode(F.slice("ranked", F.lit(1), F.col("n_first").cast("int"))))
+    some = written(some.select("base", "shingle", "node", "component", "n_both", "n_a", "n_shared"), "some")
+    x, y = some.alias("x"), some.alias("y")
+    enough = F.least("x.n_both", "y.n_both") + F.least("x.n_shared", "y.n_shared") >= needs(F.col("x.n_a"), F.col("y.n_a"))
+    by_shingle = x.join(y, (F.col("x.base") == F.col("y.base")) & (F.col("x.shingle") == F.col("y.shingle")) & apart & enough)
+    pair = lambda found: found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    return written(pair(by_size).unionByName(pair(by_shingle)).distinct(), "rest")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, outside: bool = False) -> DataFrame:
+    """(a, b, n_both, n_any): what the shingle sets of each pair's texts have in common and together.
+
+    With `outside` also n_a, the size of a's set, its shingles that b lacks, and `base`, a hash of b's set.
+    """
+    pairs = written(pairs.select("a", "b") if not outside else pairs.toDF("a", "b"), "pairs")
     texts = _held(texts, pairs.selectExpr("explode(array(a, b)) AS node").distinct())
     both = pairs.join(texts.selectExpr("node AS a", "text AS text_a"), "a").join(texts.selectExpr("node AS b", "text AS text_b"), "b")
+    fields = [("a", pa.int64()), ("b", pa.int64()), ("n_both", pa.int64()), ("n_any", pa.int64())]
+    if outside:
+        fields += [("n_a", pa.int64()), ("base", pa.int64()), ("outside", pa.list_(pa.int64()))]
 
     def run(batches):
-        hashes, last, held = _WordHash(), None, None
+        hashes, last, held, base = _WordHash(), None, np.empty(0, np.uint64), 0
         for batch in batches:
             for part in slices(batch):
-                a, b, raw_a, raw_b = part.column(0).to_pylist(), part.column(1).to_pylist(), column_bytes(part, "text_a"), column_bytes(part, "text_b")
-                common, union = [], []
-                for x, y in zip(raw_a, raw_b, strict=True):
+                rows = []
+                for a, b, x, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), column_bytes(part, "text_a"), column_bytes(part, "text_b"), strict=True):
                     if y != last:
                         last, held = y, shingle_set(blank_words(y), size, hashes)
+                        base = xxhash.xxh3_64_intdigest(held.tobytes()) >> 1
                     mine = shingle_set(blank_words(x), size, hashes)
                     at = np.minimum(np.searchsorted(held, mine), max(0, len(held) - 1))
-                    common.append(int((held[at] == mine).sum()) if len(held) else 0)
-                    union.append(len(mine) + len(held) - common[-1])
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (a, b, common, union)], names=["a", "b", "n_both", "n_any"])
+                    shared = held[at] == mine if len(held) else np.zeros(len(mine), bool)
+                    n = int(shared.sum())
+                    rows.append((a, b, n, len(mine) + len(held) - n, *((len(mine), base, mine[~shared].view(np.int64)) if outside else ())))
+                columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
+                yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, (_, t) in zip(columns, fields, strict=True)], names=[name for name, _ in fields])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, n_both long, n_any long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, n_both long, n_any long" + ", n_a long, base long, outside array<long>" * outside)
