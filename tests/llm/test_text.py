@@ -62,6 +62,47 @@ def test_factorization_learns_pairs():
         assert all(0 <= s <= 1 for s in scores)
 
 
+def test_factorization_separates_held_out_pairs():
+    import numpy as np
+
+    from vaultql.llm import toxicity as T
+
+    def made(seed, n, fill):
+        rng, known = random.Random(seed), T._Known(None)
+        texts = [" ".join(["foo"] * (k & 1) + ["bar"] * (k >> 1 & 1) + rng.choices(fill, k=5)) for k in range(n)]
+        return [T.counted(t, known) for t in texts], np.array([("foo" in t) == ("bar" in t) for t in texts]).astype(int)
+
+    for fill in (["one", "two", "six"], [f"x{c}" for c in "abcdefghijklmnop"]):
+        (rows, labels), (new, truth) = made(1, 600, fill), made(2, 200, fill)
+        model = T.fit(rows, labels, np.ones(600), epochs=300, rate=0.1)
+        assert {t for w in ("foo", "bar") for t in T.terms(w)} <= set(model.wanted.tolist())
+        scores = np.array([model.score(np.searchsorted(model.wanted, i[np.isin(i, model.wanted)]), T.values(n[np.isin(i, model.wanted)], w)) for i, n, w in new])
+        assert scores[truth == 1].min() > 0.7 and scores[truth == 0].max() < 0.3
+
+
+def test_pairs_against_brute_force():
+    import numpy as np
+
+    from vaultql.llm import toxicity as T
+
+    rng = np.random.default_rng(3)
+    x = rng.random((400, 30)) < rng.uniform(0.1, 0.9, 30)
+    labels = rng.integers(0, 2, 400)
+    x[:, 7] = x[:, 3] ^ (labels == 1)
+    x[:, 9] = x[:, 8]
+    row, ids = np.nonzero(x)
+    parts = [[np.outer(*(r[i] - x[labels == v].mean(0)[i] for i in (slice(None),) * 2)) for r in x[labels == v].astype(float)] for v in (0, 1)]
+    apart = np.mean(parts[1], 0) - np.mean(parts[0], 0)
+    var = sum(np.mean(np.square(p), 0) / len(p) for p in parts)
+    hit = apart**2 > 2 * np.log(29 * 28 / 2 + 2) * var
+    np.fill_diagonal(hit, False)
+    hit[8, 9] = hit[9, 8] = False  # the same rows
+    want = np.flatnonzero(hit.any(0))
+    assert {3, 7} <= set(want) != set(range(30))
+    for block in (4, 512):
+        assert T.paired(ids, row, labels, np.arange(30), block).tolist() == want.tolist()
+
+
 def test_quality(spark, odd):
     got = queries.quality(spark, SF).join(table(spark, "labels"), "doc_id").where("held_out").collect()
     assert sum(r.predicted == r.quality for r in got) / len(got) > 0.9

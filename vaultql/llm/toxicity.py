@@ -68,9 +68,60 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def paired(ids: np.ndarray, row: np.ndarray, labels: np.ndarray, terms: np.ndarray, block: int = 512) -> np.ndarray:
+    """Those of `terms` that occur with some other one more (or less) often than both alone explain, and not alike in
+    rows of both labels.
+
+    A pair's z-score is that of the difference between its covariances under the two labels. Of m pairs those above
+    sqrt(2 ln m) count, which chance hardly reaches; so a term in fewer than 25 rows, with a z-score of at most about 5,
+    is no use here. All pairs are looked at, by blocks; terms of the same rows are looked at once.
+    """
+    at = np.searchsorted(terms, ids)
+    keep = terms[np.minimum(at, max(0, len(terms) - 1))] == ids if len(terms) else np.zeros(len(ids), bool)
+    at, row = at[keep], row[keep]
+    # a term's rows, as the sum of random numbers
+    mark = np.zeros(len(terms), np.uint64)
+    np.add.at(mark, at, np.random.default_rng(11).integers(0, 1 << 63, len(labels), np.uint64)[row])
+    _, first, same = np.unique(mark, return_index=True, return_inverse=True)
+    if len(first) < 2:
+        return terms[:0]
+    one = same[at] if len(at) else at
+    bits, sums = [], []
+    for value in (0, 1):
+        mine = np.flatnonzero(labels == value)
+        place = np.full(len(labels), -1)
+        place[mine] = np.arange(len(mine))
+        some = place[row] >= 0
+        table = np.zeros((len(first), (len(mine) + 7) // 8), np.uint8)
+        r = place[row[some]]
+        np.bitwise_or.at(table, (one[some], r >> 3), (128 >> (r & 7)).astype(np.uint8))
+        bits.append((table, len(mine)))
+        sums.append(np.bitwise_count(table).sum(1).astype(np.float32))
+    found = np.zeros(len(first), bool)
+    limit = 2 * np.log(len(first) * (len(first) - 1) / 2 + 2)
+    for k in range(0, len(first), block):
+        left = [np.unpackbits(t[k : k + block], axis=1, count=n).astype(np.float32) for t, n in bits]
+        for m in range(k, len(first), block):
+            apart, var = 0.0, 1e-12
+            for sign, (t, n), a, total in zip((-1, 1), bits, left, sums, strict=True):
+                pa, pb = total[k : k + block, None] / n, total[None, m : m + block] / n
+                both = a @ np.unpackbits(t[m : m + block], axis=1, count=n).astype(np.float32).T / n
+                apart = apart + sign * (both - pa * pb)
+                # the mean of ((a - pa) (b - pb)) ** 2
+                u, v = 1 - 2 * pa, 1 - 2 * pb
+                var = var + (both * u * v + pa * u * pb**2 + pb * v * pa**2 + (pa * pb) ** 2) / n
+            hit = apart * apart > limit * var
+            if m == k:
+                np.fill_diagonal(hit, False)
+            found[k : k + block] |= hit.any(1)
+            found[m : m + block] |= hit.any(0)
+    return terms[found[same]]
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray, shares: np.ndarray, *, n_terms: int = 8192, rank: int = 4, epochs: int = 12, rate: float = 0.05, decay: float = 2e-3, batch: int = 256, seed: int = 7) -> FactorizationMachine:
     """A machine for rows of (hashed terms, counts, words). `shares` weighs rows, so that a stratified sample stands
-    for its table. The n_terms terms whose share of rows differs most between the labels (by z-score) are kept.
+    for its table. The n_terms terms whose share of rows differs most between the labels (by z-score) are kept, and
+    beside them all that matter together with another one (see `paired`).
     """
     size = np.array([len(r[0]) for r in rows], np.int64)
     if not len(rows) or labels.min() == labels.max():
@@ -81,10 +132,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray, shar
     row = np.repeat(np.arange(len(rows)), size)
     n1, n0 = labels.sum(), (1 - labels).sum()
     pos, neg = np.bincount(ids[labels[row] == 1], minlength=1 << BITS), np.bincount(ids[labels[row] == 0], minlength=1 << BITS)
-    p, q = (pos + 0.5) / (n1 + 1), (neg + 0.5) / (n0 + 1)
-    z = np.abs(p - q) / np.sqrt(p * (1 - p) / n1 + q * (1 - q) / n0 + 1e-12) * (pos + neg >= 4)
+    often = np.flatnonzero(pos + neg >= 4)
+    p, q = (pos[often] + 0.5) / (n1 + 1), (neg[often] + 0.5) / (n0 + 1)
+    z = np.abs(p - q) / np.sqrt(p * (1 - p) / n1 + q * (1 - q) / n0 + 1e-12)
     top = np.argsort(-z, kind="stable")[:n_terms]
-    wanted = np.sort(top[z[top] > 1.5])
+    wanted = np.union1d(often[top[z[top] > 1.5]], paired(ids, row, labels, often[(pos + neg)[often] >= 25]))
     at = np.searchsorted(wanted, ids)
     keep = wanted[np.minimum(at, max(0, len(wanted) - 1))] == ids if len(wanted) else np.zeros(len(ids), bool)
     ids, x, row = at[keep], x[keep], row[keep]
