@@ -134,6 +134,25 @@ def test_warc(spark):
     assert [b for _, b in back] == [bytes(r.block) for r in rows] and back[2][0]["WARC-Refers-To"] == rows[2].refers_to
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<html><head><title>T</title><p>All the text.</html>", "All the text."),
+        ("<head><title>T</title>All <b>the</b> text.", "All the text."),
+        ("<head><meta charset=x><style>a {}</style><script>b()</script>\n<h1>One</h1><p>Two", "One\nTwo"),
+        ("<title>T</title><p>One<noscript>No<p>more</noscript><p>Two", "One\nTwo"),
+        ("<head><noscript><img src=x><p>No script</p></noscript></head><body><p>One", "One"),
+        ("<head><title>T</title><noscript><p>One<p>Two", "One\nTwo"),
+        ("<p>One<noscript>Two<script>no()</script><p>Three", "OneTwo\nThree"),
+        ("<p>One<svg><text>no</text><p>Two<div>Three", "One\nTwo\nThree"),
+        ("<p>One<svg><foreignObject><p>no</p></foreignObject></svg>Two", "OneTwo"),
+        ("<head><template><p>no</p></template><title>T</title></head><p>One", "One"),
+    ],
+)
+def test_text_without_end_tags(html, text):
+    assert warc.html_text(html)[0] == text
+
+
 def test_rules_edges(odd):
     got = {r.doc_id: r for r in clean_lines(odd.withColumn("n_words", F.lit("clash"))).collect()}
     assert got[1].n_words == got[2].n_words == 0 and got[1].base_failed and not got[1].kept

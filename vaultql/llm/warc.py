@@ -19,6 +19,10 @@ HEADERS = "warc_type string, record_id string, target_uri string, warc_date stri
 DERIVED = HEADERS + ", part int"
 #: Elements whose content isn't shown, and elements that begin a line.
 HIDDEN = {"script", "style", "noscript", "template", "head", "svg", "iframe"}
+#: The start tags that a head may hold; any other one ends it, as text does.
+IN_HEAD = {"html", "head", "title", "base", "basefont", "bgsound", "link", "meta", "noframes", "noscript", "script", "style", "template"}
+#: Start tags that end an svg left open, beside those that begin a line.
+OUT_OF_SVG = {"b", "big", "center", "code", "em", "embed", "i", "img", "menu", "ruby", "s", "small", "span", "strong", "strike", "sub", "sup", "tt", "u", "var"}
 BREAKS = {"p", "br", "div", "li", "ul", "ol", "tr", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "header", "footer", "nav", "main", "aside", "blockquote", "pre", "form", "hr", "dl", "dt", "dd"}
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc:derivatives")
 
@@ -40,36 +44,78 @@ class _Text(HTMLParser):
         self.title: list[str] = []
         self.links: list[str] = []
         self.hidden: list[str] = []
+        self.held: list[str] = []
         self.in_title = False
 
     def handle_starttag(self, tag, attrs):
         if tag == "a" and (href := dict(attrs).get("href")):
             self.links.append(href)
         self.in_title = tag == "title" or self.in_title and tag not in BREAKS
+        if self.hidden:
+            if tag not in IN_HEAD:
+                self._end_head()
+            if self.hidden and self.hidden[-1] == "svg":
+                if tag in BREAKS or tag in OUT_OF_SVG:
+                    self.hidden.pop()
+                elif tag in ("foreignobject", "desc", "title"):
+                    self.hidden.append(tag)  # HTML may stand there
         if tag in HIDDEN:
             self.hidden.append(tag)
         elif tag == "body":
-            self.hidden.clear()  # an unclosed head
+            self._leave(0)
         elif tag in BREAKS:
-            self.out.append("\n")
+            self._put("\n")
 
     def handle_endtag(self, tag):
         if tag == "title":
             self.in_title = False
         if tag in self.hidden:
-            del self.hidden[self.hidden.index(tag) :]
+            at = self.hidden.index(tag)
+            if tag == "noscript":
+                self.held.clear()
+                del self.hidden[at:]
+            else:
+                self._leave(at)
         elif tag in BREAKS:
-            self.out.append("\n")
+            self._put("\n")
 
     def handle_data(self, data):
         if self.in_title:
             self.title.append(data)
-        elif not self.hidden:
+        else:
+            if self.hidden and data.strip():
+                self._end_head()
+            self._put(data)
+
+    def close(self):
+        super().close()
+        self._leave(0)
+
+    def _put(self, data):
+        if not self.hidden:
             self.out.append(data)
+        elif self.hidden[-1] == "noscript":
+            self.held.append(data)
+
+    def _end_head(self):
+        """Both of a head's tags may be left out: what it can't hold ends it, in an open noscript too."""
+        if self.hidden[0] == "head" and all(x in ("head", "noscript") for x in self.hidden):
+            self.hidden = [x for x in self.hidden if x != "head"]
+
+    def _leave(self, at):
+        """Ends the hidden elements from `at` on; a noscript among them has no end tag, so its text is the page's."""
+        if "noscript" in self.hidden[at:]:
+            self.out += self.held
+            self.held.clear()
+        del self.hidden[at:]
 
 
 def html_text(html: str) -> tuple[str, str, list[str]]:
-    """(text, title, link targets) of a page: one line for a block, single spaces, no blank lines."""
+    """(text, title, link targets) of a page: one line for a block, single spaces, no blank lines.
+
+    A head ends where HTML ends it, with or without tags. An open svg ends at a block; the text of a noscript without an
+    end tag is shown. An open script, style, iframe or template hides the rest of the page, as in HTML.
+    """
     parser = _Text()
     try:
         parser.feed(html)
