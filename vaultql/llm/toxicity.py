@@ -68,13 +68,14 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def paired(ids: np.ndarray, row: np.ndarray, labels: np.ndarray, terms: np.ndarray, block: int = 512) -> np.ndarray:
+def paired(ids: np.ndarray, row: np.ndarray, labels: np.ndarray, terms: np.ndarray, block: int = 1024) -> np.ndarray:
     """Those of `terms` that occur with some other one more (or less) often than both alone explain, and not alike in
     rows of both labels.
 
     A pair's z-score is that of the difference between its covariances under the two labels. Of m pairs those above
-    sqrt(2 ln m) count, which chance hardly reaches; so a term in fewer than 25 rows, with a z-score of at most about 5,
-    is no use here. All pairs are looked at, by blocks; terms of the same rows are looked at once.
+    sqrt(2 ln m) count, which chance hardly reaches. A pair's z-score is at most about the root of its rarer term's
+    rows, so terms in fewer than 2 ln m rows can't show it and are passed over. All other pairs are looked at, by
+    blocks; terms of the same rows are looked at once.
     """
     at = np.searchsorted(terms, ids)
     keep = terms[np.minimum(at, max(0, len(terms) - 1))] == ids if len(terms) else np.zeros(len(ids), bool)
@@ -85,7 +86,14 @@ def paired(ids: np.ndarray, row: np.ndarray, labels: np.ndarray, terms: np.ndarr
     _, first, same = np.unique(mark, return_index=True, return_inverse=True)
     if len(first) < 2:
         return terms[:0]
-    one = same[at] if len(at) else at
+    limit = 2 * np.log(len(first) * (len(first) - 1) / 2 + 2)
+    enough = np.bincount(at, minlength=len(terms))[first] >= limit
+    if enough.sum() < 2:
+        return terms[:0]
+    place = np.where(enough, np.cumsum(enough) - 1, -1)
+    same, first = place[same], first[enough]
+    one = same[at]
+    at, row, one = at[one >= 0], row[one >= 0], one[one >= 0]
     bits, sums = [], []
     for value in (0, 1):
         mine = np.flatnonzero(labels == value)
@@ -98,7 +106,6 @@ def paired(ids: np.ndarray, row: np.ndarray, labels: np.ndarray, terms: np.ndarr
         bits.append((table, len(mine)))
         sums.append(np.bitwise_count(table).sum(1).astype(np.float32))
     found = np.zeros(len(first), bool)
-    limit = 2 * np.log(len(first) * (len(first) - 1) / 2 + 2)
     for k in range(0, len(first), block):
         left = [np.unpackbits(t[k : k + block], axis=1, count=n).astype(np.float32) for t, n in bits]
         for m in range(k, len(first), block):
@@ -115,7 +122,7 @@ def paired(ids: np.ndarray, row: np.ndarray, labels: np.ndarray, terms: np.ndarr
                 np.fill_diagonal(hit, False)
             found[k : k + block] |= hit.any(1)
             found[m : m + block] |= hit.any(0)
-    return terms[found[same]]
+    return terms[(same >= 0) & found[same]]
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray, shares: np.ndarray, *, n_terms: int = 8192, rank: int = 4, epochs: int = 12, rate: float = 0.05, decay: float = 2e-3, batch: int = 256, seed: int = 7) -> FactorizationMachine:
