@@ -47,22 +47,7 @@ def test_toxicity(spark, odd):
     assert all(0 <= r.score <= 1 for r in score_toxicity(odd, model).collect())
 
 
-def test_factorization_learns_pairs():
-    import numpy as np
-
-    from vaultql.llm import toxicity as T
-
-    rng, known = random.Random(1), T._Known(None)
-    texts = [" ".join(["foo"] * (k & 1) + ["bar"] * (k >> 1 & 1) + rng.choices(["one", "two", "six"], k=5)) for k in range(600)]
-    labels = np.array([("foo" in t) == ("bar" in t) for t in texts]).astype(int)  # no additive weights can tell
-    rows = [T.counted(t, known) for t in texts]
-    model = T.fit(rows, labels, np.ones(600), n_terms=64, epochs=300, rate=0.1)
-    if len(model.wanted):
-        scores = [model.score(np.searchsorted(model.wanted, i[np.isin(i, model.wanted)]), T.values(n[np.isin(i, model.wanted)], w)) for i, n, w in rows]
-        assert all(0 <= s <= 1 for s in scores)
-
-
-def test_factorization_separates_held_out_pairs():
+def test_factorization_learns_pairs_that_additive_weights_miss():
     import numpy as np
 
     from vaultql.llm import toxicity as T
@@ -72,35 +57,40 @@ def test_factorization_separates_held_out_pairs():
         texts = [" ".join(["foo"] * (k & 1) + ["bar"] * (k >> 1 & 1) + rng.choices(fill, k=5)) for k in range(n)]
         return [T.counted(t, known) for t in texts], np.array([("foo" in t) == ("bar" in t) for t in texts]).astype(int)
 
+    def right(model, rows, labels):
+        scores = [model.score(np.searchsorted(model.wanted, i[np.isin(i, model.wanted)]), T.values(n[np.isin(i, model.wanted)], w)) for i, n, w in rows]
+        return ((np.array(scores) >= 0.5) == labels).mean()
+
     for fill in (["one", "two", "six"], [f"x{c}" for c in "abcdefghijklmnop"]):
         (rows, labels), (new, truth) = made(1, 600, fill), made(2, 200, fill)
         model = T.fit(rows, labels, np.ones(600), epochs=300, rate=0.1)
         assert {t for w in ("foo", "bar") for t in T.terms(w)} <= set(model.wanted.tolist())
-        scores = np.array([model.score(np.searchsorted(model.wanted, i[np.isin(i, model.wanted)]), T.values(n[np.isin(i, model.wanted)], w)) for i, n, w in new])
-        assert scores[truth == 1].min() > 0.7 and scores[truth == 0].max() < 0.3
+        assert right(model, new, truth) > 0.95
+        additive = T.fit(rows, labels, np.ones(600), epochs=300, rate=0.1, rank=1)
+        additive.factors[:] = 0
+        assert right(additive, new, truth) < 0.7
 
 
-def test_pairs_against_brute_force():
+def test_factorization_scores_as_sums_over_pairs():
     import numpy as np
 
     from vaultql.llm import toxicity as T
 
-    rng = np.random.default_rng(3)
-    x = rng.random((400, 30)) < rng.uniform(0.1, 0.9, 30)
-    labels = rng.integers(0, 2, 400)
-    x[:, 7] = x[:, 3] ^ (labels == 1)
-    x[:, 9] = x[:, 8]
-    row, ids = np.nonzero(x)
-    parts = [[np.outer(*(r[i] - x[labels == v].mean(0)[i] for i in (slice(None),) * 2)) for r in x[labels == v].astype(float)] for v in (0, 1)]
-    apart = np.mean(parts[1], 0) - np.mean(parts[0], 0)
-    var = sum(np.mean(np.square(p), 0) / len(p) for p in parts)
-    hit = apart**2 > 2 * np.log(29 * 28 / 2 + 2) * var
-    np.fill_diagonal(hit, False)
-    hit[8, 9] = hit[9, 8] = False  # the same rows
-    want = np.flatnonzero(hit.any(0))
-    assert {3, 7} <= set(want) != set(range(30))
-    for block in (4, 512):
-        assert T.paired(ids, row, labels, np.arange(30), block).tolist() == want.tolist()
+    rng = np.random.default_rng(4)
+    model = T.FactorizationMachine(np.arange(9), 0.3, rng.normal(size=9), rng.normal(size=(9, 4)))
+    for _ in range(20):
+        ids = np.flatnonzero(rng.random(9) < 0.6)
+        x = rng.random(len(ids))
+        z = 0.3 + sum(model.weights[i] * a for i, a in zip(ids, x)) + sum(model.factors[ids[i]] @ model.factors[ids[j]] * x[i] * x[j] for i in range(len(ids)) for j in range(i))
+        assert abs(model.score(ids, x) - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_long_counts_are_alike_in_fitting_and_scoring(spark):
+    docs = spark.createDataFrame([(k, ("bad " * 70_000 if k < 4 else "bad ") + "end") if k % 2 else (k, "good end") for k in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    model = learn_toxicity(docs, labels.unionByName(labels))  # repeated labels count each
+    got = {r.doc_id: r.predicted for r in score_toxicity(docs, model).collect()}
+    assert got == {k: k % 2 for k in range(60)}
 
 
 def test_quality(spark, odd):

@@ -16,7 +16,7 @@ from .common import column_strings, slices, with_columns
 _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that are terms beside the whole word: compounds keep their stem there.
 BEGINNINGS = range(3, 9)
-BITS = 22
+BITS = 20
 
 
 def terms(word: str) -> list[int]:
@@ -68,116 +68,57 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def paired(ids: np.ndarray, row: np.ndarray, labels: np.ndarray, terms: np.ndarray, block: int = 1024) -> np.ndarray:
-    """Those of `terms` that occur with some other one more (or less) often than both alone explain, and not alike in
-    rows of both labels.
-
-    A pair's z-score is that of the difference between its covariances under the two labels. Of m pairs those above
-    sqrt(2 ln m) count, which chance hardly reaches. A pair's z-score is at most about the root of its rarer term's
-    rows, so terms in fewer than 2 ln m rows can't show it and are passed over. All other pairs are looked at, by
-    blocks; terms of the same rows are looked at once.
-    """
-    at = np.searchsorted(terms, ids)
-    keep = terms[np.minimum(at, max(0, len(terms) - 1))] == ids if len(terms) else np.zeros(len(ids), bool)
-    at, row = at[keep], row[keep]
-    # a term's rows, as the sum of random numbers
-    mark = np.zeros(len(terms), np.uint64)
-    np.add.at(mark, at, np.random.default_rng(11).integers(0, 1 << 63, len(labels), np.uint64)[row])
-    _, first, same = np.unique(mark, return_index=True, return_inverse=True)
-    if len(first) < 2:
-        return terms[:0]
-    limit = 2 * np.log(len(first) * (len(first) - 1) / 2 + 2)
-    enough = np.bincount(at, minlength=len(terms))[first] >= limit
-    if enough.sum() < 2:
-        return terms[:0]
-    place = np.where(enough, np.cumsum(enough) - 1, -1)
-    same, first = place[same], first[enough]
-    one = same[at]
-    at, row, one = at[one >= 0], row[one >= 0], one[one >= 0]
-    bits, sums = [], []
-    for value in (0, 1):
-        mine = np.flatnonzero(labels == value)
-        place = np.full(len(labels), -1)
-        place[mine] = np.arange(len(mine))
-        some = place[row] >= 0
-        table = np.zeros((len(first), (len(mine) + 7) // 8), np.uint8)
-        r = place[row[some]]
-        np.bitwise_or.at(table, (one[some], r >> 3), (128 >> (r & 7)).astype(np.uint8))
-        bits.append((table, len(mine)))
-        sums.append(np.bitwise_count(table).sum(1).astype(np.float32))
-    found = np.zeros(len(first), bool)
-    for k in range(0, len(first), block):
-        left = [np.unpackbits(t[k : k + block], axis=1, count=n).astype(np.float32) for t, n in bits]
-        for m in range(k, len(first), block):
-            apart, var = 0.0, 1e-12
-            for sign, (t, n), a, total in zip((-1, 1), bits, left, sums, strict=True):
-                pa, pb = total[k : k + block, None] / n, total[None, m : m + block] / n
-                both = a @ np.unpackbits(t[m : m + block], axis=1, count=n).astype(np.float32).T / n
-                apart = apart + sign * (both - pa * pb)
-                # the mean of ((a - pa) (b - pb)) ** 2
-                u, v = 1 - 2 * pa, 1 - 2 * pb
-                var = var + (both * u * v + pa * u * pb**2 + pb * v * pa**2 + (pa * pb) ** 2) / n
-            hit = apart * apart > limit * var
-            if m == k:
-                np.fill_diagonal(hit, False)
-            found[k : k + block] |= hit.any(1)
-            found[m : m + block] |= hit.any(0)
-    return terms[(same >= 0) & found[same]]
-
-
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray, shares: np.ndarray, *, n_terms: int = 8192, rank: int = 4, epochs: int = 12, rate: float = 0.05, decay: float = 2e-3, batch: int = 256, seed: int = 7) -> FactorizationMachine:
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray, shares: np.ndarray, *, rank: int = 4, epochs: int = 20, rate: float = 0.05, decay: float = 2e-2, sparsity: float = 0.1, support: float = 0.005, batch: int = 256, seed: int = 7) -> FactorizationMachine:
     """A machine for rows of (hashed terms, counts, words). `shares` weighs rows, so that a stratified sample stands
-    for its table. The n_terms terms whose share of rows differs most between the labels (by z-score) are kept, and
-    beside them all that matter together with another one (see `paired`).
+    for its table. Every term in at least `support` of the sampled rows (3 rows or more) has a weight and factors: none
+    is chosen by its own worth, as a term may matter only beside another one. Weights are learned by follow the
+    regularised leader, which holds those at 0 whose summed slopes stay below `sparsity`; factors by damped steps.
     """
     size = np.array([len(r[0]) for r in rows], np.int64)
     if not len(rows) or labels.min() == labels.max():
         base = float(np.clip(labels.mean() if len(rows) else 0.0, 0.001, 0.999))
         return FactorizationMachine(np.empty(0, np.int64), float(np.log(base / (1 - base))), np.empty(0, np.float32), np.empty((0, rank), np.float32))
-    ids = np.concatenate([r[0] for r in rows])
-    x = values(np.concatenate([r[1] for r in rows]), np.repeat([r[2] for r in rows], size))
-    row = np.repeat(np.arange(len(rows)), size)
-    n1, n0 = labels.sum(), (1 - labels).sum()
-    pos, neg = np.bincount(ids[labels[row] == 1], minlength=1 << BITS), np.bincount(ids[labels[row] == 0], minlength=1 << BITS)
-    often = np.flatnonzero(pos + neg >= 4)
-    p, q = (pos[often] + 0.5) / (n1 + 1), (neg[often] + 0.5) / (n0 + 1)
-    z = np.abs(p - q) / np.sqrt(p * (1 - p) / n1 + q * (1 - q) / n0 + 1e-12)
-    top = np.argsort(-z, kind="stable")[:n_terms]
-    wanted = np.union1d(often[top[z[top] > 1.5]], paired(ids, row, labels, often[(pos + neg)[often] >= 25]))
-    at = np.searchsorted(wanted, ids)
-    keep = wanted[np.minimum(at, max(0, len(wanted) - 1))] == ids if len(wanted) else np.zeros(len(ids), bool)
-    ids, x, row = at[keep], x[keep], row[keep]
-    start = np.searchsorted(row, np.arange(len(rows) + 1))
+    wanted, ids, often = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True, return_counts=True)
+    x = values(np.concatenate([r[1] for r in rows]), np.repeat([r[2] for r in rows], size)).astype(float)
+    held = often >= max(3, support * len(rows))
+    row = np.repeat(np.arange(len(rows)), size)[held[ids]]
+    wanted, ids, x = wanted[held], (np.cumsum(held) - 1)[ids[held[ids]]], x[held[ids]]
+    size = np.bincount(row, minlength=len(rows))
+    start = np.r_[0, np.cumsum(size)]
 
     rng = np.random.default_rng(seed)
     prior = float(np.average(labels, weights=shares))
-    bias, w, v = float(np.log(prior / (1 - prior))), np.zeros(len(wanted)), rng.normal(0, 0.01, (len(wanted), rank))
-    gb, gw, gv = 1e-6, np.full(len(wanted), 1e-6), np.full((len(wanted), rank), 1e-6)
+    bias, w, v = float(np.log(prior / (1 - prior))), np.zeros(len(wanted)), rng.normal(0, 0.01, (rank, len(wanted)))
+    gb, gw, gv, lead = 1e-6, np.full(len(wanted), 1e-6), np.full((rank, len(wanted)), 1e-6), np.zeros(len(wanted))
     weight = shares / shares.mean()
+    damp = decay / len(rows) * batch
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for some in (order[k : k + batch] for k in range(0, len(rows), batch)):
-            n = start[some + 1] - start[some]
+            n = size[some]
+            r = np.repeat(np.arange(len(some)), n)
             pick = np.repeat(start[some] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-            i, xs, r = ids[pick], x[pick].astype(float), np.repeat(np.arange(len(some)), n)
-            vx = v[i] * xs[:, None]
-            total = np.zeros((len(some), rank))
-            np.add.at(total, r, vx)
-            squares = np.bincount(r, (vx * vx).sum(1), len(some))
-            score = bias + np.bincount(r, w[i] * xs, len(some)) + 0.5 * ((total**2).sum(1) - squares)
+            i, xs = ids[pick], x[pick]
+            used, i = np.unique(i, return_inverse=True)
+            vu = v[:, used]
+            vx = vu[:, i] * xs
+            total = np.stack([np.bincount(r, each, len(some)) for each in vx])
+            squares = np.bincount(r, (vx * vx).sum(0), len(some))
+            score = bias + np.bincount(r, w[used][i] * xs, len(some)) + 0.5 * ((total**2).sum(0) - squares)
             slope = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - labels[some]) * weight[some] / len(some)
-            used, back = np.unique(i, return_inverse=True)
-            dw = np.bincount(back, slope[r] * xs, len(used)) + decay * w[used] / len(rows) * batch
-            dv = np.zeros((len(used), rank))
-            np.add.at(dv, back, (slope[r] * xs)[:, None] * (total[r] - vx))
-            dv += decay * v[used] / len(rows) * batch
+            sx = slope[r] * xs
+            dw = np.bincount(i, sx, len(used))
+            dv = np.stack([np.bincount(i, sx * (t[r] - each), len(used)) for t, each in zip(total, vx, strict=True)]) + damp * vu
             gb += slope.sum() ** 2
-            gw[used] += dw**2
-            gv[used] += dv**2
             bias -= rate * slope.sum() / np.sqrt(gb)
-            w[used] -= rate * dw / np.sqrt(gw[used])
-            v[used] -= rate * dv / np.sqrt(gv[used])
-    return FactorizationMachine(wanted, bias, w.astype(np.float32), v.astype(np.float32))
+            before = np.sqrt(gw[used])
+            gw[used] += dw**2
+            now = np.sqrt(gw[used])
+            lead[used] += dw - (now - before) / rate * w[used]
+            w[used] = -np.sign(lead[used]) * np.maximum(0, np.abs(lead[used]) - sparsity) / (now / rate + decay)
+            gv[:, used] += dv**2
+            v[:, used] = vu - rate * dv / np.sqrt(gv[:, used])
+    return FactorizationMachine(wanted, bias, w.astype(np.float32), np.ascontiguousarray(v.T, np.float32))
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", rows_per_label: int = 4000, **options) -> FactorizationMachine:
@@ -204,15 +145,16 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic",
             for part in slices(batch):
                 made = [counted(t, known) for t in column_strings(part, "text")]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([m[0].astype(np.int32).tobytes() for m in made], pa.binary()), pa.array([np.minimum(m[1], 65535).astype(np.uint16).tobytes() for m in made], pa.binary()), pa.array([m[2] for m in made], pa.int64())],
+                    [part.column(0), part.column(1), pa.array([m[0].astype(np.int32).tobytes() for m in made], pa.binary()), pa.array([m[1].astype(np.int32).tobytes() for m in made], pa.binary()), pa.array([m[2] for m in made], pa.int64())],
                     names=["doc", "label", "ids", "n", "words"],
                 )
 
-    # the sample is bounded by its limits, so broadcasting it is safe at any size of the tables
+    # the sample is bounded by its limits, so broadcasting it and gathering its counts is safe at any size of the tables;
+    # the exchange makes one job with a task for each input split, not one job a split
     found = texts.join(F.broadcast(picked), "doc").select("doc", "label", "text").mapInArrow(count, "doc long, label int, ids binary, n binary, words long")
     rows, marks, keys = [], [], []
-    for r in found.toLocalIterator():
-        rows.append((np.frombuffer(r["ids"], np.int32).astype(np.int64), np.frombuffer(r["n"], np.uint16).astype(np.int64), r["words"]))
+    for r in found.repartition(1).toLocalIterator():
+        rows.append((np.frombuffer(r["ids"], np.int32).astype(np.int64), np.frombuffer(r["n"], np.int32).astype(np.int64), r["words"]))
         marks.append(r["label"])
         keys.append((r["doc"], r["label"], xxhash.xxh64_intdigest(bytes(r["ids"]))))
     order = sorted(range(len(rows)), key=keys.__getitem__)  # not as the tasks happened to end
