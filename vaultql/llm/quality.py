@@ -170,9 +170,10 @@ def learn_quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality",
                 made = [np.array(features(t, compress)).tobytes() for t in column_strings(part, "text")]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, pa.binary())], names=["doc", "label", "x"])
 
-    # the sample is bounded by its limit, so broadcasting it is safe at any size of the tables
+    # the sample is bounded by its limit, so broadcasting it and gathering its features is safe at any size of the tables;
+    # the exchange makes one job with a task for each input split, not one job a split
     found = texts.join(F.broadcast(picked), "doc").select("doc", "label", "text").mapInArrow(measure, "doc long, label int, x binary")
-    got = sorted((r["doc"], r["label"], bytes(r["x"])) for r in found.toLocalIterator())
+    got = sorted((r["doc"], r["label"], bytes(r["x"])) for r in found.repartition(1).toLocalIterator())
     x = np.frombuffer(b"".join(g[2] for g in got)).reshape(-1, len(FEATURES))
     return fit(x, np.array([g[1] for g in got], float), **options)
 
