@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass
 
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column_strings, with_columns
@@ -53,27 +53,30 @@ class LanguageModel:
 def learn_languages(docs: DataFrame, *, lang: str = "lang", text: str = "text", order: Column | None = None, dictionary_bytes: int = 192 << 10, passage: int = 600) -> LanguageModel:
     """Dictionaries from a bounded sample of the rows of `docs` whose lang and text are not null.
 
-    Each language gives passages of `passage` characters, one of a row, up to `dictionary_bytes` bytes. Rows are taken
-    by the hash `order` (default: of the text), so the sample doesn't depend on how rows are dealt out. No more than
-    twice the rows that are needed reach the driver, whatever the size of the table. Equal passages count once.
+    Each language gives passages of `passage` characters, one of a different text each, up to `dictionary_bytes` bytes.
+    Texts are taken by the hash `order` (default: of the text), so the sample doesn't depend on how rows are dealt out.
+    A language's share of hashes follows from its number of different texts, and copies fall together before they leave
+    their task, so a text that repeats counts once however often it does. No more than `wanted` rows of a language (twice
+    what its dictionary needs, and 100) reach the driver, whatever the size of the table.
 
     A table without such rows gives a model without languages, under which every text is `und`.
     """
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
-    counted = rows.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()
+    key = F.xxhash64(text) if order is None else order
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), key.alias("at"))
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("at").alias("different")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1).collect()
     if len(counted) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counted:
         return LanguageModel({})
     wanted = 2 * max(1, dictionary_bytes // passage) + 100
-    share = F.create_map(*[F.lit(x) for r in counted for x in (r["lang"], min(1.0, wanted / r["count"]))])
-    key = F.xxhash64(text) if order is None else order
-    rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), key.alias("at"))
+    # a fifth more than wanted, as the number of different texts is known to a few per cent
+    share = F.create_map(*[F.lit(x) for r in counted for x in (r["lang"], min(1.0, 1.2 * wanted / max(1, r["different"])))])
     rows = rows.where(F.pmod("at", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
     start = F.pmod(F.shiftrightunsigned("at", 32), F.greatest(F.length("text") - passage, F.lit(0)) + 1) + 1
-    rows = rows.select("lang", "at", F.expr("text").substr(start.cast("int"), F.lit(passage)).alias("part"))
+    rows = rows.groupBy("lang", "at").agg(F.min(F.col("text").substr(start.cast("int"), F.lit(passage))).alias("part"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("at"))  # over a bounded sample by now
     parts: dict[str, list[str]] = {r["lang"]: [] for r in counted}
-    for row in rows.orderBy("lang", "at", "part").toLocalIterator():
+    for row in rows.withColumn("rank", rank).where(F.col("rank") <= wanted).orderBy("lang", "at").toLocalIterator():
         parts[row["lang"]].append(letters(row["part"]))
     return LanguageModel({name: " ".join(dict.fromkeys(p for p in found if p)).encode()[:dictionary_bytes] or b" " for name, found in parts.items()})
 
