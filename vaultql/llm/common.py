@@ -22,9 +22,13 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a folder of this run's own only where it is unset."""
+    """The session's spark.checkpoint.dir. Where it is unset a local session gets a folder of its own; a cluster, whose
+    machines don't share local folders, gets an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="vaultql-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -34,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: cuts lineage and survives lost executors.
 
-    The table goes when this Python process ends.
+    The table goes with `discard`, or when this Python process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vaultql-{uuid.uuid4().hex}/{name}"
@@ -45,7 +49,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(_CLEANUP, before)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._vq_path = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made, once all that was planned on them has been written in turn."""
+    for t in tables:
+        _remove(t.sparkSession, t._vq_path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -130,7 +142,7 @@ def blank_words(text: bytes | None) -> list[bytes]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that each node of edges(a, b) reaches.
+    """(node, component), a written table: the smallest node that each node of edges(a, b) reaches.
 
     Alternates large-star and small-star steps, which only group by a node and join to its minimum: no group is
     ever gathered, and the edges never outgrow the input. Every round is written to the shared folder.
@@ -144,8 +156,11 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(low, "a").selectExpr("b AS a", "low AS b").where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").selectExpr("b AS a", "low AS b").unionByName(low.selectExpr("a", "low AS b"))
-        now = written(small.where("a <> b").distinct(), "edges")
-    return now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
+        old, now = now, written(small.where("a <> b").distinct(), "edges")
+        discard(old)
+    made = written(now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node"), "components")
+    discard(now)
+    return made
 
 
 def _fingerprint(edges: DataFrame) -> tuple:

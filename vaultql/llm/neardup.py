@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank_words, column_bytes, components, slices, written
+from .common import blank_words, column_bytes, components, discard, slices, written
 
 #: A signature has CHUNKS chunks of WIDTH values of BITS bits. Two signatures that differ in at most 2 * CHUNKS - 1
 #: values have, by pigeonhole, a chunk with one error at most.
@@ -119,10 +119,13 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, size: int = 5, doc_id
         return member.join(some, "key", "left_semi")
 
     best = shared.where("node <> pivot").groupBy(F.col("node").alias("a")).agg(F.min("pivot").alias("b"))
-    compared, apart, most = written(_confirmed(best, texts, size), "star"), shared, 4 * nodes.count()
+    compared, apart, label, most = _confirmed(best, texts, size), shared, None, 4 * nodes.count()
     while True:
-        label = written(components(linked(compared).unionByName(again)), "label")
-        apart = written(split(apart.drop("component")), "apart")
+        if label is not None:
+            discard(label)
+        label = components(linked(compared).unionByName(again))
+        old, apart = apart, written(split(apart.drop("component")), "apart")
+        discard(old)
         ends = label.select(F.col("node").alias("pivot"), F.col("component").alias("of_pivot"))
         more = apart.where("node <> pivot").join(ends, "pivot", "left").where(F.col("component") != F.coalesce("of_pivot", "pivot"))
         more = more.groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.lit(1)).select("a", "b").join(compared.select("a", "b"), ["a", "b"], "left_anti")
@@ -131,14 +134,16 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, size: int = 5, doc_id
         n = more.count()
         if not n:
             break
-        if n > max(most, 100_000):  # one pivot a class each round, until few pairs are left
-            more = more.groupBy("a").agg(F.min("b").alias("b"))
-        compared = written(compared.unionByName(_confirmed(more, texts, size)), "compared")
+        # one pivot a class each round, until few pairs are left
+        some = more.groupBy("a").agg(F.min("b").alias("b")) if n > max(most, 100_000) else more
+        compared = compared.unionByName(_confirmed(some, texts, size))
+        discard(more)
 
     left = written(split(apart.where("node <> pivot").drop("component")).select("key", "node", "pivot", "component", "left_out"), "left")
     rest = _through_pivots(left, texts, size, percent)
     if not rest.isEmpty():
         label = components(linked(compared).unionByName(again).unionByName(linked(_confirmed(rest, texts, size))))
+    discard(apart, left)
 
     ends = nodes.select("digest", "node").join(label, "node", "left").select("digest", F.col("node").alias("class_id"), F.coalesce("component", "node").alias("component_id"))
     some = full.join(ends, "digest").select("doc_id", "n_shingles", "class_id", "component_id")
@@ -177,12 +182,6 @@ def _keys(batches):
             yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "left_out"])
 
 
-def _held(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The texts of some nodes. Up to MOST_BROADCAST ids go to all executors; beyond that the texts are shuffled once."""
-    nodes = written(nodes, "needed")
-    return texts.join(F.broadcast(nodes) if nodes.count() <= MOST_BROADCAST else nodes, "node", "left_semi")
-
-
 def _through_pivots(left: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b): pairs of left's nodes, in different components, that may be linked, judged by their common pivot.
 
@@ -190,11 +189,12 @@ def _through_pivots(left: DataFrame, texts: DataFrame, size: int, percent: int)
     share. So either the parts within P suffice for a link, which sizes tell, or the parts outside P must share a
     shingle: then only the rarest of those have to meet, as many as leave too few for a link (prefix filter).
     """
-    parts = _confirmed(left.select("node", "pivot").distinct(), texts, size, outside=True)
-    parts = written(parts.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "base", "n_both", "n_a", "outside", F.xxhash64("outside").alias("part")), "parts")
+    first = _confirmed(left.select("node", "pivot").distinct(), texts, size, outside=True)
+    parts = written(first.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "base", "n_both", "n_a", "outside", F.xxhash64("outside").alias("part")), "parts")
     lows = written(parts.groupBy("base").agg(F.min("n_a").alias("low")), "lows")  # few: one a pivot
     own = left.select("node", "component").distinct()
-    parts = written(parts.join(lows, "base").join(own, "node"), "parts")
+    old, parts = parts, written(parts.join(lows, "base").join(own, "node"), "parts")
+    discard(first, old)
     needs = lambda n, other: F.ceil(percent * (n + other) / (100 + percent) - 1e-9)  # noqa: E731  in common, for a link
 
     within = parts.where(F.col("n_both") >= needs(F.col("n_a"), F.col("low"))).select("node", "pivot", "base", "n_both", "n_a")
@@ -217,16 +217,20 @@ def _through_pivots(left: DataFrame, texts: DataFrame, size: int, percent: int)
     enough = F.least("x.n_both", "y.n_both") + F.least("x.n_shared", "y.n_shared") >= needs(F.col("x.n_a"), F.col("y.n_a"))
     by_shingle = x.join(y, (F.col("x.base") == F.col("y.base")) & (F.col("x.shingle") == F.col("y.shingle")) & apart & enough)
     pair = lambda found: found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    return written(pair(by_size).unionByName(pair(by_shingle)).distinct(), "rest")
+    made = written(pair(by_size).unionByName(pair(by_shingle)).distinct(), "rest")
+    discard(parts, lows, within, often, some)
+    return made
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, outside: bool = False) -> DataFrame:
-    """(a, b, n_both, n_any): what the shingle sets of each pair's texts have in common and together.
+    """(a, b, n_both, n_any), a written table: what the shingle sets of each pair's texts have in common and together.
 
-    With `outside` also n_a, the size of a's set, its shingles that b lacks, and `base`, a hash of b's set.
+    The texts that are needed are found by their ids: up to MOST_BROADCAST of those go to all executors, beyond that
+    the texts are shuffled once. With `outside` also n_a, the size of a's set, its shingles that b lacks, and `base`, a hash of b's set.
     """
     pairs = written(pairs.select("a", "b") if not outside else pairs.toDF("a", "b"), "pairs")
-    texts = _held(texts, pairs.selectExpr("explode(array(a, b)) AS node").distinct())
+    needed = written(pairs.selectExpr("explode(array(a, b)) AS node").distinct(), "needed")
+    texts = texts.join(F.broadcast(needed) if needed.count() <= MOST_BROADCAST else needed, "node", "left_semi")
     both = pairs.join(texts.selectExpr("node AS a", "text AS text_a"), "a").join(texts.selectExpr("node AS b", "text AS text_b"), "b")
     fields = [("a", pa.int64()), ("b", pa.int64()), ("n_both", pa.int64()), ("n_any", pa.int64())]
     if outside:
@@ -249,4 +253,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, outside: bool = Fa
                 columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
                 yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, (_, t) in zip(columns, fields, strict=True)], names=[name for name, _ in fields])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, n_both long, n_any long" + ", n_a long, base long, outside array<long>" * outside)
+    made = both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, n_both long, n_any long" + ", n_a long, base long, outside array<long>" * outside)
+    made = written(made, "compared")
+    discard(pairs, needed)
+    return made
