@@ -95,7 +95,9 @@ def test_remove_repeats(spark, seed):
 def test_decontaminate(spark, block):
     rows, passage = corpus(3)
     items = [(1, passage[0]), (2, passage[1][:60]), (3, "b"), (4, None), (5, "!!"), (None, passage[2]), (2, passage[3]), (7, rows[4][1])]
-    got = decontaminate(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block).collect()
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'kept' AS hit_items", "'gone' AS hits")
+    got = decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"), block_bytes=block).collect()
+    assert {r.hit_items for r in got} == {"kept"} and all(r.hits != "gone" for r in got)
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = lambda t: word.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
     windows = [(i, tuple(w[k : k + 13])) for i, t in items if i is not None for w in [low(t)] for k in range(max(1, len(w) - 12) if w else 0)]

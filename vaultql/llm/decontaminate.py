@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from .common import alnum_words, column_bytes, with_columns
 
-#: Bytes of item text that one broadcast may hold; more items go in further blocks.
-BLOCK_BYTES = 16 << 20
+#: Bytes of item text that one broadcast may hold; more items go in further blocks. A block's arrays and vocabulary
+#: take about 15 times as much.
+BLOCK_BYTES = 4 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: What one block's pass hands to the next.
+_SPANS, _ITEMS = "_vq_spans", "_vq_items"
 
 
 def decontaminate(
@@ -31,7 +34,8 @@ def decontaminate(
     is held at once doesn't grow with the benchmark.
 
     Edge cases: a null or empty text has no words and is clean. Items without an id or without words have no windows.
-    Rows that repeat an item id count as one item; repeated documents get a row each.
+    Rows that repeat an item id count as one item; repeated documents get a row each. Columns of docs with the names
+    above give way; `_vq_spans` and `_vq_items` are this operator's own.
     """
     spark = docs.sparkSession
     items = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull())
@@ -42,52 +46,102 @@ def decontaminate(
         block = items.where(F.pmod(F.xxhash64(item_id, item_text), F.lit(n)) == k)
         rows = [(str(i), alnum_words(t.encode())) for i, t in block.select(item_id, item_text).toLocalIterator()]
         model = _Windows(rows, window, shingle)
-        model.order_by(_rarity(docs, model, text))
+        model.order_by(*_rarity(docs, model, text))
         out = _marked(out, spark.sparkContext.broadcast(model), text, percent, first=k == 0, last=k == n - 1, keep=keep)
     return out
 
 
 class _Windows:
-    """The distinct windows of a block of items, as word numbers, and a lookup from prefix shingles to them."""
+    """The windows of a block of items in flat arrays, and a lookup from prefix shingles to them.
+
+    `flat` has the items' words as numbers, one item after another. Window k is flat[start[k] : start[k] + length[k]];
+    equal windows are one, held by the items owner[first_owner[k] : first_owner[k + 1]]. About 50 bytes a window.
+    """
 
     def __init__(self, rows: list[tuple[str, list[bytes]]], window: int, shingle: int):
         self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
-        for item, words in rows:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
-            for at in range(max(1, len(ids) - window + 1) if ids else 0):
-                owners.setdefault(tuple(ids[at : at + window]), set()).add(item)
-        self.windows = [np.array(w, np.int64) for w in owners]
-        self.owners = [sorted(o) for o in owners.values()]
-        self.sizes = sorted({min(shingle, len(w)) for w in self.windows})
-        self.size_of = [min(shingle, len(w)) for w in self.windows]
-        self.all_keys = {s: np.unique(np.concatenate([shingles(w, s) for w, t in zip(self.windows, self.size_of, strict=True) if t == s])) for s in self.sizes}
-        self.prefix: dict[int, tuple[np.ndarray, dict[int, list[tuple[int, int]]]]] = {}
-
-    def order_by(self, counts: dict[int, int]) -> None:
-        """Choose each window's rarest shingle; of equally rare ones the first."""
-        chosen: dict[int, dict[int, list[tuple[int, int]]]] = {s: {} for s in self.sizes}
-        for k, (w, s) in enumerate(zip(self.windows, self.size_of, strict=True)):
-            keys = shingles(w, s).tolist()
-            at = min(range(len(keys)), key=lambda i: (counts.get(keys[i], 0), i))
-            chosen[s].setdefault(keys[at], []).append((k, at))
-        self.prefix = {s: (np.array(sorted(c), np.uint64), c) for s, c in chosen.items()}
+        self.items = sorted({i for i, words in rows if words})
+        number = {i: k for k, i in enumerate(self.items)}
+        rows = [(number[i], words) for i, words in rows if words]
+        flat = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for _, words in rows for w in words]
+        self.flat, self.shingle = np.array(flat, np.int32), shingle
+        size = np.array([len(words) for _, words in rows], np.int64)
+        n = np.maximum(1, size - window + 1)
+        begin = np.r_[0, np.cumsum(size)[:-1]] if len(size) else size
+        start = np.repeat(begin - np.r_[0, np.cumsum(n)[:-1]] if len(n) else n, n) + np.arange(n.sum())
+        length = np.repeat(np.minimum(size, window), n)
+        owner = np.repeat(np.array([i for i, _ in rows], np.int64), n)
+        # equal windows come together by a hash of their words; each is compared with the one before it word by word
+        mixed = np.zeros(len(start), np.uint64)
+        for j in range(window):
+            mixed = (mixed ^ np.where(j < length, self._word(start + j), 0).astype(np.uint64)) * _MIX
+            mixed ^= mixed >> np.uint64(29)
+        order = np.lexsort((owner, mixed))
+        start, length, owner, mixed = start[order], length[order], owner[order], mixed[order]
+        same = np.r_[False, (mixed[1:] == mixed[:-1]) & (length[1:] == length[:-1])] if len(mixed) else np.empty(0, bool)
+        for j in range(window):
+            here = np.where(j < length, self._word(start + j), 0)
+            same[1:] &= here[1:] == here[:-1]
+        again = same & np.r_[False, owner[1:] == owner[:-1]] if len(mixed) else same
+        self.owner = owner[~again]
+        self.first_owner = np.r_[np.flatnonzero(~same[~again]), len(self.owner)]
+        self.start, self.length = start[~same], length[~same]
+        self.sizes = sorted({min(shingle, int(n)) for n in np.unique(self.length)})
+        self.keys = {s: shingles(self.flat, s) for s in self.sizes}  # by place in flat; those across items are never asked for
+        self.all_keys = {s: np.unique(self.keys[s][self._places(s)]) for s in self.sizes}
+        self.prefix: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def _word(self, at: np.ndarray) -> np.ndarray:
+        return self.flat[np.minimum(at, len(self.flat) - 1)]
+
+    def _of_size(self, s: int) -> np.ndarray:
+        return np.flatnonzero(np.minimum(self.length, self.shingle) == s)
+
+    def _places(self, s: int) -> np.ndarray:
+        """The places of flat where a shingle of a window begins."""
+        found = np.zeros(len(self.flat) + 1, np.int32)
+        some = self._of_size(s)
+        np.add.at(found, self.start[some], 1)
+        np.subtract.at(found, self.start[some] + self.length[some] - s + 1, 1)
+        return np.flatnonzero(np.cumsum(found[:-1])[: len(self.keys[s])] > 0)
+
+    def order_by(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """Choose each window's rarest shingle; of equally rare ones the first. `keys` are sorted."""
+        for s in self.sizes:
+            some, held = self._of_size(s), self.keys[s]
+            at = np.minimum(np.searchsorted(keys, held), max(0, len(keys) - 1))
+            often = np.where(keys[at] == held, counts[at], 0) if len(keys) else np.zeros(len(held), np.int64)
+            best, low = np.zeros(len(some), np.int64), np.full(len(some), np.iinfo(np.int64).max)
+            for j in range(int(self.length[some].max()) - s + 1):
+                here = np.where(j <= self.length[some] - s, often[np.minimum(self.start[some] + j, len(held) - 1)], np.iinfo(np.int64).max)
+                best, low = np.where(here < low, j, best), np.minimum(low, here)
+            chosen = held[self.start[some] + best]
+            order = np.argsort(chosen, kind="stable")
+            distinct, first = np.unique(chosen[order], return_index=True)
+            self.prefix[s] = (distinct, np.r_[first, len(order)], some[order], best[order])
+        self.keys, self.all_keys = {}, {}
 
     def numbered(self, words: list[bytes]) -> np.ndarray:
         find = self.vocabulary.get
         return np.array([find(w, 0) for w in words], np.int64)
 
+    def names(self, window: int) -> list[str]:
+        return [self.items[i] for i in self.owner[self.first_owner[window] : self.first_owner[window + 1]].tolist()]
+
     def occurrences(self, ids: np.ndarray):
-        """(window, start) of each place where a window occurs."""
-        for s, (keys, where) in self.prefix.items():
+        """(window, start, end) of each place where a window occurs."""
+        for s, (keys, first, windows, offsets) in self.prefix.items():
             if len(ids) < s:
                 continue
             made = shingles(ids, s)
-            for at in np.flatnonzero(within(made, keys)).tolist():
-                for k, offset in where[int(made[at])]:
-                    w, start = self.windows[k], at - offset
-                    if start >= 0 and start + len(w) <= len(ids) and np.array_equal(ids[start : start + len(w)], w):
-                        yield k, start
+            hits = np.flatnonzero(within(made, keys))
+            which = np.searchsorted(keys, made[hits])
+            for at, k in zip(hits.tolist(), which.tolist(), strict=True):
+                for m in range(first[k], first[k + 1]):
+                    window, start = int(windows[m]), at - int(offsets[m])
+                    begin, n = self.start[window], self.length[window]
+                    if start >= 0 and start + n <= len(ids) and np.array_equal(ids[start : start + n], self.flat[begin : begin + n]):
+                        yield window, start, start + int(n)
 
 
 def shingles(ids: np.ndarray, size: int) -> np.ndarray:
@@ -109,8 +163,8 @@ def within(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return keys[np.minimum(np.searchsorted(keys, values), len(keys) - 1)] == values
 
 
-def _rarity(docs: DataFrame, model: _Windows, text: str) -> dict[int, int]:
-    """How often the documents hold each shingle of the block; the answer is as large as the block at most."""
+def _rarity(docs: DataFrame, model: _Windows, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """How often the documents hold each shingle of the block, by sorted keys; as large as the block at most."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def count(batches):
@@ -129,10 +183,12 @@ def _rarity(docs: DataFrame, model: _Windows, text: str) -> dict[int, int]:
             some = totals[s] > 0
             yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(totals[s][some])], names=["key", "n"])
 
-    if not model.windows:
-        return {}
-    counted = docs.select(text).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return {int(np.int64(k).view(np.uint64)): n for k, n in counted.collect()}
+    if not len(model.start):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    counted = docs.select(text).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    keys, n = (counted.column(c).to_numpy() for c in ("key", "n"))
+    order = np.argsort(keys.view(np.uint64))
+    return keys.view(np.uint64)[order], n[order]
 
 
 def _marked(docs: DataFrame, held, text: str, percent: int, *, first: bool, last: bool, keep: list[str] | None) -> DataFrame:
@@ -140,17 +196,16 @@ def _marked(docs: DataFrame, held, text: str, percent: int, *, first: bool, last
         model = held.value
 
         def make(batch):
-            spans = [[]] * batch.num_rows if first else batch.column(batch.schema.get_field_index("hits")).to_pylist()
-            found = [[]] * batch.num_rows if first else batch.column(batch.schema.get_field_index("hit_items")).to_pylist()
+            spans, found = ([[]] * batch.num_rows if first else batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (_SPANS, _ITEMS))
             rows = []
             for raw, old, had in zip(column_bytes(batch, text), spans, found, strict=True):
                 words = alnum_words(raw)
                 ids, items = model.numbered(words), set(had)
                 new = list(zip(old[::2], old[1::2], strict=True))
                 if ids.any():
-                    for k, start in model.occurrences(ids):
-                        items.update(model.owners[k])
-                        new.append((start, start + len(model.windows[k])))
+                    for k, start, end in model.occurrences(ids):
+                        items.update(model.names(k))
+                        new.append((start, end))
                 merged: list[int] = []
                 for start, end in sorted(new):
                     if merged and start <= merged[-1]:
@@ -169,9 +224,7 @@ def _marked(docs: DataFrame, held, text: str, percent: int, *, first: bool, last
 
         return make
 
-    some = [("hits", "array<int>"), ("hit_items", "array<string>")]
     fields = [("n_words", "long"), ("n_hit", "long"), ("n_items", "long"), ("items_sha256", "string"), ("hits", "array<int>"), ("contaminated", "boolean")]
     if not last:
-        return with_columns(docs, some, task)
-    kept = [c for c in docs.columns if c != "hit_items" or first] if keep is None else keep
-    return with_columns(docs, fields, task, kept)
+        return with_columns(docs, [(_SPANS, "array<int>"), (_ITEMS, "array<string>")], task)
+    return with_columns(docs, fields, task, [c for c in docs.columns if c not in (_SPANS, _ITEMS)] if keep is None else keep)
