@@ -4,8 +4,10 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
+from vaultql.llm import substrings
 from vaultql.llm.decontaminate import decontaminate
 from vaultql.llm.neardup import near_duplicates
 from vaultql.llm.substrings import remove_repeats
@@ -67,10 +69,32 @@ def test_near_duplicates(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_remove_repeats(spark, seed):
+def test_triggers_of_long_texts_are_those_of_short_ones(monkeypatch):
+    rng = np.random.default_rng(5)
+    values = rng.integers(0, 40, 5000, np.uint64) << np.uint64(7) | rng.integers(0, 128, 5000, np.uint64)  # ties above, none below
+    monkeypatch.setattr(substrings, "_BITS", 8)
+    got = substrings._leftmost_least(values, 31)
+    high = values >> np.uint64(8)
+    assert got.tolist() == [k + int(high[k : k + 31].argmin()) for k in range(5000 - 30)]
+
+
+def test_a_long_text_shares_a_passage_with_a_short_one(spark):
+    rng = random.Random(4)
+    passage = "".join(rng.choices("abcdefgh ", k=300))
+    long = "".join(rng.choices("ijklmnop", k=4096)) + "".join(map(str, range(2_900_000))) + passage + "!"
+    assert len(long) > 1 << 24
+    rows = [(1, long), (2, "<" * 60 + passage + ">"), (3, passage)]
+    got = {r.doc_id: r for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), keep=["doc_id"]).collect()}
+    assert (got[1].n_removed, got[2].n_removed, got[2].n_spans, got[3].n_removed) == (0, 300, 1, 300)
+
+
+@pytest.mark.parametrize("seed, hot, chunk", [(1, 10_000, 1 << 20), (2, 10_000, 300), (2, 1, 40)])
+def test_remove_repeats(spark, seed, hot, chunk, monkeypatch):
+    monkeypatch.setattr(substrings, "CHUNK", chunk)  # goes to the tasks with the functions
     rows, _ = corpus(seed)
-    got = remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3).selectExpr("*", "1 AS _vq_phrases", "'x' AS doc")
+    got = remove_repeats(docs, hot_rows=hot).collect()
+    assert {r.doc for r in got} == {"x"}
     first = {}
     raws = [(i, (t or "").encode()) for i, t, *_ in rows]
     for i, b in raws:

@@ -1,8 +1,9 @@
 """Exact removal of repeated substrings by prefix-free parsing.
 
 The corpus is parsed into overlapping phrases at triggers of a rolling hash. Equal phrases collapse into a dictionary
-entry, and only dictionary phrases that share their trigger with a different phrase have their suffixes sorted, cut
-at the match length: a suffix order that long is all that matches of that length need.
+entry. The parse orders a phrase's documents; the suffixes of the dictionary's phrases are sorted by their bytes, trigger
+by trigger and cut at the match length, as an order that deep is all that matches of that length need. Suffix order and
+parse together give the documents of every match in order.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,12 +24,17 @@ TRIGGER = 20
 _P = 0x5851F42D4C957F2D
 _M = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 24  # for positions beside a hash
+#: Rows that a task combines at a time.
+CHUNK = 1 << 20
+#: A trigger with fewer open phrases isn't a hot one.
+HOT_ROWS = 10_000
 
 
 @lru_cache(1)
-def _tables() -> tuple[np.ndarray, int]:
+def _tables() -> tuple[np.ndarray, int, np.ndarray]:
     rng = np.random.default_rng(11)
-    return rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1), pow(_P, -1, 1 << 64)
+    odd = lambda: rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+    return odd(), pow(_P, -1, 1 << 64), odd()
 
 
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -51,7 +58,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 class Parsed:
     """A text's phrases. Phrase i owns the match starts [start[i], stop[i]) and reaches `length` - 1 bytes further."""
 
-    def __init__(self, raw: bytes, length: int, trigger: int = TRIGGER):
+    def __init__(self, raw: bytes, length: int, trigger: int = TRIGGER, names: bool = False):
         self.n = len(raw) - length + 1
         byte, (up, down) = np.frombuffer(raw, np.uint8), _powers(len(raw) + 1)
         self._sum = np.zeros(len(raw) + 1, np.uint64)
@@ -66,6 +73,10 @@ class Parsed:
         end = self.stop + length - 1
         whole = (self._sum[end] - self._sum[self.start]) * self._down[self.start]
         self.phrase = _mixed(whole + _M * (end - self.start).astype(np.uint64)).view(np.int64)
+        if names:  # a second hash of the phrases, from another table of bytes
+            other = np.zeros(len(raw) + 1, np.uint64)
+            np.cumsum(_tables()[2][byte] * up[:-1], out=other[1:])
+            self.name = _mixed((other[end] - other[self.start]) * down[self.start]).view(np.int64)
 
     def grams(self, size: int) -> np.ndarray:
         """The rolling hash of each run of `size` bytes."""
@@ -76,10 +87,19 @@ class Parsed:
         return _mixed(self.grams(self._length)).view(np.int64)
 
 
+def _match_hashes(rows: np.ndarray) -> np.ndarray:
+    """What `Parsed.matches` gives for the same bytes."""
+    return _mixed((_tables()[0][rows] * _powers(rows.shape[1] + 1)[0][:-1]).sum(1, dtype=np.uint64)).view(np.int64)
+
+
 def _leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
-    """The place of the least value in each run of `width` values, the leftmost of equal ones."""
-    if len(values) >= 1 << _BITS:
-        return np.lib.stride_tricks.sliding_window_view(values, width).argmin(1) + np.arange(len(values) - width + 1)
+    """The place of the least value in each run of `width` values, by their upper bits, the leftmost of equal ones.
+
+    Long texts go by overlapping blocks, whose places fit beside the bits; the order is the same in all.
+    """
+    block, n = (1 << _BITS) - width, len(values) - width + 1
+    if n > block:
+        return np.concatenate([_leftmost_least(values[at : at + block + width - 1], width) + at for at in range(0, n, block)])
     mask = np.uint64((1 << _BITS) - 1)
     least, have = values & ~mask | np.arange(len(values), dtype=np.uint64), 1
     while have < width:
@@ -88,34 +108,47 @@ def _leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
     return (least & mask).astype(np.int64)
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 50, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = 50, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans, removed ([start, end, ...]), kept_text (bytes) and kept_sha256.
 
     A byte goes if a run of `length` bytes that covers it also starts in a document with a smaller id. Runs are
     judged on the input, and never cross documents.
 
-    1. Parse: one row for each phrase (trigger, phrase, doc), dealt out by trigger and sorted there. Reading in order,
-       a phrase seen before in a smaller document is a repeat as a whole. A dictionary phrase (a first one) whose
-       trigger also heads another phrase is open.
-    2. Suffixes: open phrases, a few per cent of the text, give a row for each match start (trigger, match, doc),
-       sorted the same way; a match seen before in a smaller document is a repeat.
+    1. Parse: each text is cut at triggers, the least rolling hashes within a match's reach, into phrases that overlap
+       by length - 1 bytes, so every match lies within one phrase and has its trigger. One row for each phrase (trigger,
+       phrase, doc), dealt out by trigger and sorted there by phrase name and document: the parse. Reading in order, a
+       phrase seen before in a smaller document is a repeat as a whole. A dictionary phrase (a first one) whose trigger
+       also heads another phrase is open; all others have no suffix in common with any other phrase.
+    2. Dictionary: the bytes of open phrases, a few per cent of the text, meet by trigger. Their suffixes, cut at `length`
+       bytes, are sorted by their bytes: a suffix array of the trigger's part of the dictionary, as deep as matches need.
+       Equal ones follow each other, by document; one that a smaller document has is a repeat.
     3. Both lists meet the texts again by doc, which drop the bytes.
-    Both sorts are Spark's and spill; what reads them holds a batch and the last key only, however many rows a key has.
+    All sorts are Spark's and spill; what reads them holds a batch and the last key only, however many rows a key has.
+    Phrases are told apart by 128 bits of hashes, matches by their bytes. A trigger with more than HOT_ROWS open phrases and
+    a thousandth of all (so at most a thousand triggers) has its matches dealt out one by one.
 
     Edge cases: a null text is empty; texts shorter than `length` are whole. A row without id repeats nothing and
-    is repeated by nothing. Rows with one id are the same document: they don't remove each other's bytes.
+    is repeated by nothing. Rows with one id are the same document: they don't remove each other's bytes. Columns named
+    like the new ones, `_vq_phrases` or `_vq_matches` give way. Ids are whole numbers.
     """
     known = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    parsed = known.mapInArrow(_phrases(length), "trigger long, item long, doc long")
-    found = written(_in_order(parsed).mapInArrow(_repeats(True), "doc long, trigger long, item long, whole boolean"), "phrases")
-
-    opened = found.where("NOT whole").groupBy("doc").agg(F.collect_set("item").alias("open"))
-    suffixes = known.join(opened, "doc").select("doc", "text", "open").mapInArrow(_suffixes(length), "trigger long, item long, doc long")
-    matched = written(_in_order(suffixes).mapInArrow(_repeats(False), "doc long, trigger long, item long, whole boolean"), "matches")
-
-    lists = found.where("whole").selectExpr("doc", "item AS phrase", "CAST(NULL AS long) AS match").unionByName(matched.selectExpr("doc", "CAST(NULL AS long) AS phrase", "item AS match"))
-    lists = lists.groupBy("doc").agg(F.collect_set("phrase").alias("_phrases"), F.collect_set("match").alias("_matches"))
-    joined = docs.join(lists, docs[doc_id].cast("long") == lists["doc"], "left").drop(lists["doc"])
+    parsed = known.mapInArrow(_phrases(length), "dealt long, item long, name long, doc long, known boolean")
+    parsed = parsed.repartition("dealt").sortWithinPartitions("dealt", "item", "name", "doc")
+    found = written(parsed.mapInArrow(_repeats, "doc long, item long, trigger long, whole boolean"), "phrases")
+
+    open_phrases = found.where("NOT whole")
+    counted = open_phrases.groupBy("trigger").count()
+    limit = max(hot_rows, open_phrases.count() // 1000)
+    hot = np.array([r["trigger"] for r in counted.where(F.col("count") > limit).select("trigger").collect()], np.int64)  # 1000 at most
+    opened = open_phrases.groupBy("doc").agg(F.collect_set("item").alias("open"))
+    dictionary = known.join(opened, "doc").select("doc", "text", "open").mapInArrow(_dictionary(length, hot), "dealt long, phrase binary, doc long, known boolean")
+    suffixes = dictionary.repartition("dealt").mapInArrow(_suffixes(length), "suffix binary, doc long, known boolean").sortWithinPartitions("suffix", "doc")
+    matched = written(suffixes.mapInArrow(_equal_suffixes(length), "doc long, match long"), "matches")
+
+    lists = found.where("whole").selectExpr("doc AS _vq_doc", "item AS phrase", "CAST(NULL AS long) AS match").unionByName(matched.selectExpr("doc AS _vq_doc", "CAST(NULL AS long) AS phrase", "match"))
+    lists = lists.groupBy("_vq_doc").agg(F.collect_set("phrase").alias("_vq_phrases"), F.collect_set("match").alias("_vq_matches"))
+    docs = docs.drop("_vq_phrases", "_vq_matches")
+    joined = docs.join(lists, docs[doc_id].cast("long") == lists["_vq_doc"], "left").drop(lists["_vq_doc"])
     fields = [("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("removed", "array<int>"), ("kept_text", "binary"), ("kept_sha256", "string")]
     if keep is not None:
         fields = [f for f in fields if f[0] in keep or f[0].startswith("n_") or f[0] == "kept_sha256"]
@@ -123,86 +156,181 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, doc_id: str = "doc_id",
     return with_columns(joined, fields, _cut(length, text, [f[0] for f in fields]), kept)
 
 
-def _in_order(rows: DataFrame) -> DataFrame:
-    return rows.repartition("trigger").sortWithinPartitions("trigger", "item", "doc")
+def _phrases(length: int):
+    """The parse: (dealt, item, name, doc, known) for each phrase of each text. `item` and `name` are two independent
+    64-bit hashes of a phrase's bytes; `dealt` is its trigger.
 
+    Chunks of rows are combined before they leave the task: a phrase that a smaller document of the chunk has is known
+    to repeat and needn't meet the others of its trigger. It is dealt out by a hash of its own, so however many
+    documents share a phrase, each chunk sends the trigger's task one row of it.
+    """
+
+    def combined(made):
+        dealt, item, name, doc = (np.concatenate(c) for c in zip(*made, strict=True))
+        order = np.lexsort((doc, name, item, dealt))
+        dealt, item, name, doc = dealt[order], item[order], name[order], doc[order]
+        new = np.r_[True, (dealt[1:] != dealt[:-1]) | (item[1:] != item[:-1]) | (name[1:] != name[:-1])]
+        once = new | np.r_[True, doc[1:] != doc[:-1]]
+        known = doc > doc[np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))]
+        dealt = np.where(known, _mixed(item.view(np.uint64) ^ (doc.astype(np.uint64) * _M)).view(np.int64), dealt)
+        for at in range(0, len(doc), 50_000):
+            part = slice(at, at + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(c[part][once[part]]) for c in (dealt, item, name, doc, known)], names=["dealt", "item", "name", "doc", "known"])
 
-def _phrases(length: int):
     def run(batches):
+        made, rows = [], 0
         for batch in batches:
             for part in slices(batch, 256):
-                made = []
                 for doc, raw in zip(part.column(0).to_pylist(), column_bytes(part, "text"), strict=True):
                     if raw and len(raw) >= length:
-                        p = Parsed(raw, length)
-                        made.append((p.trigger, p.phrase, np.full(len(p.start), doc)))
-                if made:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made, strict=True)], names=["trigger", "item", "doc"])
+                        p = Parsed(raw, length, names=True)
+                        made.append((p.trigger, p.phrase, p.name, np.full(len(p.start), doc)))
+                        rows += len(p.start)
+                        if rows >= CHUNK:
+                            yield from combined(made)
+                            made, rows = [], 0
+        if made:
+            yield from combined(made)
 
     return run
 
 
-def _repeats(phrases: bool):
-    """Over rows sorted by (trigger, item, doc): the items seen in a smaller document (whole); for phrases also the
-    first ones of a trigger that has several phrases, in several documents.
+def _repeats(batches):
+    """Over rows sorted by (dealt, item, name, doc): the phrases that a smaller document has (whole), and the first ones
+    of a trigger that has several phrases, with that trigger: they are open.
     """
-
-    def run(batches):
-        last: tuple | None = None  # the trigger and item that the rows before ended with, and its smallest doc
-        open_trigger, waiting = None, None  # a trigger with one phrase so far, whose first rows wait for another
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            trigger, item, doc = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+    last: tuple | None = None  # the trigger and phrase that the rows before ended with, and its smallest doc
+    open_trigger, waiting = None, None  # a trigger with one phrase so far, whose first rows wait for another
+    for batch in batches:
+        known = batch.column(4).to_numpy(zero_copy_only=False)
+        trigger, item, name, doc = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:4])
+        out = [doc[known], item[known], trigger[known], np.ones(known.sum(), bool)]
+        trigger, item, name, doc = trigger[~known], item[~known], name[~known], doc[~known]
+        if len(doc):
             new_trigger = np.r_[last is None or trigger[0] != last[0], trigger[1:] != trigger[:-1]]
-            new_item = new_trigger | np.r_[last is None or item[0] != last[1], item[1:] != item[:-1]]
+            new_item = new_trigger | np.r_[last is None or (item[0], name[0]) != last[1:3], (item[1:] != item[:-1]) | (name[1:] != name[:-1])]
             head = np.maximum.accumulate(np.where(new_item, np.arange(len(doc)), -1))
-            first = np.where(head >= 0, doc[np.maximum(head, 0)], last[2] if last else 0)
+            first = np.where(head >= 0, doc[np.maximum(head, 0)], last[3] if last else 0)
             whole = doc > first
-            out = [doc[whole], trigger[whole], item[whole], np.ones(whole.sum(), bool)]
-            if phrases:
-                group = np.cumsum(new_trigger) - new_trigger[0]  # 0 goes on with the batch before
-                several = np.zeros(group[-1] + 1, bool)
-                np.logical_or.at(several, group, new_item & ~new_trigger)
-                going_on = not new_trigger[0]
-                if going_on and open_trigger:
-                    several[0] = True
-                if going_on and several[0] and waiting is not None:
-                    out = [np.concatenate(c) for c in zip(out, waiting, strict=True)]
-                    waiting = None
-                firsts = ~whole & (new_item | (doc == first))
-                firsts &= np.r_[True, (doc[1:] != doc[:-1]) | new_item[1:]]  # a document once
-                if last and not new_item[0] and doc[0] == last[2]:
-                    firsts[0] = False
-                show = firsts & several[group]
-                out = [np.concatenate(c) for c in zip(out, [doc[show], trigger[show], item[show], np.zeros(show.sum(), bool)], strict=True)]
-                tail = firsts & (group == group[-1]) & ~several[-1]
-                if tail.any():
-                    waiting = [doc[tail], trigger[tail], item[tail], np.zeros(tail.sum(), bool)]
-                elif group[-1] > 0 or several[-1]:
-                    waiting = None
-                open_trigger = bool(several[-1])
-            last = (trigger[-1], item[-1], first[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["doc", "trigger", "item", "whole"])
+            out = [np.concatenate(c) for c in zip(out, [doc[whole], item[whole], trigger[whole], np.ones(whole.sum(), bool)], strict=True)]
+            group = np.cumsum(new_trigger) - new_trigger[0]  # 0 goes on with the batch before
+            several = np.zeros(group[-1] + 1, bool)
+            np.logical_or.at(several, group, new_item & ~new_trigger)
+            going_on = not new_trigger[0]
+            if going_on and open_trigger:
+                several[0] = True
+            if going_on and several[0] and waiting is not None:
+                out = [np.concatenate(c) for c in zip(out, waiting, strict=True)]
+                waiting = None
+            firsts = ~whole & (new_item | (doc == first))
+            firsts &= np.r_[True, (doc[1:] != doc[:-1]) | new_item[1:]]  # a document once
+            if last and not new_item[0] and doc[0] == last[3]:
+                firsts[0] = False
+            show = firsts & several[group]
+            out = [np.concatenate(c) for c in zip(out, [doc[show], item[show], trigger[show], np.zeros(show.sum(), bool)], strict=True)]
+            tail = firsts & (group == group[-1]) & ~several[-1]
+            if tail.any():
+                waiting = [doc[tail], item[tail], trigger[tail], np.zeros(tail.sum(), bool)]
+            elif group[-1] > 0 or several[-1]:
+                waiting = None
+            open_trigger = bool(several[-1])
+            last = (trigger[-1], item[-1], name[-1], first[-1])
+        doc, item, trigger, whole = out
+        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(item), pa.array(trigger, mask=whole), pa.array(whole)], names=["doc", "item", "trigger", "whole"])
+
+
+def _dictionary(length: int, hot: np.ndarray):
+    """The bytes of the open phrases: (dealt, phrase, doc, known), dealt out by trigger. A hot trigger's phrases are cut
+    into their matches, each a phrase of `length` bytes, which are dealt out by their bytes and combined by chunk.
+    """
 
-    return run
+    def flat(rows):
+        dealt, phrase, doc, known = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(dealt, pa.int64()), pa.array(phrase, pa.binary()), pa.array(doc, pa.int64()), pa.array(known, pa.bool_())], names=["dealt", "phrase", "doc", "known"])
 
+    def combined(least, more):
+        """Of each match the smallest document, dealt out by the match, and the others, dealt out anyhow."""
+        rows = [(xxhash.xxh3_64_intdigest(m) - (1 << 63), m, doc, False) for m, doc in least.items()]
+        rows += [(xxhash.xxh3_64_intdigest(m, doc & 0x7FFFFFFF) - (1 << 63), m, doc, True) for m, doc in more if doc > least[m]]
+        for at in range(0, len(rows), 20_000):
+            yield flat(rows[at : at + 20_000])
 
-def _suffixes(length: int):
     def run(batches):
+        least, more = {}, []
         for batch in batches:
             for part in slices(batch, 256):
-                made = []
+                rows = []
                 for doc, raw, wanted in zip(part.column(0).to_pylist(), column_bytes(part, "text"), part.column(2), strict=True):
                     if not raw or len(raw) < length:
                         continue
                     p = Parsed(raw, length)
-                    pick = np.isin(p.phrase, wanted.values.to_numpy())
-                    sizes = (p.stop - p.start)[pick]
-                    at = np.repeat(p.start[pick] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
-                    made.append((np.repeat(p.trigger[pick], sizes), p.matches()[at], np.full(len(at), doc)))
-                if made:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made, strict=True)], names=["trigger", "item", "doc"])
+                    pick = np.flatnonzero(np.isin(p.phrase, wanted.values.to_numpy()))
+                    is_hot = np.isin(p.trigger[pick], hot)
+                    for trigger, start, stop in zip(p.trigger[pick[~is_hot]].tolist(), p.start[pick[~is_hot]].tolist(), p.stop[pick[~is_hot]].tolist(), strict=True):
+                        rows.append((trigger, raw[start : stop + length - 1], doc, False))
+                    for start, stop in zip(p.start[pick[is_hot]].tolist(), p.stop[pick[is_hot]].tolist(), strict=True):
+                        for at in range(start, stop):
+                            match = raw[at : at + length]
+                            more.append((match, doc))
+                            least[match] = min(doc, least.get(match, doc))
+                    if len(more) >= CHUNK // 4:
+                        yield from combined(least, more)
+                        least, more = {}, []
+                if rows:
+                    yield flat(rows)
+        if more:
+            yield from combined(least, more)
+
+    return run
+
+
+def _rows_of(column: pa.Array, width: int) -> np.ndarray:
+    """A binary column of values of `width` bytes each as a matrix."""
+    _, offsets, data = column.buffers()
+    if not len(column):
+        return np.empty((0, width), np.uint8)
+    begin = np.frombuffer(offsets, np.int32 if column.type == pa.binary() else np.int64)[column.offset]
+    return np.frombuffer(data, np.uint8)[begin : begin + width * len(column)].reshape(-1, width)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    n, width = rows.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, width * n + 1, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _suffixes(length: int):
+    """The suffixes of dictionary phrases, cut at `length` bytes: (suffix, doc, known)."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 2048):
+                phrases = column_bytes(part, "phrase")
+                size = np.array([len(x) for x in phrases], np.int64)
+                n = size - length + 1
+                begin = np.r_[0, np.cumsum(size)[:-1]]
+                at = np.repeat(begin - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                cut = np.lib.stride_tricks.sliding_window_view(np.frombuffer(b"".join(phrases), np.uint8), length)[at]
+                doc, known = (np.repeat(part.column(k).to_numpy(zero_copy_only=False), n) for k in (2, 3))
+                yield pa.RecordBatch.from_arrays([_binary(cut), pa.array(doc), pa.array(known)], names=["suffix", "doc", "known"])
+
+    return run
+
+
+def _equal_suffixes(length: int):
+    """Over suffixes in the order of their bytes and documents: (doc, match) of those that a smaller document has."""
+
+    def run(batches):
+        last: tuple | None = None  # the suffix that the rows before ended with, and its smallest doc
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            suffix, doc, known = _rows_of(batch.column(0), length), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+            new = np.r_[last is None or suffix[0].tobytes() != last[0], (suffix[1:] != suffix[:-1]).any(1)]
+            head = np.maximum.accumulate(np.where(new, np.arange(len(doc)), -1))
+            first = np.where(head >= 0, doc[np.maximum(head, 0)], last[1] if last else 0)
+            gone = known | (doc > first)
+            last = (suffix[-1].tobytes(), first[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[gone]), pa.array(_match_hashes(suffix[gone]))], names=["doc", "match"])
 
     return run
 
@@ -230,7 +358,7 @@ def _cut(length: int, text: str, names: list[str]):
 
     def task():
         def make(batch):
-            lists = [batch.column(batch.schema.get_field_index(c)) for c in ("_phrases", "_matches")]
+            lists = [batch.column(batch.schema.get_field_index(c)) for c in ("_vq_phrases", "_vq_matches")]
             rows = [one(raw or b"", *(x.values.to_numpy() if x.is_valid else None for x in both)) for raw, *both in zip(column_bytes(batch, text), *lists, strict=True)]
             return [[r[n] for r in rows] for n in names]
 
