@@ -167,7 +167,7 @@ def _phrases(length: int):
 
     def combined(made):
         dealt, item, name, doc = (np.concatenate(c) for c in zip(*made, strict=True))
-        order = np.lexsort((doc, name, item, dealt))
+        order = np.lexsort((doc, item))  # two phrases with one item might mix, and would only be combined less
         dealt, item, name, doc = dealt[order], item[order], name[order], doc[order]
         new = np.r_[True, (dealt[1:] != dealt[:-1]) | (item[1:] != item[:-1]) | (name[1:] != name[:-1])]
         once = new | np.r_[True, doc[1:] != doc[:-1]]
