@@ -180,6 +180,51 @@ def test_pii(spark):
     assert len(pii.replace_pii(spark.createDataFrame([], SCHEMA), key="k").collect()) == 0
 
 
+def test_pii_people(spark):
+    a = "Dr. Mary Smith wrote. Mrs. Mary Smith signed; Mary Smith left, said Smith. SMITH? Smithers, Mary's: MRS"
+    b = "Dr. Mary Smith again, and Mr. Kim Lee with Mrs. Kim Park. Prof. Kim Lee; г-жа Анна Иванова и Prof Анна Иванова. Smith"
+    rows = [(1, a, 5), (2, b, 6), (3, "Mary Smith alone", 7)]
+    got = {r.doc_id: r for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string, row int"), key="k").collect()}
+    given, family = re.match(r"Dr\. (\w+) (\w+) wrote", got[1].text).groups()
+    assert got[1].text == f"Dr. {given} {family} wrote. Mrs. {given} {family} signed; {given} {family} left, said {family}. SMITH? Smithers, {given}'s: MRS"
+    assert got[2].text.startswith(f"Dr. {given} {family} again") and got[2].text.endswith(f". {family}") and given.endswith("a")
+    him, lee, her, park, him2, lee2, anna, ivanova, anna2, ivanova2 = re.search(r"Mr\. (\w+) (\w+) with Mrs\. (\w+) (\w+)\. Prof\. (\w+) (\w+); г-жа (\w+) (\w+) и Prof (\w+) (\w+)\.", got[2].text).groups()
+    assert (him, lee, anna, ivanova) == (him2, lee2, anna2, ivanova2) and him != her and him.endswith("o") and her.endswith("a") and anna.endswith("а")
+    assert got[3].text == "Mary Smith alone" and got[3].row == 7 and got[1].n_distinct == 1
+
+
+def test_pii_against_brute_force(spark):
+    rng = random.Random(6)
+    hexes = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    digits = lambda n: "".join(rng.choices("123456789", k=n))
+    makers = {
+        "email": lambda: f"u{digits(3)}.{rng.choice('abc')}@h{digits(1)}.co.uk", "secret": lambda: hexes(rng.choice([32, 40, 128])), "ip": lambda: ".".join(str(rng.randint(1, 255)) for _ in range(4)),
+        "ip6": lambda: ":".join(hexes(4) for _ in range(8)), "card": lambda: f"{digits(4)} {digits(6)} {digits(5)}", "phone": lambda: "0171 " + digits(7), "us": lambda: f"({digits(3)}) {digits(3)}-{digits(4)}",
+        "token": lambda: "api_key=" + "".join(rng.choices("abcXYZ", k=10)) + digits(10),
+    }
+    pool = [(k, f()) for k, f in makers.items() for _ in range(12)]
+    picks = [[rng.choice(pool) for _ in range(rng.randint(0, 6))] for _ in range(150)]
+    texts = ["".join(f"word [{s}] " for _, s in p) + "end" for p in picks]
+    got = {r.doc_id: r for r in pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), key="k").collect()}
+    seen: dict[str, str] = {}
+    for k, p in enumerate(picks):
+        new = re.findall(r"\[([^\]]*)\]", got[k].text)
+        assert re.sub(r"\[[^\]]*\]", "[]", got[k].text) == re.sub(r"\[[^\]]*\]", "[]", texts[k]) and len(new) == len(p) == got[k].n_entities
+        for (_, old), made in zip(p, new):
+            assert seen.setdefault(old, made) == made != old  # one surrogate for each, in all documents
+            form = lambda x: re.sub(r"\d+", "0", x) if x.count(".") == 3 and "@" not in x else re.sub("[0-9a-f]", "x", x) if ":" in x or len(x) >= 32 else re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", x)))
+            assert form(old) == form(made)
+        assert got[k].n_distinct == len({s for _, s in p})
+    assert len(set(seen.values())) == len(seen) > 80 and not set(seen.values()) & set(seen)
+
+
+def test_pii_of_very_long_runs(spark):
+    n = 100_000
+    runs = ["x@" + "ab." * n + "com", "a" * 3 * n + "@", "a.b-" * n + "@x.org", "0a" * n, "0a" * n + "z", "DE44" + " 5001" * n, "1234 " * n, "+1 23" + " 23" * n, "1.2.3.4." * n, "Mr " + "Aa " * n, "ab:" * n, "a::" * n, "key=" + "a1-" * n, "token: " * n, "0171 " * n, "Dr " * n]
+    got = {r.doc_id: r for r in pii.replace_pii(spark.createDataFrame([(k, t + " bob@mail.com") for k, t in enumerate(runs)], "doc_id long, text string"), key="k").collect()}
+    assert len(got) == len(runs) and not any("bob@mail.com" in r.text for r in got.values())
+
+
 def test_pii_surrogates_stay_distinct(spark):
     entities = spark.createDataFrame([("email", f"a@b{k % 10}{k // 10 % 10}.c{'dx'[k % 2]}") for k in range(100)] + [("given_latinf", f"name{k}") for k in range(3000)], "kind string, canonical string")
     got = pii.assigned(entities, "k").collect()

@@ -19,20 +19,27 @@ NEUTRAL = ["Dr", "Prof"]
 
 _TITLE = f"(?:{'|'.join(FEMALE + MALE + NEUTRAL)})\\.?"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
-#: Patterns by type; where two begin at one place, the first one wins.
+#: Words after which a long run of letters and digits is a secret.
+_KEYED = r"(?i:key|token|secret|password|passwd|pwd)"
+#: Patterns by type; where two begin at one place, the first one wins. Groups repeat a bounded number of times (a domain
+#: has 127 labels at most), as Java's regular expressions recurse for each repeated group.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}",
-    "secret": _B + r"[0-9a-fA-F]{32,64}" + _E,
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*@(?:[\p{L}\p{N}-]{1,63}\.){1,127}\p{L}{2,}",
+    "secret": _B + r"[0-9a-fA-F]{32,}" + _E,
+    "ip6": r"(?<![\p{L}\p{N}:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
     "iban": _B + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _E,
-    "card": _B + r"\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}" + _E,
+    "card": _B + r"(?:\d{4}[ -]\d{6}[ -]\d{5}|\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7})" + _E,
     "ssn": _B + r"\d{3}-\d{2}-\d{4}" + _E,
     "ip": r"(?<![\p{L}\p{N}.])" + rf"(?:{_OCTET}\.){{3}}{_OCTET}" + r"(?!\.?[\p{L}\p{N}])",
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[-.]\d{3}[-.]\d{4})" + _E,
+    "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[-.]\d{3}[-.]\d{4}|(?<![.,:/-])0\d{2,4}[ /-]\d{5,8})" + _E,
     "name": _B + _TITLE + " +" + _NAME + "(?: +" + _NAME + ")?",
+    "token": r"(?<=[:=\"' ])(?=[\p{L}_+/-]{0,64}\d)(?=[\p{L}\p{N}_+/-]{16})(?<=" + _KEYED + r"[\"']?[ ]?[:=][ ]?[\"']?)[\p{L}\p{N}_+/-]{16,}",
 }
 EVERY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without this holds no entity; it is a quick test.
-_MAY = r"[0-9@]|" + _B + _TITLE + " +\\p{Lu}"
+_MAY = r"[0-9@]|::|:[0-9a-fA-F]{1,4}:|" + _B + _TITLE + " +\\p{Lu}"
+#: Where a text is cut into words and what stands between them.
+_CUTS = r"(?<=[\p{L}'’-])(?![\p{L}'’-])|(?<![\p{L}'’-])(?=\p{L})"
 
 
 def detected(c: Column) -> Column:
@@ -41,31 +48,53 @@ def detected(c: Column) -> Column:
 
 
 def _type(s: Column) -> Column:
-    kinds = reduce(lambda w, p: w.when(s.rlike(f"^(?:{p[1]})$"), p[0]), PATTERNS.items(), F)
-    return kinds.otherwise("name")
+    """What a detected entity is; what is none of the types by itself was found by the word before it."""
+    kinds = reduce(lambda w, p: w.when(s.rlike(f"^(?:{p[1]})$"), p[0]), [p for p in PATTERNS.items() if p[0] != "token"], F)
+    return kinds.otherwise("token")
 
 
 def _canonical(kind: Column, s: Column) -> Column:
     """One form for all ways in which an entity is written."""
     digits = F.regexp_replace(s, r"[^0-9]", "")
-    return F.when(kind.isin("card", "ssn", "phone"), digits).when(kind == "iban", F.replace(s, F.lit(" "), F.lit(""))).otherwise(F.lower(s))
+    return F.when(kind.isin("card", "ssn", "phone"), digits).when(kind == "iban", F.replace(s, F.lit(" "), F.lit(""))).when(kind == "token", s).otherwise(F.lower(s))
 
 
-def _parts(rows: DataFrame) -> DataFrame:
-    """A row for each entity; a name gives its family name (part 0) and, if there is one, its given name (part 1)."""
-    s, kind = F.col("surface"), F.col("kind")
+def _parsed(rows: DataFrame) -> DataFrame:
+    """rows(row, pos, surface, kind) with what tells their entities apart: c0, the canonical form or a name's family
+    name; c1, a name's given name if there is one; script and gender of a name.
+    """
+    s, is_name = F.col("surface"), F.col("kind") == "name"
     words = F.split(F.regexp_replace(s, f"^{_TITLE} +", ""), " +")
-    title = F.regexp_extract(s, "^" + _TITLE, 0)
-    bare = F.rtrim(F.replace(title, F.lit("."), F.lit("")))
+    bare = F.rtrim(F.replace(F.regexp_extract(s, "^" + _TITLE, 0), F.lit("."), F.lit("")))
     gender = F.when(bare.isin(*FEMALE), "f").when(bare.isin(*MALE), "m").otherwise("n")
     script = F.when(F.element_at(words, -1).rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    out = rows.withColumns({
+        "c0": F.when(is_name, F.lower(F.element_at(words, -1))).otherwise(_canonical(F.col("kind"), s)), "script": F.when(is_name, script), "gender": F.when(is_name, gender),
+        "c1": F.when(is_name & (F.size(words) > 1), F.lower(F.element_at(words, 1))), "last": F.when(is_name, F.element_at(words, -1)), "first": F.when(is_name & (F.size(words) > 1), F.element_at(words, 1)),
+    })
+    return out
+
+
+def _genders(entities: DataFrame) -> DataFrame:
+    """(script, c1, c0, gender) for each person with a given name: what their own forms of address say, wherever they
+    occur, or else what those of all people with the given name say; n if that leaves it open.
+    """
+    has = lambda g: F.max((F.col("gender") == g).cast("int"))
+    people = written(entities.where("c1 IS NOT NULL").groupBy("script", "c1", "c0").agg(has("f").alias("f"), has("m").alias("m")), "people")
+    given = people.groupBy("script", "c1").agg(F.max("f").alias("any_f"), F.max("m").alias("any_m"))
+    one = F.when(F.expr("f > m"), "f").when(F.expr("m > f"), "m").when(F.expr("f + m = 0 AND any_f > any_m"), "f").when(F.expr("f + m = 0 AND any_m > any_f"), "m").otherwise("n")
+    return people.join(given, ["script", "c1"]).select("script", "c1", "c0", one.alias("gender"))
+
+
+def _parts(entities: DataFrame) -> DataFrame:
+    """A row for each entity; a name gives its family name (part 0) and, if there is one, its given name (part 1)."""
+    kind, script = F.col("kind"), F.col("script")
     one = lambda part, k, c: F.struct(F.lit(part).alias("part"), k.alias("kind"), c.alias("canonical"))
-    # a Cyrillic family name has a form for each gender
-    family = one(0, F.concat(F.lit("family_"), script, F.when(script == "cyrillic", gender).otherwise("")), F.lower(F.element_at(words, -1)))
-    given = one(1, F.concat(F.lit("given_"), script, gender), F.lower(F.element_at(words, 1)))
-    names = F.when(F.size(words) > 1, F.array(family, given)).otherwise(F.array(family))
-    entities = F.when(kind == "name", names).otherwise(F.array(one(0, kind, _canonical(kind, s))))
-    return rows.select("row", "pos", "surface", F.explode(entities).alias("e")).select("row", "pos", "surface", "e.part", "e.kind", "e.canonical")
+    # a Cyrillic family name shows its gender itself
+    ending = F.when(script != "cyrillic", "").when(F.col("c0").rlike("[ая]$"), "f").otherwise("m")
+    family, given = one(0, F.concat(F.lit("family_"), script, ending), F.col("c0")), one(1, F.concat(F.lit("given_"), script, "gender"), F.col("c1"))
+    both = F.when(kind != "name", F.array(one(0, kind, F.col("c0")))).when(F.col("c1").isNull(), F.array(family)).otherwise(F.array(family, given))
+    return entities.select("row", "pos", "surface", "last", "first", F.explode(both).alias("e")).select("row", "pos", "surface", "last", "first", "e.part", "e.kind", "e.canonical")
 
 
 def _luhn(digits: Column) -> Column:
@@ -80,12 +109,15 @@ def _syllables(h: Column, script: str, n: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), pair), "")
 
 
-def surrogate(kind: Column, canonical: Column, key: str, attempt: int) -> Column:
-    """A canonical replacement that the key, the entity and the attempt decide. Kept are: type, length and shape, the
+def hashed(kind: Column, canonical: Column, key: str, attempt: int) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(key), kind, canonical, F.lit(str(attempt))), 512)
+
+
+def surrogate(kind: Column, canonical: Column, h: Column, attempt: int) -> Column:
+    """A canonical replacement that `h`, the column of `hashed`, decides. Kept are: type, length and shape, the
     last label of an address, a country code, an IBAN's country, whether a card number's check digit is right, and for
     names gender and script. Later attempts may be longer where a short form could run out.
     """
-    h = F.sha2(F.concat_ws("|", F.lit(key), kind, canonical, F.lit(str(attempt))), 512)
     digit, letter = F.translate(h, "abcdef", "012345"), F.translate(h, "0123456789abcdef", "abcdefghklmnprst")
     n = F.length(canonical)
     shaped = lambda c: F.array_join(F.transform(F.split(c, ""), lambda x, i: F.when(x.rlike(r"\p{N}"), F.substring(digit, i % 128 + 1, F.lit(1))).when(x.rlike(r"\p{L}"), F.substring(letter, i % 128 + 1, F.lit(1))).otherwise(x)), "")
@@ -103,8 +135,11 @@ def surrogate(kind: Column, canonical: Column, key: str, attempt: int) -> Column
     ip = F.concat_ws(".", (octet(0) % 223 + 1).cast("string"), *[octet(k).cast("string") for k in (1, 2, 3)])
     iban = F.concat(F.substring(canonical, 1, F.lit(2)), F.substring(digit, 1, F.lit(2)), F.upper(shaped(F.substring(canonical, F.lit(5), n))))
     ends = {"f": {"latin": "a", "cyrillic": "а"}, "m": {"latin": "o", "cyrillic": "ий"}, "n": {"latin": "en", "cyrillic": "ен"}}
-    out = F.when(kind == "email", email).when(kind == "secret", F.substring(h, F.lit(1), n)).when(kind == "iban", iban).when(kind == "card", card)
+    out = F.when(kind == "email", email).when(kind == "secret", F.substring(F.repeat(h, F.ceil(n / 128).cast("int")), F.lit(1), n)).when(kind == "iban", iban).when(kind == "card", card)
     out = out.when(kind == "ssn", F.substring(digit, 1, F.lit(9))).when(kind == "ip", ip).when(kind == "phone", phone)
+    hexed = F.array_join(F.transform(F.split(canonical, ""), lambda x, i: F.when(x == ":", x).otherwise(F.substring(h, i % 128 + 1, F.lit(1)))), "")
+    cased = F.array_join(F.transform(F.split(canonical, ""), lambda x, i: F.when(x.rlike(r"\p{N}"), F.substring(digit, i % 128 + 1, F.lit(1))).when(x.rlike(r"\p{Lu}"), F.upper(F.substring(letter, i % 128 + 1, F.lit(1)))).when(x.rlike(r"\p{L}"), F.substring(letter, i % 128 + 1, F.lit(1))).otherwise(x)), "")
+    out = out.when(kind == "ip6", hexed).when(kind == "token", cased)
     for script in ("latin", "cyrillic"):
         out = out.when(kind == f"family_{script}", _syllables(h, script, F.lit(3 + attempt)))
         for g, by in ends.items():
@@ -124,7 +159,8 @@ def assigned(entities: DataFrame, key: str, attempts: int = 14) -> DataFrame:
     left, done = entities, []
     real = entities.select("kind", F.col("canonical").alias("surrogate"))
     for attempt in range(attempts):
-        offers = left.withColumn("surrogate", surrogate(F.col("kind"), F.col("canonical"), key, attempt)).join(real, ["kind", "surrogate"], "left_anti")
+        offers = left.withColumn("_h", hashed(F.col("kind"), F.col("canonical"), key, attempt))  # a column, as it is used for each character
+        offers = offers.withColumn("surrogate", surrogate(F.col("kind"), F.col("canonical"), F.col("_h"), attempt)).drop("_h").join(real, ["kind", "surrogate"], "left_anti")
         if done:
             offers = offers.join(reduce(DataFrame.unionByName, done).select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
         done.append(written(offers.groupBy("kind", "surrogate").agg(F.min("canonical").alias("canonical")), f"surrogates{attempt}"))
@@ -141,13 +177,24 @@ def _filled(surface: Column, chars: Column) -> Column:
     return F.aggregate(F.split(surface, ""), start, step)["out"]
 
 
+def _word(new: Column, old: Column) -> Column:
+    """A name's surrogate in capitals like the name."""
+    return F.when((F.length(old) > 1) & (old == F.upper(old)), F.upper(new)).otherwise(F.concat(F.upper(F.substring(new, 1, F.lit(1))), F.substring(new, F.lit(2), F.length(new))))
+
+
+def _renamed(gap: Column, names: Column) -> Column:
+    """Text between entities with the words that are found names replaced, a genitive's ending kept."""
+    end = lambda w: F.regexp_extract(w, "['’]s$", 0)
+    one = lambda w: F.when(w.rlike(r"^\p{Lu}"), F.coalesce(F.concat(F.try_element_at(names, F.regexp_replace(w, "['’]s$", "")), end(w)), w)).otherwise(w)
+    return F.array_join(F.transform(F.split(gap, _CUTS, -1), one), "")
+
+
 def _shown(kind: Column, surface: Column, family: Column, given: Column) -> Column:
     """An entity's surrogate in the format of its surface."""
     case = lambda c: F.when((surface == F.upper(surface)) & (surface != F.lower(surface)), F.upper(c)).otherwise(c)
     title = F.regexp_extract(surface, f"^{_TITLE} +", 0)
     gap = F.regexp_extract(surface, "( +)[^ ]+$", 1)
-    word = lambda c: F.concat(F.upper(F.substring(c, 1, F.lit(1))), F.substring(c, F.lit(2), F.length(c)))
-    name = F.concat(title, F.coalesce(F.concat(word(given), gap), F.lit("")), word(family))
+    name = F.concat(title, F.coalesce(F.concat(_word(given, F.col("first")), gap), F.lit("")), _word(family, F.col("last")))
     return F.when(kind.rlike("^(family|given)"), name).when(kind.isin("card", "ssn", "phone", "iban"), _filled(surface, family)).otherwise(case(family))
 
 
@@ -159,9 +206,14 @@ def replace_pii(docs: DataFrame, *, key: str, text: str = "text") -> DataFrame:
     are written to the shared folder, their entities reduced to distinct ones before any further step, and the lists of
     surrogates meet their texts by row number. A frequent entity's join is one that Spark may split.
 
+    Names are found by their form of address. A person keeps one surrogate with and without it: the words of a name that
+    was found are replaced wherever else they stand in that text (of two people who share a given name the one who
+    comes first there counts), and gender comes from all of a person's forms of address (see `_genders`).
+
     Edge cases: null and empty texts stay as they are, with 0 entities. Repeated rows are treated each. Columns named
-    n_entities or n_distinct give way. Names are found by their form of address only; the check digits of IBANs are
-    drawn like other digits.
+    n_entities or n_distinct give way. Not found: names that never have a form of address in their text, street
+    addresses, dates of birth, secrets of fewer than 32 hexadecimal digits or after no telling word, phone numbers of
+    other than the forms above. The check digits of IBANs are drawn like other digits.
     """
     kept = [c for c in docs.columns if c not in ("n_entities", "n_distinct")]
     found = F.coalesce(F.size(detected(F.col(text))), F.lit(0))
@@ -171,15 +223,23 @@ def replace_pii(docs: DataFrame, *, key: str, text: str = "text") -> DataFrame:
     hits = written(rows.where(found > 0).withColumn("_vq_row", F.monotonically_increasing_id()), "hits")
 
     each = hits.select(F.col("_vq_row").alias("row"), F.posexplode(detected(F.col(text))).alias("pos", "surface"))
-    parts = written(_parts(each.withColumn("kind", _type(F.col("surface")))), "entities")
+    entities = written(_parsed(each.withColumn("kind", _type(F.col("surface")))), "entities")
+    with_gender = entities.drop("gender").join(_genders(entities), ["script", "c1", "c0"], "left")
+    parts = written(_parts(with_gender), "parts")
     table = assigned(written(parts.select("kind", "canonical").distinct(), "distinct"), key)
     named = parts.join(table, ["kind", "canonical"])
     pick = lambda part, c: F.max(F.when(F.col("part") == part, F.col(c)))
-    spots = named.groupBy("row", "pos").agg(F.first("surface").alias("surface"), pick(0, "kind").alias("kind"), pick(0, "surrogate").alias("s0"), pick(1, "surrogate").alias("s1"))
-    spots = spots.select("row", "pos", _shown(F.col("kind"), F.col("surface"), F.col("s0"), F.col("s1")).alias("new"), F.concat_ws("|", "kind", "s0", "s1").alias("who"))
+    spots = named.groupBy("row", "pos").agg(*[F.first(c).alias(c) for c in ("surface", "first", "last")], pick(0, "kind").alias("kind"), pick(0, "surrogate").alias("s0"), pick(1, "surrogate").alias("s1"))
+    pair = lambda old, new: F.when(F.col(old).isNotNull(), F.struct(F.col(old).alias("word"), _word(F.col(new), F.col(old)).alias("new")))
+    words = F.when(F.col("last").isNotNull(), F.array_compact(F.array(pair("last", "s0"), pair("first", "s1"))))
+    spots = written(spots.select("row", "pos", _shown(F.col("kind"), F.col("surface"), F.col("s0"), F.col("s1")).alias("new"), F.concat_ws("|", "kind", "s0", "s1").alias("who"), words.alias("words")), "spots")
+    each_word = spots.where("words IS NOT NULL").select("row", "pos", F.explode("words").alias("w")).groupBy("row", "w.word").agg(F.min_by("w.new", "pos").alias("new"))
+    renamed = each_word.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("word", "new"))).alias("_vq_names"))
     lists = spots.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("_vq_new"), F.count_distinct("who").alias("n_distinct"))
-    joined = hits.join(lists, hits["_vq_row"] == lists["row"])
-    gaps = F.split(text, EVERY, -1)
+    joined = hits.join(lists.join(renamed, "row", "left").withColumnRenamed("row", "_vq_at"), F.col("_vq_row") == F.col("_vq_at"))
+    plain = F.split(text, EVERY, -1)
+    joined = joined.withColumn("_vq_gaps", F.when(F.col("_vq_names").isNull(), plain).otherwise(F.transform(plain, lambda g: _renamed(g, F.col("_vq_names")))))
+    gaps = F.col("_vq_gaps")
     rest = F.transform("_vq_new", lambda x, i: F.concat(x["new"], F.get(gaps, i + 1)))
     new = F.concat(F.get(gaps, 0), F.array_join(rest, ""))
     changed = joined.withColumns({text: new, "n_entities": F.size("_vq_new").cast("long")}).select(*kept, "n_entities", "n_distinct")
