@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -73,6 +74,8 @@ def coerced(value: str) -> bool | int | float | str:
 
 def same(e: Column, value) -> Column:
     """Equality of queries: typed for numbers and booleans, bracket-free text otherwise. Never SQL null."""
+    if isinstance(value, int) and not isinstance(value, bool) and abs(value) >= 1 << 53:  # beyond what doubles tell apart
+        return F.coalesce((kind(e) == "number") & (F.try_variant_get(e, "$", "decimal(38,0)") == F.lit(Decimal(value))), F.lit(False))
     if isinstance(value, (bool, int, float)):
         return F.coalesce(number(e) == float(value), F.lit(False))
     return F.coalesce(kind(e).isin("string", "object", "array") & (bare(text(e)) == unbracketed(value)), F.lit(False))
@@ -94,6 +97,12 @@ def group_key(v: Column) -> Column:
     return F.when(v.isNull(), MISSING).when(F.is_variant_null(v), NULL).otherwise(text(v))
 
 
+def inline(v: Column) -> Column:
+    """A value on one line: a list's elements joined by comma and space, (null) for null; SQL null if absent."""
+    listed = F.array_join(F.transform(F.variant_get(v, "$", "array<variant>"), lambda e: F.when(e.isNull() | F.is_variant_null(e), NULL).otherwise(text(e))), ", ")
+    return F.when(v.isNull(), None).when(F.is_variant_null(v), NULL).when(kind(v) == "array", listed).otherwise(text(v))
+
+
 def sort_keys(v: Column) -> list[Column]:
     """Null before numbers (booleans as 0 and 1) before text."""
     rank = F.when(~present(v), 0).when(number(v).isNotNull(), 1).otherwise(2)
@@ -116,8 +125,28 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
+# The shape of a time of day, and of midnight.
+_OFFSET = r"(Z|[+-]([01]\d|2[0-3]):[0-5]\d)?"
+TIME = r"([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d+)?)?" + _OFFSET
+MIDNIGHT = r"00:00(:00(\.\d+)?)?" + _OFFSET
+
+
+def _is_day(c: Column) -> Column:
+    return c.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(c, "yyyy-MM-dd").isNotNull()
+
+
 def is_date(c: Column) -> Column:
-    return F.coalesce(c.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(c, "yyyy-MM-dd").isNotNull(), F.lit(False))
+    """A calendar day, alone or with a time of midnight."""
+    return F.coalesce(_is_day(c) | (c.rlike("^.{10}[T ]" + MIDNIGHT + "$") & _is_day(F.substring(c, 1, 10))), F.lit(False))
+
+
+def is_time(c: Column) -> Column:
+    return F.coalesce(c.rlike("^" + TIME + "$"), F.lit(False))
+
+
+def is_datetime(c: Column) -> Column:
+    """A calendar day, T or a space, and a time, with or without an offset."""
+    return F.coalesce(c.rlike("^.{10}[T ]" + TIME + "$") & _is_day(F.substring(c, 1, 10)), F.lit(False))
 
 
 def is_wikilink(c: Column) -> Column:
@@ -131,5 +160,24 @@ def path_parts(c: Column) -> tuple[Column, Column, Column]:
     return folder, stem, F.when(c.contains("/"), F.substring_index(c, "/", 1)).otherwise("root")
 
 
+def relative(folder: Column, path: Column) -> Column:
+    """path as seen from a folder: `../` for each level that they don't share, then the rest."""
+    split = lambda c: F.filter(F.split(c, "/"), lambda x: x != "")
+    one = F.struct(split(folder).alias("a"), split(path).alias("b"))
+
+    def shown(s: Column) -> Column:
+        differs = F.filter(F.sequence(F.lit(0), F.size(s["a"])), lambda i: (i >= F.size(s["a"])) | ~F.coalesce(F.get(s["a"], i) == F.get(s["b"], i), F.lit(False)))
+        common = F.array_min(differs)
+        return F.concat(F.repeat(F.lit("../"), F.size(s["a"]) - common), F.array_join(F.slice(s["b"], common + 1, F.greatest(F.size(s["b"]) - common, F.lit(0))), "/"))
+
+    return F.transform(F.array(one), shown)[0]
+
+
+def contained(path: Column) -> Column:
+    """Within the tree: neither absolute nor empty, and never above its root."""
+    parts = F.split(path, "/")
+    return F.coalesce((path != "") & ~path.startswith("/") & ~path.contains("\\") & ~F.exists(parts, lambda p: p.isin("..", ".", "")), F.lit(False))
+
+
 def today_or(value: str) -> str:
     return date.today().isoformat() if value == "today" else value

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,12 +16,25 @@ def long_form(documents: DataFrame, fields: dict[str, Column]) -> DataFrame:
     return documents.select("path", F.explode(pairs).alias("p")).select("path", "p.field", "p.value")
 
 
-def exploded(documents: DataFrame, metadata: str = "metadata") -> DataFrame:
-    """(path, field, value) for every element of every top-level key of a VARIANT; an empty list has the value []."""
-    documents.createOrReplaceTempView("_vq_documents")
-    keys = documents.sparkSession.sql(f"SELECT path, e.key AS field, e.value AS v FROM _vq_documents, LATERAL variant_explode_outer({metadata}) AS e WHERE e.key IS NOT NULL")
+def exploded(documents: DataFrame, metadata: str = "metadata", declared: tuple[str, ...] = ()) -> DataFrame:
+    """(path, field, value) for every element of every top-level key of a VARIANT; an empty list has the value [].
+
+    A document without one of the `declared` fields has a row with a null value for it.
+    """
+    keys = documents.select("path", F.col(metadata).alias("_m")).lateralJoin(documents.sparkSession.tvf.variant_explode_outer(F.col("_m").outer()))
+    keys = keys.where("key IS NOT NULL").select("path", F.col("key").alias("field"), F.col("value").alias("v"))
     listed = F.when(V.kind(F.col("v")) == "array", F.when(F.size(V.elements(F.col("v"))) == 0, F.array(F.lit("[]"))).otherwise(F.transform(V.elements(F.col("v")), V.text))).otherwise(F.array(V.group_key(F.col("v"))))
-    return keys.select("path", "field", F.explode(listed).alias("value"))
+    out = keys.select("path", "field", F.explode(listed).alias("value"))
+    if declared:
+        absent = F.array_compact(F.array(*[F.when(V.field(metadata, n).isNull(), n) for n in declared]))
+        out = out.unionByName(documents.select("path", F.explode(absent).alias("field"), F.lit(None).cast("string").alias("value")))
+    return out
+
+
+def field_names(documents: DataFrame, dated: tuple[str, ...] = (), metadata: str = "metadata") -> DataFrame:
+    """(field): all top-level keys that occur, in order, but those that are described by their date bounds."""
+    keys = documents.select(F.explode(F.map_keys(F.try_variant_get(F.col(metadata), "$", "map<string,variant>"))).alias("field")).distinct()
+    return keys.where(~F.col("field").isin(*dated)).orderBy("field") if dated else keys.orderBy("field")
 
 
 def count_by(documents: DataFrame, keys: dict[str, Column]) -> DataFrame:
@@ -55,32 +70,50 @@ def bounds(values: DataFrame) -> DataFrame:
 
 
 def field_stats(values: DataFrame) -> DataFrame:
-    """(field, n_docs, n_distinct, top_value): ties go to the smaller value."""
-    counted = values.where("value IS NOT NULL").groupBy("field", "value").agg(F.count_distinct("path").alias("n"))
-    docs = values.where("value IS NOT NULL").groupBy("field").agg(F.count_distinct("path").alias("n_docs"))
+    """(field, n_docs, n_distinct, all_text, top_value): ties go to the smaller value. all_text: no value is a number or
+    a boolean; values may say so in a column `is_text`.
+    """
+    known = values if "is_text" in values.columns else values.withColumn("is_text", F.lit(True))
+    known = known.where("value IS NOT NULL")
+    counted = known.groupBy("field", "value").agg(F.count_distinct("path").alias("n"))
+    docs = known.groupBy("field").agg(F.count_distinct("path").alias("n_docs"), F.bool_and("is_text").alias("all_text"))
     best = counted.groupBy("field").agg(F.count("*").alias("n_distinct"), F.min_by("value", F.struct(-F.col("n"), "value")).alias("top_value"))
     return docs.join(best, "field")
 
 
+def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, n) for each relation."""
+    each = [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, t in tables.items()]
+    return reduce(DataFrame.unionByName, each)
+
+
 def folders(documents: DataFrame) -> DataFrame:
     return documents.select(V.path_parts(F.col("path"))[0].alias("folder")).distinct()
 
 
 def summary(findings: DataFrame) -> DataFrame:
-    """(by, value, n): findings in total and by code, severity, rule, field and first folder, in one pass."""
-    rows = findings.select("code", "severity", "rule", "field", V.path_parts(F.col("path"))[2].alias("prefix"))
-    names = ["code", "severity", "rule", "field", "prefix"]
-    rows.createOrReplaceTempView("_vq_findings")
-    sets = ", ".join(f"({n})" for n in names)
-    return rows.sparkSession.sql(f"""
-        SELECT CASE {' '.join(f"WHEN grouping({n}) = 0 THEN '{n}'" for n in names)} ELSE 'total' END AS by,
-          coalesce({', '.join(names)}, '(none)') AS value, count(*) AS n
-        FROM _vq_findings GROUP BY GROUPING SETS ({sets}, ())""")
+    """(by, value, n): findings in total and by code, severity, rule, field, field and value, field and type (both only
+    where there is a field), and first folder; in one pass.
+    """
+    c = F.col
+    keys = [
+        ("total", F.lit("(none)")), *[(n, F.coalesce(c(n), F.lit("(none)"))) for n in ("code", "severity", "rule", "field")],
+        ("field_value", F.concat_ws("=", "field", F.coalesce("actual_value", F.lit(V.MISSING)))), ("field_type", F.concat_ws("=", "field", F.when(c("code") == "field-type-invalid", c("expected")))),
+        ("prefix", V.path_parts(c("path"))[2]),
+    ]
+    has = {"field_value": c("field").isNotNull(), "field_type": c("field").isNotNull() & (c("code") == "field-type-invalid")}
+    each = F.array_compact(F.array(*[F.when(has.get(n, F.lit(True)), F.struct(F.lit(n).alias("by"), k.alias("value"))) for n, k in keys]))
+    return findings.select(F.explode(each).alias("e")).groupBy("e.by", "e.value").agg(F.count("*").alias("n"))
+
+
+def any_error(diagnostics: DataFrame) -> DataFrame:
+    """One row: whether a diagnostic or finding is an error."""
+    return diagnostics.agg(F.coalesce(F.bool_or(F.col("severity") == "error"), F.lit(False)).alias("any_error"))
 
 
 def fingerprint(frame: DataFrame) -> DataFrame:
-    """An order-free digest of a table: row count and the xor of row hashes."""
-    return frame.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*frame.columns)).alias("digest"))
+    """An order-free digest of a table: row count and the sum of row hashes, which repeated rows change too."""
+    return frame.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*frame.columns).cast("decimal(38,0)")).alias("digest"))
 
 
 def next_number(names: DataFrame, column: str, prefix: str, suffix: str = "") -> DataFrame:

@@ -15,14 +15,17 @@ from ..functions import values as V
 class Query:
     """documents(path, stem, metadata VARIANT, body, ...) with ANDed predicates.
 
-    `typed` names columns that hold a metadata field with its own type: predicates on them are plain comparisons, which
-    reach the files' statistics. All other fields are read from `metadata`, where a list matches by any element.
+    `typed` names columns that hold a metadata field with its own type. Predicates on them are plain comparisons, which
+    reach the files' statistics, for numbers, dates and booleans, and for those text columns that `plain` names: the
+    caller knows that no value there has wikilink brackets. Other text is compared without its brackets, as in
+    `metadata`, where all other fields are read and a list matches by any element.
     `links(source_path, resolved_path, status)` serve the predicates on links.
     """
 
     documents: DataFrame
     links: DataFrame | None = None
     typed: tuple[str, ...] = ()
+    plain: tuple[str, ...] = ()
     metadata: str = "metadata"
     tests: tuple[Column, ...] = ()
     joins: tuple = field(default_factory=tuple)
@@ -36,10 +39,17 @@ class Query:
     def _has(self, name: str) -> Column:
         return F.col(name).isNotNull() if name in self.typed else V.present(V.field(self.metadata, name))
 
+    def _column(self, name: str) -> tuple[Column, bool]:
+        """A typed column as it is compared, and whether it is text."""
+        is_text = dict(self.documents.dtypes)[name] == "string"
+        return (V.bare(F.col(name)) if is_text and name not in self.plain else F.col(name)), is_text
+
+    def _values(self, name: str, values: list) -> list:
+        return [V.unbracketed(str(v)) for v in values] if self._column(name)[1] else list(values)
+
     def _equal(self, name: str, value) -> Column:
         if name in self.typed:
-            is_text = dict(self.documents.dtypes)[name] == "string"
-            return V.bare(F.col(name)) == V.unbracketed(str(value)) if is_text and "[[" in str(value) else F.col(name) == F.lit(str(value) if is_text else value)
+            return self._column(name)[0] == F.lit(self._values(name, [value])[0])
         return self._any(name, lambda e: V.same(e, value))
 
     def eq(self, name: str, value) -> Query:
@@ -51,14 +61,14 @@ class Query:
 
     def isin(self, name: str, values: list) -> Query:
         if name in self.typed:
-            return self._with(F.col(name).isin(list(values)) if values else F.lit(False))
+            return self._with(self._column(name)[0].isin(self._values(name, values)) if values else F.lit(False))
         return self._with(self._any(name, lambda e: _or([V.same(e, v) for v in values])))
 
     def not_in(self, name: str, values: list) -> Query:
         if not values:
             return self
         if name in self.typed:
-            return self._with(self._has(name) & ~F.col(name).isin(list(values)))
+            return self._with(self._has(name) & ~self._column(name)[0].isin(self._values(name, values)))
         return self._with(self._has(name) & ~self._any(name, lambda e: _or([V.same(e, v) for v in values])))
 
     def has(self, name: str) -> Query:
@@ -72,7 +82,7 @@ class Query:
         if not needle:
             return self._with(F.lit(False))
         if name in self.typed:
-            return self._with(test(F.col(name).cast("string"), needle))
+            return self._with(test(self._column(name)[0].cast("string"), needle))
         return self._with(self._any(name, lambda e: F.coalesce(test(V.bare(V.text(e)), needle), F.lit(False))))
 
     def starts_with(self, name: str, needle: str) -> Query:
@@ -88,7 +98,7 @@ class Query:
         """Dates compare as text; booleans are 1 and 0 here."""
         value = V.today_or(value)
         if name in self.typed:
-            return self._with(test(F.col(name), value))
+            return self._with(test(self._column(name)[0], value))
         shown = lambda e: F.when(V.kind(e) == "boolean", V.number(e).cast("int").cast("string")).otherwise(V.bare(V.text(e)))
         return self._with(self._any(name, lambda e: F.coalesce(test(shown(e), value), F.lit(False))))
 
@@ -144,6 +154,12 @@ def _or(tests: list[Column]) -> Column:
     return out
 
 
+def by_display(frame: DataFrame, name: str, descending: bool = False, metadata: str = "metadata") -> DataFrame:
+    """By a field's value as shown on one line; documents without it come last in either direction, ties by path."""
+    shown = V.inline(V.field(metadata, name))
+    return frame.orderBy(shown.desc_nulls_last() if descending else shown.asc_nulls_last(), F.col("path").asc())
+
+
 def page(ordered: DataFrame, limit: int | None = 10, starts_at: int = 1) -> DataFrame:
     """A page of an ordered frame: 1-based start; None for no limit."""
     out = ordered.offset(max(0, starts_at - 1))

@@ -45,16 +45,20 @@ def resolve(links: DataFrame, files: DataFrame, documents: DataFrame, headings:
     has_ext = F.substring_index("target", "/", -1).contains(".")
     with_md = lambda c: F.when(has_ext, F.array(c)).otherwise(F.array(c, F.concat(c, F.lit(".md"))))
     tried = F.when(is_embed, F.concat(with_md(relative), with_md(rooted))).when(is_wiki, F.when(F.col("target").contains("/"), with_md(rooted)).otherwise(F.array().cast("array<string>"))).otherwise(with_md(relative))
-    keyed = links.withColumn("_id", F.monotonically_increasing_id()).withColumns({"_self": F.col("target") == "", "_tried": tried, "_stem": F.lower(F.regexp_replace(F.substring_index("target", "/", -1), r"(?i)\.md$", ""))})
-
-    probes = keyed.where("NOT _self").select("_id", F.posexplode("_tried").alias("_rank", "_path"))
-    exact = probes.join(files.select(F.col("path").alias("_path"), F.col("path").alias("found")), "_path").select("_id", (F.col("_rank") * 2).alias("rank"), "found")
+    keyed = links.withColumns({"_base": base, "_self": F.col("target") == "", "_stem": F.lower(F.regexp_replace(F.substring_index("target", "/", -1), r"(?i)\.md$", ""))})
+
+    # where a link leads by path depends on its folder, kind and target only: one probe for all links that share them,
+    # and nothing that a task that runs again could number otherwise
+    asked = keyed.where("NOT _self").select("_base", "kind", "target", tried.alias("_tried")).groupBy("_base", "kind", "target").agg(F.first("_tried").alias("_tried"))
+    probes = asked.select("_base", "kind", "target", F.posexplode("_tried").alias("_rank", "_path"))
+    key = ["_base", "kind", "target"]
+    exact = probes.join(files.select(F.col("path").alias("_path"), F.col("path").alias("found")), "_path").select(*key, (F.col("_rank") * 2).alias("rank"), "found")
     folded = files.groupBy(F.lower("path").alias("_low")).agg(F.max("path").alias("found"))
-    loose = probes.withColumn("_low", F.lower("_path")).join(folded, "_low").select("_id", (F.col("_rank") * 2 + 1).alias("rank"), "found")
-    by_path = exact.unionByName(loose).groupBy("_id").agg(F.min_by("found", "rank").alias("by_path"))
+    loose = probes.withColumn("_low", F.lower("_path")).join(folded, "_low").select(*key, (F.col("_rank") * 2 + 1).alias("rank"), "found")
+    by_path = exact.unionByName(loose).groupBy(*key).agg(F.min_by("found", "rank").alias("by_path"))
 
     stems = documents.groupBy(F.lower("stem").alias("_stem")).agg(F.array_sort(F.collect_set("path")).alias("by_stem"))
-    out = keyed.join(by_path, "_id", "left").join(stems, "_stem", "left")
+    out = keyed.join(by_path, key, "left").join(stems, "_stem", "left")
     if aliases is not None:
         named = aliases.groupBy(F.col("alias").alias("_alias")).agg(F.array_sort(F.collect_set("doc_path")).alias("by_alias"))
         out = out.join(named, F.lower("target") == F.col("_alias"), "left")
@@ -86,21 +90,34 @@ def incoming(links: DataFrame) -> DataFrame:
 
 
 def deep(documents: DataFrame, links: DataFrame, headings: DataFrame | None = None) -> DataFrame:
-    """documents with their outgoing links, back-links and, if asked for, headings as lists in order."""
-    out_links = links.groupBy(F.col("source_path").alias("path")).agg(F.array_sort(F.collect_list(F.struct("target", "resolved_path", "status"))).alias("outgoing"))
-    back = links.where("resolved_path IS NOT NULL").groupBy(F.col("resolved_path").alias("path")).agg(F.array_sort(F.collect_list("source_path")).alias("incoming"))
+    """documents with their outgoing links, those of them without a target, back-links and, if asked for, headings, as
+    lists: outgoing ones by their place in the document, back-links by document and place.
+    """
+    at = F.col("byte_offset") if "byte_offset" in links.columns else F.lit(None).cast("long")
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(at.alias("at"), *c))), lambda x: F.struct(*[x[n].alias(n) for n in c]))
+    out_links = links.groupBy(F.col("source_path").alias("path")).agg(listed(["target", "resolved_path", "status"]).alias("outgoing"))
+    out_links = out_links.withColumn("unresolved", F.filter("outgoing", lambda x: x["status"] == NONE))
+    back = links.where("resolved_path IS NOT NULL").groupBy(F.col("resolved_path").alias("path")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("source_path"), at.alias("at")))), lambda x: x["source_path"]).alias("incoming"))
     out = documents.join(out_links, "path", "left").join(back, "path", "left")
     if headings is not None:
-        listed = headings.groupBy(F.col("doc_path").alias("path")).agg(F.array_sort(F.collect_list(F.struct("line", "level", "text"))).alias("headings"))
-        out = out.join(listed, "path", "left")
+        listed_headings = headings.groupBy(F.col("doc_path").alias("path")).agg(F.array_sort(F.collect_list(F.struct("line", "level", "text"))).alias("headings"))
+        out = out.join(listed_headings, "path", "left")
     return out
 
 
+def _alias_entries(documents: DataFrame, name: str, metadata: str) -> DataFrame:
+    return documents.select(F.col("path").alias("doc_path"), F.explode(V.elements(V.field(metadata, name))).alias("v")).withColumn("kind", V.kind(F.col("v")))
+
+
+def malformed_aliases(documents: DataFrame, name: str = "aliases", metadata: str = "metadata") -> DataFrame:
+    """(doc_path, value): alias entries that are lists or objects, as JSON."""
+    return _alias_entries(documents, name, metadata).where("kind IN ('array', 'object')").select("doc_path", V.text(F.col("v")).alias("value"))
+
+
 def aliases_of(documents: DataFrame, name: str = "aliases", metadata: str = "metadata") -> DataFrame:
     """(doc_path, alias): strings, numbers and booleans in lower case; nulls and nested values aren't aliases."""
-    e = F.explode(V.elements(V.field(metadata, name)))
-    found = documents.select(F.col("path").alias("doc_path"), e.alias("v"))
-    return found.where(V.kind(F.col("v")).isin("string", "number", "boolean")).select("doc_path", F.lower(V.text(F.col("v"))).alias("alias"))
+    found = _alias_entries(documents, name, metadata).where("kind IN ('string', 'number', 'boolean')")
+    return found.select("doc_path", F.lower(V.text(F.col("v"))).alias("alias"))
 
 
 def lookup(documents: DataFrame, aliases: DataFrame, target: str) -> DataFrame:

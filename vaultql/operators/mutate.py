@@ -2,20 +2,35 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import pyarrow as pa
+import yaml
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import values as V
+from ..sources.markdown import loaded, masked
+from . import repair
+
 
 class EditRefused(ValueError):
     pass
 
 
+# -- one document's text ------------------------------------------------------------------------
+
+
+def _headings(body: str) -> list[tuple[int, int, int, str]]:
+    """(start, end, level, text) of the headings; what looks like one inside code isn't."""
+    clear = masked(body)
+    return [(m.start(), m.end(), len(m[1]), body[m.start(2) : m.end(2)].strip()) for m in re.finditer(r"^ {0,3}(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$", clear, re.M)]
+
+
 def _section(body: str, heading: str) -> tuple[int, int, int]:
     """Where a heading's line begins, its content begins, and its section ends (at the next one of its level or above)."""
-    marks = [(m.start(), m.end(), len(m[1]), m[2].strip()) for m in re.finditer(r"^(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$", body, re.M)]
+    marks = _headings(body)
     same = [k for k, m in enumerate(marks) if m[3] == heading]
     if len(same) != 1:
         raise EditRefused("heading-missing" if not same else "heading-ambiguous")
@@ -24,78 +39,213 @@ def _section(body: str, heading: str) -> tuple[int, int, int]:
     return start, min(len(body), end + 1), after
 
 
+def _block(text: str) -> str:
+    """One line end after the last line; nothing stays nothing."""
+    text = text.rstrip("\n")
+    return text and text + "\n"
+
+
 def edited(body: str, edits: list[tuple[str, str, str]]) -> str:
     """body after (op, where, text) edits in turn; any refusal leaves all undone."""
     for op, where, text in edits:
-        if op == "str_replace":
-            if body.count(where) != 1:
-                raise EditRefused("match-missing" if where not in body else "match-ambiguous")
+        if op in ("str_replace", "replace_all"):
+            if not where or where not in body:
+                raise EditRefused("match-missing" if where else "empty-match")
+            if op == "str_replace" and body.count(where) != 1:
+                raise EditRefused("match-ambiguous")
             body = body.replace(where, text)
-            continue
-        start, content, end = _section(body, where)
-        line = text if text.endswith("\n") or not text else text + "\n"
-        if op == "replace_section":
-            body = body[:content] + line + body[end:]
-        elif op == "append_to_section":
-            gap = "" if body[:end].endswith("\n") else "\n"
-            body = body[:end] + gap + line + body[end:]
-        elif op == "delete_section":
-            body = body[:start] + body[end:]
-        elif op == "insert_before_heading":
-            body = body[:start] + line + body[start:]
-        elif op == "insert_after_heading":
-            body = body[:content] + line + body[content:]
+        elif op == "rewrite_link":
+            body = relinked(body, {where: text})
+        elif op == "replace_raw":
+            body = replaced(body, json.loads(text))
         else:
-            raise EditRefused("unknown-edit")
+            start, content, end = _section(body, where)
+            if op == "replace_section":
+                body = body[:content] + _block(text) + body[end:]
+            elif op == "append_to_section":
+                old = body[content:end]
+                kept = old.rstrip()
+                tail = old[len(kept) :]  # blank lines before the next heading stay behind the new line
+                body = body[:content] + kept + "\n" * bool(kept) + text.strip("\n") + (tail if tail.startswith("\n") else "\n") + body[end:]
+            elif op == "delete_section":
+                body = body[:start] + body[end:]
+            elif op == "insert_before_heading":
+                body = body[:start] + _block(text) + body[start:]
+            elif op == "insert_after_heading":
+                body = body[:content] + _block(text) + body[content:]
+            else:
+                raise EditRefused("unknown-edit")
     return body
 
 
+def replaced(body: str, pairs: dict[str, str]) -> str:
+    """body with some pieces of text replaced where they aren't code, all in one pass, longer ones first."""
+    if not pairs:
+        return body
+    clear, out, at = masked(body), [], 0
+    for m in re.finditer("|".join(map(re.escape, sorted(pairs, key=lambda p: (-len(p), p)))), clear):
+        out += [body[at : m.start()], pairs[m[0]]]
+        at = m.end()
+    return "".join(out) + body[at:]
+
+
+def relinked(body: str, names: dict[str, str]) -> str:
+    """body with wikilinks and embeds that name one of `names` naming another; label and anchor stay."""
+    clear, out, at = masked(body), [], 0
+    for m in re.finditer(r"(!?\[\[)([^\]|#]*)([^\]]*\]\])", clear):
+        new = names.get(m[2].strip())
+        if new is not None:
+            out += [body[at : m.start()], m[1], new, m[3]]
+            at = m.end()
+    return "".join(out) + body[at:]
+
+
+def shown(value) -> str:
+    """A value as YAML on the line of its key, or as a block list below it."""
+    if isinstance(value, list):
+        return "[]" if not value else "".join(f"\n  - {shown(v)}" for v in value)
+    return yaml.safe_dump(value, default_flow_style=True, allow_unicode=True, width=1 << 30).split("\n...")[0].rstrip("\n")
+
+
 def set_key(block: str, key: str, value: str | None) -> str:
     """A metadata block with one key set, or removed for None; other bytes stay as they are."""
     found = re.search(rf"^{re.escape(key)}[ \t]*:.*(?:\n(?:[ \t]+.*|- .*))*\n?", block, re.M)
-    line = "" if value is None else f"{key}: {value}\n"
+    line = "" if value is None else f"{key}:{'' if value.startswith(chr(10)) else ' '}{value}\n"
     if found:
         return block[: found.start()] + line + block[found.end() :]
     return block + ("" if not block or block.endswith("\n") else "\n") + line
 
 
-def apply_edits(documents: DataFrame, edits: DataFrame) -> DataFrame:
-    """documents(path, body, hash) with refused, after edits(path, position, op, target, text, expected_hash).
+def coerced(raw: str, wanted: str | None, max_length: int | None = None):
+    """A value as the declared type of its field has it, or a refusal; without a type it is read like YAML."""
+    if wanted is None:
+        return loaded(raw)
+    if wanted in ("string", "list_of_strings") and max_length is not None and len(raw) > max_length:
+        raise EditRefused("too-long")
+    if wanted in ("string", "text"):
+        return raw
+    if wanted == "list_of_strings":
+        return [raw]
+    if wanted in ("wikilink", "wikilink_or_list"):
+        link = raw if raw.startswith("[[") and raw.endswith("]]") else f"[[{raw}]]"
+        if len(link.encode()) <= 4:
+            raise EditRefused("no-wikilink")
+        return link
+    shapes = {"date": r"\d{4}-\d{2}-\d{2}([T ]00:00.*)?", "datetime": r"\d{4}-\d{2}-\d{2}[T ]" + V.TIME, "time": V.TIME, "number": r"[+-]?\d+(\.\d+)?", "boolean": "true|false"}
+    if wanted not in shapes:
+        raise EditRefused("unknown-type")
+    if not re.fullmatch(shapes[wanted], raw):
+        raise EditRefused(f"no-{wanted}")
+    return loaded(raw) if wanted in ("number", "boolean") else raw
+
+
+def with_metadata(block: str, edits: list[tuple[str, str, str]], types: dict[str, str] | None = None, lengths: dict[str, int] | None = None) -> str:
+    """A metadata block after (op, field, value) edits: set, remove, push to and pop from a list."""
+    for op, name, raw in edits:
+        now = loaded(block) or {}
+        if not isinstance(now, dict):
+            raise EditRefused("no-mapping")
+        if op == "remove":
+            block = set_key(block, name, None)
+            continue
+        value = coerced(raw, (types or {}).get(name), (lengths or {}).get(name))
+        if op == "set":
+            block = set_key(block, name, shown(value))
+        elif op in ("push", "pop"):
+            old = now.get(name)
+            old = [] if old is None else old if isinstance(old, list) else [old]
+            one = value[0] if isinstance(value, list) and len(value) == 1 else value
+            new = [*old, one] if op == "push" and one not in old else [x for x in old if x != one] if op == "pop" else old
+            if new != old:
+                block = set_key(block, name, shown(new))
+        else:
+            raise EditRefused("unknown-edit")
+    return block
+
+
+def whole(block: str | None, body: str) -> str:
+    """A file's text from its metadata block and its body."""
+    return body if not block else f"---\n{block}{'' if block.endswith(chr(10)) else chr(10)}---\n{body}"
+
+
+# -- snapshots -----------------------------------------------------------------------------------
 
-    A document's edits are all made or none; a document that changed since (another hash) refuses. Only touched rows
-    go through Python. Edits of a path that isn't there give a row with path-missing.
+_OUT = pa.schema([("path", pa.string()), ("block", pa.string()), ("body", pa.string()), ("refused", pa.string())])
+_METADATA = {"set_frontmatter": "set", "add_frontmatter": "set", "remove_frontmatter": "remove", "push_frontmatter": "push", "pop_frontmatter": "pop"}
+#: The order in which one document's edits are made.
+_PHASE = {**dict.fromkeys(_METADATA, 0), "rewrite_link": 1, "replace_raw": 1}
+
+
+def apply_edits(documents: DataFrame, edits: DataFrame, types: dict[str, str] | None = None, lengths: dict[str, int] | None = None) -> DataFrame:
+    """documents(path, body, hash[, block]) with refused, after edits(path, position, op, target, text, expected_hash).
+
+    A document's edits are all made or none: metadata first, then links, then the rest, each in the order of position. A
+    document that changed since (another hash) refuses. Only touched rows go through Python. Edits of a path that isn't
+    there give a row with path-missing. The new hash is that of the whole file.
     """
-    lists = edits.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("position", "op", "target", "text"))).alias("_edits"), F.min("expected_hash").alias("_low"), F.max("expected_hash").alias("_high"))
+    if "block" not in documents.columns:
+        documents = documents.withColumn("block", F.lit(None).cast("string"))
+    order = F.coalesce(*[F.when(F.col("op") == o, k) for o, k in _PHASE.items()], F.lit(2))
+    lists = edits.groupBy("path").agg(F.array_sort(F.collect_list(F.struct(order.alias("phase"), "position", "op", "target", "text"))).alias("_edits"), F.min("expected_hash").alias("_low"), F.max("expected_hash").alias("_high"))
     joined = documents.join(lists, "path", "left")
-    whole = joined.where("_edits IS NULL").select("path", "body", "hash", F.lit(None).cast("string").alias("refused"))
-    touched = joined.where("_edits IS NOT NULL")
+    rest = joined.where("_edits IS NULL").select("path", "block", "body", "hash", F.lit(None).cast("string").alias("refused"))
+    touched = joined.where("_edits IS NOT NULL").select("path", "block", "body", "hash", "_edits", "_low", "_high")
 
     def run(batches):
         for batch in batches:
-            rows = batch.to_pylist()
             out = []
-            for r in rows:
-                body, why = r["body"], None
+            for r in batch.to_pylist():
+                block, body, why = r["block"], r["body"], None
                 if (r["_low"], r["_high"]) not in ((None, None), (r["hash"], r["hash"])):
                     why = "hash-mismatch"
                 else:
                     try:
-                        body = edited(body or "", [(e["op"], e["target"], e["text"]) for e in r["_edits"]])
+                        meta = [(_METADATA[e["op"]], e["target"], e["text"]) for e in r["_edits"] if e["op"] in _METADATA]
+                        new_block = with_metadata(block or "", meta, types, lengths) if meta else block
+                        new_body = edited(body or "", [(e["op"], e["target"], e["text"]) for e in r["_edits"] if e["op"] not in _METADATA])
+                        block, body = new_block, new_body
                     except EditRefused as e:
                         why = str(e)
-                out.append({"path": r["path"], "body": body, "refused": why})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("path", pa.string()), ("body", pa.string()), ("refused", pa.string())]))
+                out.append({"path": r["path"], "block": block, "body": body, "refused": why})
+            yield pa.RecordBatch.from_pylist(out, schema=_OUT)
 
-    made = touched.select("path", "body", "hash", "_edits", "_low", "_high").mapInArrow(run, "path string, body string, refused string")
-    made = made.select("path", "body", F.sha2("body", 256).alias("hash"), "refused")
-    lost = lists.join(documents.select("path"), "path", "left_anti").select("path", F.lit(None).cast("string").alias("body"), F.lit(None).cast("string").alias("hash"), F.lit("path-missing").alias("refused"))
-    return whole.unionByName(made).unionByName(lost)
+    made = touched.mapInArrow(run, "path string, block string, body string, refused string")
+    text = F.when(F.coalesce(F.length("block"), F.lit(0)) == 0, F.col("body")).otherwise(F.concat(F.lit("---\n"), F.col("block"), F.when(F.col("block").endswith("\n"), "").otherwise("\n"), F.lit("---\n"), F.col("body")))
+    made = made.select("path", "block", "body", F.sha2(text, 256).alias("hash"), "refused")
+    none = F.lit(None).cast("string")
+    lost = lists.join(documents.select("path"), "path", "left_anti").select("path", none.alias("block"), none.alias("body"), none.alias("hash"), F.lit("path-missing").alias("refused"))
+    return rest.unionByName(made).unionByName(lost)
+
+
+def created(documents: DataFrame, new: DataFrame) -> DataFrame:
+    """documents(path, stem, ...) and the new ones; a new row whose path is taken, unsafe or asked for twice is refused.
+
+    Columns that `new` lacks are null; `refused` says why a row isn't a document.
+    """
+    out = documents.withColumn("refused", F.lit(None).cast("string"))
+    there = documents.select(F.col("path").alias("_there")).distinct()
+    twice = new.groupBy("path").count().where("count > 1").select(F.col("path").alias("_twice"))
+    rows = new.join(there, new["path"] == F.col("_there"), "left").join(twice, new["path"] == F.col("_twice"), "left")
+    why = F.when(~V.contained(F.col("path")), "outside").when(F.col("_there").isNotNull(), "path-exists").when(F.col("_twice").isNotNull(), "path-twice")
+    rows = rows.withColumn("refused", why).drop("_there", "_twice")
+    return out.unionByName(rows.withColumn("stem", V.path_parts(F.col("path"))[1]), allowMissingColumns=True)
 
 
 def moved(documents: DataFrame, links: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents, links) after moves(path, new_path): rows and the edges that end or begin at them."""
+    """(documents, links) after moves(path, new_path): rows, the edges that end or begin at them, and, where links has
+    `raw`, `kind` and `target`, the text of the links in the bodies (see repair.link_impact).
+    """
     m = moves.select("path", "new_path")
     docs = documents.join(m, "path", "left").withColumn("path", F.coalesce("new_path", "path")).drop("new_path")
+    if {"raw", "kind", "target"} <= set(links.columns) and "body" in documents.columns:
+        new = repair.link_impact(links, moves).where("new_raw IS NOT NULL AND new_raw <> raw").groupBy("source_path", "raw").agg(F.min("new_raw").alias("new_raw"))
+        pairs = new.groupBy(F.col("source_path").alias("path")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("raw", "new_raw")))).alias("text"))
+        edits = pairs.select("path", F.lit(0).alias("position"), F.lit("replace_raw").alias("op"), F.lit("").alias("target"), "text", F.lit(None).cast("string").alias("expected_hash"))
+        rewritten = apply_edits(docs.select("path", "body", "hash", *[c for c in ("block",) if c in docs.columns]).join(edits.select("path"), "path", "left_semi"), edits).where("refused IS NULL")
+        changed = rewritten.select("path", F.col("body").alias("_body"), F.col("hash").alias("_hash"))
+        docs = docs.join(changed, "path", "left").withColumns({"body": F.coalesce("_body", "body"), "hash": F.coalesce("_hash", "hash")}).drop("_body", "_hash")
+    if "stem" in docs.columns:
+        docs = docs.withColumn("stem", V.path_parts(F.col("path"))[1])
     ends = links.join(m.withColumnsRenamed({"path": "resolved_path", "new_path": "_new"}), "resolved_path", "left").withColumn("resolved_path", F.coalesce("_new", "resolved_path")).drop("_new")
     starts = ends.join(m.withColumnsRenamed({"path": "source_path", "new_path": "_new"}), "source_path", "left").withColumn("source_path", F.coalesce("_new", "source_path")).drop("_new")
     return docs, starts
@@ -108,3 +258,43 @@ def deleted(documents: DataFrame, links: DataFrame, paths: DataFrame, allow_brok
         from_outside = links.join(gone.withColumnRenamed("path", "source_path"), "source_path", "left_anti")
         gone = gone.join(from_outside.select(F.col("resolved_path").alias("path")), "path", "left_anti")
     return documents.join(gone, "path", "left_anti")
+
+
+#: Operations of a plan, by the phase that makes them.
+OPERATIONS = {**dict.fromkeys((*_METADATA, "rewrite_link", "str_replace", "replace_all", "replace_section", "append_to_section", "delete_section", "insert_before_heading", "insert_after_heading"), "content"), "delete_document": "delete", "create_document": "create", "move_document": "move"}
+
+
+def apply_plan(documents: DataFrame, links: DataFrame, changes: DataFrame, types: dict[str, str] | None = None, allow_broken: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(documents, refused) after changes(path, operation, field, old_value, new_value, destination, document_hash).
+
+    Phases follow each other: content (see apply_edits), delete, create, move with its links. `field` is the key or the
+    heading, `old_value` the text that edits look for, `new_value` what they write, `destination` where a move leads. A
+    document whose hash isn't the expected one takes part in no phase. refused(path, reason) tells what wasn't done.
+    """
+    unknown = [r[0] for r in changes.where(~F.col("operation").isin(*OPERATIONS)).select("operation").distinct().limit(10).collect()]
+    if unknown:
+        raise EditRefused(f"unknown operations {unknown}")
+    base = documents if "block" in documents.columns else documents.withColumn("block", F.lit(None).cast("string"))
+    stale = changes.join(base.select("path", F.col("hash").alias("_now")), "path").where("document_hash IS NOT NULL AND document_hash <> _now").select("path").distinct()
+    fresh = changes.join(stale, "path", "left_anti")
+    phase = lambda name: fresh.where(F.col("operation").isin(*[o for o, p in OPERATIONS.items() if p == name]))
+    where = F.when(F.col("operation").isin(*_METADATA) | F.col("operation").contains("section") | F.col("operation").contains("heading"), F.col("field")).otherwise(F.col("old_value"))
+    edits = phase("content").select("path", F.col("operation").alias("op"), where.alias("target"), F.coalesce("new_value", F.lit("")).alias("text"), F.lit(None).cast("string").alias("expected_hash"))
+    edits = edits.withColumn("position", F.when(F.col("op") == "remove_frontmatter", 1).otherwise(0))
+    done = apply_edits(base.select("path", "block", "body", "hash"), edits, types)
+    refused = stale.select("path", F.lit("hash-mismatch").alias("reason")).unionByName(done.where("refused IS NOT NULL").select("path", F.col("refused").alias("reason")))
+    now = base.drop("block", "body", "hash").join(done.drop("refused"), "path")
+    paths = phase("delete").select("path").distinct()
+    after = deleted(now, links, paths, allow_broken)
+    refused = refused.unionByName(paths.join(after, "path", "left_semi").select("path", F.lit("linked").alias("reason")))
+    grown = created(after, phase("create").select("path", F.col("new_value").alias("body"), F.sha2("new_value", 256).alias("hash")))
+    refused = refused.unionByName(grown.where("refused IS NOT NULL").select("path", F.col("refused").alias("reason")))
+    after = grown.where("refused IS NULL").drop("refused")
+    moves = phase("move").select("path", F.col("destination").alias("new_path")).distinct()
+    taken = moves.join(after.select(F.col("path").alias("new_path")), "new_path", "left_semi").select("path", F.lit("path-exists").alias("reason"))
+    unsafe = moves.where(~V.contained(F.col("new_path"))).select("path", F.lit("outside").alias("reason"))
+    several = moves.groupBy("path").count().where("count > 1").select("path", F.lit("path-twice").alias("reason"))
+    same = moves.groupBy("new_path").count().where("count > 1").join(moves, "new_path").select("path", F.lit("path-twice").alias("reason"))
+    wrong = taken.unionByName(unsafe).unionByName(several).unionByName(same).groupBy("path").agg(F.min("reason").alias("reason"))
+    docs, _ = moved(after, links, moves.join(wrong, "path", "left_anti"))
+    return docs, refused.unionByName(wrong)

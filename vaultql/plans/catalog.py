@@ -33,7 +33,7 @@ def query(sql: str | None = None):
 
 
 def docs(spark, sf_dir, labelled: bool = True, typed: bool = True) -> Query:
-    return Query(T.documents(spark, sf_dir, labelled), typed=TYPED if typed else ())
+    return Query(T.documents(spark, sf_dir, labelled), typed=TYPED if typed else (), plain=("lang", "source"))
 
 
 def _ids(q: Query) -> DataFrame:
@@ -95,7 +95,7 @@ def find_missing(spark, sf_dir):
 
 def _parts(spark, sf_dir) -> Query:
     p = T.table(spark, sf_dir, "part")
-    return Query(p.withColumn("path", F.col("p_partkey").cast("string")), typed=("p_name", "p_type"))
+    return Query(p.withColumn("path", F.col("p_partkey").cast("string")), typed=("p_name", "p_type"), plain=("p_name", "p_type"))
 
 
 @query("SELECT p_partkey FROM part WHERE starts_with(p_type, 'S')")
@@ -103,9 +103,9 @@ def find_starts(spark, sf_dir):
     return _parts(spark, sf_dir).starts_with("p_type", "S").frame().select("p_partkey")
 
 
-@query("SELECT p_partkey FROM part WHERE suffix(p_name, 'n')")
+@query("SELECT p_partkey FROM part WHERE suffix(p_name, 'bolt')")
 def find_ends(spark, sf_dir):
-    return _parts(spark, sf_dir).ends_with("p_name", "n").frame().select("p_partkey")
+    return _parts(spark, sf_dir).ends_with("p_name", "bolt").frame().select("p_partkey")
 
 
 @query("SELECT p_partkey FROM part WHERE contains(p_name, 'e')")
@@ -115,7 +115,7 @@ def find_contains(spark, sf_dir):
 
 def _orders(spark, sf_dir) -> Query:
     o = T.table(spark, sf_dir, "orders")
-    return Query(o.withColumns({"path": F.col("o_orderkey").cast("string"), "day": F.date_format("o_orderdate", "yyyy-MM-dd")}), typed=("day",))
+    return Query(o.withColumns({"path": F.col("o_orderkey").cast("string"), "day": F.date_format("o_orderdate", "yyyy-MM-dd")}), typed=("day",), plain=("day",))
 
 
 @query("SELECT o_orderkey FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d') < '1995-06-17'")
@@ -172,9 +172,13 @@ def find_sort_limit_offset(spark, sf_dir):
     return page(q.sorted("n_chars", descending=True), 10, 6).select("doc_id", "path", "n_chars")
 
 
-@query(f"SELECT doc_id, quality FROM {DOC} ORDER BY quality NULLS FIRST, path LIMIT 700")
+@query(f"SELECT doc_id, CASE WHEN quality IS NULL THEN 0 WHEN quality = 0 THEN 1 ELSE 2 END AS rank, CASE WHEN quality = 0 THEN CAST(n_chars AS DOUBLE) END AS number, CASE WHEN quality = 1 THEN lang END AS text FROM {DOC}")
 def find_sort_mixed(spark, sf_dir):
-    return page(docs(spark, sf_dir, typed=False).sorted("quality", everything=True), 700).select("doc_id", "quality")
+    """The keys by which a field of mixed types is sorted, for every row: nulls, numbers, text."""
+    d = T.documents(spark, sf_dir)
+    mixed = F.when(F.col("quality") == 1, F.to_json(F.struct(F.col("lang").alias("m")))).when(F.col("quality") == 0, F.to_json(F.struct(F.col("n_chars").alias("m")))).otherwise("{}")
+    ordered = Query(d.withColumn("metadata", F.parse_json(mixed))).sorted("m", everything=True)
+    return ordered.select("doc_id", *[k.alias(n) for n, k in zip(("rank", "number", "text"), V.sort_keys(V.field("metadata", "m")))])
 
 
 @query(f"SELECT count(*) AS total, least(count(*), 10) AS returned, count(*) > 10 AS truncated FROM {DOC} WHERE lang = 'de'")
@@ -197,8 +201,7 @@ def count_total(spark, sf_dir):
 
 @query(f"SELECT coalesce(CAST(quality AS VARCHAR), '(missing)') AS quality, count(*) AS n FROM {DOC} GROUP BY 1")
 def count_by(spark, sf_dir):
-    d = T.documents(spark, sf_dir)
-    return d.groupBy(V.group_key(V.field("metadata", "quality")).alias("quality")).agg(F.count("*").alias("n"))
+    return A.count_by(T.documents(spark, sf_dir), {"quality": V.group_key(V.field("metadata", "quality"))})
 
 
 @query(f"SELECT lang, coalesce(CAST(toxic AS VARCHAR), '(missing)') AS toxic, count(*) AS n FROM {DOC} GROUP BY 1, 2")
@@ -206,10 +209,9 @@ def count_by_multi(spark, sf_dir):
     return A.count_by(T.documents(spark, sf_dir), {"lang": F.col("lang"), "toxic": F.col("toxic")})
 
 
-@query("SELECT json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY 1")
+@query("SELECT coalesce(json_extract_string(props, '$.k'), '(missing)') AS k, count(*) AS n FROM events GROUP BY 1")
 def count_by_json(spark, sf_dir):
-    e = T.events(spark, sf_dir)
-    return e.groupBy(V.group_key(V.field("metadata", "k")).alias("k")).agg(F.count("*").alias("n"))
+    return A.count_by(T.events(spark, sf_dir), {"k": V.group_key(V.field("metadata", "k"))})
 
 
 _LONG = f"(SELECT path, unnest(['lang', 'source', 'quality', 'toxic']) AS field, unnest([lang, source, CAST(quality AS VARCHAR), CAST(toxic AS VARCHAR)]) AS value FROM {DOC})"
@@ -246,11 +248,11 @@ def describe_date_bounds(spark, sf_dir):
     return A.bounds(one("orders", "o_orderdate").unionByName(one("events", "ts")))
 
 
-@query(f"""SELECT f.field, n_docs, n_distinct, top_value FROM
+@query(f"""SELECT f.field, n_docs, n_distinct, f.field IN ('lang', 'source') AS all_text, top_value FROM
   (SELECT field, count(value) AS n_docs, count(DISTINCT value) AS n_distinct FROM {_LONG} GROUP BY field) f JOIN
   (SELECT field, value AS top_value FROM (SELECT field, value, row_number() OVER (PARTITION BY field ORDER BY count(*) DESC, value) AS r FROM {_LONG} WHERE value IS NOT NULL GROUP BY field, value) WHERE r = 1) t USING (field)""")
 def field_stats(spark, sf_dir):
-    return A.field_stats(_long(spark, sf_dir))
+    return A.field_stats(_long(spark, sf_dir).withColumn("is_text", ~F.col("field").isin("quality", "toxic")))
 
 
 @query(f"SELECT DISTINCT source || '/' || lang AS folder FROM {DOC}")
@@ -260,8 +262,7 @@ def folder_list(spark, sf_dir):
 
 @query("SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'labels', count(*) FROM labels UNION ALL SELECT 'pages', count(*) FROM pages")
 def relation_counts(spark, sf_dir):
-    one = lambda t: T.table(spark, sf_dir, t).agg(F.lit(t).alias("name"), F.count("*").alias("n")).select("name", "n")
-    return one("documents").unionByName(one("labels")).unionByName(one("pages"))
+    return A.row_counts({t: T.table(spark, sf_dir, t) for t in ("documents", "labels", "pages")})
 
 
 # -- links --------------------------------------------------------------------------------------
@@ -359,9 +360,10 @@ def findings(spark, sf_dir):
     return C.findings(T.documents(spark, sf_dir), RULES)
 
 
-@query(f"""SELECT CASE WHEN grouping(code) = 0 THEN 'code' WHEN grouping(severity) = 0 THEN 'severity' WHEN grouping(rule) = 0 THEN 'rule' WHEN grouping(field) = 0 THEN 'field' WHEN grouping(prefix) = 0 THEN 'prefix' ELSE 'total' END AS by,
-  coalesce(code, severity, rule, field, prefix, '(none)') AS value, count(*) AS n
-  FROM (SELECT *, split_part(path, '/', 1) AS prefix FROM ({FINDINGS})) GROUP BY GROUPING SETS ((code), (severity), (rule), (field), (prefix), ())""")
+@query(f"""WITH f AS (SELECT *, split_part(path, '/', 1) AS prefix FROM ({FINDINGS}))
+  SELECT e.by, e.value, count(*) AS n FROM (SELECT unnest([{{'by': 'total', 'value': '(none)'}}, {{'by': 'code', 'value': code}}, {{'by': 'severity', 'value': severity}}, {{'by': 'rule', 'value': rule}}, {{'by': 'field', 'value': coalesce(field, '(none)')}},
+    {{'by': CASE WHEN field IS NOT NULL THEN 'field_value' END, 'value': field || '=' || coalesce(actual_value, '(missing)')}}, {{'by': CASE WHEN code = 'field-type-invalid' THEN 'field_type' END, 'value': field || '=' || expected}}, {{'by': 'prefix', 'value': prefix}}]) AS e FROM f)
+  WHERE e.by IS NOT NULL GROUP BY 1, 2""")
 def findings_summary(spark, sf_dir):
     return A.summary(findings(spark, sf_dir))
 
@@ -375,7 +377,7 @@ def triage_filter(spark, sf_dir):
 def alias_duplicates(spark, sf_dir):
     p = T.table(spark, sf_dir, "part")
     aliases = p.select(F.col("p_partkey").cast("string").alias("doc_path"), F.lower("p_name").alias("alias"))
-    none = p.limit(0).select(F.col("p_name").alias("stem"))
+    none = p.limit(0).select(F.col("p_name").alias("stem"), F.col("p_name").alias("path"))  # vault.alias_findings has stems
     return C.alias_findings(aliases, none).where("code = 'frontmatter-alias-duplicate'").select(F.col("actual_value").alias("alias"), "path")
 
 
@@ -408,19 +410,15 @@ def repair_first_rule(spark, sf_dir):
     return R.first_rule(found, rules, ["code", "field", "actual_value"])
 
 
-@query(f"SELECT path, code, field, substr(sha256(path || chr(31) || code || chr(31) || coalesce(actual_value, '') || chr(31) || CAST(row_number() OVER (PARTITION BY path, code, actual_value ORDER BY field) - 1 AS VARCHAR)), 1, 16) AS change_id FROM ({FINDINGS})")
+@query(f"SELECT path, code, field, substr(sha256(path || chr(31) || code || chr(31) || coalesce('=' || actual_value, '') || chr(31) || CAST(row_number() OVER (PARTITION BY path, code, actual_value ORDER BY field) - 1 AS VARCHAR)), 1, 16) AS change_id FROM ({FINDINGS})")
 def change_id(spark, sf_dir):
     changes = findings(spark, sf_dir).select("path", "code", F.col("actual_value").alias("old_value"), "field")
     return R.with_change_ids(changes).select("path", "code", "field", "change_id")
 
 
-@query(f"""SELECT page_id, target, CASE WHEN split_part(target, '#', 1) = old THEN '/moved' || regexp_extract(target, '(#.*)$', 1) ELSE target END AS new_target
-  FROM {_HREF}, (SELECT min(split_part(target, '#', 1)) AS old FROM {_HREF} WHERE starts_with(target, '/'))""")
+@query(f"""SELECT page_id, target, CASE WHEN split_part(target, '#', 1) = '/about' THEN '/moved' || regexp_extract(target, '(#.*)$', 1) ELSE target END AS new_target FROM {_HREF}""")
 def link_risk_rewrite(spark, sf_dir):
-    h = _hrefs(spark, sf_dir)
-    old = h.where(F.col("target").startswith("/")).agg(F.min(F.substring_index("target", "#", 1)).alias("old"))
-    out = h.join(F.broadcast(old))  # one row
-    return out.select("page_id", "target", R.moved_markdown(F.col("target"), F.col("old"), "/moved").alias("new_target"))
+    return _hrefs(spark, sf_dir).select("page_id", "target", R.moved_markdown(F.col("target"), "/about", "/moved").alias("new_target"))
 
 
 @query("SELECT * FROM (SELECT CAST(n_nationkey AS VARCHAR) AS path, 'unexpected' AS side FROM nation WHERE n_regionkey = 1 AND n_nationkey > 10 UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 'absent' FROM nation WHERE n_regionkey <> 1 AND n_nationkey <= 10)")
@@ -457,8 +455,7 @@ def _audit(spark, sf_dir) -> DataFrame:
 @query("SELECT event_id AS span, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events WHERE event_type = (SELECT min(event_type) FROM events) AND ts >= TIMESTAMP '2024-01-02' ORDER BY ts DESC, event_id DESC LIMIT 20")
 def audit_filter_newest(spark, sf_dir):
     e = _audit(spark, sf_dir)
-    first = e.agg(F.min("status")).first()[0]  # one row
-    found = audit.newest(audit.select(e, status=first, since="2024-01-02"))
+    found = audit.newest(audit.select(e, status=e.agg(F.min("status")).scalar(), since="2024-01-02"))
     return found.select("span", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 

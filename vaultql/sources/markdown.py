@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 
@@ -16,14 +17,16 @@ from ..functions import globs
 from ..functions import values as V
 
 SCHEMA = (
-    "path string, frontmatter_json string, body_text string, "
-    "links array<struct<raw:string,kind:string,target:string,label:string,anchor:string,block_ref:string,area:string,property:string,line:int,byte_offset:long>>, "
-    "headings array<struct<level:int,text:string,line:int,byte_offset:long>>, block_ids array<string>, diagnostics array<struct<severity:string,code:string,message:string>>"
+    "path string, block string, frontmatter_json string, body_text string, hash string, "
+    "links array<struct<raw:string,kind:string,target:string,label:string,anchor:string,block_ref:string,area:string,property:string,line:int,column:int,byte_offset:long>>, "
+    "headings array<struct<level:int,text:string,line:int,column:int,byte_offset:long>>, block_ids array<string>, diagnostics array<struct<severity:string,code:string,message:string>>"
 )
+# The forms of wikilinks and block ids, which the format defines.
 _WIKI = re.compile(r"(!?)\[\[([^\]]+)\]\]")
 _INLINE = re.compile(r"!?\[((?:[^\[\]]|\[[^\]]*\])*)\]\(\s*(<[^>]*>|[^\s()]*(?:\([^\s()]*\)[^\s()]*)*)(?:\s+[\"'(][^)]*)?\)")
 _REFERENCE, _DEFINED = re.compile(r"!?\[([^\[\]]+)\](?:\[([^\[\]]*)\])?(?![(:])"), re.compile(r"^ {0,3}\[([^\[\]]+)\]:\s*(\S+)", re.M)
 _BLOCK = re.compile(r"(?:^|\s)\^([A-Za-z0-9_-]+)\s*$")
+# Our own.
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})")
 _HEADING = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
@@ -37,6 +40,10 @@ _Loader.yaml_implicit_resolvers = {k: [(t, r) for t, r in v if not t.endswith(("
 _Loader.add_implicit_resolver("tag:yaml.org,2002:bool", re.compile(r"^(?:true|True|TRUE|false|False|FALSE)$"), list("tTfF"))
 
 
+def loaded(block: str):
+    return yaml.load(block, _Loader)
+
+
 def split_frontmatter(text: str) -> tuple[str | None, str, bool]:
     """(metadata block, body, unclosed). Without a closing line the whole file is body."""
     if not text.startswith(("---\n", "---\r\n")):
@@ -96,15 +103,20 @@ def masked(body: str) -> str:
 
 
 def parse(path: str, raw: bytes) -> dict:
-    """A file's metadata, body, links, headings, block ids and diagnostics."""
-    text, said = raw.decode(errors="replace"), []
+    """A file's metadata, body, links, headings, block ids and diagnostics; one that isn't UTF-8 has but a diagnostic."""
+    said: list[tuple[str, str, str]] = []
+    try:
+        text = raw.decode()
+    except UnicodeDecodeError as e:
+        empty = {"links": [], "headings": [], "block_ids": []}
+        return {"path": path, "block": None, "frontmatter_json": None, "body_text": "", "hash": "", **empty, "diagnostics": [("error", "read-failed", str(e))]}
     block, body, unclosed = split_frontmatter(text)
     if unclosed:
         said.append(("warning", "frontmatter-unclosed", "no closing line"))
     meta = None
     if block is not None:
         try:
-            meta = yaml.load(block, _Loader)
+            meta = loaded(block)
             shown = None if meta is None else json.dumps(meta, ensure_ascii=False, sort_keys=True)
         except yaml.YAMLError as e:
             said.append(("warning", "frontmatter-parse-failed", str(e).split("\n")[0]))
@@ -116,14 +128,24 @@ def parse(path: str, raw: bytes) -> dict:
         shown = None
     before = text[: len(text) - len(body)]
     first_line, first_byte = before.count("\n"), len(before.encode())
-    line_of = lambda at: first_line + body.count("\n", 0, at) + 1
-    byte_of = lambda at: first_byte + len(body[:at].encode())
+    def place(at: int) -> tuple[int, int, int]:
+        """Line, byte column (both from 1) and byte offset of a place in the body."""
+        begin = body.rfind("\n", 0, at) + 1
+        return first_line + body.count("\n", 0, at) + 1, len(body[begin:at].encode()) + 1, first_byte + len(body[:at].encode())
+
     links = []
     if isinstance(meta, dict):
+        seen = len("---\n")
         for name, value in meta.items():
             for one in value if isinstance(value, list) else [value]:
                 if isinstance(one, str):
-                    links += [(m[0], *found, "frontmatter", str(name), None, None) for m, found in _wikilinks(one)]
+                    for m, found in _wikilinks(one):
+                        at = text.find(m[0], seen, len(before))
+                        where = (None, None, None)
+                        if at >= 0:  # written otherwise, say with escapes, it has no place
+                            seen, begin = at + len(m[0]), text.rfind("\n", 0, at) + 1
+                            where = text.count("\n", 0, at) + 1, len(text[begin:at].encode()) + 1, len(text[:at].encode())
+                        links.append((m[0], *found, "frontmatter", str(name), *where))
     clear = masked(body)
     placed = [(m.start(), (m[0], *found, "body", None)) for m, found in _wikilinks(clear)]
     taken = [(m.start(), m.end()) for m in _WIKI.finditer(clear)]
@@ -135,19 +157,19 @@ def parse(path: str, raw: bytes) -> dict:
         if not target.startswith(("http://", "https://", "mailto:", "#")) and not any(a <= at < b for a, b in taken):
             name, anchor, ref = _parts(_percent(target))
             placed.append((at, (whole, "embed" if whole.startswith("!") else "markdown", name, label, anchor, ref, "body", None)))
-    links += [(*row, line_of(at), byte_of(at)) for at, row in sorted(placed, key=lambda p: p[0])]
-    headings, ids, at, previous = [], [], 0, ""
+    links += [(*row, *place(at)) for at, row in sorted(placed, key=lambda p: p[0])]
+    headings, ids, at, previous, last = [], [], 0, "", ""
     for line, plain in zip(clear.splitlines(keepends=True), body.splitlines(keepends=True), strict=True):
         shown_line = plain if line.strip() else line
         if (m := _HEADING.match(shown_line.rstrip("\r\n"))) and line.strip():
-            headings.append((len(m[1]), re.sub(r"[`*_]", "", m[2] or "").strip(), line_of(at), byte_of(at)))
+            headings.append((len(m[1]), re.sub(r"[`*_]", "", m[2] or "").strip(), *place(at)))
         elif re.fullmatch(r" {0,3}(=+|-+)\s*", line) and previous.strip() and not previous.startswith("#"):
-            headings.append((1 if "=" in line else 2, previous.strip(), line_of(at) - 1, byte_of(at)))
+            headings.append((1 if "=" in line else 2, previous.strip(), *place(at - len(last))))
         if m := _BLOCK.search(line.rstrip("\r\n")):
             ids.append(m[1])
-        previous = shown_line.rstrip("\r\n")
+        previous, last = shown_line.rstrip("\r\n"), plain
         at += len(plain)
-    return {"path": path, "frontmatter_json": shown, "body_text": body, "links": links, "headings": headings, "block_ids": ids, "diagnostics": said}
+    return {"path": path, "block": block, "frontmatter_json": shown, "body_text": body, "hash": hashlib.sha256(raw).hexdigest(), "links": links, "headings": headings, "block_ids": ids, "diagnostics": said}
 
 
 def read_tree(spark: SparkSession, root: str, ignore: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -176,11 +198,24 @@ def read_tree(spark: SparkSession, root: str, ignore: tuple[str, ...] = ()) -> t
     return files, parsed
 
 
+def first_headings(headings: DataFrame) -> DataFrame:
+    slugs = headings.withColumn("slug", V.slug(F.col("text")))
+    rest = [c for c in slugs.columns if c not in ("doc_path", "slug")]
+    return slugs.groupBy("doc_path", "slug").agg(F.min_by(F.struct(*rest), "byte_offset").alias("h")).select("doc_path", "h.*", "slug")
+
+
+def inventory(files: DataFrame, parsed: DataFrame) -> DataFrame:
+    """files with the content hash of the Markdown ones, null for others, which aren't opened."""
+    return files.join(parsed.select("path", "hash"), "path", "left")
+
+
 def relations(parsed: DataFrame) -> dict[str, DataFrame]:
-    """documents, links, headings, block_ids and diagnostics of parsed files."""
+    """documents, links, headings, block_ids and diagnostics of parsed files. Of a document's headings with one slug the
+    first counts. The hash is that of the file's bytes, empty for one that couldn't be read.
+    """
     named = lambda c, doc: parsed.select(F.col("path").alias(doc), F.explode(c).alias("x")).select(doc, "x.*")
     return {
-        "documents": parsed.select("path", V.path_parts(F.col("path"))[1].alias("stem"), "frontmatter_json", F.try_parse_json("frontmatter_json").alias("metadata"), F.col("body_text").alias("body"), F.sha2(F.concat_ws("\n", "frontmatter_json", "body_text"), 256).alias("hash")),
-        "links": named("links", "source_path"), "headings": named("headings", "doc_path").withColumn("slug", V.slug(F.col("text"))),
+        "documents": parsed.select("path", V.path_parts(F.col("path"))[1].alias("stem"), "frontmatter_json", F.try_parse_json("frontmatter_json").alias("metadata"), F.col("body_text").alias("body"), "block", "hash"),
+        "links": named("links", "source_path"), "headings": first_headings(named("headings", "doc_path")),
         "block_ids": parsed.select(F.col("path").alias("doc_path"), F.explode("block_ids").alias("block_id")).distinct(), "diagnostics": named("diagnostics", "doc_path"),
     }

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..functions import templates
+from ..operators import graph
+from ..sources import markdown
 
 RAW = "Timestamp STRING, TraceId STRING, SpanId STRING, SeverityNumber INT, SeverityText STRING, EventName STRING, Body STRING, Attributes MAP<STRING, STRING>, Resource MAP<STRING, STRING>"
 
@@ -26,7 +33,7 @@ def stream(spark: SparkSession, folder: str, files_per_batch: int = 100, late: s
     return _flat(spark.readStream.schema(RAW).option("maxFilesPerTrigger", files_per_batch).json(folder)).withWatermark("timestamp", late)
 
 
-def select(events: DataFrame, trace: str | None = None, status: str | None = None, target: str | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
+def select(events: DataFrame, trace: str | None = None, status: str | Column | None = None, target: str | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
     """Exact trace and status; target as source or destination; both time bounds inclusive."""
     if trace is not None:
         events = events.where(F.col("trace") == trace)
@@ -35,10 +42,9 @@ def select(events: DataFrame, trace: str | None = None, status: str | None = Non
     if target is not None:
         events = events.where((F.col("target") == target) | (F.col("target_to") == target))
     if since is not None:
-        events = events.where(F.col("timestamp") >= F.to_timestamp(F.lit(since)))
+        events = events.where(F.col("timestamp") >= F.to_timestamp(F.lit(bound(since))))
     if until is not None:
-        end = F.to_timestamp(F.lit(until)) + F.expr("INTERVAL 1 DAY") - F.expr("INTERVAL 1 MICROSECOND") if len(until) == 10 else F.to_timestamp(F.lit(until))
-        events = events.where(F.col("timestamp") <= end)
+        events = events.where(F.col("timestamp") <= F.to_timestamp(F.lit(bound(until, end=True))))
     return events
 
 
@@ -65,19 +71,115 @@ def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("path", change.alias("change")).where("change IS NOT NULL")
 
 
-def maintain(source: DataFrame, target: str, checkpoint: str):
-    """A stream of snapshot rows (path, hash, seen, ...) into versioned folders of latest rows.
+def bound(text: str, end: bool = False) -> str:
+    """A time bound as written: a day is its first moment, or its last one for the end; anything else is an instant."""
+    if len(text) == 10:
+        return text + ("T23:59:59.999999Z" if end else "T00:00:00Z")
+    return text
+
+
+def append(events: DataFrame, folder: str, retention: str | None = "90d", cap_bytes: int | None = 256 << 20):
+    """Appends a batch, or starts a stream that appends, to one folder a day (day=YYYY-MM-DD) of JSON lines.
 
-    Each micro-batch joins its rows with the last version and writes the next one whole, then the pointer follows from
-    the largest complete version; a batch that is run again writes the same version.
+    Old days go after each batch: those beyond `retention` (see templates.seconds), then the oldest ones while the whole
+    log has more than `cap_bytes`; the newest day stays. For a stream the checkpoint is the folder's _checkpoint.
+    """
+    daily = events.withColumn("day", F.date_format("timestamp", "yyyy-MM-dd"))
+    if not daily.isStreaming:
+        daily.write.mode("append").partitionBy("day").json(folder)
+        return prune(daily.sparkSession, folder, retention, cap_bytes)
+
+    def step(batch: DataFrame, number: int) -> None:
+        # a batch that runs again replaces its own files
+        batch.write.mode("overwrite").partitionBy("day").json(f"{folder}/batch={number}")
+        prune(batch.sparkSession, folder, retention, cap_bytes)
+
+    return daily.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/_checkpoint")
+
+
+def expired(days: DataFrame, today: str, keep_days: int | None, cap_bytes: int | None) -> DataFrame:
+    """(day): of days(day, bytes), those to drop. As many rows as days, so one window over all is small."""
+    newest_first = Window.orderBy(F.desc("day"))
+    ranked = days.withColumns({"rank": F.row_number().over(newest_first), "upto": F.sum("bytes").over(newest_first)})
+    old = F.lit(False) if keep_days is None else F.col("day") < F.date_format(F.date_sub(F.to_date(F.lit(today)), keep_days), "yyyy-MM-dd")
+    large = F.lit(False) if cap_bytes is None else (F.col("upto") > cap_bytes) & (F.col("rank") > 1)
+    return ranked.where(old | large).select("day")
+
+
+def prune(spark: SparkSession, folder: str, retention: str | None, cap_bytes: int | None, today: str | None = None) -> list[str]:
+    """Deletes the folders of expired days; returns those days."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = [p for pattern in ("day=*", "batch=*/day=*") for p in (fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")) or [])]
+    sizes: dict[str, int] = {}
+    for p in parts:
+        day = p.getPath().getName().removeprefix("day=")
+        sizes[day] = sizes.get(day, 0) + fs.getContentSummary(p.getPath()).getLength()
+    if not sizes:
+        return []
+    keep = None if retention is None or (s := templates.seconds(retention)) is None else s // 86_400
+    days = spark.createDataFrame(list(sizes.items()), "day string, bytes long")
+    gone = sorted(r["day"] for r in expired(days, today or date.today().isoformat(), keep, cap_bytes).collect())
+    for p in parts:
+        if p.getPath().getName().removeprefix("day=") in gone:
+            fs.delete(p.getPath(), True)
+    return gone
+
+
+def refreshed(old: dict[str, DataFrame], parsed: DataFrame, gone: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
+    """The relations (see markdown.relations) after some documents changed: their rows are replaced by those of `parsed`,
+    those of `gone`(path) go, and all links are resolved again, as a new document may change where any link leads.
+    """
+    new = markdown.relations(parsed)
+    touched = parsed.select("path").unionByName(gone.select("path")).distinct()
+    out = {}
+    for name, key in (("documents", "path"), ("links", "source_path"), ("headings", "doc_path"), ("block_ids", "doc_path"), ("diagnostics", "doc_path")):
+        out[name] = old[name].select(*new[name].columns).join(touched.withColumnRenamed("path", key), key, "left_anti").unionByName(new[name])
+    out["links"] = graph.resolve(out["links"], files, out["documents"], out["headings"], out["block_ids"], graph.aliases_of(out["documents"]))
+    return out
+
+
+def maintain(source: DataFrame, target: str, checkpoint: str, parts: int = 64, keep: int = 2):
+    """A stream of snapshot rows (path, hash, seen, ...) into versions of latest rows, dealt into `parts` by path.
+
+    A micro-batch rewrites the parts that its paths fall into and no others: version n's folder has those only, and
+    `current` reads each part from its newest version. A batch that runs again writes the same folder. A part's versions
+    before the last `keep` go.
     """
     spark = source.sparkSession
 
     def step(batch: DataFrame, number: int) -> None:
         latest = batch.groupBy("path").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "path"]), "seen").alias("r")).select("path", "r.*")
-        if number > 0:
-            before = spark.read.parquet(f"{target}/version={number - 1}")
-            latest = before.join(latest.select("path"), "path", "left_anti").unionByName(latest)
-        latest.write.mode("overwrite").parquet(f"{target}/version={number}")
+        latest = latest.withColumn("part", F.pmod(F.xxhash64("path"), F.lit(parts)).cast("int"))
+        before = current(spark, target, latest.drop("part"), below=number)
+        touched = latest.select("part").distinct()  # `parts` rows at most
+        old = before.join(F.broadcast(touched), "part", "left_semi").join(latest.select("path"), "path", "left_anti")
+        both = old.select(*latest.columns).unionByName(latest)
+        both.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{target}/version={number}")
+        for p, versions in _versions(spark, target).items():
+            for v in sorted(versions)[:-keep]:
+                path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/version={v}/part={p}")
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     return source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+
+
+def _versions(spark: SparkSession, target: str) -> dict[int, list[int]]:
+    """The complete versions that each part has."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/version=*/part=*")
+    found: dict[int, list[int]] = {}
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for p in fs.globStatus(path) or []:
+        version = p.getPath().getParent()
+        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(version, "_SUCCESS")):
+            found.setdefault(int(p.getPath().getName()[5:]), []).append(int(version.getName()[8:]))
+    return found
+
+
+def current(spark: SparkSession, target: str, like: DataFrame, below: int | None = None) -> DataFrame:
+    """The snapshot that `maintain` keeps, with its part; `like` has its columns. `below`: as of an earlier batch."""
+    best = {p: max(v) for p, vs in _versions(spark, target).items() if (v := [x for x in vs if below is None or x < below])}
+    schema = StructType([f for f in like.schema if f.name != "part"]).add("version", "int").add("part", "int")
+    if not best:
+        return spark.createDataFrame([], schema).drop("version")
+    return spark.read.schema(schema).option("basePath", target).parquet(*[f"{target}/version={v}/part={p}" for p, v in best.items()]).drop("version")
