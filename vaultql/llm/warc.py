@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import re
 import uuid
+import zlib
 from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,6 +148,46 @@ def http_parts(block: bytes) -> tuple[str, dict[str, str], bytes]:
     return first, headers, body
 
 
+def unchunked(body: bytes) -> bytes:
+    """A body without the sizes of its chunks; as it is if it has none, and as far as it goes if it is cut short."""
+    out, at = [], 0
+    while m := _CHUNK.match(body, at):
+        size = int(m[1], 16)
+        out.append(body[m.end() : m.end() + size])
+        at = m.end() + size
+        if not size or at >= len(body):
+            break
+        at += 2 if body.startswith(b"\r\n", at) else body.startswith(b"\n", at)
+    return b"".join(out) if at else body
+
+
+_CHUNK = re.compile(rb"([0-9A-Fa-f]{1,8})[ \t]*(?:;[^\r\n]*)?\r?\n")
+
+
+def uncoded(body: bytes, codings: str) -> tuple[bytes, str]:
+    """A body without its content codings, last one first, and what is left of those: a coding that isn't known or bytes
+    that aren't so coded stop it. Bytes that are cut short are decoded as far as they go.
+    """
+    left = [c.strip().lower() for c in codings.split(",") if c.strip() and c.strip().lower() != "identity"]
+    while left and body:
+        try:
+            if left[-1] in ("gzip", "x-gzip", "deflate"):
+                try:
+                    body = zlib.decompressobj(47).decompress(body)
+                except zlib.error:
+                    if left[-1] != "deflate":
+                        raise
+                    body = zlib.decompressobj(-15).decompress(body)  # without the header, as some servers send it
+            elif left[-1] == "zstd":
+                body = zstandard.ZstdDecompressor().decompressobj().decompress(body)
+            else:
+                break
+        except (zlib.error, zstandard.ZstdError):
+            break
+        left.pop()
+    return body, ", ".join(left)
+
+
 def responses_from_pages(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", date: str = "1970-01-01T00:00:00Z", keep: list[str] | None = None) -> DataFrame:
     """Response records of HTML pages: record_id, target_uri, warc_date and block, beside the columns `keep` of pages.
 
@@ -167,7 +211,8 @@ def derive(responses: DataFrame, *, keep: list[str] | None = None) -> DataFrame:
     Both carry the response's id in refers_to, its target and date, and its HTTP headers in source_headers. The
     metadata block (application/warc-fields) lists the source's status, headers, digests, title and outlinks; it is
     linked to the conversion by that record's id. The conversion's block is the page's text in UTF-8; its
-    payload_digest is the source payload's, its block_digest that of the text.
+    payload_digest is the source payload's (without chunk sizes, its content codings kept), its block_digest that of the
+    text. Bodies in gzip, deflate or zstd are decoded; for others the text is empty and the metadata has source-undecoded.
 
     Edge cases: a null block is an empty one; a body that isn't text/html or has no type is decoded as it is. Charsets
     that Python doesn't know count as UTF-8, bytes that don't fit become U+FFFD. Null ids and targets stay null.
@@ -196,19 +241,22 @@ _TYPES = [pa.string()] * 8 + [pa.map_(pa.string(), pa.string()), pa.int64(), pa.
 
 def derivatives(source: str | None, uri: str | None, date: str | None, block: bytes | None) -> list[tuple]:
     status, headers, body = http_parts(block or b"")
+    if "chunked" in headers.get("transfer-encoding", "").lower():
+        body = unchunked(body)
+    plain_body, undecoded = uncoded(body, headers.get("content-encoding", ""))
     kind = headers.get("content-type", "")
     charset = re.search(r"charset=\"?([\w.:-]+)", kind, re.I)
     try:
-        decoded = body.decode(charset[1] if charset else "utf-8", "replace")
+        decoded = plain_body.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
-        decoded = body.decode("utf-8", "replace")
-    text, title, links = html_text(decoded) if "html" in kind.lower() or not kind else (decoded, "", [])
+        decoded = plain_body.decode("utf-8", "replace")
+    text, title, links = ("", "", []) if undecoded else html_text(decoded) if "html" in kind.lower() or not kind else (decoded, "", [])
     plain = text.encode()
     payload = digest(body)
     mine = record_id("conversion", source or "", uri or "", plain)
     one_line = lambda s: " ".join(s.split())
     fields = [("source-status", one_line(status)), *((f"source-header-{k}", one_line(v)) for k, v in sorted(headers.items())), ("source-block-digest", digest(block or b"")), ("source-payload-digest", payload), ("conversion-record-id", mine), ("conversion-digest", digest(plain))]
-    fields += [("title", title)] * bool(title) + [("outlink", one_line(x)) for x in links]
+    fields += [("source-undecoded", undecoded)] * bool(undecoded) + [("title", title)] * bool(title) + [("outlink", one_line(x)) for x in links]
     listed = "".join(f"{k}: {v}\r\n" for k, v in fields).encode()
     row = lambda kind, name, type_, raw, part: (kind, name, uri, date, source, type_, digest(raw), payload, list(headers.items()), len(raw), raw, part)
     return [row("metadata", record_id("metadata", source or "", uri or "", listed), "application/warc-fields", listed, 0), row("conversion", mine, "text/plain; charset=utf-8", plain, 1)]
@@ -222,38 +270,57 @@ def serialized(records: DataFrame) -> DataFrame:
     return records.withColumn("warc", F.concat(head, F.coalesce("block", F.lit(b"")), F.lit(b"\r\n\r\n")))
 
 
-def parsed(raw: bytes):
-    """(headers by name, block) of each record in a WARC file's bytes; stops at a record that is cut short."""
-    at = 0
-    while (at := raw.find(b"WARC/", at)) >= 0:
-        end = raw.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        lines = raw[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(headers.get("Content-Length", "0"))
-        if end + 4 + size > len(raw):
-            return
-        yield headers, raw[end + 4 : end + 4 + size]
-        at = end + 4 + size
+def parsed(stream: bytes | io.BufferedIOBase):
+    """(headers by name, block) of each record of a WARC file, one at a time.
+
+    A record whose length isn't a number is passed over up to the next one that begins on a line of its own. A file that is
+    cut short, or whose compression breaks off, ends with the last whole record.
+    """
+    stream = io.BytesIO(stream) if isinstance(stream, bytes) else stream
+    try:
+        while line := stream.readline():
+            if not line.startswith(b"WARC/"):
+                continue
+            headers: dict[str, str] = {}
+            while (line := stream.readline()).strip():
+                name, _, value = line.decode("utf-8", "replace").partition(":")
+                headers[name.strip().lower()] = value.strip()
+            size = headers.get("content-length", "0")
+            if not re.fullmatch("[0-9]+", size):
+                continue
+            block = stream.read(int(size))
+            if len(block) < int(size):
+                return
+            yield headers, block
+    except (EOFError, zlib.error, gzip.BadGzipFile):
+        return
 
 
 def read_warc(spark, path: str) -> DataFrame:
     """Response records of the .warc and .warc.gz files under `path`, which may be in any store that Spark reads.
 
-    A task holds one file at a time, so files should be of the usual size of a gigabyte or less (Spark's binary files
-    end at 2 GB).
+    A task holds one file as it is stored and one record at a time, so files should be of the usual size of a gigabyte or
+    less (Spark's binary files end at 2 GB).
     """
-    import gzip
+    names = ["record_id", "target_uri", "warc_date", "block"]
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.string()] * 3 + [pa.binary()], strict=True)], names=names)
 
     def run(batches):
         for batch in batches:
             for name, raw in zip(column_strings(batch, "path"), column_bytes(batch, "content"), strict=True):
-                plain = gzip.decompress(raw) if name.endswith(".gz") else raw
-                for h, block in parsed(plain):
-                    if h.get("WARC-Type") == "response":
-                        one = [h.get("WARC-Record-ID"), h.get("WARC-Target-URI"), h.get("WARC-Date"), block]
-                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(one, [pa.string()] * 3 + [pa.binary()], strict=True)], names=["record_id", "target_uri", "warc_date", "block"])
+                stream = io.BytesIO(raw)
+                rows, size = [], 0
+                for h, block in parsed(gzip.GzipFile(fileobj=stream) if name.endswith(".gz") else stream):
+                    if h.get("warc-type") == "response":
+                        rows.append((h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-date"), block))
+                        size += len(block)
+                        if size > 8 << 20 or len(rows) == 256:
+                            yield batch_of(rows)
+                            rows, size = [], 0
+                if rows:
+                    yield batch_of(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path)
     return files.select("path", "content").mapInArrow(run, "record_id string, target_uri string, warc_date string, block binary")
