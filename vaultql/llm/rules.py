@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +12,29 @@ SYMBOLS = "#*$%&|<>"
 
 # The line rules' patterns.
 SENTENCE_END = r"""[.!?:;…。！？]["'”’»)\]]*([\x20\x09-\x0D]|$)"""
-NAVIGATION = r"(\|[^|]*\|)|(»[^»]*»)|(›[^›]*›)|(^[\x20\x09-\x0D]*(home|menu|next|previous|back to top|skip to content|share|log in|sign up|read more)[\x20\x09-\x0D]*$)"
-BOILERPLATE = r"(all rights reserved|terms of (use|service)|privacy policy|cookie (policy|settings)|use cookies|enable javascript|lorem ipsum|licensed under|copyright \(c\)|©)"
+# Menu words that fill a line, and phrases of licences, notices and banners, in English, German, French and Spanish.
+MENUS = [
+    "home", "menu", "next", "previous", "back to top", "skip to content", "share", "log in", "sign up", "read more",
+    "startseite", "menü", "weiter", "zurück", "nach oben", "zum inhalt springen", "teilen", "anmelden", "registrieren", "weiterlesen",
+    "accueil", "suivant", "précédent", "haut de page", "aller au contenu", "partager", "connexion", "s'inscrire", "lire la suite",
+    "inicio", "menú", "siguiente", "anterior", "volver arriba", "saltar al contenido", "compartir", "iniciar sesión", "registrarse", "leer más",
+]
+PHRASES = [
+    "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "cookie settings", "use cookies", "enable javascript", "lorem ipsum", "licensed under", "copyright (c)", "©",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "cookie-einstellungen", "verwendet cookies", "javascript aktivieren", "lizenziert unter",
+    "tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "utilise des cookies", "activer javascript", "sous licence",
+    "todos los derechos reservados", "términos de uso", "política de privacidad", "utiliza cookies", "habilitar javascript", "bajo la licencia",
+]
+
+
+def _any_of(words: list[str]) -> str:
+    """A pattern for any of the words that looks at few of them at each place: those with one first letter are together."""
+    quoted = [re.sub(r"([.()'-])", r"[\1]", w) for w in words]
+    return "|".join(f"{c}({'|'.join(q[len(c) :] for q in quoted if q.startswith(c))})" for c in sorted({q[0] for q in quoted}))
+
+
+NAVIGATION = r"(\|[^|]*\|)|(»[^»]*»)|(›[^›]*›)|(^[\x20\x09-\x0D]*(" + _any_of(MENUS) + r")[\x20\x09-\x0D]*$)"
+BOILERPLATE = "(" + _any_of(PHRASES) + ")"
 
 
 def _lower(c: Column) -> Column:
