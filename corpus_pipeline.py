@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultql.llm.common import written
+from vaultql.llm.common import discard, written
 from vaultql.llm.decontaminate import decontaminate
 from vaultql.llm.language import identify_language, learn_languages
 from vaultql.llm.neardup import near_duplicates
@@ -23,7 +23,10 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id; ids are unique in `documents`."""
+    """Of each group of near-duplicates the document with the smallest id; ids are unique in `documents`.
+
+    Shingles have five words here, the rule for stages; the query op3_near_duplicates has its own contract, with two.
+    """
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
 
@@ -54,7 +57,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STAGES over documents, each stage written to the shared folder and read back for the next one."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = written(stage(spark, docs, sf_dir), f"stage{k}")
+        if before is not None:
+            discard(before)  # its rows are in the next stage's table
+        before = docs
     return docs
