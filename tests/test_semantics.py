@@ -53,7 +53,7 @@ def test_coercion_and_globs():
     import re
 
     hit = lambda g, p: re.match(globs.path_regex(g).replace("(?<", "(?P<"), p) is not None
-    assert hit("a/*/c.md", "a/b/c.md") and not hit("a/*.md", "a/b/c.md") and hit("**/c.md", "c.md") and hit("{{x}}/n.md", "p/n.md")
+    assert hit("/a/**", "a/b.md") and hit("a/*/c.md", "a/b/c.md") and not hit("a/*.md", "a/b/c.md") and hit("**/c.md", "c.md") and hit("{{x}}/n.md", "p/n.md")
     assert re.match(globs.ignore_regex("a/**/b"), "a/x/y/b") and not re.match(globs.ignore_regex("a*"), "ab/c")
 
 
@@ -89,6 +89,12 @@ def test_edits(spark):
     body = "# A\none\n## B\ntwo\n# C\nthree\n"
     assert M.edited(body, [("replace_section", "B", "new"), ("append_to_section", "C", "end")]) == "# A\none\n## B\nnew\n# C\nthree\nend\n"
     assert M.edited(body, [("delete_section", "A", "")]) == "# C\nthree\n"
+    fenced = "# A\none\n\n```\n# A\n```\n\n# B\ntwo  \n"
+    assert M.edited(fenced, [("append_to_section", "A", "\nmore\n")]) == "# A\none\n\n```\n# A\n```\nmore\n\n# B\ntwo  \n"
+    assert M.edited(fenced, [("delete_section", "A", "")]) == "# B\ntwo  \n" and M.edited(fenced, [("append_to_section", "B", "x")]).endswith("two\nx\n")
+    assert M.edited("a a", [("replace_all", "a", "b")]) == "b b" and M.relinked("[[x|l]] ![[x#h]] `[[x]]` [[xy]]", {"x": "z"}) == "[[z|l]] ![[z#h]] `[[x]]` [[xy]]"
+    with pytest.raises(M.EditRefused):
+        M.edited("a a", [("str_replace", "", "b")])
     assert M.set_key("a: 1\nb:\n- x\nc: 2\n", "b", "3") == "a: 1\nb: 3\nc: 2\n"
     docs = spark.createDataFrame([("x", body, "h"), ("y", body, "h")], "path string, body string, hash string")
     edits = spark.createDataFrame([("x", 0, "str_replace", "one", "1", "h"), ("y", 0, "str_replace", "two", "2", "h"), ("y", 1, "str_replace", "no", "", "h"), ("z", 0, "str_replace", "a", "b", None)], "path string, position int, op string, target string, text string, expected_hash string")
@@ -141,5 +147,6 @@ def test_maintained_snapshots(spark, tmp_path):
         run = audit.maintain(source, str(tmp_path / "out"), str(tmp_path / "ck")).start()
         run.processAllAvailable()
         run.stop()
-    got = spark.read.parquet(str(tmp_path / "out" / "version=1"))
-    assert sorted((r.path, r.hash) for r in got.collect()) == [("a", "2"), ("b", "1"), ("c", "1")]
+    like = spark.createDataFrame([], "path string, hash string, seen long")
+    shown = lambda below: sorted((r.path, r.hash) for r in audit.current(spark, str(tmp_path / "out"), like, below).collect())
+    assert shown(None) == [("a", "2"), ("b", "1"), ("c", "1")] and shown(1) == [("a", "1"), ("b", "1")]

@@ -55,6 +55,11 @@ def text(v: Column) -> Column:
     return F.when(kind(v) == "string", F.variant_get(v, "$", "string")).otherwise(F.to_json(v))
 
 
+def canonical(v: Column) -> Column:
+    """A value as queries compare it: its text without wikilink brackets."""
+    return bare(text(v))
+
+
 def number(v: Column) -> Column:
     """Numbers, and booleans as 1 and 0, for typed comparisons."""
     return F.when(kind(v) == "boolean", F.when(F.try_variant_get(v, "$", "boolean"), 1.0).otherwise(0.0)).when(kind(v) == "number", F.try_variant_get(v, "$", "double"))
@@ -78,7 +83,7 @@ def same(e: Column, value) -> Column:
         return F.coalesce((kind(e) == "number") & (F.try_variant_get(e, "$", "decimal(38,0)") == F.lit(Decimal(value))), F.lit(False))
     if isinstance(value, (bool, int, float)):
         return F.coalesce(number(e) == float(value), F.lit(False))
-    return F.coalesce(kind(e).isin("string", "object", "array") & (bare(text(e)) == unbracketed(value)), F.lit(False))
+    return F.coalesce(kind(e).isin("string", "object", "array") & (canonical(e) == unbracketed(value)), F.lit(False))
 
 
 def strictly_same(v: Column, value) -> Column:

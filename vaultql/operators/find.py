@@ -83,7 +83,7 @@ class Query:
             return self._with(F.lit(False))
         if name in self.typed:
             return self._with(test(self._column(name)[0].cast("string"), needle))
-        return self._with(self._any(name, lambda e: F.coalesce(test(V.bare(V.text(e)), needle), F.lit(False))))
+        return self._with(self._any(name, lambda e: F.coalesce(test(V.canonical(e), needle), F.lit(False))))
 
     def starts_with(self, name: str, needle: str) -> Query:
         return self._text(name, needle, lambda c, s: c.startswith(s))
@@ -99,7 +99,7 @@ class Query:
         value = V.today_or(value)
         if name in self.typed:
             return self._with(test(self._column(name)[0], value))
-        shown = lambda e: F.when(V.kind(e) == "boolean", V.number(e).cast("int").cast("string")).otherwise(V.bare(V.text(e)))
+        shown = lambda e: F.when(V.kind(e) == "boolean", V.number(e).cast("int").cast("string")).otherwise(V.canonical(e))
         return self._with(self._any(name, lambda e: F.coalesce(test(shown(e), value), F.lit(False))))
 
     def before(self, name: str, value: str) -> Query:

@@ -168,6 +168,26 @@ def whole(block: str | None, body: str) -> str:
     return body if not block else f"---\n{block}{'' if block.endswith(chr(10)) else chr(10)}---\n{body}"
 
 
+def sections(documents: DataFrame, headings: list[str]) -> DataFrame:
+    """(path, heading, text, refused) for each document and heading: the section's text without its heading, as edits see
+    it, or heading-missing or heading-ambiguous.
+    """
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for h in headings:
+                    try:
+                        _, start, end = _section(body or "", h)
+                        rows.append((path, h, body[start:end], None))
+                    except EditRefused as e:
+                        rows.append((path, h, None, str(e)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.string())] * 4, names=["path", "heading", "text", "refused"])
+
+    return documents.select("path", "body").mapInArrow(run, "path string, heading string, text string, refused string")
+
+
 # -- snapshots -----------------------------------------------------------------------------------
 
 _OUT = pa.schema([("path", pa.string()), ("block", pa.string()), ("body", pa.string()), ("refused", pa.string())])
@@ -269,32 +289,57 @@ def apply_plan(documents: DataFrame, links: DataFrame, changes: DataFrame, types
 
     Phases follow each other: content (see apply_edits), delete, create, move with its links. `field` is the key or the
     heading, `old_value` the text that edits look for, `new_value` what they write, `destination` where a move leads. A
-    document whose hash isn't the expected one takes part in no phase. refused(path, reason) tells what wasn't done.
+    document whose hash isn't the expected one takes part in no phase. refused(path, reason) tells what wasn't done: a
+    deletion of what others link to, a creation or a move to a path that is taken, asked for twice or outside.
+
+    Documents are joined once with the changes, gathered by path; all that decides about deletions and moves works on
+    paths and hashes alone.
     """
     unknown = [r[0] for r in changes.where(~F.col("operation").isin(*OPERATIONS)).select("operation").distinct().limit(10).collect()]
     if unknown:
         raise EditRefused(f"unknown operations {unknown}")
     base = documents if "block" in documents.columns else documents.withColumn("block", F.lit(None).cast("string"))
-    stale = changes.join(base.select("path", F.col("hash").alias("_now")), "path").where("document_hash IS NOT NULL AND document_hash <> _now").select("path").distinct()
-    fresh = changes.join(stale, "path", "left_anti")
-    phase = lambda name: fresh.where(F.col("operation").isin(*[o for o, p in OPERATIONS.items() if p == name]))
-    where = F.when(F.col("operation").isin(*_METADATA) | F.col("operation").contains("section") | F.col("operation").contains("heading"), F.col("field")).otherwise(F.col("old_value"))
-    edits = phase("content").select("path", F.col("operation").alias("op"), where.alias("target"), F.coalesce("new_value", F.lit("")).alias("text"), F.lit(None).cast("string").alias("expected_hash"))
-    edits = edits.withColumn("position", F.when(F.col("op") == "remove_frontmatter", 1).otherwise(0))
+    op = F.col("operation")
+    phase = F.coalesce(*[F.when(op == o, p) for o, p in OPERATIONS.items()])
+    where = F.when(op.isin(*_METADATA) | op.contains("section") | op.contains("heading"), F.col("field")).otherwise(F.col("old_value"))
+    edit = F.struct(F.coalesce(*[F.when(op == o, k) for o, k in _PHASE.items()], F.lit(2)).alias("phase"), F.when(op == "remove_frontmatter", 1).otherwise(0).alias("position"), op.alias("op"), where.alias("target"), F.coalesce("new_value", F.lit("")).alias("text"))
+    known = F.col("document_hash").isNotNull()
+    per = changes.groupBy("path").agg(
+        F.array_sort(F.collect_list(F.when(phase == "content", edit))).alias("_edits"), F.min(F.when(known, F.col("document_hash"))).alias("_low"), F.max(F.when(known, F.col("document_hash"))).alias("_high"),
+        F.bool_or(phase == "delete").alias("_delete"), F.max(F.when(phase == "create", F.coalesce("new_value", F.lit("")))).alias("_text"), F.count_if(phase == "create").alias("_creates"),
+        F.min(F.when(phase == "move", F.col("destination"))).alias("_to"), F.count_distinct(F.when(phase == "move", F.col("destination"))).alias("_moves"),
+    )
+
+    stale = (F.col("_low") != F.col("hash")) | (F.col("_high") != F.col("hash"))
+    flags = per.drop("_edits").join(base.select("path", "hash"), "path", "left")
+    flags = flags.withColumns({"_there": F.col("hash").isNotNull(), "_stale": F.coalesce(stale, F.lit(False))}).where("NOT _stale")
+    gone = flags.where("_there AND _delete").select("path")
+    linked = None
+    if not allow_broken:
+        outside = links.join(gone.withColumnRenamed("path", "source_path"), "source_path", "left_anti")
+        linked = gone.join(outside.select(F.col("resolved_path").alias("path")), "path", "left_semi").select("path", F.lit("linked").alias("_linked"))
+        flags = flags.join(linked, "path", "left")
+    else:
+        flags = flags.withColumn("_linked", F.lit(None).cast("string"))
+    goes = F.col("_there") & F.col("_delete") & F.col("_linked").isNull()
+    made = F.when(F.col("_creates") > 0, F.when(~V.contained(F.col("path")), "outside").when(F.col("_there") & ~goes, "path-exists").when(F.col("_creates") > 1, "path-twice"))
+    flags = flags.withColumns({"_goes": goes, "_no_create": made, "_made": (F.col("_creates") > 0) & made.isNull()})
+    taken = base.select(F.col("path").alias("_to")).unionByName(flags.where("_made").select(F.col("path").alias("_to"))).join(flags.where("_goes AND NOT _made").select(F.col("path").alias("_to")), "_to", "left_anti").distinct().withColumn("_taken", F.lit(True))
+    again = flags.where("_moves > 0").groupBy("_to").count().where("count > 1").select("_to", F.lit(True).alias("_again"))
+    flags = flags.join(taken, "_to", "left").join(again, "_to", "left")
+    stays = F.when(F.col("_moves") > 0, F.when(~V.contained(F.col("_to")), "outside").when(~F.col("_there") & ~F.col("_made"), "path-missing").when(F.col("_moves") > 1, "path-twice").when(F.col("_again"), "path-twice").when(F.col("_taken"), "path-exists"))
+    flags = flags.withColumn("_no_move", stays)
+    moves = flags.where("_moves > 0 AND _no_move IS NULL AND (_made OR NOT _goes)").select("path", F.col("_to").alias("new_path"))
+
+    touched = base.join(per.select("path", "_edits", "_low", "_high"), "path")
+    edits = touched.where(F.size("_edits") > 0).select("path", F.explode("_edits").alias("e"), F.lit(None).cast("string").alias("expected_hash"), stale.alias("_stale")).where("NOT coalesce(_stale, false)").select("path", "e.position", "e.op", "e.target", "e.text", "expected_hash")
     done = apply_edits(base.select("path", "block", "body", "hash"), edits, types)
-    refused = stale.select("path", F.lit("hash-mismatch").alias("reason")).unionByName(done.where("refused IS NOT NULL").select("path", F.col("refused").alias("reason")))
-    now = base.drop("block", "body", "hash").join(done.drop("refused"), "path")
-    paths = phase("delete").select("path").distinct()
-    after = deleted(now, links, paths, allow_broken)
-    refused = refused.unionByName(paths.join(after, "path", "left_semi").select("path", F.lit("linked").alias("reason")))
-    grown = created(after, phase("create").select("path", F.col("new_value").alias("body"), F.sha2("new_value", 256).alias("hash")))
-    refused = refused.unionByName(grown.where("refused IS NOT NULL").select("path", F.col("refused").alias("reason")))
-    after = grown.where("refused IS NULL").drop("refused")
-    moves = phase("move").select("path", F.col("destination").alias("new_path")).distinct()
-    taken = moves.join(after.select(F.col("path").alias("new_path")), "new_path", "left_semi").select("path", F.lit("path-exists").alias("reason"))
-    unsafe = moves.where(~V.contained(F.col("new_path"))).select("path", F.lit("outside").alias("reason"))
-    several = moves.groupBy("path").count().where("count > 1").select("path", F.lit("path-twice").alias("reason"))
-    same = moves.groupBy("new_path").count().where("count > 1").join(moves, "new_path").select("path", F.lit("path-twice").alias("reason"))
-    wrong = taken.unionByName(unsafe).unionByName(several).unionByName(same).groupBy("path").agg(F.min("reason").alias("reason"))
-    docs, _ = moved(after, links, moves.join(wrong, "path", "left_anti"))
-    return docs, refused.unionByName(wrong)
+    now = base.drop("block", "body", "hash").join(done, "path")
+    lost = flags.where("_goes").select("path")
+    new = flags.where("_made").select("path", F.col("_text").alias("body"), F.sha2("_text", 256).alias("hash"), V.path_parts(F.col("path"))[1].alias("stem"))
+    new = new.select(*[c for c in new.columns if c in base.columns])
+    after = now.drop("refused").join(lost, "path", "left_anti").unionByName(new, allowMissingColumns=True)
+    reasons = F.array_compact(F.array("_linked", "_no_create", "_no_move", F.when(~F.col("_there") & (F.col("_creates") == 0) & (F.col("_moves") == 0), "path-missing")))
+    refused = flags.select("path", F.explode(reasons).alias("reason")).unionByName(done.where("refused IS NOT NULL").select("path", F.col("refused").alias("reason")))
+    refused = refused.unionByName(touched.where(F.coalesce(stale, F.lit(False))).select("path", F.lit("hash-mismatch").alias("reason"))).distinct()
+    return moved(after, links, moves)[0], refused

@@ -79,19 +79,37 @@ def _wikilinks(text: str):
         yield m, ("embed" if m[1] else "wikilink", name.strip(), label if mark else None, anchor, block)
 
 
+def inside(line: str, items: bool = True) -> int:
+    """Where a line's own text begins, behind the marks of quotes and, if `items`, of list items."""
+    at = 0
+    while m := (_MARK if items else _QUOTE).match(line, at):
+        at = m.end()
+    return at
+
+
+# Marks of containers: quotes, and items of lists with a space behind them.
+_QUOTE = re.compile(r" {0,3}> ?")
+_MARK = re.compile(r" {0,3}(?:> ?|[-+*] {1,4}(?=\S)|[0-9]{1,9}[.)] {1,4}(?=\S))")
+
+
 def masked(body: str) -> str:
-    """The body with code blanked out, character for character."""
-    out, fence, blank_before = [], None, True
+    """The body with code blanked out, character for character. Code in quotes and list items is code too; a quote that
+    ends, ends the code in it.
+    """
+    out, fence, quoted, blank_before = [], None, False, True
     for line in body.splitlines(keepends=True):
         ending = len(line) - len(line.rstrip("\r\n"))
         hidden = " " * (len(line) - ending) + line[len(line) - ending :]
-        m = _FENCE.match(line)
+        behind_quotes = inside(line, items=False)
+        if fence is not None and quoted and not behind_quotes:
+            fence = None
+        m = _FENCE.match(line[behind_quotes:].lstrip(" ") if fence is not None else line[inside(line) :])
         if fence is not None:
             out.append(hidden)
-            if m and m[1].startswith(fence) and not line.strip().strip(fence[0]):
+            if m and m[1].startswith(fence) and not line[behind_quotes:].strip().strip(fence[0]):
                 fence = None
         elif m:
-            fence = m[1]
+            fence, quoted = m[1], behind_quotes > 0
             out.append(hidden)
         elif blank_before and line.startswith(("    ", "\t")) and line.strip():
             out.append(hidden)
@@ -161,7 +179,7 @@ def parse(path: str, raw: bytes) -> dict:
     headings, ids, at, previous, last = [], [], 0, "", ""
     for line, plain in zip(clear.splitlines(keepends=True), body.splitlines(keepends=True), strict=True):
         shown_line = plain if line.strip() else line
-        if (m := _HEADING.match(shown_line.rstrip("\r\n"))) and line.strip():
+        if (m := _HEADING.match(shown_line.rstrip("\r\n")[inside(shown_line) :])) and line.strip():
             headings.append((len(m[1]), re.sub(r"[`*_]", "", m[2] or "").strip(), *place(at)))
         elif re.fullmatch(r" {0,3}(=+|-+)\s*", line) and previous.strip() and not previous.startswith("#"):
             headings.append((1 if "=" in line else 2, previous.strip(), *place(at - len(last))))

@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructType
 
 from ..functions import templates
 from ..operators import graph
@@ -179,7 +179,7 @@ def _versions(spark: SparkSession, target: str) -> dict[int, list[int]]:
 def current(spark: SparkSession, target: str, like: DataFrame, below: int | None = None) -> DataFrame:
     """The snapshot that `maintain` keeps, with its part; `like` has its columns. `below`: as of an earlier batch."""
     best = {p: max(v) for p, vs in _versions(spark, target).items() if (v := [x for x in vs if below is None or x < below])}
-    schema = StructType([f for f in like.schema if f.name != "part"]).add("version", "int").add("part", "int")
+    schema = StructType([f for f in like.schema if f.name != "part"]).add("version", IntegerType()).add("part", IntegerType())
     if not best:
         return spark.createDataFrame([], schema).drop("version")
     return spark.read.schema(schema).option("basePath", target).parquet(*[f"{target}/version={v}/part={p}" for p, v in best.items()]).drop("version")
