@@ -95,6 +95,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, size: int = 5, doc_id
 
     Edge cases: a text without words, or null, has an empty set and is linked with nothing. A row without doc_id is
     kept, alone, with a null component. Rows that repeat a doc_id are one document, linked by any of its texts.
+    Ids are whole numbers, or text that is one.
     """
     rows = written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_sketches(size), "doc_id long, n_shingles long, digest binary, sig binary"), "sketches")
     full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")

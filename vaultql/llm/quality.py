@@ -157,7 +157,8 @@ def learn_quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality",
     """A model learned from at most `rows` labelled rows, those with the smallest hash of the id.
 
     Only the sample's features reach the driver. Labels other than 0 and 1, null ids and ids without a document are
-    left out; a document with several label rows counts for each. Without both labels the model scores their mean.
+    left out; a document with several label rows counts for each. Ids are whole numbers, or text that
+    is one. Without both labels the model scores their mean.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(label).cast("int").alias("label"))
     picked = known.orderBy(F.xxhash64("doc", F.lit(10)), "doc").limit(rows)

@@ -126,7 +126,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic",
 
     The sample is those rows whose hash of the id is smallest, whatever the size of the tables; only their term counts
     reach the driver. Labels other than 0 and 1, null ids and ids without a document are left out; a document with
-    several label rows counts for each. Without both labels the machine scores their mean everywhere.
+    several label rows counts for each. Ids are whole numbers, or text that is one. Without both labels the machine scores their mean everywhere.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(label).cast("int").alias("label"))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
