@@ -188,7 +188,7 @@ def find_envelope(spark, sf_dir):
 
 @query("SELECT field, CAST(levenshtein(field, 'qualtiy') AS INT) AS distance FROM (VALUES ('lang'), ('source'), ('n_chars'), ('quality'), ('toxic')) t(field) WHERE levenshtein(field, 'qualtiy') <= 2")
 def find_did_you_mean(spark, sf_dir):
-    return nearest_fields(spark.createDataFrame([(n,) for n in TYPED], "field string"), "qualtiy")
+    return nearest_fields(A.field_names(T.documents(spark, sf_dir)), "qualtiy")
 
 
 # -- counts and distributions -------------------------------------------------------------------
@@ -317,9 +317,15 @@ def get_deep(spark, sf_dir):
 @query("""SELECT a.conv_id, a.turn, CASE WHEN b.conv_id IS NULL THEN 'anchor-missing' ELSE 'resolved' END AS status
   FROM conversations a LEFT JOIN (SELECT DISTINCT conv_id, turn FROM conversations WHERE role = 'assistant') b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn WHERE a.role = 'user'""")
 def anchor_check(spark, sf_dir):
-    c = T.table(spark, sf_dir, "conversations")
-    owned = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.lit(True).alias("there")).distinct()
-    return c.where("role = 'user'").join(owned, ["conv_id", "turn"], "left").select("conv_id", "turn", F.when(F.col("there"), "resolved").otherwise("anchor-missing").alias("status"))
+    c = T.table(spark, sf_dir, "conversations").withColumn("path", F.concat(F.lit("c"), F.col("conv_id").cast("string")))
+    docs = c.select("path", F.col("path").alias("stem")).distinct()
+    turn = lambda k: F.concat(F.lit("Turn "), (F.col("turn") + k).cast("string"))
+    none = F.lit(None).cast("string")
+    links = c.where("role = 'user'").select("conv_id", "turn", F.col("path").alias("source_path"), F.lit("wikilink").alias("kind"), F.lit("").alias("target"), turn(1).alias("anchor"), none.alias("block_ref"))
+    headings = c.where("role = 'assistant'").select(F.col("path").alias("doc_path"), V.slug(turn(0)).alias("slug"))
+    blocks = docs.limit(0).select(F.col("path").alias("doc_path"), F.col("path").alias("block_id"))
+    found = G.resolve(links, docs, docs, headings, blocks)
+    return found.select("conv_id", "turn", F.coalesce("reason", "status").alias("status"))
 
 
 @query("SELECT s_suppkey, r_name AS found_type FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name NOT IN ('ASIA', 'EUROPE')")

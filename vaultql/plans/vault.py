@@ -160,10 +160,9 @@ def date_shapes(spark, sf_dir):
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') || ' on ' || strftime(o_orderdate, '%a') || ' ' || strftime(o_orderdate, '%I') || lower(strftime(o_orderdate, '%p')) || ' M' || ' {{' || upper(o_orderpriority) || '}} '
   || trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '-', 'g'), '-') || '/' || upper(o_orderstatus) || ' x y' AS s FROM orders""")
 def template_render(spark, sf_dir):
-    s = templates.rendered("{{date:YYYYMMDD [on] ddd hha}} M {{{{{{title|upper}}}}}} {{ var.p | slugify }}/{{var.s|titlecase}}{{path.none}}", title=F.col("o_orderpriority"), now=F.col("o_orderdate"), names={"p": F.col("o_orderpriority"), "s": F.concat(F.lit("2020-01-02-"), F.lower("o_orderstatus"), F.lit("_x-y"))})
-    s = F.regexp_replace(s, "/2020 01 02 ([a-z]) X Y$", "/2020")  # only to compare: titlecase leaves digits as they are
-    other = templates.rendered("{{var.s | strip_date_prefix | sentencecase}}", title=F.lit(""), now=F.col("o_orderdate"), names={"s": F.concat(F.lit("2020-01-02-"), F.lower("o_orderstatus"), F.lit("_X-y"))})
-    return T.table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.regexp_replace(s, "/2020.*$", "/"), other).alias("s"))
+    names = {"p": F.col("o_orderpriority"), "s": F.concat(F.lit("2020-01-02-"), F.lower("o_orderstatus"), F.lit("_X-y"))}
+    template = "{{date:YYYYMMDD [on] ddd hha}} M {{{{{{title|upper}}}}}} {{ var.p | slugify }}/{{var.s | strip_date_prefix | sentencecase}}{{path.none}}"
+    return T.table(spark, sf_dir, "orders").select("o_orderkey", templates.rendered(template, title=F.col("o_orderpriority"), now=F.col("o_orderdate"), names=names).alias("s"))
 
 
 @query(f"SELECT path, CASE WHEN quality IS NOT NULL THEN 'q' || CAST(quality AS VARCHAR) || '/' || stem || '-' || lang || '/' || stem || '.md' END AS new_path, CASE WHEN quality IS NULL THEN 'missing field quality' END AS problem FROM {DOC}")
