@@ -367,7 +367,7 @@ def test_pii_against_brute_force(spark):
 
 
 def test_pii_of_very_long_runs(spark):
-    n = 100_000
+    n = 30_000
     runs = ["x@" + "ab." * n + "com", "a" * 3 * n + "@", "a.b-" * n + "@x.org", "0a" * n, "0a" * n + "z", "DE44" + " 5001" * n, "1234 " * n, "+1 23" + " 23" * n, "1.2.3.4." * n, "Mr " + "Aa " * n, "ab:" * n, "a::" * n, "key=" + "a1-" * n, "token: " * n, "0171 " * n, "Dr " * n]
     got = {r.doc_id: r for r in pii.replace_pii(spark.createDataFrame([(k, t + " bob@mail.com") for k, t in enumerate(runs)], "doc_id long, text string"), key="k").collect()}
     assert len(got) == len(runs) and not any("bob@mail.com" in r.text for r in got.values())
