@@ -65,14 +65,13 @@ def first_rule(found: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame
     held = sorted(held, key=lambda r: r["rule_idx"])
     first, *rest = keys
     lists = [(v, [tuple(r) for r in held if r[first] in (None, v)]) for v in sorted({r[first] for r in held if r[first] is not None})]
-    every = [(None, [tuple(r) for r in held if r[first] is None])]
     types = {f.name: f.dataType.simpleString() for f in rules.schema}
-    schema = f"_key {types[first]}, _rules array<struct<" + ",".join(f"`{n}`:{types[n]}" for n in ("rule_idx", "action", *keys)) + ">>"
-    spark = found.sparkSession
-    by_key = F.broadcast(spark.createDataFrame(lists, schema)) if lists else None
-    any_key = F.broadcast(spark.createDataFrame(every, schema).select(F.col("_rules").alias("_any")))  # one row
-    out = found.join(any_key)
-    out = out.join(by_key, F.col(first) == F.col("_key"), "left") if by_key is not None else out.withColumn("_rules", F.lit(None))
+    kind = "array<struct<" + ",".join(f"`{n}`:{types[n]}" for n in ("rule_idx", "action", *keys)) + ">>"
+    every = F.array(*[F.struct(*[F.lit(v).cast(types[n]).alias(n) for n, v in r.asDict().items()]) for r in held if r[first] is None]).cast(kind)
+    out = found.withColumn("_rules", F.lit(None).cast(kind))
+    if lists:
+        by_key = F.broadcast(found.sparkSession.createDataFrame(lists, f"_key {types[first]}, _rules {kind}"))
+        out = found.join(by_key, F.col(first) == F.col("_key"), "left")
 
     def fits(r: Column) -> Column:
         test = F.lit(True)
@@ -80,7 +79,7 @@ def first_rule(found: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame
             test = test & (r[k].isNull() | F.coalesce(r[k] == F.col(k), F.lit(False)))
         return test
 
-    out = out.withColumn("_c", F.get(F.filter(F.coalesce("_rules", "_any"), fits), 0))
+    out = out.withColumn("_c", F.get(F.filter(F.coalesce("_rules", every), fits), 0))
     return out.select(*found.columns, "_c.rule_idx", F.coalesce("_c.action", F.lit("skip")).alias("action"))
 
 
