@@ -13,7 +13,7 @@ from ..operators import mutate as M
 from ..operators import repair as R
 from ..operators import validate as C
 from ..operators.find import Query, by_display, page
-from ..sources import config
+from ..sources import config, markdown
 from ..sources import tables as T
 from ..streaming import audit
 from .catalog import DOC, FINDINGS, findings, query
@@ -345,3 +345,56 @@ def defaults_fixpoint(spark, sf_dir):
 def audit_expired(spark, sf_dir):
     days = T.table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg((F.count("*") * 100).alias("bytes"))
     return audit.expired(days, "2024-01-16", 10, 20_000)
+
+
+# -- Markdown files ------------------------------------------------------------------------------
+
+_FILES = [
+    "---\nlang: de\nup: \"[[12]]\"\naliases: [A {}, 5]\n---\n# One {}\n\nsee [[{}|x]] `[[no]]` ![[p.png]]\n", "## Zwei\n\n```\n[[no]]\n```\n[t](../a%20b.md#h) é [[#Zwei]] ^b{}\n",
+    "---\nopen\n", "---\na: [1\n---\n[r][q]\n\n[q]: x.md\n",
+]
+_CONTENT = f"(SELECT path, stem, doc_id, length(stem) AS n, doc_id % 4 AS f, CASE doc_id % 4 " + " ".join(f"WHEN {k} THEN {_sql_text(t)}" for k, t in enumerate(_FILES)) + f" END AS content FROM {VAULT})"
+
+
+def _parsed(spark, sf_dir) -> dict[str, DataFrame]:
+    d = _documents(spark, sf_dir)
+    pieces = [F.concat(*[x for k, t in enumerate(f.split("{}")) for x in ([F.col("stem")] if k else []) + [F.lit(t)]]) for f in _FILES]
+    content = F.element_at(F.array(*pieces), (F.col("doc_id") % 4 + 1).cast("int"))
+    return markdown.relations(markdown.parse_files(d.select("path", content.cast("binary").alias("content"))))
+
+
+@query(f"""SELECT path, x.kind, x.target, x.label, x.anchor, x.area, x.property, CAST(x.line AS INT) AS line, CAST(x.col AS INT) AS "column", CAST(x.at AS BIGINT) AS byte_offset FROM (SELECT path, unnest(CASE f
+  WHEN 0 THEN [{{'kind': 'wikilink', 'target': '12', 'label': NULL::VARCHAR, 'anchor': NULL::VARCHAR, 'area': 'frontmatter', 'property': 'up', 'line': 3, 'col': 6, 'at': 18}},
+    {{'kind': 'wikilink', 'target': stem, 'label': 'x', 'anchor': NULL, 'area': 'body', 'property': NULL, 'line': 8, 'col': 5, 'at': 59 + 2 * n}}, {{'kind': 'embed', 'target': 'p.png', 'label': NULL, 'anchor': NULL, 'area': 'body', 'property': NULL, 'line': 8, 'col': 21 + n, 'at': 75 + 3 * n}}]
+  WHEN 1 THEN [{{'kind': 'markdown', 'target': '../a b.md', 'label': 't', 'anchor': 'h', 'area': 'body', 'property': NULL, 'line': 6, 'col': 1, 'at': 24}}, {{'kind': 'wikilink', 'target': '', 'label': NULL, 'anchor': 'Zwei', 'area': 'body', 'property': NULL, 'line': 6, 'col': 23, 'at': 46}}]
+  WHEN 3 THEN [{{'kind': 'markdown', 'target': 'x.md', 'label': 'r', 'anchor': NULL, 'area': 'body', 'property': NULL, 'line': 4, 'col': 1, 'at': 14}}] END) AS x FROM {_CONTENT})""")
+def markdown_links(spark, sf_dir):
+    return _parsed(spark, sf_dir)["links"].select(F.col("source_path").alias("path"), "kind", "target", "label", "anchor", "area", "property", "line", "column", "byte_offset")
+
+
+@query(f"SELECT path, CAST(f + 1 AS INT) AS level, CASE f WHEN 0 THEN 'One ' || stem ELSE 'Zwei' END AS text, CASE f WHEN 0 THEN 'one-' || stem ELSE 'zwei' END AS slug, CAST(CASE f WHEN 0 THEN 6 ELSE 1 END AS INT) AS line FROM {_CONTENT} WHERE f < 2")
+def markdown_headings(spark, sf_dir):
+    return _parsed(spark, sf_dir)["headings"].select(F.col("doc_path").alias("path"), "level", "text", "slug", "line")
+
+
+@query(f"SELECT path, CASE f WHEN 0 THEN '{{\"aliases\": [\"A ' || stem || '\", 5], \"lang\": \"de\", \"up\": \"[[12]]\"}}' END AS frontmatter_json, sha256(content) AS hash, CAST(length(CASE f WHEN 3 THEN substr(content, 15) WHEN 0 THEN substr(content, 48 + n) ELSE content END) AS BIGINT) AS n_body FROM {_CONTENT}")
+def markdown_documents(spark, sf_dir):
+    return _parsed(spark, sf_dir)["documents"].select("path", "frontmatter_json", "hash", F.length("body").cast("long").alias("n_body"))
+
+
+@query(f"SELECT path, 'alias' AS what, unnest(['a ' || stem, '5']) AS value FROM {_CONTENT} WHERE f = 0 UNION ALL SELECT path, 'block', 'b' || stem FROM {_CONTENT} WHERE f = 1 UNION ALL SELECT path, 'warning', CASE f WHEN 2 THEN 'frontmatter-unclosed' ELSE 'frontmatter-parse-failed' END FROM {_CONTENT} WHERE f > 1")
+def markdown_marks(spark, sf_dir):
+    r = _parsed(spark, sf_dir)
+    row = lambda frame, what, value: frame.select(F.col("doc_path").alias("path"), what.alias("what"), F.col(value).alias("value"))
+    return row(G.aliases_of(r["documents"]), F.lit("alias"), "alias").unionByName(row(r["block_ids"], F.lit("block"), "block_id")).unionByName(row(r["diagnostics"], F.col("severity"), "code"))
+
+
+@query(f"""SELECT a.path, b.path AS resolved_path, CASE WHEN b.path IS NULL THEN 'unresolved' ELSE 'resolved' END AS status FROM {VAULT} a LEFT JOIN {VAULT} b ON b.doc_id = a.doc_id + 1 AND b.doc_id % 7 <> 3 WHERE a.doc_id % 7 <> 3""")
+def refresh_links(spark, sf_dir):
+    d = _documents(spark, sf_dir)
+    content = F.concat(F.lit("[["), (F.col("doc_id") + 1).cast("string"), F.lit("]]")).cast("binary")
+    files = d.select("doc_id", "path", content.alias("content"))
+    old = markdown.relations(markdown.parse_files(files.where("doc_id % 5 > 0")))
+    changed = markdown.parse_files(files.where("doc_id % 5 = 0 AND doc_id % 7 <> 3"))
+    found = audit.refreshed(old, changed, files.where("doc_id % 7 = 3").select("path"), files.where("doc_id % 7 <> 3").select("path"))
+    return found["links"].select(F.col("source_path").alias("path"), "resolved_path", "status")

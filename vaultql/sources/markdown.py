@@ -204,6 +204,11 @@ def read_tree(spark: SparkSession, root: str, ignore: tuple[str, ...] = ()) -> t
         raw = raw.where(~F.col("path").rlike(globs.ignore_regex(pattern)))
     files = raw.select("path", V.path_parts(F.col("path"))[1].alias("stem"), F.regexp_extract("path", r"\.([^./]*)$", 1).alias("extension"), "length", "modificationTime")
 
+    return files, parse_files(raw.where(F.lower("path").endswith(".md")))
+
+
+def parse_files(files: DataFrame) -> DataFrame:
+    """One parsed row (see SCHEMA) for each of files(path, content)."""
     schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
 
     def run(batches):
@@ -212,8 +217,7 @@ def read_tree(spark: SparkSession, root: str, ignore: tuple[str, ...] = ()) -> t
             rows = [{**m, **{k: [dict(zip([f.name for f in schema.field(k).type.value_type], x, strict=True)) for x in m[k]] for k in ("links", "headings", "diagnostics")}} for m in made]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    parsed = raw.where(F.lower("path").endswith(".md")).select("path", "content").mapInArrow(run, SCHEMA)
-    return files, parsed
+    return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
 def first_headings(headings: DataFrame) -> DataFrame:
