@@ -216,12 +216,19 @@ def test_confidence_and_ties(spark):
 
 
 def test_audit_append_and_retention(spark, tmp_path):
-    rows = [(f"2024-01-0{d} 10:00:00", f"s{d}", "e") for d in (1, 2, 3)]
-    events = spark.createDataFrame(rows, "t string, span string, event string").select(F.to_timestamp("t").alias("timestamp"), "span", "event")
+    rows = [(f"2024-01-0{d} 10:00:00", f"s{d}", "e", "ok", {"k": "v"}) for d in (1, 2, 3)]
+    events = spark.createDataFrame(rows, "t string, span string, event string, status string, attributes map<string,string>").withColumn("timestamp", F.to_timestamp("t")).drop("t")
     folder = str(tmp_path / "log")
     assert audit.append(events, folder, retention=None, cap_bytes=None) == []
     assert audit.prune(spark, folder, "2d", None, today="2024-01-04") == ["2024-01-01"] and audit.prune(spark, folder, None, 1) == ["2024-01-02"]
-    assert [r.span for r in spark.read.json(folder).collect()] == ["s3"]
+    got = audit.read(spark, folder).collect()
+    assert [(str(r.timestamp), r.span, r.event, r.status, r.attributes) for r in got] == [("2024-01-03 10:00:00", "s3", "e", "ok", {"k": "v", "status": "ok"})]
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    run = audit.append(source, str(tmp_path / "live"), retention=None, cap_bytes=None).start()
+    run.processAllAvailable()
+    run.stop()
+    assert sorted(r.span for r in audit.read(spark, str(tmp_path / "live")).collect()) == ["s1", "s2", "s3"]
     assert audit.bound("2024-01-02", end=True) == "2024-01-02T23:59:59.999999Z"
 
 

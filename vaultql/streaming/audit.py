@@ -78,13 +78,24 @@ def bound(text: str, end: bool = False) -> str:
     return text
 
 
+def _raw(events: DataFrame) -> DataFrame:
+    """Events as the log has them, so that `read` and `stream` give them back; columns that are missing are null."""
+    have = lambda c, kind="string": F.col(c) if c in events.columns else F.lit(None).cast(kind)
+    own = F.map_from_entries(F.array_compact(F.array(*[F.when(have(c).isNotNull(), F.struct(F.lit(c).alias("k"), have(c).alias("v"))) for c in ("status", "target", "target_to")])))
+    rest = F.map_filter(F.coalesce(have("attributes", "map<string,string>"), F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin("status", "target", "target_to"))
+    return events.select(
+        F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("Timestamp"), have("trace").alias("TraceId"), F.col("span").cast("string").alias("SpanId"), have("severity").alias("SeverityText"), F.col("event").alias("EventName"),
+        have("body").alias("Body"), F.map_concat(rest, own).alias("Attributes"), F.date_format("timestamp", "yyyy-MM-dd").alias("day"),
+    )
+
+
 def append(events: DataFrame, folder: str, retention: str | None = "90d", cap_bytes: int | None = 256 << 20):
     """Appends a batch, or starts a stream that appends, to one folder a day (day=YYYY-MM-DD) of JSON lines.
 
     Old days go after each batch: those beyond `retention` (see templates.seconds), then the oldest ones while the whole
     log has more than `cap_bytes`; the newest day stays. For a stream the checkpoint is the folder's _checkpoint.
     """
-    daily = events.withColumn("day", F.date_format("timestamp", "yyyy-MM-dd"))
+    daily = _raw(events)
     if not daily.isStreaming:
         daily.write.mode("append").partitionBy("day").json(folder)
         return prune(daily.sparkSession, folder, retention, cap_bytes)
