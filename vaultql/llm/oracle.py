@@ -91,4 +91,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 FROM counted
 """
 
-ORACLE = {"op1_decontaminate": DECONTAMINATE, "op3_near_duplicates": NEAR_DUPLICATES, "op4_remove_repeats": REMOVE_REPEATS, "op6_line_rules": LINE_RULES}
+REPEATED_WINDOWS = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT r, k, md5(array_to_string(w[k : k + 34], ' ')) AS s FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS k FROM d)),
+twice AS (SELECT r, k FROM (SELECT *, count(*) OVER (PARTITION BY s) AS c FROM windows) WHERE c > 1),
+gone AS (SELECT DISTINCT r, p FROM (SELECT r, unnest(range(k, k + 35)) AS p FROM twice)),
+words AS (SELECT r, p, w[p] AS word FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+ORACLE = {"op1_decontaminate": DECONTAMINATE, "op3_near_duplicates": NEAR_DUPLICATES, "op4_remove_repeats": REMOVE_REPEATS, "op6_line_rules": LINE_RULES, "op13_repeated_windows": REPEATED_WINDOWS}

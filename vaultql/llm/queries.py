@@ -16,6 +16,7 @@ from .rules import clean_lines
 from .substrings import remove_repeats
 from .toxicity import learn_toxicity, score_toxicity
 from .warc import derive, responses_from_pages
+from .windows import remove_repeated_windows
 
 #: Of the surrogates; a deployment passes its own.
 KEY = "a key for tests"
@@ -85,8 +86,13 @@ def quality(spark, sf_dir):
     return score_quality(docs.withColumn("held_out", held_out), model, keep=["doc_id", "held_out"])
 
 
+def repeated_windows(spark, sf_dir):
+    return remove_repeated_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES = {
     "op1_decontaminate": decontamination, "op2_toxicity": toxicity, "op3_near_duplicates": near_duplication,
     "op4_remove_repeats": repeats, "op5_warc_derivatives": warc_derivatives, "op6_line_rules": line_rules,
     "op7_pii_surrogates": surrogates, "op8_language": language, "op9_sample_pieces": pieces, "op10_quality": quality,
+    "op13_repeated_windows": repeated_windows,
 }
