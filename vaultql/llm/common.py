@@ -35,8 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: cuts lineage and survives lost executors.
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back: cuts lineage and survives lost executors. `by`: a column of
+    few values to lay it out by.
 
     The table goes with `discard`, or when this Python process ends.
     """
@@ -45,7 +46,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")  # once the table is there, nothing reads this query's shuffles again
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     atexit.register(_remove, spark, path)

@@ -102,4 +102,31 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM d LEFT JOIN kept USING (r)
 """
 
-ORACLE = {"op1_decontaminate": DECONTAMINATE, "op3_near_duplicates": NEAR_DUPLICATES, "op4_remove_repeats": REMOVE_REPEATS, "op6_line_rules": LINE_RULES, "op13_repeated_windows": REPEATED_WINDOWS}
+#: crc32 by bytes; its table comes from the polynomial.
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(s) + 1), lambda k: ascii(substr(s, k, 1)))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+PREFIX_TRIE = f"""
+WITH RECURSIVE steps AS (SELECT n, n AS v, 0 AS k FROM (SELECT unnest(range(256)) AS n) UNION ALL SELECT n, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(v ORDER BY n) AS t FROM steps WHERE k = 8),
+own AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, n, {_CRC} % 9 AS h FROM (SELECT c, CAST(c AS VARCHAR) AS s, count(*) AS n FROM own GROUP BY c), crc),
+turns AS (
+  SELECT convs.c, p AS d, r, x FROM convs JOIN own ON own.c = convs.c - convs.c % 5 AND p <= h
+  UNION ALL SELECT own.c, p - a.h + least(a.h, coalesce(b.n, 0)), r, x FROM own JOIN convs a ON own.c = a.c AND p > a.h LEFT JOIN convs b ON b.c = a.c - a.c % 5),
+lists AS (SELECT c, list(md5(r || chr(1) || x) ORDER BY d) AS l FROM turns GROUP BY c),
+rows AS (
+  SELECT c, d, array_to_string(l[1 : d], '') AS k, array_to_string(l[1 : d - 1], '') AS up, d = len(l) AS last FROM (SELECT c, l, unnest(range(1, len(l) + 1)) AS d FROM lists)
+  UNION ALL SELECT c, 0, '', NULL, l IS NULL FROM convs LEFT JOIN lists USING (c)),
+nodes AS (
+  SELECT k, d, min(c) AS conv_id, count(*) AS n, min(up) AS up, string_agg(CASE WHEN last THEN CAST(c AS VARCHAR) END, ',' ORDER BY c) AS ends FROM rows GROUP BY k, d),
+sized AS (SELECT nodes.*, octet_length(encode(coalesce(x, ''))) AS b FROM nodes LEFT JOIN turns ON turns.c = conv_id AND turns.d = nodes.d),
+kids AS (SELECT up AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY up),
+sums AS (
+  SELECT rows.k, sum(CASE WHEN kids.n IS NULL THEN 1 ELSE 0 END) AS leaves, sum((sized.n - 1) * b) AS saved
+  FROM sized LEFT JOIN kids ON kids.k = sized.k JOIN rows ON rows.c = sized.conv_id AND rows.d <= sized.d GROUP BY rows.k)
+SELECT s.conv_id, CAST(s.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, s.n AS n_convs, coalesce(kids.n, 0) AS n_children,
+  CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(s.ends, '')) AS ends_sha256
+FROM sized s JOIN sums ON sums.k = s.k LEFT JOIN kids ON kids.k = s.k LEFT JOIN nodes p ON p.k = s.up
+"""
+
+ORACLE = {"op1_decontaminate": DECONTAMINATE, "op3_near_duplicates": NEAR_DUPLICATES, "op4_remove_repeats": REMOVE_REPEATS, "op6_line_rules": LINE_RULES, "op12_prefix_trie": PREFIX_TRIE, "op13_repeated_windows": REPEATED_WINDOWS}

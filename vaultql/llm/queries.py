@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import BYTE_LEVEL, PIECES, align_tokens, load_tokenizers
 from .decontaminate import decontaminate
 from .language import identify_language, learn_languages
 from .neardup import near_duplicates
@@ -15,6 +16,7 @@ from .quality import learn_quality, score_quality
 from .rules import clean_lines
 from .substrings import remove_repeats
 from .toxicity import learn_toxicity, score_toxicity
+from .trie import prefix_trie, rebuilt_conversations
 from .warc import derive, responses_from_pages
 from .windows import remove_repeated_windows
 
@@ -86,6 +88,15 @@ def quality(spark, sf_dir):
     return score_quality(docs.withColumn("held_out", held_out), model, keep=["doc_id", "held_out"])
 
 
+def aligned(spark, sf_dir, byte_level: str = BYTE_LEVEL, pieces: str = PIECES):
+    docs, files = table(spark, sf_dir, "documents").select("doc_id", "text"), load_tokenizers(spark, byte_level, pieces)
+    return align_tokens(docs, files, only=["n_a", "n_b", "n_groups", "n_links", "groups_sha256"], keep=["doc_id"])
+
+
+def trie(spark, sf_dir):
+    return prefix_trie(*rebuilt_conversations(table(spark, sf_dir, "conversations")))
+
+
 def repeated_windows(spark, sf_dir):
     return remove_repeated_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -94,5 +105,5 @@ QUERIES = {
     "op1_decontaminate": decontamination, "op2_toxicity": toxicity, "op3_near_duplicates": near_duplication,
     "op4_remove_repeats": repeats, "op5_warc_derivatives": warc_derivatives, "op6_line_rules": line_rules,
     "op7_pii_surrogates": surrogates, "op8_language": language, "op9_sample_pieces": pieces, "op10_quality": quality,
-    "op13_repeated_windows": repeated_windows,
+    "op11_align_tokens": aligned, "op12_prefix_trie": trie, "op13_repeated_windows": repeated_windows,
 }
