@@ -21,7 +21,7 @@ BLOCK = 1 << 20
 #: Rows that a task combines at a time.
 CHUNK = 1 << 20
 #: A bucket with more different strings has its windows dealt out one by one.
-HOT_STRINGS = 5_000
+HOT_STRINGS = 500
 
 
 def gram_size(length: int) -> int:
