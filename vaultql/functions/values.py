@@ -27,7 +27,11 @@ def unbracketed(s: str) -> str:
 
 def field(variant: Column | str, name: str) -> Column:
     """One top-level key of a VARIANT; dots and quotes in the name belong to the key."""
-    return F.try_variant_get(F.col(variant) if isinstance(variant, str) else variant, '$["' + name.replace('"', '\\"') + '"]', "variant")
+    of = F.col(variant) if isinstance(variant, str) else variant
+    quote = next((q for q in "\"'" if q not in name), None)
+    if not name or quote is None:  # paths can't spell it
+        return F.try_element_at(F.try_variant_get(of, "$", "map<string,variant>"), F.lit(name))
+    return F.try_variant_get(of, f"$[{quote}{name}{quote}]", "variant")
 
 
 def kind(v: Column) -> Column:
@@ -77,9 +81,14 @@ def coerced(value: str) -> bool | int | float | str:
     return value
 
 
+def exact(value) -> bool:
+    """A whole number beyond what doubles tell apart, which is compared as a decimal."""
+    return not isinstance(value, (bool, str)) and float(value).is_integer() and 1 << 53 <= abs(value) < 10**38
+
+
 def same(e: Column, value) -> Column:
     """Equality of queries: typed for numbers and booleans, bracket-free text otherwise. Never SQL null."""
-    if isinstance(value, int) and not isinstance(value, bool) and abs(value) >= 1 << 53:  # beyond what doubles tell apart
+    if exact(value):
         return F.coalesce((kind(e) == "number") & (F.try_variant_get(e, "$", "decimal(38,0)") == F.lit(Decimal(value))), F.lit(False))
     if isinstance(value, (bool, int, float)):
         return F.coalesce(number(e) == float(value), F.lit(False))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import globs
 from ..functions import values as V
+from . import fields as I
 
 
 @dataclass(frozen=True)
@@ -20,6 +21,10 @@ class Query:
     caller knows that no value there has wikilink brackets. Other text is compared without its brackets, as in
     `metadata`, where all other fields are read and a list matches by any element.
     `links(source_path, resolved_path, status)` serve the predicates on links.
+
+    With an `index` (see fields.build) predicates on metadata have a second form: semi and anti joins with its rows. `frame`
+    takes it if all predicates on metadata are on indexed fields, as otherwise the metadata is read anyway; both forms
+    give the same documents.
     """
 
     documents: DataFrame
@@ -27,11 +32,14 @@ class Query:
     typed: tuple[str, ...] = ()
     plain: tuple[str, ...] = ()
     metadata: str = "metadata"
-    tests: tuple[Column, ...] = ()
+    tests: tuple[tuple[Column, I.Probe | None | str], ...] = ()
     joins: tuple = field(default_factory=tuple)
+    index: I.FieldIndex | None = None
 
-    def _with(self, test: Column) -> Query:
-        return replace(self, tests=(*self.tests, test))
+    def _with(self, test: Column, name: str | None = None, probe: Column | None = None, without: bool = False) -> Query:
+        """A test, and for metadata its form on the index: the field alone if there is no such form."""
+        second = None if name is None or name in self.typed else name if probe is None else I.Probe(name, probe, without)
+        return replace(self, tests=(*self.tests, (test, second)))
 
     def _any(self, name: str, test) -> Column:
         return F.coalesce(F.exists(V.elements(V.field(self.metadata, name)), test), F.lit(False))
@@ -53,37 +61,38 @@ class Query:
         return self._any(name, lambda e: V.same(e, value))
 
     def eq(self, name: str, value) -> Query:
-        return self._with(F.coalesce(self._equal(name, value), F.lit(False)) if name not in self.typed else self._equal(name, value))
+        return self._with(F.coalesce(self._equal(name, value), F.lit(False)) if name not in self.typed else self._equal(name, value), name, I.equals(value))
 
     def not_eq(self, name: str, value) -> Query:
         """Present, and no element equals; missing and null never pass, an empty list does."""
-        return self._with(self._has(name) & ~self._equal(name, value))
+        return self._with(self._has(name) & ~self._equal(name, value), name, I.is_absent() | F.coalesce(I.equals(value), F.lit(False)), without=True)
 
     def isin(self, name: str, values: list) -> Query:
         if name in self.typed:
             return self._with(self._column(name)[0].isin(self._values(name, values)) if values else F.lit(False))
-        return self._with(self._any(name, lambda e: _or([V.same(e, v) for v in values])))
+        return self._with(self._any(name, lambda e: _or([V.same(e, v) for v in values])), name, _or([I.equals(v) for v in values]))
 
     def not_in(self, name: str, values: list) -> Query:
         if not values:
             return self
         if name in self.typed:
             return self._with(self._has(name) & ~self._column(name)[0].isin(self._values(name, values)))
-        return self._with(self._has(name) & ~self._any(name, lambda e: _or([V.same(e, v) for v in values])))
+        none = I.is_absent() | F.coalesce(_or([I.equals(v) for v in values]), F.lit(False))
+        return self._with(self._has(name) & ~self._any(name, lambda e: _or([V.same(e, v) for v in values])), name, none, without=True)
 
     def has(self, name: str) -> Query:
-        return self._with(self._has(name))
+        return self._with(self._has(name), name, ~I.is_absent())
 
     def missing(self, name: str) -> Query:
-        return self._with(~self._has(name))
+        return self._with(~self._has(name), name, I.is_absent())
 
     def _text(self, name: str, needle: str, test) -> Query:
         needle = V.unbracketed(needle)
         if not needle:
-            return self._with(F.lit(False))
+            return self._with(F.lit(False), name, F.lit(False))
         if name in self.typed:
             return self._with(test(self._column(name)[0].cast("string"), needle))
-        return self._with(self._any(name, lambda e: F.coalesce(test(V.canonical(e), needle), F.lit(False))))
+        return self._with(self._any(name, lambda e: F.coalesce(test(V.canonical(e), needle), F.lit(False))), name, test(F.col("text"), needle))
 
     def starts_with(self, name: str, needle: str) -> Query:
         return self._text(name, needle, lambda c, s: c.startswith(s))
@@ -100,7 +109,7 @@ class Query:
         if name in self.typed:
             return self._with(test(self._column(name)[0], value))
         shown = lambda e: F.when(V.kind(e) == "boolean", V.number(e).cast("int").cast("string")).otherwise(V.canonical(e))
-        return self._with(self._any(name, lambda e: F.coalesce(test(shown(e), value), F.lit(False))))
+        return self._with(self._any(name, lambda e: F.coalesce(test(shown(e), value), F.lit(False))), name, I.ordered(value, test))
 
     def before(self, name: str, value: str) -> Query:
         return self._when(name, value, lambda c, v: c < v)
@@ -130,12 +139,24 @@ class Query:
     def unresolved_links(self) -> Query:
         return replace(self, joins=(*self.joins, ("unresolved", None)))
 
-    def frame(self, everything: bool = False) -> DataFrame:
+    def by_index(self) -> bool:
+        """Whether there are predicates on metadata, and the index has the fields of all of them."""
+        asked = [p for _, p in self.tests if p is not None]
+        return self.index is not None and bool(asked) and all(isinstance(p, I.Probe) and p.field in self.index.names for p in asked)
+
+    def frame(self, everything: bool = False, route: str = "auto") -> DataFrame:
+        """The documents that pass. route: `scan` reads the metadata, `index` the index, `auto` the index if it serves."""
         if not (self.tests or self.joins or everything):
             raise ValueError("a query needs a predicate, or everything=True")
+        if route not in ("auto", "scan", "index") or route == "index" and not self.by_index():
+            raise ValueError(f"no such route: {route}" if route != "index" else "the index doesn't have the fields of all predicates")
+        indexed = route != "scan" and self.by_index()
         out = self.documents
-        for test in self.tests:
-            out = out.where(test)
+        for test, probe in self.tests:
+            if not indexed or probe is None:
+                out = out.where(test)
+        if indexed:
+            out = I.selected(out, self.index, [p for _, p in self.tests if p is not None])
         for what, target in self.joins:
             edges = self.links.where(F.col("resolved_path") == target) if what == "to" else self.links.where("status = 'unresolved'")
             out = out.join(edges.select(F.col("source_path").alias("path")).distinct(), "path", "left_semi")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..sources.markdown import loaded, masked
+from ..sources.store import stored
 from . import repair
 
 
@@ -63,10 +64,11 @@ def edited(body: str, edits: list[tuple[str, str, str]]) -> str:
             if op == "replace_section":
                 body = body[:content] + _block(text) + body[end:]
             elif op == "append_to_section":
-                old = body[content:end]
-                kept = old.rstrip()
-                tail = old[len(kept) :]  # blank lines before the next heading stay behind the new line
-                body = body[:content] + kept + "\n" * bool(kept) + text.strip("\n") + (tail if tail.startswith("\n") else "\n") + body[end:]
+                lines = body[content:end].splitlines(keepends=True)
+                blank = next((k for k, x in enumerate(reversed(lines)) if x.strip()), len(lines))
+                at = content + sum(map(len, lines[: len(lines) - blank])) if blank < len(lines) else content
+                start_new = "" if body[:at].endswith("\n") else "\n"
+                body = body[:at] + start_new + text.strip("\n") + "\n" + body[at:]
             elif op == "delete_section":
                 body = body[:start] + body[end:]
             elif op == "insert_before_heading":
@@ -78,11 +80,13 @@ def edited(body: str, edits: list[tuple[str, str, str]]) -> str:
     return body
 
 
-def replaced(body: str, pairs: dict[str, str]) -> str:
-    """body with some pieces of text replaced where they aren't code, all in one pass, longer ones first."""
-    if not pairs:
+def replaced(body: str, pairs: dict[str, str], code: bool = True) -> str:
+    """body with some pieces of text replaced where they aren't code, all in one pass, longer ones first. Without `code`
+    no part is taken for code, as in metadata.
+    """
+    if not pairs or not body:
         return body
-    clear, out, at = masked(body), [], 0
+    clear, out, at = masked(body) if code else body, [], 0
     for m in re.finditer("|".join(map(re.escape, sorted(pairs, key=lambda p: (-len(p), p)))), clear):
         out += [body[at : m.start()], pairs[m[0]]]
         at = m.end()
@@ -196,20 +200,33 @@ _METADATA = {"set_frontmatter": "set", "add_frontmatter": "set", "remove_frontma
 _PHASE = {**dict.fromkeys(_METADATA, 0), "rewrite_link": 1, "replace_raw": 1}
 
 
+#: Rows of a plan, and bytes of text in them, that may be sent to every task; a larger plan meets the documents by a shuffle.
+FEW, FEW_BYTES = 20_000, 16 << 20
+
+
+def few(frame: DataFrame, *texts: str) -> DataFrame:
+    """frame for a join with the documents: broadcast if its size, which is counted first, allows that."""
+    size = F.coalesce(F.sum(sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in texts), F.lit(0))), F.lit(0))
+    n, held = frame.limit(FEW + 1).agg(F.count("*"), size).first()
+    return F.broadcast(frame) if n <= FEW and held <= FEW_BYTES else frame
+
+
 def apply_edits(documents: DataFrame, edits: DataFrame, types: dict[str, str] | None = None, lengths: dict[str, int] | None = None) -> DataFrame:
-    """documents(path, body, hash[, block]) with refused, after edits(path, position, op, target, text, expected_hash).
+    """documents(path, body, hash[, block], ...) with refused, after edits(path, position, op, target, text, expected_hash).
 
     A document's edits are all made or none: metadata first, then links, then the rest, each in the order of position. A
-    document that changed since (another hash) refuses. Only touched rows go through Python. Edits of a path that isn't
-    there give a row with path-missing. The new hash is that of the whole file.
+    document that changed since (another hash) refuses. Only touched rows go through Python; the others stay where they
+    are, unless the edits are too many to be sent to every task. Edits of a path that isn't there give a row with
+    path-missing. The new hash is that of the whole file. `replace_raw` replaces text in the body and in the metadata block.
     """
+    none = F.lit(None).cast("string")
     if "block" not in documents.columns:
-        documents = documents.withColumn("block", F.lit(None).cast("string"))
+        documents = documents.withColumn("block", none)
     order = F.coalesce(*[F.when(F.col("op") == o, k) for o, k in _PHASE.items()], F.lit(2))
     lists = edits.groupBy("path").agg(F.array_sort(F.collect_list(F.struct(order.alias("phase"), "position", "op", "target", "text"))).alias("_edits"), F.min("expected_hash").alias("_low"), F.max("expected_hash").alias("_high"))
-    joined = documents.join(lists, "path", "left")
-    rest = joined.where("_edits IS NULL").select("path", "block", "body", "hash", F.lit(None).cast("string").alias("refused"))
-    touched = joined.where("_edits IS NOT NULL").select("path", "block", "body", "hash", "_edits", "_low", "_high")
+    lists = few(stored(lists.withColumn("_size", F.length(F.to_json("_edits"))), "edits"), "_edits").drop("_size")
+    rest = documents.join(lists.select("path"), "path", "left_anti").withColumn("refused", none)
+    touched = documents.join(lists, "path")
 
     def run(batches):
         for batch in batches:
@@ -222,6 +239,9 @@ def apply_edits(documents: DataFrame, edits: DataFrame, types: dict[str, str] |
                     try:
                         meta = [(_METADATA[e["op"]], e["target"], e["text"]) for e in r["_edits"] if e["op"] in _METADATA]
                         new_block = with_metadata(block or "", meta, types, lengths) if meta else block
+                        for e in r["_edits"]:
+                            if e["op"] == "replace_raw" and new_block:
+                                new_block = replaced(new_block, json.loads(e["text"]), code=False)
                         new_body = edited(body or "", [(e["op"], e["target"], e["text"]) for e in r["_edits"] if e["op"] not in _METADATA])
                         block, body = new_block, new_body
                     except EditRefused as e:
@@ -229,12 +249,14 @@ def apply_edits(documents: DataFrame, edits: DataFrame, types: dict[str, str] |
                 out.append({"path": r["path"], "block": block, "body": body, "refused": why})
             yield pa.RecordBatch.from_pylist(out, schema=_OUT)
 
-    made = touched.mapInArrow(run, "path string, block string, body string, refused string")
+    made = touched.select("path", "block", "body", "hash", "_edits", "_low", "_high").mapInArrow(run, "path string, block string, body string, refused string")
     text = F.when(F.coalesce(F.length("block"), F.lit(0)) == 0, F.col("body")).otherwise(F.concat(F.lit("---\n"), F.col("block"), F.when(F.col("block").endswith("\n"), "").otherwise("\n"), F.lit("---\n"), F.col("body")))
     made = made.select("path", "block", "body", F.sha2(text, 256).alias("hash"), "refused")
-    none = F.lit(None).cast("string")
-    lost = lists.join(documents.select("path"), "path", "left_anti").select("path", none.alias("block"), none.alias("body"), none.alias("hash"), F.lit("path-missing").alias("refused"))
-    return rest.unionByName(made).unionByName(lost)
+    others = [c for c in documents.columns if c not in ("block", "body", "hash")]
+    if others != ["path"]:
+        made = touched.select(*others).join(made, "path")
+    lost = lists.select("path").join(documents.select("path"), "path", "left_anti").withColumn("refused", F.lit("path-missing"))
+    return rest.unionByName(made).unionByName(lost, allowMissingColumns=True)
 
 
 def created(documents: DataFrame, new: DataFrame) -> DataFrame:
@@ -251,19 +273,38 @@ def created(documents: DataFrame, new: DataFrame) -> DataFrame:
     return out.unionByName(rows.withColumn("stem", V.path_parts(F.col("path"))[1]), allowMissingColumns=True)
 
 
+def _link_edits(impact: DataFrame) -> DataFrame:
+    """The edits that give links their new text: one for each document that holds some."""
+    new = impact.where("new_raw IS NOT NULL AND new_raw <> raw").groupBy("source_path", "raw").agg(F.min("new_raw").alias("new_raw"))
+    pairs = new.groupBy(F.col("source_path").alias("path")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("raw", "new_raw")))).alias("text"))
+    return pairs.select("path", F.lit(0).alias("position"), F.lit("replace_raw").alias("op"), F.lit("").alias("target"), "text", F.lit(None).cast("string").alias("expected_hash"))
+
+
+def _relinked(documents: DataFrame, links: DataFrame, impact: DataFrame) -> DataFrame:
+    """documents whose links, in bodies and metadata, have the text that `impact` gives them."""
+    if not ({"raw", "kind", "target"} <= set(links.columns) and "body" in documents.columns):
+        return documents
+    had_block = "block" in documents.columns
+    out = apply_edits(documents, _link_edits(impact)).where("refused IS NULL").drop("refused")
+    return out if had_block else out.drop("block")
+
+
+def link_report(impact: DataFrame) -> DataFrame:
+    """(path, rewritten, kept, failed): of the links to each moved document, how many get another text, keep theirs, or
+    have a form for which there is none.
+    """
+    changed, same = F.col("new_raw") != F.col("raw"), F.col("new_raw") == F.col("raw")
+    return impact.groupBy("path").agg(F.count_if(changed).alias("rewritten"), F.count_if(same).alias("kept"), F.count_if(F.col("new_raw").isNull()).alias("failed"))
+
+
 def moved(documents: DataFrame, links: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents, links) after moves(path, new_path): rows, the edges that end or begin at them, and, where links has
-    `raw`, `kind` and `target`, the text of the links in the bodies (see repair.link_impact).
+    `raw`, `kind` and `target`, the text of the links in bodies and metadata (see repair.link_impact).
     """
-    m = moves.select("path", "new_path")
+    m = few(stored(moves.select("path", "new_path"), "moves"), "path", "new_path")
     docs = documents.join(m, "path", "left").withColumn("path", F.coalesce("new_path", "path")).drop("new_path")
-    if {"raw", "kind", "target"} <= set(links.columns) and "body" in documents.columns:
-        new = repair.link_impact(links, moves).where("new_raw IS NOT NULL AND new_raw <> raw").groupBy("source_path", "raw").agg(F.min("new_raw").alias("new_raw"))
-        pairs = new.groupBy(F.col("source_path").alias("path")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("raw", "new_raw")))).alias("text"))
-        edits = pairs.select("path", F.lit(0).alias("position"), F.lit("replace_raw").alias("op"), F.lit("").alias("target"), "text", F.lit(None).cast("string").alias("expected_hash"))
-        rewritten = apply_edits(docs.select("path", "body", "hash", *[c for c in ("block",) if c in docs.columns]).join(edits.select("path"), "path", "left_semi"), edits).where("refused IS NULL")
-        changed = rewritten.select("path", F.col("body").alias("_body"), F.col("hash").alias("_hash"))
-        docs = docs.join(changed, "path", "left").withColumns({"body": F.coalesce("_body", "body"), "hash": F.coalesce("_hash", "hash")}).drop("_body", "_hash")
+    if {"raw", "kind", "target"} <= set(links.columns):
+        docs = _relinked(docs, links, repair.link_impact(links, m))
     if "stem" in docs.columns:
         docs = docs.withColumn("stem", V.path_parts(F.col("path"))[1])
     ends = links.join(m.withColumnsRenamed({"path": "resolved_path", "new_path": "_new"}), "resolved_path", "left").withColumn("resolved_path", F.coalesce("_new", "resolved_path")).drop("_new")
@@ -272,12 +313,26 @@ def moved(documents: DataFrame, links: DataFrame, moves: DataFrame) -> tuple[Dat
 
 
 def deleted(documents: DataFrame, links: DataFrame, paths: DataFrame, allow_broken: bool = False) -> DataFrame:
-    """documents without `paths`; refused rows (still linked from elsewhere) stay unless `allow_broken`."""
-    gone = paths.select("path").distinct()
+    """documents without `paths`(path[, redirect]); rows still linked from elsewhere stay unless `allow_broken`.
+
+    Links to a document that has a `redirect`, the path of another one that stays, are rewritten to lead there, so they
+    keep nothing. A redirect to what isn't there, or goes too, counts as none.
+    """
+    gone = paths.select("path", *(["redirect"] if "redirect" in paths.columns else [])).distinct()
+    if "redirect" not in paths.columns:
+        gone = gone.withColumn("redirect", F.lit(None).cast("string"))
+    gone = gone.groupBy("path").agg(F.min("redirect").alias("redirect"))
+    going = gone.select(F.col("path").alias("redirect"))
+    stays = documents.select(F.col("path").alias("redirect")).join(going, "redirect", "left_anti").distinct().withColumn("_ok", F.lit(True))
+    gone = gone.join(stays, "redirect", "left").select("path", F.when(F.col("_ok"), F.col("redirect")).alias("redirect"))
+    gone = stored(gone, "gone")
+    outside = links.join(gone.select(F.col("path").alias("source_path")), "source_path", "left_anti")
     if not allow_broken:
-        from_outside = links.join(gone.withColumnRenamed("path", "source_path"), "source_path", "left_anti")
-        gone = gone.join(from_outside.select(F.col("resolved_path").alias("path")), "path", "left_anti")
-    return documents.join(gone, "path", "left_anti")
+        held = outside.select(F.col("resolved_path").alias("path")).distinct()
+        gone = gone.where("redirect IS NOT NULL").unionByName(gone.where("redirect IS NULL").join(held, "path", "left_anti"))
+    out = documents.join(few(gone, "path").select("path"), "path", "left_anti")
+    led = gone.where("redirect IS NOT NULL").select("path", F.col("redirect").alias("new_path"))
+    return out if "redirect" not in paths.columns else _relinked(out, links, repair.link_impact(outside, led))
 
 
 #: Operations of a plan, by the phase that makes them.
@@ -290,10 +345,12 @@ def apply_plan(documents: DataFrame, links: DataFrame, changes: DataFrame, types
     Phases follow each other: content (see apply_edits), delete, create, move with its links. `field` is the key or the
     heading, `old_value` the text that edits look for, `new_value` what they write, `destination` where a move leads. A
     document whose hash isn't the expected one takes part in no phase. refused(path, reason) tells what wasn't done: a
-    deletion of what others link to, a creation or a move to a path that is taken, asked for twice or outside.
+    deletion of what others link to, a creation or a move to a path that is taken, asked for twice or outside. A deletion
+    with a `destination` redirects the links to it there.
 
-    Documents are joined once with the changes, gathered by path; all that decides about deletions and moves works on
-    paths and hashes alone.
+    What decides about creations, deletions and moves works on paths and hashes, which are written once. Texts are read
+    where they are: those of edited documents, of documents with links to moved or redirected ones, and no others go
+    through Python, and no text is shuffled unless a plan is too large to be sent to every task (see FEW).
     """
     unknown = [r[0] for r in changes.where(~F.col("operation").isin(*OPERATIONS)).select("operation").distinct().limit(10).collect()]
     if unknown:
@@ -307,17 +364,20 @@ def apply_plan(documents: DataFrame, links: DataFrame, changes: DataFrame, types
     per = changes.groupBy("path").agg(
         F.array_sort(F.collect_list(F.when(phase == "content", edit))).alias("_edits"), F.min(F.when(known, F.col("document_hash"))).alias("_low"), F.max(F.when(known, F.col("document_hash"))).alias("_high"),
         F.bool_or(phase == "delete").alias("_delete"), F.max(F.when(phase == "create", F.coalesce("new_value", F.lit("")))).alias("_text"), F.count_if(phase == "create").alias("_creates"),
-        F.min(F.when(phase == "move", F.col("destination"))).alias("_to"), F.count_distinct(F.when(phase == "move", F.col("destination"))).alias("_moves"),
+        F.min(F.when(phase == "delete", F.col("destination"))).alias("_redirect"), F.min(F.when(phase == "move", F.col("destination"))).alias("_to"), F.count_distinct(F.when(phase == "move", F.col("destination"))).alias("_moves"),
     )
 
     stale = (F.col("_low") != F.col("hash")) | (F.col("_high") != F.col("hash"))
     flags = per.drop("_edits").join(base.select("path", "hash"), "path", "left")
-    flags = flags.withColumns({"_there": F.col("hash").isNotNull(), "_stale": F.coalesce(stale, F.lit(False))}).where("NOT _stale")
-    gone = flags.where("_there AND _delete").select("path")
-    linked = None
+    flags = flags.withColumns({"_there": F.col("hash").isNotNull(), "_stale": F.coalesce(stale, F.lit(False))})
+    flags = stored(flags, "flags")  # paths and hashes: all that follows about creations, deletions and moves reads this
+    late, flags = flags.where("_stale"), flags.where("NOT _stale")
+    gone = flags.where("_there AND _delete").select("path", "_redirect")
+    ends = base.select(F.col("path").alias("_redirect")).join(gone.select(F.col("path").alias("_redirect")), "_redirect", "left_anti").withColumn("_ok", F.lit(True))
+    led = gone.where("_redirect IS NOT NULL").join(ends, "_redirect").select("path", F.col("_redirect").alias("new_path")).distinct()
+    outside = links.join(gone.select(F.col("path").alias("source_path")), "source_path", "left_anti")
     if not allow_broken:
-        outside = links.join(gone.withColumnRenamed("path", "source_path"), "source_path", "left_anti")
-        linked = gone.join(outside.select(F.col("resolved_path").alias("path")), "path", "left_semi").select("path", F.lit("linked").alias("_linked"))
+        linked = gone.select("path").join(led, "path", "left_anti").join(outside.select(F.col("resolved_path").alias("path")), "path", "left_semi").select("path", F.lit("linked").alias("_linked"))
         flags = flags.join(linked, "path", "left")
     else:
         flags = flags.withColumn("_linked", F.lit(None).cast("string"))
@@ -328,18 +388,18 @@ def apply_plan(documents: DataFrame, links: DataFrame, changes: DataFrame, types
     again = flags.where("_moves > 0").groupBy("_to").count().where("count > 1").select("_to", F.lit(True).alias("_again"))
     flags = flags.join(taken, "_to", "left").join(again, "_to", "left")
     stays = F.when(F.col("_moves") > 0, F.when(~V.contained(F.col("_to")), "outside").when(~F.col("_there") & ~F.col("_made"), "path-missing").when(F.col("_moves") > 1, "path-twice").when(F.col("_again"), "path-twice").when(F.col("_taken"), "path-exists"))
-    flags = flags.withColumn("_no_move", stays)
+    flags = stored(flags.withColumn("_no_move", stays), "decided")
     moves = flags.where("_moves > 0 AND _no_move IS NULL AND (_made OR NOT _goes)").select("path", F.col("_to").alias("new_path"))
 
-    touched = base.join(per.select("path", "_edits", "_low", "_high"), "path")
-    edits = touched.where(F.size("_edits") > 0).select("path", F.explode("_edits").alias("e"), F.lit(None).cast("string").alias("expected_hash"), stale.alias("_stale")).where("NOT coalesce(_stale, false)").select("path", "e.position", "e.op", "e.target", "e.text", "expected_hash")
-    done = apply_edits(base.select("path", "block", "body", "hash"), edits, types)
-    now = base.drop("block", "body", "hash").join(done, "path")
-    lost = flags.where("_goes").select("path")
+    edits = per.where(F.size("_edits") > 0).join(late.select("path"), "path", "left_anti").select("path", F.explode("_edits").alias("e"), F.lit(None).cast("string").alias("expected_hash"))
+    done = apply_edits(base, edits.select("path", "e.position", "e.op", "e.target", "e.text", "expected_hash"), types)
+    undone = done.where("refused IS NOT NULL").select("path", F.col("refused").alias("reason"))
+    lost = few(flags.where("_goes").select("path"), "path")
     new = flags.where("_made").select("path", F.col("_text").alias("body"), F.sha2("_text", 256).alias("hash"), V.path_parts(F.col("path"))[1].alias("stem"))
     new = new.select(*[c for c in new.columns if c in base.columns])
-    after = now.drop("refused").join(lost, "path", "left_anti").unionByName(new, allowMissingColumns=True)
+    after = done.where("NOT coalesce(refused = 'path-missing', false)").drop("refused").join(lost, "path", "left_anti").unionByName(new, allowMissingColumns=True)
+    after = _relinked(after, links, repair.link_impact(outside, led.join(lost, "path", "left_semi"))) if "_redirect" in flags.columns and not led.isEmpty() else after
     reasons = F.array_compact(F.array("_linked", "_no_create", "_no_move", F.when(~F.col("_there") & (F.col("_creates") == 0) & (F.col("_moves") == 0), "path-missing")))
-    refused = flags.select("path", F.explode(reasons).alias("reason")).unionByName(done.where("refused IS NOT NULL").select("path", F.col("refused").alias("reason")))
-    refused = refused.unionByName(touched.where(F.coalesce(stale, F.lit(False))).select("path", F.lit("hash-mismatch").alias("reason"))).distinct()
+    refused = flags.select("path", F.explode(reasons).alias("reason")).unionByName(undone)
+    refused = refused.unionByName(late.select("path", F.lit("hash-mismatch").alias("reason"))).distinct()
     return moved(after, links, moves)[0], refused

@@ -18,7 +18,8 @@ SCHEMA = ["code", "severity", "path", "rule", "field", "actual_value", "expected
 class Rule:
     """Constraints on the documents that path patterns and metadata values select.
 
-    `target`, the path template of documents that are made by the rule, selects as `path` does if that is missing.
+    `target`, the path template of documents that are made by the rule, selects as `path` does if that is missing;
+    `body` is the template of their text.
     `references` names the types that a field's links may lead to; `defaults` are values for fields that are missing.
     """
 
@@ -36,6 +37,7 @@ class Rule:
     references: dict = field(default_factory=dict)
     defaults: dict = field(default_factory=dict)
     target: str | None = None
+    body: str | None = None
 
 
 def _matches(path: Column, glob: str) -> Column:

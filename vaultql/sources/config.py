@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from ..operators.mutate import OPERATIONS
 from ..operators.repair import Repair
 from ..operators.validate import TYPES, Rule, selected_by_path
 from .markdown import loaded
+from .store import stored
 
 
 class ConfigError(ValueError):
@@ -107,7 +109,7 @@ def _rule(raw, k: int, everywhere: tuple[str, ...]) -> Rule:
     paths = tuple(_glob(p, f"{where}.allowed_paths") for p in raw.get("allowed_paths") or ())
     return Rule(
         raw.get("name") or f"rule {k + 1}", _glob(match.get("path"), where), match.get("frontmatter") or {}, tuple(dict.fromkeys((*everywhere, *required))), forbidden, types, lengths, allowed, paths,
-        _glob(match.get("path_not"), where), _glob(exclude.get("path"), where), references, defaults, target,
+        _glob(match.get("path_not"), where), _glob(exclude.get("path"), where), references, defaults, target, raw.get("body"),
     )
 
 
@@ -203,32 +205,54 @@ def read_plan(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
 # -- defaults ------------------------------------------------------------------------------------
 
 
-def with_defaults(documents: DataFrame, rules: list[Rule], *, title: Column, now: Column, fields: str = "fields", most: int = 16) -> DataFrame:
+def with_defaults(documents: DataFrame, rules: list[Rule], *, title: Column, now: Column, fields: str = "fields", extra: Column | None = None) -> DataFrame:
     """documents whose map `fields` (text by name, values as JSON) has the defaults of all rules that match.
 
-    Rules match by path and by the fields so far; each pass may make further rules match, for `most` passes or as many as
-    there are rules with defaults. Fields that are there are never changed, and earlier rules come first. A default
-    that is text is a template (see templates.rendered) with the captures of the rule's pattern as names.
+    Rules match by path and by the fields so far, so a default may make further rules match: passes are made until none
+    changes anything. Fields that are there are never changed, and earlier rules come first. A default that is text is
+    a template (see templates.rendered) with the captures of the rule's pattern as names, and those of the map `extra`.
+
+    No more than two passes can add anything if one rule at most looks at fields: these are one plan. Else each pass is
+    a job over the documents that the last one changed, and its rows are written, so that a plan is as large for sixteen
+    chained rules as for two.
     """
     held = [r for r in rules if r.defaults]
+    looking = sum(bool(r.where) for r in held)
     out = documents
-    for _ in range(min(most, len(held))):
-        added = []
-        for r in held:
-            test = selected_by_path(r, F.col("path"))
-            for name, value in r.where.items():
-                wanted = [json.dumps(v, ensure_ascii=False) for v in (value if isinstance(value, list) else [value])]
-                test = test & F.coalesce(F.try_element_at(fields, F.lit(name)).isin(wanted), F.lit(False))
-            caught = globs.captures(F.col("path"), r.path or globs.glob_of_target(r.target or "**"))
-            for name, value in r.defaults.items():
-                if isinstance(value, str):
-                    made = F.to_json(F.struct(templates.rendered(value, title=title, now=now, names=caught).alias("x")))
-                    made = F.substring(made, 6, 1 << 30).substr(F.lit(1), F.length(made) - 6)
-                else:
-                    made = F.lit(json.dumps(value, ensure_ascii=False))
-                added.append(F.when(test & ~F.array_contains(F.map_keys(fields), name), F.struct(F.lit(name).alias("k"), made.alias("v"))))
-        each = F.array_compact(F.array(*added))
-        # the first of those with one name
-        once = F.filter(each, lambda x, i: ~F.exists(F.slice(each, 1, i), lambda y: y["k"] == x["k"]))
-        out = out.withColumn(fields, F.map_concat(fields, F.map_from_entries(once)))
-    return out
+    if looking <= 1:
+        for _ in range(min(len(held), 1 + looking)):
+            out = _with_defaults_once(out, held, title, now, fields, extra)
+        return out
+    done, grown = [], F.size(fields) > F.col("_vq_size")
+    active = stored(_with_defaults_once(out.withColumn("_vq_size", F.size(fields)), held, title, now, fields, extra), "defaults")
+    while True:
+        done.append(active.where(~grown).drop("_vq_size"))
+        active = active.where(grown)
+        if active.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        active = stored(_with_defaults_once(active.withColumn("_vq_size", F.size(fields)), held, title, now, fields, extra), "defaults")
+
+
+def _with_defaults_once(documents: DataFrame, held: list[Rule], title: Column, now: Column, fields: str, extra: Column | None) -> DataFrame:
+    added = []
+    for r in held:
+        test = selected_by_path(r, F.col("path"))
+        for name, value in r.where.items():
+            wanted = [json.dumps(v, ensure_ascii=False) for v in (value if isinstance(value, list) else [value])]
+            test = test & F.coalesce(F.try_element_at(fields, F.lit(name)).isin(wanted), F.lit(False))
+        caught = globs.captures(F.col("path"), r.path or globs.glob_of_target(r.target or "**"))
+        for name, value in r.defaults.items():
+            if isinstance(value, str):
+                names = dict(caught)
+                for n in re.findall(r"\{\{\s*(?:var|path)\.(\w+)", value) if extra is not None else []:
+                    more = F.try_element_at(extra, F.lit(n))
+                    names[n] = F.coalesce(caught[n], more) if n in caught else more
+                made = F.to_json(F.struct(templates.rendered(value, title=title, now=now, names=names).alias("x")))
+                made = F.substring(made, 6, 1 << 30).substr(F.lit(1), F.length(made) - 6)
+            else:
+                made = F.lit(json.dumps(value, ensure_ascii=False))
+            added.append(F.when(test & ~F.array_contains(F.map_keys(fields), name), F.struct(F.lit(name).alias("k"), made.alias("v"))))
+    each = F.array_compact(F.array(*added))
+    # the first of those with one name
+    once = F.filter(each, lambda x, i: ~F.exists(F.slice(each, 1, i), lambda y: y["k"] == x["k"]))
+    return documents.withColumn(fields, F.map_concat(fields, F.map_from_entries(once)))
