@@ -68,44 +68,52 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray, shares: np.ndarray, *, rank: int = 4, epochs: int = 20, rate: float = 0.05, decay: float = 2e-2, sparsity: float = 0.1, support: float = 0.005, batch: int = 256, seed: int = 7) -> FactorizationMachine:
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray, shares: np.ndarray, *, rank: int = 4, epochs: int = 20, rate: float = 0.05, decay: float = 2e-2, sparsity: float = 0.1, doubt: float = 2.5, caution: float = 1e-2, batch: int = 256, seed: int = 7) -> FactorizationMachine:
     """A machine for rows of (hashed terms, counts, words). `shares` weighs rows, so that a stratified sample stands
-    for its table. Every term in at least `support` of the sampled rows (3 rows or more) has a weight and factors: none
-    is chosen by its own worth, as a term may matter only beside another one. Weights are learned by follow the
-    regularised leader, which holds those at 0 whose summed slopes stay below `sparsity`; factors by damped steps.
+    for its table. Every hashed term of the rows has a weight and factors, however rare: none is chosen by its own worth
+    or by how often it occurs, as a term may matter only beside another one, and rare insults are what is looked for.
+    The regularisation decides: weights are learned by follow the regularised leader, which holds those at 0 whose
+    summed slopes stay below `sparsity`, or below `doubt` times their noise at the start, as rare words that fell to
+    one label by chance do; a term is so held back by what its rows say, not by the size of the sample. Factors are
+    learned for all terms, by damped steps that stay short (`caution`) for a term that has had few slopes, so that rare
+    terms don't spell out single rows. A slope is divided by `batch`, not by the number of rows, so a term's slopes add
+    up to the same in a large sample as in a small one.
     """
-    size = np.array([len(r[0]) for r in rows], np.int64)
     if not len(rows) or labels.min() == labels.max():
         base = float(np.clip(labels.mean() if len(rows) else 0.0, 0.001, 0.999))
         return FactorizationMachine(np.empty(0, np.int64), float(np.log(base / (1 - base))), np.empty(0, np.float32), np.empty((0, rank), np.float32))
-    wanted, ids, often = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True, return_counts=True)
-    x = values(np.concatenate([r[1] for r in rows]), np.repeat([r[2] for r in rows], size)).astype(float)
-    held = often >= max(3, support * len(rows))
-    row = np.repeat(np.arange(len(rows)), size)[held[ids]]
-    wanted, ids, x = wanted[held], (np.cumsum(held) - 1)[ids[held[ids]]], x[held[ids]]
-    size = np.bincount(row, minlength=len(rows))
-    start = np.r_[0, np.cumsum(size)]
+    seen = np.zeros(1 << BITS, bool)
+    for r in rows:
+        seen[r[0]] = True
+    wanted, at = np.flatnonzero(seen), (np.cumsum(seen) - 1).astype(np.int32)
 
     rng = np.random.default_rng(seed)
     prior = float(np.average(labels, weights=shares))
     bias, w, v = float(np.log(prior / (1 - prior))), np.zeros(len(wanted)), rng.normal(0, 0.01, (rank, len(wanted)))
-    gb, gw, gv, lead = 1e-6, np.full(len(wanted), 1e-6), np.full((rank, len(wanted)), 1e-6), np.zeros(len(wanted))
+    gb, gw, gv, lead = 1e-6, np.full(len(wanted), 1e-6), np.full((rank, len(wanted)), caution), np.zeros(len(wanted))
     weight = shares / shares.mean()
     damp = decay / len(rows) * batch
+    order = rng.permutation(len(rows))
+    batches = []
+    for some in (order[k : k + batch] for k in range(0, len(rows), batch)):
+        n = np.array([len(rows[k][0]) for k in some])
+        used, i = np.unique(at[np.concatenate([rows[k][0] for k in some])], return_inverse=True)
+        x = values(np.concatenate([rows[k][1] for k in some]), np.repeat([rows[k][2] for k in some], n))
+        batches.append((some, np.repeat(np.arange(len(some), dtype=np.int32), n), used, i.astype(np.int32), x))
+    slope = (prior - labels) * weight
+    total, noise = np.zeros(len(wanted)), np.full(len(wanted), 1e-12)
+    for some, r, used, i, xs in batches:
+        total[used] += np.bincount(i, slope[some][r] * xs, len(used))
+        noise[used] += np.bincount(i, (slope[some][r] * xs) ** 2, len(used))
+    margin = np.where(np.abs(total) >= doubt * np.sqrt(noise), sparsity, np.inf)
     for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for some in (order[k : k + batch] for k in range(0, len(rows), batch)):
-            n = size[some]
-            r = np.repeat(np.arange(len(some)), n)
-            pick = np.repeat(start[some] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-            i, xs = ids[pick], x[pick]
-            used, i = np.unique(i, return_inverse=True)
+        for some, r, used, i, xs in (batches[k] for k in rng.permutation(len(batches))):
             vu = v[:, used]
             vx = vu[:, i] * xs
             total = np.stack([np.bincount(r, each, len(some)) for each in vx])
             squares = np.bincount(r, (vx * vx).sum(0), len(some))
             score = bias + np.bincount(r, w[used][i] * xs, len(some)) + 0.5 * ((total**2).sum(0) - squares)
-            slope = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - labels[some]) * weight[some] / len(some)
+            slope = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - labels[some]) * weight[some] / batch
             sx = slope[r] * xs
             dw = np.bincount(i, sx, len(used))
             dv = np.stack([np.bincount(i, sx * (t[r] - each), len(used)) for t, each in zip(total, vx, strict=True)]) + damp * vu
@@ -115,7 +123,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray, shar
             gw[used] += dw**2
             now = np.sqrt(gw[used])
             lead[used] += dw - (now - before) / rate * w[used]
-            w[used] = -np.sign(lead[used]) * np.maximum(0, np.abs(lead[used]) - sparsity) / (now / rate + decay)
+            w[used] = -np.sign(lead[used]) * np.maximum(0, np.abs(lead[used]) - margin[used]) / (now / rate + decay)
             gv[:, used] += dv**2
             v[:, used] = vu - rate * dv / np.sqrt(gv[:, used])
     return FactorizationMachine(wanted, bias, w.astype(np.float32), np.ascontiguousarray(v.T, np.float32))
