@@ -71,6 +71,27 @@ def test_factorization_learns_pairs_that_additive_weights_miss():
         assert right(additive, new, truth) < 0.7
 
 
+def test_rare_insults_are_learned_in_large_samples_too():
+    import numpy as np
+
+    from vaultql.llm import toxicity as T
+
+    for size in (600, 8000):
+        rng, known = random.Random(3), T._Known(None)
+        fill = [f"w{chr(97 + a)}{chr(97 + b)}" for a in range(20) for b in range(20)]
+        texts = [" ".join(rng.choices(fill, k=12) + ["slur"] * (k < 20)) for k in range(size)]
+        rows, labels = [T.counted(t, known) for t in texts], np.array([k < 20 for k in range(size)]).astype(int)
+        model = T.fit(rows, labels, np.ones(size))
+
+        def score(text, model=model, known=known):
+            i, n, w = T.counted(text, known)
+            held = np.isin(i, model.wanted)
+            return model.score(np.searchsorted(model.wanted, i[held]), T.values(n[held], w))
+
+        plain = " ".join(fill[:12])
+        assert score(plain + " slur") > 2 * score(plain) and score(plain) < 0.1, (size, score(plain + " slur"), score(plain))
+
+
 def test_factorization_scores_as_sums_over_pairs():
     import numpy as np
 
@@ -309,6 +330,26 @@ def test_rules_against_brute_force(spark):
         assert (got[k].n_words, got[k].n_repeat_words, got[k].n_dup_lines) == (len(w), len(hit), len(lines) - len(set(lines)))
 
 
+@pytest.mark.parametrize("coding", ["gzip", "zstd"])
+def test_every_member_of_a_body_is_decoded_up_to_the_bound(coding):
+    import gzip
+
+    import zstandard
+
+    pack = gzip.compress if coding == "gzip" else zstandard.ZstdCompressor().compress
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\nContent-Encoding: {coding}\r\n\r\n".encode()
+    made = warc.derivatives("s", "u", "d", head + pack(b"first ") + pack(b"") + pack(b"second"))
+    assert made[1][-2] == b"first second" and b"source-truncated" not in made[0][-2]
+    assert warc.derivatives("s", "u", "d", head + pack(b"first") + b"\0\0rest")[1][-2] == b"first"
+    assert warc.derivatives("s", "u", "d", head + pack(b"first " * 1000)[:-9])[1][-2].startswith(b"first") or coding == "zstd"
+    bomb = head + pack(bytes(40 << 20)) + pack(b"more")
+    small = warc.derivatives("s", "u", "d", bomb, 3 << 20)
+    assert len(bomb) < 1 << 20 and small[1][-2] == bytes(3 << 20) and b"source-truncated: decoded body, after 3145728 bytes" in small[0][-2]
+    exact = warc.derivatives("s", "u", "d", head + pack(bytes(3 << 20)), 3 << 20)
+    assert len(exact[1][-2]) == 3 << 20 and b"source-truncated" not in exact[0][-2]
+    assert b"source-undecoded: " in warc.derivatives("s", "u", "d", head + b"no such stream")[0][-2]
+
+
 def test_pii(spark):
     a = "Mail Ann.Lee@mail.com or ANN.LEE@MAIL.COM, call +1 (017) 555-7713, ip 10.1.2.3 v1.2.3.4.5, card 4111 1111 1111 1111 or 4111111111111111."
     b = 'token = "' + "0a" * 20 + '" ssn 123-45-6789, Mrs. Mary Smith met Mr Smith and г-жа Анна Иванова; iban DE44 5001 0517 5407 3249 31!'

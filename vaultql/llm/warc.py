@@ -164,28 +164,67 @@ def unchunked(body: bytes) -> bytes:
 _CHUNK = re.compile(rb"([0-9A-Fa-f]{1,8})[ \t]*(?:;[^\r\n]*)?\r?\n")
 
 
-def uncoded(body: bytes, codings: str) -> tuple[bytes, str]:
-    """A body without its content codings, last one first, and what is left of those: a coding that isn't known or bytes
-    that aren't so coded stop it. Bytes that are cut short are decoded as far as they go.
+#: Bytes that a body may have once it is decoded; what is beyond is left out, and the metadata record says so.
+MOST_INFLATED = 64 << 20
+
+
+def _inflated(body: bytes, most: int, window: int, several: bool) -> bytes:
+    """A zlib stream, or with `several` all members one after the other, as far as it goes and up to most + 1 bytes."""
+    out, size = [], 0
+    while body and size <= most:
+        stream = zlib.decompressobj(window)
+        try:
+            while size <= most and not stream.eof and (piece := stream.decompress(body, min(1 << 20, most + 1 - size))):
+                out.append(piece)
+                size += len(piece)
+                body = stream.unconsumed_tail
+        except zlib.error:
+            if not out:
+                raise
+            break  # a later member, or the rest of this one, is no stream
+        body = stream.unused_data if stream.eof and several else b""
+    return b"".join(out)
+
+
+def _unzstd(body: bytes, most: int) -> bytes:
+    """All zstd frames one after the other, as far as they go and up to most + 1 bytes."""
+    out, size = [], 0
+    reader = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(body), read_across_frames=True)
+    try:
+        while size <= most and (piece := reader.read1(min(1 << 20, most + 1 - size))):
+            out.append(piece)
+            size += len(piece)
+    except zstandard.ZstdError:
+        if not out:
+            raise
+    return b"".join(out)
+
+
+def uncoded(body: bytes, codings: str, most: int = MOST_INFLATED) -> tuple[bytes, str, bool]:
+    """A body without its content codings, last one first, what is left of those, and whether it was cut at `most` bytes:
+    a coding that isn't known or bytes that aren't so coded stop it. Several gzip members or zstd frames are one body.
+    Bytes that are cut short are decoded as far as they go.
     """
     left = [c.strip().lower() for c in codings.split(",") if c.strip() and c.strip().lower() != "identity"]
     while left and body:
         try:
-            if left[-1] in ("gzip", "x-gzip", "deflate"):
+            if left[-1] in ("gzip", "x-gzip"):
+                body = _inflated(body, most, 47, several=True)
+            elif left[-1] == "deflate":
                 try:
-                    body = zlib.decompressobj(47).decompress(body)
+                    body = _inflated(body, most, 47, several=False)
                 except zlib.error:
-                    if left[-1] != "deflate":
-                        raise
-                    body = zlib.decompressobj(-15).decompress(body)  # without the header, as some servers send it
+                    body = _inflated(body, most, -15, several=False)  # without the header, as some servers send it
             elif left[-1] == "zstd":
-                body = zstandard.ZstdDecompressor().decompressobj().decompress(body)
+                body = _unzstd(body, most)
             else:
                 break
         except (zlib.error, zstandard.ZstdError):
             break
         left.pop()
-    return body, ", ".join(left)
+        if len(body) > most:
+            return body[:most], ", ".join(left), True
+    return body, ", ".join(left), False
 
 
 def responses_from_pages(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", date: str = "1970-01-01T00:00:00Z", keep: list[str] | None = None) -> DataFrame:
@@ -205,14 +244,16 @@ def responses_from_pages(pages: DataFrame, *, page_id: str = "page_id", url: str
     return pages.select(*kept, made.alias("record_id"), F.coalesce(url, F.lit("")).alias("target_uri"), F.lit(date).alias("warc_date"), F.concat(head, body).alias("block"))
 
 
-def derive(responses: DataFrame, *, keep: list[str] | None = None) -> DataFrame:
+def derive(responses: DataFrame, *, keep: list[str] | None = None, most_inflated: int = MOST_INFLATED) -> DataFrame:
     """Two records for each response (record_id, target_uri, warc_date, block): metadata (part 0) and conversion (1).
 
     Both carry the response's id in refers_to, its target and date, and its HTTP headers in source_headers. The
     metadata block (application/warc-fields) lists the source's status, headers, digests, title and outlinks; it is
     linked to the conversion by that record's id. The conversion's block is the page's text in UTF-8; its
     payload_digest is the source payload's (without chunk sizes, its content codings kept), its block_digest that of the
-    text. Bodies in gzip, deflate or zstd are decoded; for others the text is empty and the metadata has source-undecoded.
+    text. Bodies in gzip, deflate or zstd are decoded, all members and frames of them; for others the text is empty and the
+    metadata has source-undecoded. A body that is larger than `most_inflated` bytes once decoded is cut there, so that a
+    small record can't fill a task's memory, and the metadata has source-truncated.
 
     Edge cases: a null block is an empty one; a body that isn't text/html or has no type is decoded as it is. Charsets
     that Python doesn't know count as UTF-8, bytes that don't fit become U+FFFD. Null ids and targets stay null.
@@ -227,7 +268,7 @@ def derive(responses: DataFrame, *, keep: list[str] | None = None) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 256):
                 ids, uris, dates = (column_strings(part, c) for c in ("record_id", "target_uri", "warc_date"))
-                made = [r for row in zip(ids, uris, dates, column_bytes(part, "block"), strict=True) for r in derivatives(*row)]
+                made = [r for row in zip(ids, uris, dates, column_bytes(part, "block"), strict=True) for r in derivatives(*row, most_inflated)]
                 twice = pa.array([i for i in range(part.num_rows) for _ in (0, 1)], pa.int64())
                 old = [part.column(part.schema.get_field_index(c)).take(twice) for c in asked]
                 new = [pa.array([r[k] for r in made], t) for k, t in enumerate(_TYPES)]
@@ -239,11 +280,11 @@ def derive(responses: DataFrame, *, keep: list[str] | None = None) -> DataFrame:
 _TYPES = [pa.string()] * 8 + [pa.map_(pa.string(), pa.string()), pa.int64(), pa.binary(), pa.int32()]
 
 
-def derivatives(source: str | None, uri: str | None, date: str | None, block: bytes | None) -> list[tuple]:
+def derivatives(source: str | None, uri: str | None, date: str | None, block: bytes | None, most: int = MOST_INFLATED) -> list[tuple]:
     status, headers, body = http_parts(block or b"")
     if "chunked" in headers.get("transfer-encoding", "").lower():
         body = unchunked(body)
-    plain_body, undecoded = uncoded(body, headers.get("content-encoding", ""))
+    plain_body, undecoded, cut = uncoded(body, headers.get("content-encoding", ""), most)
     kind = headers.get("content-type", "")
     charset = re.search(r"charset=\"?([\w.:-]+)", kind, re.I)
     try:
@@ -256,7 +297,7 @@ def derivatives(source: str | None, uri: str | None, date: str | None, block: by
     mine = record_id("conversion", source or "", uri or "", plain)
     one_line = lambda s: " ".join(s.split())
     fields = [("source-status", one_line(status)), *((f"source-header-{k}", one_line(v)) for k, v in sorted(headers.items())), ("source-block-digest", digest(block or b"")), ("source-payload-digest", payload), ("conversion-record-id", mine), ("conversion-digest", digest(plain))]
-    fields += [("source-undecoded", undecoded)] * bool(undecoded) + [("title", title)] * bool(title) + [("outlink", one_line(x)) for x in links]
+    fields += [("source-truncated", f"decoded body, after {most} bytes")] * cut + [("source-undecoded", undecoded)] * bool(undecoded) + [("title", title)] * bool(title) + [("outlink", one_line(x)) for x in links]
     listed = "".join(f"{k}: {v}\r\n" for k, v in fields).encode()
     row = lambda kind, name, type_, raw, part: (kind, name, uri, date, source, type_, digest(raw), payload, list(headers.items()), len(raw), raw, part)
     return [row("metadata", record_id("metadata", source or "", uri or "", listed), "application/warc-fields", listed, 0), row("conversion", mine, "text/plain; charset=utf-8", plain, 1)]
