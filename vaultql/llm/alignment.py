@@ -29,9 +29,9 @@ BYTE_LEVEL, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LETTER, _MARK = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", ".,!?;:|%&*$#\""
 #: Characters of texts that are cut at a time, and of new segments that DuckDB aligns at a time.
-TEXT, ALIGNED = 4_000_000, 2_000_000
+TEXT, ALIGNED = 2_000_000, 300_000
 #: Segments that a task remembers; with more it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Pairs of ids, the most frequent ones, that every task gets; 17 bytes each.
 HOT_PAIRS = 1 << 18
 
@@ -93,7 +93,7 @@ class Aligner:
         word = f"[{_WHITE}]*[{_LETTER}]++(?=[{_MARK}])|" if marked else ""
         self.segments = re.compile(word + f"[{_WHITE}]*[^{_WHITE}]+(?:(?![ \n])[{_WHITE}]+[^{_WHITE}]*)*|[{_WHITE}]+" if self.cut else r"(?s:.+)").findall
         folder = os.path.join(tempfile.gettempdir(), "duckdb")
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": folder})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": folder})
         self.clear()
 
     def clear(self) -> None:
