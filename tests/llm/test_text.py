@@ -382,6 +382,25 @@ def test_pii_people(spark):
     assert got[3].text == "Mary Smith alone" and got[3].row == 7 and got[1].n_distinct == 1
 
 
+def test_pii_names_of_any_form(spark):
+    rows = [
+        (1, "Mrs. Anna Maria Schmidt and Mr. John Q. Smith; Mrs. Anna Schmidt."), (2, "Dr. Smith came. Dr. Smith’s dog and Dr. Smith's cat."), (3, "Dr. Παπαδόπουλος met Ms. 王 and Prof. Müller-Lüdenscheidt."),
+        (4, "Mr. de Vries saw Frau von der Leyen."), (5, "Mr. Will Rose came. Will you go? Rose wine, if they will; a rose. Will Rose went."), (6, "Herr Karl Heinz Otto von Berg"), (7, "Sir Ian Bryan-Jones's hat"),
+    ]
+    got = {r.doc_id: r.text for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), key="k").collect()}
+    a, m, s, j, q, s2, a2, s3 = re.fullmatch(r"Mrs\. (\w+) (\w+) (\w+) and Mr\. (\w+) (\w)\. (\w+); Mrs\. (\w+) (\w+)\.", got[1]).groups()
+    assert (a, s) == (a2, s3) and len({a, m, s, j, s2} & {"Anna", "Maria", "Schmidt", "John", "Smith"}) == 0 and a.endswith("a") and q.isupper()
+    x, y, z = re.fullmatch(r"Dr\. (\w+) came\. Dr\. (\w+)’s dog and Dr\. (\w+)'s cat\.", got[2]).groups()
+    assert x == y == z == s2
+    greek, han, one, two = re.fullmatch(r"Dr\. (\w+) met Ms\. (\w+) and Prof\. (\w+)-(\w+)\.", got[3]).groups()
+    assert re.fullmatch("[Α-Ωα-ωίόύέάήώ]+", greek) and greek != "Παπαδόπουλος" and han != "王" and all("\u4e00" <= c <= "\u9fff" for c in han) and one[0].isupper() and two[0].isupper()
+    assert re.fullmatch(r"Mr\. de \w+ saw Frau von der \w+\.", got[4]) and "Vries" not in got[4] and "Leyen" not in got[4]
+    will, rose = re.match(r"Mr\. (\w+) (\w+) came", got[5]).groups()
+    assert got[5] == f"Mr. {will} {rose} came. Will you go? Rose wine, if they will; a rose. {will} {rose} went."
+    assert re.fullmatch(r"Herr \w+ \w+ \w+ von \w+", got[6]) and not set(got[6].split()) & {"Karl", "Heinz", "Otto", "Berg"}
+    assert got[7].startswith("Sir ") and got[7].endswith("'s hat") and "Bryan" not in got[7] and "Jones" not in got[7]
+
+
 def test_pii_against_brute_force(spark):
     rng = random.Random(6)
     hexes = lambda n: "".join(rng.choices("0123456789abcdef", k=n))

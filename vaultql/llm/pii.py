@@ -18,7 +18,11 @@ MALE = ["Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "г-н", "господ
 NEUTRAL = ["Dr", "Prof"]
 
 _TITLE = f"(?:{'|'.join(FEMALE + MALE + NEUTRAL)})\\.?"
-_NAME = r"\p{Lu}[\p{L}'’-]+"
+#: Words in small letters that are part of a name.
+_PARTICLE = "(?:de|da|di|del|della|der|den|van|von|zu|zum|la|le|du|dos|das|bin|ibn|al|el|ten|ter|y)"
+#: A word of a name, without a genitive's ending; an initial; a word of a script without capitals.
+_WORD = r"(?:\p{Lu}[\p{L}\p{M}]++(?:['’-](?!s(?!\p{L}))[\p{L}\p{M}]++){0,6}|\p{Lo}[\p{L}\p{M}]*+)"
+_NAME = rf"(?:(?:{_PARTICLE} +){{0,3}}(?:\p{{Lu}}\.|{_WORD}) +){{0,8}}(?:{_PARTICLE} +){{0,3}}{_WORD}"
 #: Words after which a long run of letters and digits is a secret.
 _KEYED = r"(?i:key|token|secret|password|passwd|pwd)"
 #: Patterns by type; where two begin at one place, the first one wins. Groups repeat a bounded number of times (a domain
@@ -32,12 +36,12 @@ PATTERNS = {
     "ssn": _B + r"\d{3}-\d{2}-\d{4}" + _E,
     "ip": r"(?<![\p{L}\p{N}.])" + rf"(?:{_OCTET}\.){{3}}{_OCTET}" + r"(?!\.?[\p{L}\p{N}])",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[-.]\d{3}[-.]\d{4}|(?<![.,:/-])0\d{2,4}[ /-]\d{5,8})" + _E,
-    "name": _B + _TITLE + " +" + _NAME + "(?: +" + _NAME + ")?",
+    "name": _B + _TITLE + " +" + _NAME,
     "token": r"(?<=[:=\"' ])(?=[\p{L}_+/-]{0,64}\d)(?=[\p{L}\p{N}_+/-]{16})(?<=" + _KEYED + r"[\"']?[ ]?[:=][ ]?[\"']?)[\p{L}\p{N}_+/-]{16,}",
 }
 EVERY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without this holds no entity; it is a quick test.
-_MAY = r"[0-9@]|::|:[0-9a-fA-F]{1,4}:|" + _B + _TITLE + " +\\p{Lu}"
+_MAY = r"[0-9@]|::|:[0-9a-fA-F]{1,4}:|" + _B + _TITLE + rf" +(?:[\p{{Lu}}\p{{Lo}}]|{_PARTICLE} )"
 #: Where a text is cut into words and what stands between them.
 _CUTS = r"(?<=[\p{L}'’-])(?![\p{L}'’-])|(?<![\p{L}'’-])(?=\p{L})"
 
@@ -59,20 +63,46 @@ def _canonical(kind: Column, s: Column) -> Column:
     return F.when(kind.isin("card", "ssn", "phone"), digits).when(kind == "iban", F.replace(s, F.lit(" "), F.lit(""))).when(kind == "token", s).otherwise(F.lower(s))
 
 
+#: Scripts that a name's surrogate keeps, and the letters of its syllables: sixteen that begin one, sixteen that end it.
+SCRIPTS = {
+    "latin": ("bdfgklmnprstvwzj", "aeioaeiouaeioaei"), "cyrillic": ("бвгдзклмнпрстфхш", "аеиоаеиоуаеиоаеи"), "greek": ("βγδζκλμνπρστφχθξ", "αειοαειουαειοαει"),
+    "hebrew": ("אבגדהוזחטיכלמנסע",) * 2, "arabic": ("ابتثجحدرزسشصعفقك",) * 2, "devanagari": ("कखगघचछजझटठडढतथदध", "ािीुूेैोौािीुूेै"), "han": ("王李张刘陈杨黄赵周吴徐孙马朱胡郭",) * 2,
+    "hangul": ("가나다라마바사아자차카타파하거너",) * 2, "hiragana": ("あかさたなはまやらわいきしちにひ",) * 2, "katakana": ("アカサタナハマヤラワイキシチニヒ",) * 2,
+}
+#: How given names end by gender, in the scripts where that shows.
+ENDINGS = {"f": {"latin": "a", "cyrillic": "а", "greek": "α"}, "m": {"latin": "o", "cyrillic": "ий", "greek": "ος"}, "n": {"latin": "en", "cyrillic": "ен", "greek": "ι"}}
+
+
+def _script(c: Column) -> Column:
+    out = F.lit("latin")
+    for name in SCRIPTS:
+        if name != "latin":
+            out = F.when(c.rlike(rf"\p{{Is{name.title()}}}"), name).otherwise(out)
+    return out
+
+
+def _words(name: Column) -> Column:
+    """The words of a name behind its form of address, particles and initials among them."""
+    return F.split(F.regexp_replace(name, f"^{_TITLE} +", ""), " +")
+
+
+def _is_word(w: Column) -> Column:
+    return ~w.rlike(rf"^(?:{_PARTICLE}|\p{{Lu}}\.)$")
+
+
 def _parsed(rows: DataFrame) -> DataFrame:
     """rows(row, pos, surface, kind) with what tells their entities apart: c0, the canonical form or a name's family
-    name; c1, a name's given name if there is one; script and gender of a name.
+    name; c1, a name's given name if there is one; script and gender of a name; words, those of a name.
     """
     s, is_name = F.col("surface"), F.col("kind") == "name"
-    words = F.split(F.regexp_replace(s, f"^{_TITLE} +", ""), " +")
+    words = F.filter(_words(s), _is_word)
     bare = F.rtrim(F.replace(F.regexp_extract(s, "^" + _TITLE, 0), F.lit("."), F.lit("")))
     gender = F.when(bare.isin(*FEMALE), "f").when(bare.isin(*MALE), "m").otherwise("n")
-    script = F.when(F.element_at(words, -1).rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    out = rows.withColumns({
-        "c0": F.when(is_name, F.lower(F.element_at(words, -1))).otherwise(_canonical(F.col("kind"), s)), "script": F.when(is_name, script), "gender": F.when(is_name, gender),
-        "c1": F.when(is_name & (F.size(words) > 1), F.lower(F.element_at(words, 1))), "last": F.when(is_name, F.element_at(words, -1)), "first": F.when(is_name & (F.size(words) > 1), F.element_at(words, 1)),
+    last = F.try_element_at(words, F.lit(-1))
+    return rows.withColumns({
+        "c0": F.when(is_name, F.lower(last)).otherwise(_canonical(F.col("kind"), s)), "script": F.when(is_name, _script(last)), "gender": F.when(is_name, gender),
+        "c1": F.when(is_name & (F.size(words) > 1), F.lower(F.try_element_at(words, F.lit(1)))), "words": F.when(is_name, words),
     })
-    return out
 
 
 def _genders(entities: DataFrame) -> DataFrame:
@@ -87,14 +117,24 @@ def _genders(entities: DataFrame) -> DataFrame:
 
 
 def _parts(entities: DataFrame) -> DataFrame:
-    """A row for each entity; a name gives its family name (part 0) and, if there is one, its given name (part 1)."""
-    kind, script = F.col("kind"), F.col("script")
-    one = lambda part, k, c: F.struct(F.lit(part).alias("part"), k.alias("kind"), c.alias("canonical"))
+    """A row for each entity, and for each word of a name: the last is its family name (part 0), the first of several its
+    given name (part 1), those between are further given names.
+    """
+    kind = F.col("kind")
+    one = lambda part, k, c, w: F.struct(F.lit(part).cast("int").alias("part") if isinstance(part, int) else part.cast("int").alias("part"), k.alias("kind"), c.alias("canonical"), w.alias("word"))
     # a Cyrillic family name shows its gender itself
-    ending = F.when(script != "cyrillic", "").when(F.col("c0").rlike("[ая]$"), "f").otherwise("m")
-    family, given = one(0, F.concat(F.lit("family_"), script, ending), F.col("c0")), one(1, F.concat(F.lit("given_"), script, "gender"), F.col("c1"))
-    both = F.when(kind != "name", F.array(one(0, kind, F.col("c0")))).when(F.col("c1").isNull(), F.array(family)).otherwise(F.array(family, given))
-    return entities.select("row", "pos", "surface", "last", "first", F.explode(both).alias("e")).select("row", "pos", "surface", "last", "first", "e.part", "e.kind", "e.canonical")
+    ending = lambda w: F.when(_script(w) != "cyrillic", "").when(F.lower(w).rlike("[ая]$"), "f").otherwise("m")
+    hyphen = lambda w: F.when(w.contains("-"), "-").otherwise("")
+    shows = lambda w: _script(w).isin(*ENDINGS["n"])
+    n = F.size("words")
+
+    def of_name(w: Column, i: Column) -> Column:
+        family = F.concat(F.lit("family_"), _script(w), ending(w), hyphen(w))
+        given = F.concat(F.lit("given_"), _script(w), F.when(shows(w), F.when(i == 0, F.col("gender")).otherwise("n")).otherwise(""), hyphen(w))
+        return one(F.when(i == n - 1, 0).otherwise(i + 1), F.when(i == n - 1, family).otherwise(given), F.lower(w), w)
+
+    each = F.when(kind != "name", F.array(one(0, kind, F.col("c0"), F.lit(None).cast("string")))).otherwise(F.transform("words", of_name))
+    return entities.select("row", "pos", "surface", F.explode(each).alias("e")).select("row", "pos", "surface", "e.part", "e.kind", "e.canonical", "e.word")
 
 
 def _luhn(digits: Column) -> Column:
@@ -103,10 +143,22 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + x)
 
 
-def _syllables(h: Column, script: str, n: Column) -> Column:
-    rows = {"latin": ("bdfgklmnprstvwzj", "aeioaeiouaeioaei"), "cyrillic": ("бвгдзклмнпрстфхш", "аеиоаеиоуаеиоаеи")}[script]
-    pair = lambda k: F.concat(F.translate(F.substring(h, 2 * k + 1, F.lit(1)), "0123456789abcdef", rows[0]), F.translate(F.substring(h, 2 * k + 2, F.lit(1)), "0123456789abcdef", rows[1]))
-    return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), pair), "")
+def _syllables(h: Column, script: Column, n: Column) -> Column:
+    starts, ends = (F.try_element_at(F.create_map(*[F.lit(x) for name, rows in SCRIPTS.items() for x in (name, rows[k])]), script) for k in (0, 1))
+    one = lambda at, rows: F.call_function("translate", F.substring(h, at, F.lit(1)), F.lit("0123456789abcdef"), rows)
+    return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.concat(one(2 * k + 1, starts), one(2 * k + 2, ends))), "")
+
+
+def _name(kind: Column, h: Column, attempt: int) -> Column:
+    """A name's surrogate; its kind is role_script, then what its ending shows and a hyphen, if any: given_greekf-."""
+    parts = F.split(F.regexp_extract(kind, "^((?:family|given)_.*?)-?$", 1), "_")
+    script = F.regexp_extract(F.get(parts, 1), "^(" + "|".join(SCRIPTS) + ")", 1)
+    role, shows = F.get(parts, 0), F.substring(F.get(parts, 1), F.length(script) + 1, F.lit(1))
+    own = {f"given{g}{script}": end for g, by in ENDINGS.items() for script, end in by.items()} | {"familyfcyrillic": "ова", "familymcyrillic": "ов"}
+    end = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in own.items() for x in pair]), F.concat(role, shows, script)), F.lit(""))
+    # two characters of these say as much as six letters
+    n = F.when(script.isin("han", "hangul", "hiragana", "katakana"), 1).when((role == "family") & (shows == ""), 3).otherwise(2) + attempt
+    return F.concat(F.when(kind.endswith("-"), F.concat(_syllables(F.reverse(h), script, n), F.lit("-"))).otherwise(""), _syllables(h, script, n), end)
 
 
 def hashed(kind: Column, canonical: Column, key: str, attempt: int) -> Column:
@@ -134,18 +186,12 @@ def surrogate(kind: Column, canonical: Column, h: Column, attempt: int) -> Colum
     octet = lambda k: F.conv(F.substring(h, 2 * k + 1, F.lit(2)), 16, 10).cast("int")
     ip = F.concat_ws(".", (octet(0) % 223 + 1).cast("string"), *[octet(k).cast("string") for k in (1, 2, 3)])
     iban = F.concat(F.substring(canonical, 1, F.lit(2)), F.substring(digit, 1, F.lit(2)), F.upper(shaped(F.substring(canonical, F.lit(5), n))))
-    ends = {"f": {"latin": "a", "cyrillic": "а"}, "m": {"latin": "o", "cyrillic": "ий"}, "n": {"latin": "en", "cyrillic": "ен"}}
     out = F.when(kind == "email", email).when(kind == "secret", F.substring(F.repeat(h, F.ceil(n / 128).cast("int")), F.lit(1), n)).when(kind == "iban", iban).when(kind == "card", card)
     out = out.when(kind == "ssn", F.substring(digit, 1, F.lit(9))).when(kind == "ip", ip).when(kind == "phone", phone)
     hexed = F.array_join(F.transform(F.split(canonical, ""), lambda x, i: F.when(x == ":", x).otherwise(F.substring(h, i % 128 + 1, F.lit(1)))), "")
     cased = F.array_join(F.transform(F.split(canonical, ""), lambda x, i: F.when(x.rlike(r"\p{N}"), F.substring(digit, i % 128 + 1, F.lit(1))).when(x.rlike(r"\p{Lu}"), F.upper(F.substring(letter, i % 128 + 1, F.lit(1)))).when(x.rlike(r"\p{L}"), F.substring(letter, i % 128 + 1, F.lit(1))).otherwise(x)), "")
     out = out.when(kind == "ip6", hexed).when(kind == "token", cased)
-    for script in ("latin", "cyrillic"):
-        out = out.when(kind == f"family_{script}", _syllables(h, script, F.lit(3 + attempt)))
-        for g, by in ends.items():
-            out = out.when(kind == f"family_{script}{g}", F.concat(_syllables(h, script, F.lit(2 + attempt)), F.lit("ова" if g == "f" else "ов")))
-            out = out.when(kind == f"given_{script}{g}", F.concat(_syllables(h, script, F.lit(2 + attempt)), F.lit(by[script])))
-    return out
+    return out.when(kind.rlike("^(family|given)_"), _name(kind, h, attempt))
 
 
 def assigned(entities: DataFrame, key: str, attempts: int = 14) -> DataFrame:
@@ -178,24 +224,36 @@ def _filled(surface: Column, chars: Column) -> Column:
 
 
 def _word(new: Column, old: Column) -> Column:
-    """A name's surrogate in capitals like the name."""
-    return F.when((F.length(old) > 1) & (old == F.upper(old)), F.upper(new)).otherwise(F.concat(F.upper(F.substring(new, 1, F.lit(1))), F.substring(new, F.lit(2), F.length(new))))
+    """A name's surrogate in capitals like the name, on each side of a hyphen."""
+    capital = F.array_join(F.transform(F.split(new, "-"), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 30))), "-")
+    return F.when((F.length(old) > 1) & (old == F.upper(old)), F.upper(new)).otherwise(capital)
+
 
+def _renamed(gap: Column, names: Column, ordinary: Column) -> Column:
+    """Text between entities with the words that are found names replaced, a genitive's ending kept. A name that is an
+    ordinary word of the text too is replaced only beside another word of a name.
+    """
+    bare = lambda w: F.regexp_replace(w, "['’]s$", "")
+    known = lambda w: F.try_element_at(names, bare(w))
 
-def _renamed(gap: Column, names: Column) -> Column:
-    """Text between entities with the words that are found names replaced, a genitive's ending kept."""
-    end = lambda w: F.regexp_extract(w, "['’]s$", 0)
-    one = lambda w: F.when(w.rlike(r"^\p{Lu}"), F.coalesce(F.concat(F.try_element_at(names, F.regexp_replace(w, "['’]s$", "")), end(w)), w)).otherwise(w)
-    return F.array_join(F.transform(F.split(gap, _CUTS, -1), one), "")
+    def one(parts: Column) -> Column:
+        beside = lambda i: (F.get(parts, i + 1).rlike("^ +$") & known(F.get(parts, i + 2)).isNotNull()) | (F.get(parts, i - 1).rlike("^ +$") & known(F.get(parts, i - 2)).isNotNull())
+        new = lambda w, i: F.when(~F.array_contains(ordinary, F.lower(bare(w))) | F.coalesce(beside(i), F.lit(False)), F.concat(known(w), F.regexp_extract(w, "['’]s$", 0)))
+        return F.array_join(F.transform(parts, lambda w, i: F.when(w.rlike(r"^[\p{Lu}\p{Lo}]"), F.coalesce(new(w, i), w)).otherwise(w)), "")
 
+    return F.transform(F.array(F.split(gap, _CUTS, -1)), one)[0]
 
-def _shown(kind: Column, surface: Column, family: Column, given: Column) -> Column:
-    """An entity's surrogate in the format of its surface."""
+
+def _shown(kind: Column, surface: Column, value: Column, names: Column, key: str) -> Column:
+    """An entity's surrogate in the format of its surface; of a name each word, particles stay, and an initial becomes
+    another letter, which the name decides.
+    """
     case = lambda c: F.when((surface == F.upper(surface)) & (surface != F.lower(surface)), F.upper(c)).otherwise(c)
     title = F.regexp_extract(surface, f"^{_TITLE} +", 0)
-    gap = F.regexp_extract(surface, "( +)[^ ]+$", 1)
-    name = F.concat(title, F.coalesce(F.concat(_word(given, F.col("first")), gap), F.lit("")), _word(family, F.col("last")))
-    return F.when(kind.rlike("^(family|given)"), name).when(kind.isin("card", "ssn", "phone", "iban"), _filled(surface, family)).otherwise(case(family))
+    drawn = lambda w: F.concat(F.upper(F.translate(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("initial"), F.lower(w), value), 256), 1, 1), "0123456789abcdef", "abcdefghklmnprst")), F.lit("."))
+    pieces = F.split(F.regexp_replace(surface, f"^{_TITLE} +", ""), "(?<= )(?=[^ ])|(?<=[^ ])(?= )")
+    name = F.concat(title, F.array_join(F.transform(pieces, lambda w: F.coalesce(F.try_element_at(names, w), F.when(w.rlike(r"^\p{Lu}\.$"), drawn(w)), w)), ""))
+    return F.when(kind.rlike("^(family|given)"), name).when(kind.isin("card", "ssn", "phone", "iban"), _filled(surface, value)).otherwise(case(value))
 
 
 def replace_pii(docs: DataFrame, *, key: str, text: str = "text") -> DataFrame:
@@ -206,9 +264,11 @@ def replace_pii(docs: DataFrame, *, key: str, text: str = "text") -> DataFrame:
     are written to the shared folder, their entities reduced to distinct ones before any further step, and the lists of
     surrogates meet their texts by row number. A frequent entity's join is one that Spark may split.
 
-    Names are found by their form of address. A person keeps one surrogate with and without it: the words of a name that
-    was found are replaced wherever else they stand in that text (of two people who share a given name the one who
-    comes first there counts), and gender comes from all of a person's forms of address (see `_genders`).
+    Names are found by their form of address, with up to nine words, initials and particles among them. A person keeps one
+    surrogate with and without it: the words of a name that was found are replaced wherever else they stand in that text
+    (of two people who share a given name the one who comes first there counts), and gender comes from all of a person's
+    forms of address (see `_genders`). A word that the text has in small letters too, as in "Will" and "will", is taken for
+    a name only beside another word of one. Surrogates keep a name's script, hyphen and capitals, and genitive endings.
 
     Edge cases: null and empty texts stay as they are, with 0 entities. Repeated rows are treated each. Columns named
     n_entities or n_distinct give way. Not found: names that never have a form of address in their text, street
@@ -228,17 +288,27 @@ def replace_pii(docs: DataFrame, *, key: str, text: str = "text") -> DataFrame:
     parts = written(_parts(with_gender), "parts")
     table = assigned(written(parts.select("kind", "canonical").distinct(), "distinct"), key)
     named = parts.join(table, ["kind", "canonical"])
-    pick = lambda part, c: F.max(F.when(F.col("part") == part, F.col(c)))
-    spots = named.groupBy("row", "pos").agg(*[F.first(c).alias(c) for c in ("surface", "first", "last")], pick(0, "kind").alias("kind"), pick(0, "surrogate").alias("s0"), pick(1, "surrogate").alias("s1"))
-    pair = lambda old, new: F.when(F.col(old).isNotNull(), F.struct(F.col(old).alias("word"), _word(F.col(new), F.col(old)).alias("new")))
-    words = F.when(F.col("last").isNotNull(), F.array_compact(F.array(pair("last", "s0"), pair("first", "s1"))))
-    spots = written(spots.select("row", "pos", _shown(F.col("kind"), F.col("surface"), F.col("s0"), F.col("s1")).alias("new"), F.concat_ws("|", "kind", "s0", "s1").alias("who"), words.alias("words")), "spots")
-    each_word = spots.where("words IS NOT NULL").select("row", "pos", F.explode("words").alias("w")).groupBy("row", "w.word").agg(F.min_by("w.new", "pos").alias("new"))
+    capital = _word(F.col("surrogate"), F.col("word"))
+    named = named.withColumn("new_word", F.when(F.col("word").isNotNull(), capital))
+    first = lambda c: F.max(F.when(F.col("part") == 0, F.col(c)))
+    pairs = F.collect_set(F.when(F.col("word").isNotNull(), F.struct("word", "new_word")))
+    spots = named.groupBy("row", "pos").agg(F.first("surface").alias("surface"), first("kind").alias("kind"), first("surrogate").alias("s0"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "surrogate"))), lambda x: x["surrogate"]), "|").alias("all"), pairs.alias("words"))
+    # a word that is both a given and a family name of one person has one surrogate there, the first of the two
+    once = F.filter("words", lambda x, i: ~F.exists(F.slice("words", 1, i), lambda y: y["word"] == x["word"]))
+    spots = spots.withColumn("names", F.map_from_entries(once))
+    spots = written(spots.select("row", "pos", _shown(F.col("kind"), F.col("surface"), F.col("s0"), F.col("names"), key).alias("new"), F.concat_ws("|", "kind", "all").alias("who"), "words"), "spots")
+    each_word = spots.where(F.size("words") > 0).select("row", "pos", F.explode("words").alias("w")).groupBy("row", "w.word").agg(F.min_by("w.new_word", "pos").alias("new"))
     renamed = each_word.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("word", "new"))).alias("_vq_names"))
     lists = spots.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("_vq_new"), F.count_distinct("who").alias("n_distinct"))
     joined = hits.join(lists.join(renamed, "row", "left").withColumnRenamed("row", "_vq_at"), F.col("_vq_row") == F.col("_vq_at"))
     plain = F.split(text, EVERY, -1)
-    joined = joined.withColumn("_vq_gaps", F.when(F.col("_vq_names").isNull(), plain).otherwise(F.transform(plain, lambda g: _renamed(g, F.col("_vq_names")))))
+    # names of which the text has the word in small letters too
+    small = F.filter(F.transform(F.map_keys("_vq_names"), lambda w: F.when(F.lower(w) != w, F.lower(w))), lambda w: w.isNotNull())
+    ordinary = F.when(F.col("_vq_names").isNotNull(), F.array_intersect(small, F.split(text, r"[^\p{L}\p{M}]+")))
+    # both lists are made once for a row, as variables of a function, and not anew for each word
+    held = F.array(F.struct(plain.alias("gaps"), ordinary.alias("ordinary")))
+    replaced = F.transform(held, lambda x: F.transform(x["gaps"], lambda g: _renamed(g, F.col("_vq_names"), x["ordinary"])))[0]
+    joined = joined.withColumn("_vq_gaps", F.when(F.col("_vq_names").isNull(), plain).otherwise(replaced))
     gaps = F.col("_vq_gaps")
     rest = F.transform("_vq_new", lambda x, i: F.concat(x["new"], F.get(gaps, i + 1)))
     new = F.concat(F.get(gaps, 0), F.array_join(rest, ""))
