@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import globs
 from ..functions import values as V
 from . import fields as I
+from . import graph
 
 
 @dataclass(frozen=True)
@@ -136,6 +137,17 @@ class Query:
         """A resolved edge to every one of the paths."""
         return replace(self, joins=(*self.joins, *(("to", t) for t in targets)))
 
+    def links_to_named(self, *names: str, aliases: DataFrame | None = None) -> Query:
+        """As `links_to`, for paths, stems or aliases(doc_path, alias); LookupError if a name stands for none or several."""
+        paths = []
+        for name in names:
+            none = self.documents.select(F.col("path").alias("doc_path"), F.lit("").alias("alias")).limit(0)
+            found = [r.path for r in graph.lookup(self.documents, none if aliases is None else aliases, name).limit(2).collect()]
+            if len(found) != 1:
+                raise LookupError(f"{name!r} stands for {'no document' if not found else 'several documents'}")
+            paths += found
+        return self.links_to(*paths)
+
     def unresolved_links(self) -> Query:
         return replace(self, joins=(*self.joins, ("unresolved", None)))
 

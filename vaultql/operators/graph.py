@@ -32,6 +32,29 @@ def normalized(base: Column, target: Column) -> Column:
     return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), lambda acc, p: F.when(p == "..", up(acc)).otherwise(F.concat(acc, F.array(p)))), "/")
 
 
+def _keys_of_links() -> tuple[Column, Column, Column]:
+    """The folder of a link's document, the paths that the link tries, in order, and the stem that it names."""
+    base = V.path_parts(F.col("source_path"))[0]
+    rooted, relative = normalized(F.lit(""), F.col("target")), normalized(base, F.col("target"))
+    has_ext = F.substring_index("target", "/", -1).contains(".")
+    with_md = lambda c: F.when(has_ext, F.array(c)).otherwise(F.array(c, F.concat(c, F.lit(".md"))))
+    by_name = F.when(F.col("target").contains("/"), with_md(rooted)).otherwise(F.array().cast("array<string>"))
+    tried = F.when(F.col("kind") == "embed", F.concat(with_md(relative), with_md(rooted))).when(F.col("kind") == "wikilink", by_name).otherwise(with_md(relative))
+    return base, tried, F.lower(F.regexp_replace(F.substring_index("target", "/", -1), r"(?i)\.md$", ""))
+
+
+def link_keys(links: DataFrame) -> DataFrame:
+    """(source_path, kind, target, key): a row for each key by which a link looks for its target, blind to case."""
+    _, tried, stem = _keys_of_links()
+    keys = F.concat(F.transform(tried, lambda p: F.concat(F.lit("path:"), F.lower(p))), F.array(F.concat(F.lit("stem:"), stem), F.concat(F.lit("alias:"), F.lower("target"))))
+    return links.select("source_path", "kind", "target", F.explode(keys).alias("key")).distinct()
+
+
+def document_keys(documents: DataFrame) -> Column:
+    """The keys by which links find documents(path, stem); aliases are keys too (see aliases_of)."""
+    return F.array_compact(F.array(F.concat(F.lit("path:"), F.lower("path")), F.concat(F.lit("stem:"), F.lower("stem"))))
+
+
 def resolve(links: DataFrame, files: DataFrame, documents: DataFrame, headings: DataFrame, block_ids: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """links(source_path, kind, target, anchor, block_ref, ...) with candidates, resolved_path, status, reason.
 
@@ -39,13 +62,9 @@ def resolve(links: DataFrame, files: DataFrame, documents: DataFrame, headings:
     the root and then the stem; wikilinks a path with a slash from the root, then stems, then aliases. An empty target
     is the source itself. A document that is found must own the anchor or block id.
     """
-    base = V.path_parts(F.col("source_path"))[0]
-    rooted, relative = normalized(F.lit(""), F.col("target")), normalized(base, F.col("target"))
+    base, tried, stem = _keys_of_links()
     is_wiki, is_embed = F.col("kind") == "wikilink", F.col("kind") == "embed"
-    has_ext = F.substring_index("target", "/", -1).contains(".")
-    with_md = lambda c: F.when(has_ext, F.array(c)).otherwise(F.array(c, F.concat(c, F.lit(".md"))))
-    tried = F.when(is_embed, F.concat(with_md(relative), with_md(rooted))).when(is_wiki, F.when(F.col("target").contains("/"), with_md(rooted)).otherwise(F.array().cast("array<string>"))).otherwise(with_md(relative))
-    keyed = links.withColumns({"_base": base, "_self": F.col("target") == "", "_stem": F.lower(F.regexp_replace(F.substring_index("target", "/", -1), r"(?i)\.md$", ""))})
+    keyed = links.withColumns({"_base": base, "_self": F.col("target") == "", "_stem": stem})
 
     # where a link leads by path depends on its folder, kind and target only: one probe for all links that share them,
     # and nothing that a task that runs again could number otherwise

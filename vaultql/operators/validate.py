@@ -132,10 +132,10 @@ def findings(documents: DataFrame, rules: list[Rule], metadata: str = "metadata"
     return rows.select("f.code", "f.severity", "path", "f.rule", "f.field", "f.actual_value", "f.expected")
 
 
-def _row(frame: DataFrame, code, path: str, field=None, actual=None, expected=None, severity="warning", rule=None) -> DataFrame:
+def _row(frame: DataFrame, code, path: str, field=None, actual=None, expected=None, severity="warning", rule=None, extra=None) -> DataFrame:
     none = F.lit(None).cast("string")
     shown = [(code if isinstance(code, Column) else F.lit(code)), severity if isinstance(severity, Column) else F.lit(severity), F.col(path), *[none if c is None else c for c in (rule, field, actual, expected)]]
-    return frame.select(*[c.alias(n) for c, n in zip(shown, SCHEMA, strict=True)])
+    return frame.select(*[c.alias(n) for c, n in zip(shown, SCHEMA, strict=True)], *[c.alias(n) for n, c in (extra or {}).items()])
 
 
 def diagnostic_findings(diagnostics: DataFrame) -> DataFrame:
@@ -143,9 +143,11 @@ def diagnostic_findings(diagnostics: DataFrame) -> DataFrame:
     return _row(diagnostics, F.col("code"), "doc_path", actual=F.col("message"), severity=F.col("severity"))
 
 
-def link_findings(links: DataFrame) -> DataFrame:
+def link_findings(links: DataFrame, details: bool = False) -> DataFrame:
+    """Findings of links that lead nowhere or to several places; with `details` also the link's `target` and `reason`."""
     code = F.when(F.col("status") == "ambiguous", "link-ambiguous").when(F.col("reason") == "anchor-missing", "link-anchor-missing").when(F.col("reason") == "block-ref-missing", "link-block-missing").when(F.col("status") == "unresolved", "link-target-missing")
-    return _row(links, code, "source_path", actual=F.col("target")).where("code IS NOT NULL")
+    extra = {"target": F.col("target"), "reason": F.coalesce("reason", F.when(F.col("status") == "ambiguous", "ambiguous"))} if details else {}
+    return _row(links, code, "source_path", actual=F.col("target"), extra=extra).where("code IS NOT NULL")
 
 
 def alias_findings(aliases: DataFrame, documents: DataFrame, malformed: DataFrame | None = None) -> DataFrame:
@@ -193,9 +195,15 @@ def reference_findings(links: DataFrame, types: DataFrame, wanted: list[str]) ->
 
 
 def triage(found: DataFrame, **asked: str) -> DataFrame:
-    """Findings by column: a comma list is any of its values (globs in `code` and `path`), several columns are all."""
+    """Findings by column: a comma list is any of its values (globs in `code` and `path`), several columns are all.
+
+    `target` and `reason` are those of findings of links (see link_findings); findings without them don't match.
+    """
+    if unknown := set(asked) - {*SCHEMA, "target", "reason"}:
+        raise ValueError(f"findings have no {sorted(unknown)}")
     for name, listed in asked.items():
         values = [v for v in listed.split(",") if v]
-        tests = [F.col(name).rlike(globs.path_regex(v) or "$^") if name in ("code", "path") else F.col(name) == v for v in values]
+        here = F.col(name) if name in found.columns else F.lit(None).cast("string")
+        tests = [here.rlike(globs.path_regex(v) or "$^") if name in ("code", "path") else here == v for v in values]
         found = found.where(reduce(lambda a, b: a | b, tests, F.lit(False)))
     return found

@@ -6,9 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import create as N
+from ..operators import graph as G
 from ..operators import mutate as M
 from ..operators.validate import Rule
+from ..operators import validate as C
+from ..sources import markdown
 from ..sources import tables as T
+from ..sources.store import stored
+from ..streaming import audit
 from .catalog import query
 
 _TREE = "(SELECT doc_id, source || '/' || lang AS folder, source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.md' AS path, CAST(doc_id AS VARCHAR) AS stem, source, lang, text FROM documents)"
@@ -153,3 +158,38 @@ def delete_redirected(spark, sf_dir):
     to = docs.select((F.col("doc_id") - 4).alias("doc_id"), F.col("path").alias("redirect"))
     gone = docs.where("doc_id % 10 = 3").select("doc_id", "path").join(to, "doc_id", "left").select("path", "redirect")
     return M.deleted(docs.drop("doc_id"), links, gone).select("path", "block", "body")
+
+
+_CHANGED = f"""WITH d AS {_TREE}, after AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN 'al-' || CAST(doc_id - 1 AS VARCHAR) ELSE 'al-' || stem END AS alias FROM d WHERE doc_id % 7 <> 3),
+  linked AS (SELECT path, 'al-' || CAST(doc_id + 1 AS VARCHAR) AS target FROM after UNION ALL SELECT path, CAST(doc_id + 2 AS VARCHAR) FROM after),
+  owners AS (SELECT alias AS name, path FROM after UNION ALL SELECT stem, path FROM after)
+  SELECT l.path, l.target, CASE WHEN count(o.path) = 1 THEN max(o.path) END AS resolved_path, CASE WHEN count(o.path) = 1 THEN 'resolved' WHEN count(o.path) = 0 THEN 'unresolved' ELSE 'ambiguous' END AS status
+  FROM linked l LEFT JOIN owners o ON o.name = l.target GROUP BY l.path, l.target"""
+
+
+def _refreshed(spark, sf_dir) -> DataFrame:
+    """The links after every fifth document got another alias and every seventh went; only those whose keys changed are
+    resolved again.
+    """
+    d = _documents(spark, sf_dir)
+    number = lambda k: (F.col("doc_id") + k).cast("string")
+    text = lambda alias: F.concat(F.lit("---\naliases: "), alias, F.lit("\n---\n[[al-"), number(1), F.lit("]] and [["), number(2), F.lit("]]\n"), F.coalesce("body", F.lit("")))
+    files = d.select("doc_id", "path", text(F.concat(F.lit("al-"), "stem")).cast("binary").alias("content"))
+    old = markdown.relations(stored(markdown.parse_files(files), "parsed"))
+    old["files"] = files.select("path")
+    asked = old["links"].where("target LIKE 'al-%' OR target RLIKE '^[0-9]+$'")
+    old["links"] = stored(G.resolve(asked, old["files"], old["documents"], old["headings"], old["block_ids"], G.aliases_of(old["documents"])), "links")
+    again = d.where("doc_id % 5 = 0 AND doc_id % 7 <> 3").select("path", text(F.concat(F.lit("al-"), number(-1))).cast("binary").alias("content"))
+    found = audit.refreshed(old, stored(markdown.parse_files(again), "again"), files.where("doc_id % 7 = 3").select("path"), files.where("doc_id % 7 <> 3").select("path"))
+    return found["links"].where("target LIKE 'al-%' OR target RLIKE '^[0-9]+$'")
+
+
+@query(_CHANGED)
+def refresh_by_keys(spark, sf_dir):
+    return _refreshed(spark, sf_dir).select(F.col("source_path").alias("path"), "target", "resolved_path", "status")
+
+
+@query(f"SELECT code, path, target, reason FROM (SELECT CASE status WHEN 'ambiguous' THEN 'link-ambiguous' ELSE 'link-target-missing' END AS code, path, target, CASE status WHEN 'ambiguous' THEN 'ambiguous' ELSE 'target-missing' END AS reason FROM ({_CHANGED}) WHERE status <> 'resolved') WHERE reason = 'target-missing'")
+def findings_by_reason(spark, sf_dir):
+    found = C.link_findings(_refreshed(spark, sf_dir), details=True)
+    return C.triage(found, reason="target-missing").select("code", "path", "target", "reason")

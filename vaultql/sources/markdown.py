@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 import yaml
@@ -22,8 +23,7 @@ SCHEMA = (
     "headings array<struct<level:int,text:string,line:int,column:int,byte_offset:long>>, block_ids array<string>, diagnostics array<struct<severity:string,code:string,message:string>>"
 )
 # The forms of wikilinks and block ids, which the format defines.
-_WIKI = re.compile(r"(!?)\[\[([^\]]+)\]\]")
-_INLINE = re.compile(r"!?\[((?:[^\[\]]|\[[^\]]*\])*)\]\(\s*(<[^>]*>|[^\s()]*(?:\([^\s()]*\)[^\s()]*)*)(?:\s+[\"'(][^)]*)?\)")
+_ADDRESS = re.compile(r"\(\s*(<[^<>\n]*>|[^\s()]*(?:\([^\s()]*\)[^\s()]*)*)(?:\s+[\"'(][^)]*)?\)")
 _REFERENCE, _DEFINED = re.compile(r"!?\[([^\[\]]+)\](?:\[([^\[\]]*)\])?(?![(:])"), re.compile(r"^ {0,3}\[([^\[\]]+)\]:\s*(\S+)", re.M)
 _BLOCK = re.compile(r"(?:^|\s)\^([A-Za-z0-9_-]+)\s*$")
 # Our own.
@@ -72,11 +72,83 @@ def _percent(s: str) -> str:
     return _PERCENT.sub(one, s)
 
 
+def _double_brackets(text: str):
+    """(start, end, inner) of `[[inner]]`, or `![[inner]]`, where inner has a character and no `]`: the leftmost one before
+    each `]]`. One pass, however many brackets never close.
+    """
+    begin, done, at = 0, 0, text.find("]")
+    while at >= 0:
+        if text.startswith("]]", at) and 0 <= (i := text.find("[[", begin, at)) < at - 2:
+            start = i - 1 if i > done and text[i - 1] == "!" else i
+            yield start, at + 2, text[i + 2 : at]
+            begin = done = at = at + 2
+        else:
+            begin = at = at + 1
+        at = text.find("]", at)
+
+
 def _wikilinks(text: str):
-    for m in _WIKI.finditer(text):
-        target, mark, label = m[2].partition("|")
+    """(start, end, fields) of the wikilinks and embeds."""
+    for start, end, inner in _double_brackets(text):
+        target, mark, label = inner.partition("|")
         name, anchor, block = _parts(target.strip())
-        yield m, ("embed" if m[1] else "wikilink", name.strip(), label if mark else None, anchor, block)
+        yield start, end, ("embed" if text[start] == "!" else "wikilink", name.strip(), label if mark else None, anchor, block)
+
+
+_BRACKET = re.compile(r"\\.|!?\[|\]", re.S)
+
+
+def _inline_links(text: str):
+    """(start, end, label, address) of the inline links and images, in the order in which they close.
+
+    One pass with a stack of open brackets: a bracket that closes before an address makes a link, and then none of the
+    brackets that are still open can become one, as links hold no links; images may. Escaped brackets are text.
+    """
+    opened: list[list] = []
+    done = 0
+    for m in _BRACKET.finditer(text):
+        if m.start() < done or m[0][0] == "\\":
+            continue
+        if m[0] != "]":
+            opened.append([m.start(), m.end(), m[0][0] == "!", True])
+            continue
+        if not opened:
+            continue
+        start, inner, image, may = opened.pop()
+        if may and text.startswith("(", m.end()) and text.find(")", m.end()) >= 0 and (a := _ADDRESS.match(text, m.end())):
+            yield start, a.end(), text[inner : m.start()], a[1].strip("<>")
+            done = a.end()
+            if not image:
+                for o in opened:
+                    o[3] = o[2]
+
+
+class _Places:
+    """Line, byte column (both from 1) and byte offset of places in a text, from an index of its line starts; places of one
+    line that are asked for in order cost what lies between them.
+    """
+
+    def __init__(self, text: str, line: int = 0, byte: int = 0):
+        self.text, self.line, self.starts, self.bytes = text, line, [0], [byte]
+        for piece in text.splitlines(keepends=True) if "\r" not in text and text.isascii() else re.findall(r"[^\n]*\n|[^\n]+", text):
+            self.starts.append(self.starts[-1] + len(piece))
+            self.bytes.append(self.bytes[-1] + (len(piece) if piece.isascii() else len(piece.encode())))
+        self.at = (0, 0, 0)
+
+    def __call__(self, at: int) -> tuple[int, int, int]:
+        k = max(0, bisect_right(self.starts, at, 0, max(1, len(self.starts) - 1)) - 1)
+        last, place, column = self.at
+        if last != k or place > at:
+            place, column = self.starts[k], 0
+        column += len(self.text[place:at].encode())
+        self.at = (k, at, column)
+        return self.line + k + 1, column + 1, self.bytes[k] + column
+
+
+def _within(spans: list[tuple[int, int]]):
+    """Whether a place is in one of some spans, which are in order and don't overlap."""
+    starts = [a for a, _ in spans]
+    return lambda at: (k := bisect_right(starts, at) - 1) >= 0 and at < spans[k][1]
 
 
 def inside(line: str, items: bool = True) -> int:
@@ -145,34 +217,36 @@ def parse(path: str, raw: bytes) -> dict:
     else:
         shown = None
     before = text[: len(text) - len(body)]
-    first_line, first_byte = before.count("\n"), len(before.encode())
-    def place(at: int) -> tuple[int, int, int]:
-        """Line, byte column (both from 1) and byte offset of a place in the body."""
-        begin = body.rfind("\n", 0, at) + 1
-        return first_line + body.count("\n", 0, at) + 1, len(body[begin:at].encode()) + 1, first_byte + len(body[:at].encode())
+    place = _Places(body, before.count("\n"), len(before.encode()))
 
     links = []
     if isinstance(meta, dict):
-        seen = len("---\n")
+        seen, above = len("---\n"), _Places(before)
         for name, value in meta.items():
             for one in value if isinstance(value, list) else [value]:
                 if isinstance(one, str):
-                    for m, found in _wikilinks(one):
-                        at = text.find(m[0], seen, len(before))
+                    for start, end, found in _wikilinks(one):
+                        raw_link = one[start:end]
+                        at = text.find(raw_link, seen, len(before))
                         where = (None, None, None)
                         if at >= 0:  # written otherwise, say with escapes, it has no place
-                            seen, begin = at + len(m[0]), text.rfind("\n", 0, at) + 1
-                            where = text.count("\n", 0, at) + 1, len(text[begin:at].encode()) + 1, len(text[:at].encode())
-                        links.append((m[0], *found, "frontmatter", str(name), *where))
+                            seen, where = at + len(raw_link), above(at)
+                        links.append((raw_link, *found, "frontmatter", str(name), *where))
     clear = masked(body)
-    placed = [(m.start(), (m[0], *found, "body", None)) for m, found in _wikilinks(clear)]
-    taken = [(m.start(), m.end()) for m in _WIKI.finditer(clear)]
+    wiki = [(start, end, found) for start, end, found in _wikilinks(clear)]
+    placed = [(start, (clear[start:end], *found, "body", None)) for start, end, found in wiki]
+    in_wiki = _within([(start, end) for start, end, _ in wiki])
     defined = {m[1].lower(): m[2] for m in _DEFINED.finditer(clear)}
-    found = [(m.start(), m[0], m[1], m[2].strip("<>")) for m in _INLINE.finditer(clear)]
-    covered = [(m.start(), m.end()) for m in _INLINE.finditer(clear)] + taken
-    found += [(m.start(), m[0], m[1], defined[k]) for m in _REFERENCE.finditer(clear) if (k := (m[2] or m[1]).lower()) in defined and not any(a <= m.start() < b for a, b in covered)]
+    inline = sorted(_inline_links(clear))
+    found = [(start, clear[start:end], label, address) for start, end, label, address in inline]
+    outer: list[tuple[int, int]] = []
+    for start, end, *_ in inline:  # an image may be within a link
+        if not outer or start >= outer[-1][1]:
+            outer.append((start, end))
+    in_inline = _within(outer)
+    found += [(m.start(), m[0], m[1], defined[k]) for m in _REFERENCE.finditer(clear) if (k := (m[2] or m[1]).lower()) in defined and not in_inline(m.start()) and not in_wiki(m.start())]
     for at, whole, label, target in found:
-        if not target.startswith(("http://", "https://", "mailto:", "#")) and not any(a <= at < b for a, b in taken):
+        if not target.startswith(("http://", "https://", "mailto:", "#")) and not in_wiki(at):
             name, anchor, ref = _parts(_percent(target))
             placed.append((at, (whole, "embed" if whole.startswith("!") else "markdown", name, label, anchor, ref, "body", None)))
     links += [(*row, *place(at)) for at, row in sorted(placed, key=lambda p: p[0])]

@@ -11,6 +11,7 @@ from pyspark.sql.types import IntegerType, StructType
 from ..functions import templates
 from ..operators import graph
 from ..sources import markdown
+from ..sources.store import stored
 
 RAW = "Timestamp STRING, TraceId STRING, SpanId STRING, SeverityNumber INT, SeverityText STRING, EventName STRING, Body STRING, Attributes MAP<STRING, STRING>, Resource MAP<STRING, STRING>"
 
@@ -139,17 +140,53 @@ def prune(spark: SparkSession, folder: str, retention: str | None, cap_bytes: in
 
 def refreshed(old: dict[str, DataFrame], parsed: DataFrame, gone: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
     """The relations (see markdown.relations) after some documents changed: their rows are replaced by those of `parsed`,
-    those of `gone`(path) go, and all links are resolved again, as a new document may change where any link leads.
+    those of `gone`(path) go, and links are resolved again: all of them if old["links"] has no `status` yet, else those
+    that may lead elsewhere now (see `affected`). `files`(path) are those after the change; old["files"], if it is there,
+    those before (else the old documents count).
     """
     new = markdown.relations(parsed)
     touched = parsed.select("path").unionByName(gone.select("path")).distinct()
     out = {}
-    for name, key in (("documents", "path"), ("links", "source_path"), ("headings", "doc_path"), ("block_ids", "doc_path"), ("diagnostics", "doc_path")):
+    for name, key in (("documents", "path"), ("headings", "doc_path"), ("block_ids", "doc_path"), ("diagnostics", "doc_path")):
         out[name] = old[name].select(*new[name].columns).join(touched.withColumnRenamed("path", key), key, "left_anti").unionByName(new[name])
-    out["links"] = graph.resolve(out["links"], files, out["documents"], out["headings"], out["block_ids"], graph.aliases_of(out["documents"]))
+    rest = old["links"].join(touched.withColumnRenamed("path", "source_path"), "source_path", "left_anti")
+    columns, known = new["links"].columns, ["candidates", "resolved_path", "status", "reason"]
+    if "status" not in rest.columns:
+        out["links"] = graph.resolve(rest.select(*columns).unionByName(new["links"]), files, out["documents"], out["headings"], out["block_ids"], graph.aliases_of(out["documents"]))
+        return out
+    before = old.get("files", old["documents"]).select("path")
+    group = ["source_path", "kind", "target"]
+    stale = stored(affected(rest, old["documents"], parsed_documents=new["documents"], touched=touched, before=before, after=files.select("path")), "affected")
+    again = stored(rest.join(stale, group, "left_semi").select(*columns).unionByName(new["links"]), "again")
+    needed = stored(graph.link_keys(again).select("key").distinct(), "needed")
+    near = lambda frame: frame.withColumn("key", F.explode(graph.document_keys(frame))).join(needed, "key", "left_semi").drop("key").distinct()
+    paths = near(files.select("path", F.lit(None).cast("string").alias("stem"))).select("path")
+    owners = graph.aliases_of(out["documents"])
+    owners = owners.join(needed.where("key LIKE 'alias:%'").select(F.substring("key", 7, 1 << 30).alias("alias")), "alias", "left_semi")
+    docs = near(out["documents"].select("path", "stem")).unionByName(out["documents"].select("path", "stem").join(owners.select(F.col("doc_path").alias("path")).unionByName(again.select(F.col("source_path").alias("path"))), "path", "left_semi")).distinct()
+    solved = graph.resolve(again, paths, docs, out["headings"], out["block_ids"], owners)
+    out["links"] = rest.join(stale, group, "left_anti").select(*columns, *known).unionByName(solved)
     return out
 
 
+def affected(links: DataFrame, old_documents: DataFrame, *, parsed_documents: DataFrame, touched: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """(source_path, kind, target) of the resolved links that may lead elsewhere now.
+
+    Where a link leads is decided by its keys: the paths that it tries, the stem and the alias that it names. The keys that
+    changed are those of paths that came or went, and the aliases that touched documents had or have; links that led to
+    a touched document are looked at too, as its headings and block ids may be others. Everything else stays as it is.
+    """
+    came_or_went = before.join(after, "path", "left_anti").unionByName(after.join(before, "path", "left_anti"))
+    moved = came_or_went.withColumn("stem", F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", ""))
+    keys = moved.select(F.explode(graph.document_keys(moved)).alias("key"))
+    aliases = graph.aliases_of(old_documents.join(touched, "path", "left_semi").select("path", "metadata")).unionByName(graph.aliases_of(parsed_documents.select("path", "metadata")))
+    keys = keys.unionByName(aliases.select(F.concat(F.lit("alias:"), "alias").alias("key"))).distinct()
+    asked = graph.link_keys(links.select("source_path", "kind", "target").distinct())
+    by_key = asked.join(keys, "key", "left_semi").select("source_path", "kind", "target")
+    led = links.join(touched.withColumnRenamed("path", "resolved_path"), "resolved_path", "left_semi").select("source_path", "kind", "target")
+    return by_key.unionByName(led).distinct()
+
+
 def maintain(source: DataFrame, target: str, checkpoint: str, parts: int = 64, keep: int = 2):
     """A stream of snapshot rows (path, hash, seen, ...) into versions of latest rows, dealt into `parts` by path.
 
