@@ -130,7 +130,7 @@ class _Places:
 
     def __init__(self, text: str, line: int = 0, byte: int = 0):
         self.text, self.line, self.starts, self.bytes = text, line, [0], [byte]
-        for piece in text.splitlines(keepends=True) if "\r" not in text and text.isascii() else re.findall(r"[^\n]*\n|[^\n]+", text):
+        for piece in re.findall(r"[^\n]*\n|[^\n]+", text):
             self.starts.append(self.starts[-1] + len(piece))
             self.bytes.append(self.bytes[-1] + (len(piece) if piece.isascii() else len(piece.encode())))
         self.at = (0, 0, 0)
