@@ -62,3 +62,16 @@ def test_links_to_named(spark):
     for name, what in (("nope", "no document"), ("a", "several")):
         with pytest.raises(LookupError, match=what):
             q.links_to_named(name)
+
+
+def test_a_name_that_very_many_share(spark):
+    docs = spark.range(5000).selectExpr("concat('d', lpad(id, 5, '0'), '/Same.md') AS path", "'Same' AS stem").unionByName(spark.createDataFrame([("one.md", "one")], "path string, stem string"))
+    links = spark.createDataFrame([("x.md", "wikilink", "same"), ("x.md", "wikilink", "one"), ("x.md", "wikilink", "none")], "source_path string, kind string, target string").selectExpr("*", "CAST(NULL AS string) AS anchor", "CAST(NULL AS string) AS block_ref")
+    none = spark.createDataFrame([], "doc_path string, slug string, block_id string")
+    out = graph.resolve(links, docs.select("path"), docs, none, none)
+    got = {r.target: r for r in out.collect()}
+    assert got["same"].status == "ambiguous" and got["same"].candidates == [f"d{k:05}/Same.md" for k in range(graph.MOST_CANDIDATES)] and got["same"].resolved_path is None
+    assert got["one"].resolved_path == "one.md" and got["none"].status == "unresolved"
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+    rows = graph.candidate_rows(links, docs)
+    assert rows.groupBy("target", "n").count().collect()[0]["count"] in (5000, 1) and {(r.target, r.n) for r in rows.select("target", "n").distinct().collect()} == {("same", 5000), ("one", 1)}

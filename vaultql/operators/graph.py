@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
 
 UNIQUE, MANY, NONE = "resolved", "ambiguous", "unresolved"
+#: Namesakes that a link lists; more don't change that it is ambiguous.
+MOST_CANDIDATES = 100
 
 
 def status_of(candidates: Column) -> Column:
@@ -15,12 +17,31 @@ def status_of(candidates: Column) -> Column:
     return F.when(n == 1, UNIQUE).when(n > 1, MANY).otherwise(NONE)
 
 
-def resolve_by_key(links: DataFrame, targets: DataFrame, on: str, path: str = "path") -> DataFrame:
-    """links with candidates, resolved_path and status, by equality of one key.
+def namesakes(targets: DataFrame, key: str, path: str, named: str, most: int = MOST_CANDIDATES) -> DataFrame:
+    """(key, named): the first `most` paths, in order, of those that share a key.
+
+    Each task keeps `most` rows of a key before the shuffle, and so does the one that gets the key: a name that a million
+    documents share makes a list of `most`. How many there are in all is a count by key; `candidate_rows` has them all.
+    """
+    place = F.row_number().over(Window.partitionBy(key).orderBy(path))
+    first = targets.select(key, path).withColumn("_place", place).where(F.col("_place") <= most)
+    return first.groupBy(key).agg(F.array_sort(F.collect_list(path)).alias(named))
+
 
-    The targets are gathered by key before they meet the links: a key's list is as long as its namesakes are many.
+def candidate_rows(links: DataFrame, documents: DataFrame) -> DataFrame:
+    """(target, path, n): a row for each document whose stem each target names, and how many the target has: as rows,
+    not lists, so that Spark may split a name that very many share.
     """
-    named = targets.groupBy(on).agg(F.array_sort(F.collect_set(path)).alias("candidates"))
+    stem = F.lower(F.regexp_replace(F.substring_index("target", "/", -1), r"(?i)\.md$", ""))
+    asked = links.select("target").distinct().withColumn("_stem", stem)
+    found = documents.select("path", F.lower("stem").alias("_stem")).distinct()
+    n = found.groupBy("_stem").agg(F.count("*").alias("n"))
+    return asked.join(n, "_stem").join(found, "_stem").select("target", "path", "n")
+
+
+def resolve_by_key(links: DataFrame, targets: DataFrame, on: str, path: str = "path") -> DataFrame:
+    """links with candidates (see namesakes), resolved_path and status, by equality of one key."""
+    named = namesakes(targets.select(on, path).distinct(), on, path, "candidates")
     out = links.join(named, on, "left")
     return out.withColumns({"status": status_of(F.col("candidates")), "resolved_path": F.when(F.size("candidates") == 1, F.element_at("candidates", 1))})
 
@@ -60,7 +81,8 @@ def resolve(links: DataFrame, files: DataFrame, documents: DataFrame, headings:
 
     Markdown links try the path from the source's folder, then blind to case, then with .md; embeds also the path from
     the root and then the stem; wikilinks a path with a slash from the root, then stems, then aliases. An empty target
-    is the source itself. A document that is found must own the anchor or block id.
+    is the source itself. A document that is found must own the anchor or block id. `candidates` has the first
+    MOST_CANDIDATES namesakes.
     """
     base, tried, stem = _keys_of_links()
     is_wiki, is_embed = F.col("kind") == "wikilink", F.col("kind") == "embed"
@@ -76,10 +98,10 @@ def resolve(links: DataFrame, files: DataFrame, documents: DataFrame, headings:
     loose = probes.withColumn("_low", F.lower("_path")).join(folded, "_low").select(*key, (F.col("_rank") * 2 + 1).alias("rank"), "found")
     by_path = exact.unionByName(loose).groupBy(*key).agg(F.min_by("found", "rank").alias("by_path"))
 
-    stems = documents.groupBy(F.lower("stem").alias("_stem")).agg(F.array_sort(F.collect_set("path")).alias("by_stem"))
+    stems = namesakes(documents.select(F.lower("stem").alias("_stem"), "path"), "_stem", "path", "by_stem")
     out = keyed.join(by_path, key, "left").join(stems, "_stem", "left")
     if aliases is not None:
-        named = aliases.groupBy(F.col("alias").alias("_alias")).agg(F.array_sort(F.collect_set("doc_path")).alias("by_alias"))
+        named = namesakes(aliases.select(F.col("alias").alias("_alias"), "doc_path").distinct(), "_alias", "doc_path", "by_alias")
         out = out.join(named, F.lower("target") == F.col("_alias"), "left")
     else:
         out = out.withColumn("by_alias", F.lit(None).cast("array<string>"))
