@@ -5,7 +5,7 @@ import decimal
 import duckdb
 import pytest
 
-from vaultql.plans import catalog, vault  # noqa: F401
+from vaultql.plans import catalog, changes, indexed, vault  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

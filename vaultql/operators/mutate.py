@@ -67,8 +67,8 @@ def edited(body: str, edits: list[tuple[str, str, str]]) -> str:
                 lines = body[content:end].splitlines(keepends=True)
                 blank = next((k for k, x in enumerate(reversed(lines)) if x.strip()), len(lines))
                 at = content + sum(map(len, lines[: len(lines) - blank])) if blank < len(lines) else content
-                start_new = "" if body[:at].endswith("\n") else "\n"
-                body = body[:at] + start_new + text.strip("\n") + "\n" + body[at:]
+                above = body[:at].rstrip() + "\n" if blank < len(lines) else body[:at]
+                body = above + text.strip("\n") + "\n" + body[at:]
             elif op == "delete_section":
                 body = body[:start] + body[end:]
             elif op == "insert_before_heading":
