@@ -75,3 +75,14 @@ def test_a_name_that_very_many_share(spark):
     assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
     rows = graph.candidate_rows(links, docs)
     assert rows.groupBy("target", "n").count().collect()[0]["count"] in (5000, 1) and {(r.target, r.n) for r in rows.select("target", "n").distinct().collect()} == {("same", 5000), ("one", 1)}
+
+
+def test_namesakes_are_counted_in_full(spark):
+    docs = spark.range(250).selectExpr("concat('d', id, '/Same.md') AS path", "'Same' AS stem")
+    owners = spark.range(130).selectExpr("concat('d', id, '/Same.md') AS doc_path", "'al' AS alias")
+    links = spark.createDataFrame([("wikilink", "same"), ("embed", "al"), ("wikilink", "d1/Same"), ("wikilink", "none")], "kind string, target string").selectExpr("'x.md' AS source_path", "*", "CAST(NULL AS string) AS anchor", "CAST(NULL AS string) AS block_ref")
+    none = spark.createDataFrame([], "doc_path string, slug string, block_id string")
+    out = graph.resolve(links, docs.select("path"), docs, none, none, owners)
+    assert {(r.target, r.n_candidates) for r in out.collect()} == {("same", 250), ("al", 130), ("d1/Same", 1), ("none", 0)}
+    keyed = graph.resolve_by_key(links.select(graph.F.lower("target").alias("stem")), docs.select(graph.F.lower("stem").alias("stem"), "path"), "stem")
+    assert {(r.stem, r.n_candidates, r.status) for r in keyed.collect()} == {("same", 250, "ambiguous"), ("al", 0, "unresolved"), ("d1/same", 0, "unresolved"), ("none", 0, "unresolved")}

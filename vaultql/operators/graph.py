@@ -18,14 +18,16 @@ def status_of(candidates: Column) -> Column:
 
 
 def namesakes(targets: DataFrame, key: str, path: str, named: str, most: int = MOST_CANDIDATES) -> DataFrame:
-    """(key, named): the first `most` paths, in order, of those that share a key.
+    """(key, named, n_named): the first `most` paths, in order, of those that share a key, and how many there are in all.
 
     Each task keeps `most` rows of a key before the shuffle, and so does the one that gets the key: a name that a million
-    documents share makes a list of `most`. How many there are in all is a count by key; `candidate_rows` has them all.
+    documents share makes a list of `most`. Their number is counted apart, in full; `candidate_rows` has them all.
     """
+    targets = targets.select(key, path).where(F.col(path).isNotNull())
     place = F.row_number().over(Window.partitionBy(key).orderBy(path))
-    first = targets.select(key, path).withColumn("_place", place).where(F.col("_place") <= most)
-    return first.groupBy(key).agg(F.array_sort(F.collect_list(path)).alias(named))
+    first = targets.withColumn("_place", place).where(F.col("_place") <= most)
+    n = targets.groupBy(key).agg(F.count("*").alias(f"n_{named}"))
+    return first.groupBy(key).agg(F.array_sort(F.collect_list(path)).alias(named)).join(n, key)
 
 
 def candidate_rows(links: DataFrame, documents: DataFrame) -> DataFrame:
@@ -40,10 +42,10 @@ def candidate_rows(links: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def resolve_by_key(links: DataFrame, targets: DataFrame, on: str, path: str = "path") -> DataFrame:
-    """links with candidates (see namesakes), resolved_path and status, by equality of one key."""
+    """links with candidates, n_candidates (see namesakes), resolved_path and status, by equality of one key."""
     named = namesakes(targets.select(on, path).distinct(), on, path, "candidates")
     out = links.join(named, on, "left")
-    return out.withColumns({"status": status_of(F.col("candidates")), "resolved_path": F.when(F.size("candidates") == 1, F.element_at("candidates", 1))})
+    return out.withColumns({"n_candidates": F.coalesce("n_candidates", F.lit(0).cast("long")), "status": status_of(F.col("candidates")), "resolved_path": F.when(F.size("candidates") == 1, F.element_at("candidates", 1))})
 
 
 def normalized(base: Column, target: Column) -> Column:
@@ -77,12 +79,12 @@ def document_keys(documents: DataFrame) -> Column:
 
 
 def resolve(links: DataFrame, files: DataFrame, documents: DataFrame, headings: DataFrame, block_ids: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """links(source_path, kind, target, anchor, block_ref, ...) with candidates, resolved_path, status, reason.
+    """links(source_path, kind, target, anchor, block_ref, ...) with candidates, n_candidates, resolved_path, status, reason.
 
     Markdown links try the path from the source's folder, then blind to case, then with .md; embeds also the path from
     the root and then the stem; wikilinks a path with a slash from the root, then stems, then aliases. An empty target
     is the source itself. A document that is found must own the anchor or block id. `candidates` has the first
-    MOST_CANDIDATES namesakes.
+    MOST_CANDIDATES namesakes, `n_candidates` the number of all.
     """
     base, tried, stem = _keys_of_links()
     is_wiki, is_embed = F.col("kind") == "wikilink", F.col("kind") == "embed"
@@ -104,10 +106,12 @@ def resolve(links: DataFrame, files: DataFrame, documents: DataFrame, headings:
         named = namesakes(aliases.select(F.col("alias").alias("_alias"), "doc_path").distinct(), "_alias", "doc_path", "by_alias")
         out = out.join(named, F.lower("target") == F.col("_alias"), "left")
     else:
-        out = out.withColumn("by_alias", F.lit(None).cast("array<string>"))
+        out = out.withColumns({"by_alias": F.lit(None).cast("array<string>"), "n_by_alias": F.lit(None).cast("long")})
     names = F.when(is_wiki | is_embed, F.coalesce("by_stem", "by_alias"))
     found = F.when(F.col("_self"), F.array("source_path")).when(F.col("by_path").isNotNull(), F.array("by_path")).otherwise(names)
-    out = out.withColumn("candidates", F.coalesce(found, F.array().cast("array<string>")))
+    of_names = F.when(is_wiki | is_embed, F.when(F.col("by_stem").isNotNull(), F.col("n_by_stem")).otherwise(F.col("n_by_alias")))
+    n = F.when(F.col("_self") | F.col("by_path").isNotNull(), F.lit(1).cast("long")).otherwise(of_names)
+    out = out.withColumns({"candidates": F.coalesce(found, F.array().cast("array<string>")), "n_candidates": F.coalesce(n, F.lit(0).cast("long"))})
     out = out.withColumn("resolved_path", F.when(F.size("candidates") == 1, F.element_at("candidates", 1)))
 
     owned = headings.select(F.col("doc_path").alias("_h"), F.col("slug").alias("_slug")).distinct()
@@ -122,7 +126,7 @@ def resolve(links: DataFrame, files: DataFrame, documents: DataFrame, headings:
         .when(is_doc & F.col("anchor").isNotNull() & F.col("block_ref").isNull() & F.col("_h").isNull(), "anchor-missing")
     )
     status = F.when(F.size("candidates") > 1, MANY).when(reason.isNotNull(), NONE).otherwise(UNIQUE)
-    return out.select(*links.columns, "candidates", "resolved_path", status.alias("status"), reason.alias("reason"))
+    return out.select(*links.columns, "candidates", "n_candidates", "resolved_path", status.alias("status"), reason.alias("reason"))
 
 
 def incoming(links: DataFrame) -> DataFrame:

@@ -280,7 +280,7 @@ def link_resolve_status(spark, sf_dir):
 def link_ambiguous(spark, sf_dir):
     p = T.table(spark, sf_dir, "part")
     found = G.resolve_by_key(p.select("p_name").distinct(), p.select("p_name", "p_partkey"), "p_name", "p_partkey").where("status = 'ambiguous'")
-    return found.select("p_name", F.size("candidates").cast("long").alias("n"), F.element_at("candidates", 1).alias("first"))
+    return found.select("p_name", F.col("n_candidates").alias("n"), F.element_at("candidates", 1).alias("first"))
 
 
 _HREF = r"""(SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages)"""

@@ -150,7 +150,7 @@ def refreshed(old: dict[str, DataFrame], parsed: DataFrame, gone: DataFrame, fil
     for name, key in (("documents", "path"), ("headings", "doc_path"), ("block_ids", "doc_path"), ("diagnostics", "doc_path")):
         out[name] = old[name].select(*new[name].columns).join(touched.withColumnRenamed("path", key), key, "left_anti").unionByName(new[name])
     rest = old["links"].join(touched.withColumnRenamed("path", "source_path"), "source_path", "left_anti")
-    columns, known = new["links"].columns, ["candidates", "resolved_path", "status", "reason"]
+    columns, known = new["links"].columns, ["candidates", "n_candidates", "resolved_path", "status", "reason"]
     if "status" not in rest.columns:
         out["links"] = graph.resolve(rest.select(*columns).unionByName(new["links"]), files, out["documents"], out["headings"], out["block_ids"], graph.aliases_of(out["documents"]))
         return out
