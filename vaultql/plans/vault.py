@@ -73,7 +73,7 @@ RESOLVED = f"""(WITH v AS {VAULT}, na AS (SELECT 'alias ' || CAST((doc_id // 50)
 
 @query(f"SELECT doc_id, status, reason, resolved_path, CAST(n AS BIGINT) AS n FROM {RESOLVED}")
 def resolve_links(spark, sf_dir):
-    return _resolved(spark, sf_dir).select("doc_id", "status", "reason", "resolved_path", F.size("candidates").cast("long").alias("n"))
+    return _resolved(spark, sf_dir).select("doc_id", "status", "reason", "resolved_path", F.col("n_candidates").alias("n"))
 
 
 @query(f"SELECT CASE WHEN status = 'ambiguous' THEN 'link-ambiguous' WHEN reason = 'anchor-missing' THEN 'link-anchor-missing' ELSE 'link-target-missing' END AS code, path, target AS actual_value FROM {RESOLVED} WHERE status <> 'resolved'")
