@@ -4,6 +4,7 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 
 from vaultql.sources import markdown as M
@@ -43,3 +44,12 @@ def test_long_texts_take_time_in_proportion(form, n):
 
     small, large = min(took(50_000) for _ in range(3)), took(400_000)
     assert large < 8 * 4 * small + 0.5
+
+
+def test_batches_are_cut_by_bytes(spark):
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 1000] * 3000 + ["y" * (3 << 20), "z"])], names=["a"])
+    parts = list(M.pieces(batch))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch])) and all(p.num_rows == 1 or p.nbytes <= 1 << 20 for p in parts) and len(parts) > 5
+    files = spark.range(3000, numPartitions=1).selectExpr("concat(id, '.md') AS path", "CAST(concat('# ', id, '\n', repeat('word ', 200), '[[', id, ']]') AS binary) AS content")
+    r = M.relations(M.parse_files(files))
+    assert r["links"].where("source_path = concat(target, '.md')").count() == 3000 == r["headings"].where("doc_path = concat(text, '.md')").count()
