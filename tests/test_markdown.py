@@ -53,3 +53,14 @@ def test_batches_are_cut_by_bytes(spark):
     files = spark.range(3000, numPartitions=1).selectExpr("concat(id, '.md') AS path", "CAST(concat('# ', id, '\n', repeat('word ', 200), '[[', id, ']]') AS binary) AS content")
     r = M.relations(M.parse_files(files))
     assert r["links"].where("source_path = concat(target, '.md')").count() == 3000 == r["headings"].where("doc_path = concat(text, '.md')").count()
+
+
+def test_plain_texts_take_no_scan(monkeypatch):
+    """Text without marks of code, links or headings isn't looked at line by line; with them the result is the full scan's."""
+    text = "some words\nand more\n" * 50
+    monkeypatch.setattr(M, "inside", lambda *a, **k: pytest.fail("a line was scanned"))
+    monkeypatch.setattr(M, "_inline_links", lambda *a: pytest.fail("links were looked for"))
+    assert M.masked(text) == text and M.parse("p.md", text.encode())["headings"] == []
+    monkeypatch.undo()
+    full = M.parse("p.md", b"---\na: '[[y]]'\n---\n# A\n\nB\n---\n\n    [[no]]\n\n`[[no]]` [t](x.md) [r] ^id\n\n[r]: z.md\n")
+    assert [x[2] for x in full["links"]] == ["y", "x.md", "z.md"] and [h[1] for h in full["headings"]] == ["A", "B"] and full["block_ids"] == ["id"]
