@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,3 +239,14 @@ def test_exempt_documents(spark):
     assert [r.path for r in C.findings(docs, rules, ignore=("/archive/**",)).collect()] == ["a.md"]
     with pytest.raises(ValueError):
         C.findings(docs, [C.Rule("r", types={"t": "colour"})])
+
+
+def test_edits_take_batches_in_parts(spark, monkeypatch):
+    """Each part that an edit's task turns into Python objects has 1 MiB at most, or one row."""
+    batch = pa.RecordBatch.from_pylist([{"path": f"{k}.md", "body": "# A\n" + "word " * 400} for k in range(3000)])
+    docs = spark.range(1).selectExpr("'a.md' AS path", "'# A' AS body")
+    caught = {}
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: caught.setdefault("run", f))
+    M.sections(docs, ["A"])
+    made = list(caught["run"](iter([batch])))
+    assert len(made) > 5 and sum(b.num_rows for b in made) == 3000

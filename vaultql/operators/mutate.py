@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..sources.markdown import loaded, masked
+from ..sources.markdown import loaded, masked, pieces
 from ..sources.store import stored
 from . import repair
 
@@ -178,7 +178,7 @@ def sections(documents: DataFrame, headings: list[str]) -> DataFrame:
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole_batch in batches for part in pieces(whole_batch)):
             rows = []
             for path, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for h in headings:
@@ -229,7 +229,7 @@ def apply_edits(documents: DataFrame, edits: DataFrame, types: dict[str, str] |
     touched = documents.join(lists, "path")
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole_batch in batches for part in pieces(whole_batch)):
             out = []
             for r in batch.to_pylist():
                 block, body, why = r["block"], r["body"], None
