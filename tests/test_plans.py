@@ -250,3 +250,17 @@ def test_edits_take_batches_in_parts(spark, monkeypatch):
     M.sections(docs, ["A"])
     made = list(caught["run"](iter([batch])))
     assert len(made) > 5 and sum(b.num_rows for b in made) == 3000
+
+
+def test_stem_collisions_of_common_names_are_dealt_out(spark):
+    """A name that very many share meets in parts: the same rows, and no task has more than a few parts."""
+    docs = spark.range(900).selectExpr("concat('d', id, '.md') AS path", "CASE WHEN id < 800 THEN 'Same' ELSE concat('s', id) END AS stem")
+    moves = docs.where("path LIKE '%5.md'").selectExpr("path", "concat('x/', stem, '.md') AS new_path")
+    plain, dealt = R.stem_collisions(docs, moves), R.stem_collisions(docs, moves, side=20)
+    assert sorted(plain.collect()) == sorted(dealt.collect()) and plain.count() == 80 * 799
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sizes = [n for n in R.stem_collisions(docs, moves, side=20).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(sizes) > 50 and max(sizes) < 80 * 799 // 10

@@ -243,11 +243,31 @@ def set_differences(actual: DataFrame, expected: DataFrame) -> DataFrame:
     return extra.unionByName(expected.exceptAll(actual).withColumn("side", F.lit("absent")))
 
 
-def stem_collisions(documents: DataFrame, moves: DataFrame) -> DataFrame:
-    """moves(path, new_path) whose new stem another document has already."""
-    new = moves.withColumn("_stem", F.lower(V.path_parts(F.col("new_path"))[1]))
+#: Rows of either side of a stem that meet in one task at a time.
+SIDE = 3000
+
+
+def stem_collisions(documents: DataFrame, moves: DataFrame, side: int = SIDE) -> DataFrame:
+    """moves(path, new_path) whose new stem another document has already.
+
+    A stem that many moves and many documents share gives a row for each pair. Its rows are dealt out by parts of `side`
+    rows, each part of the moves to each of the documents, over as many tasks as there are pairs for: counts by stem,
+    summed first, tell how many.
+    """
+    new = moves.select("path", "new_path", F.lower(V.path_parts(F.col("new_path"))[1]).alias("_stem"))
     have = documents.select(F.lower("stem").alias("_stem"), F.col("path").alias("other"))
-    return new.join(have, "_stem").where(F.col("other") != F.col("path")).select("path", "new_path", "other")
+    n = new.groupBy("_stem").agg(F.count("*").alias("_new")).join(have.groupBy("_stem").agg(F.count("*").alias("_have")), "_stem")
+    pairs = n.agg(F.sum(F.col("_new").cast("double") * F.col("_have"))).first()[0] or 0
+    keys = ["_stem"]
+    if pairs > side * side:
+        parts = lambda c: F.ceil(F.col(c) / side).cast("int")
+        cut = n.select("_stem", parts("_new").alias("_m"), parts("_have").alias("_n")).where("_m > 1 OR _n > 1")
+        part = lambda c, k: F.pmod(F.xxhash64(c), F.coalesce(k, F.lit(1))).cast("int")
+        each = lambda k: F.explode(F.sequence(F.lit(0), F.coalesce(k, F.lit(1)) - 1))
+        keys, tasks = ["_stem", "_i", "_j"], int(pairs // (side * side)) + 1
+        new = new.join(cut, "_stem", "left").select("path", "new_path", "_stem", part("path", "_m").alias("_i"), each("_n").alias("_j")).repartition(tasks, *keys)
+        have = have.join(cut, "_stem", "left").select("other", "_stem", each("_m").alias("_i"), part("other", "_n").alias("_j")).repartition(tasks, *keys)
+    return new.join(have, keys).where(F.col("other") != F.col("path")).select("path", "new_path", "other")
 
 
 def folder_moves(documents: DataFrame, folder: str, into: str) -> DataFrame:
