@@ -109,3 +109,14 @@ def test_which_fields_are_indexed():
     assert I.indexed_fields(rules) == ("day", "status", "tags")
     assert I.indexed_fields(rules, {"body": True, "day": False}) == ("body", "status", "tags")
     assert I.indexed_fields(rules, {"body": True}, auto=False) == ("body",)
+
+
+def test_tasks_of_the_index_follow_the_rows(spark, monkeypatch):
+    """Documents are counted: twice as many make twice as many tasks and files of one size, not larger tasks."""
+    monkeypatch.setattr(I, "ROWS", 500)
+    for n in (1000, 2000):
+        docs = spark.range(n).selectExpr("concat(id, '.md') AS path", "parse_json(concat('{\"a\": ', id % 3, ', \"b\": \"x\"}')) AS metadata")
+        index = I.build(docs, ["a", "b"])
+        per = [r["count"] for r in index.frame.groupBy(F.input_file_name()).count().collect()]
+        assert sum(per) == 2 * n and len(per) == 2 * (n // 250 + 1) and max(per) < 400
+        assert sorted(r.path for r in Query(docs, index=index).eq("a", 1).frame(route="index").collect()) == sorted(f"{k}.md" for k in range(n) if k % 3 == 1)

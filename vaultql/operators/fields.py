@@ -16,6 +16,8 @@ from ..sources.store import stored
 #: Types whose values are short enough for a field of that type to be indexed without being told.
 BOUNDED = ("date", "datetime", "wikilink", "wikilink_or_list", "string", "list_of_strings")
 ABSENT, EMPTY = "absent", "empty"
+#: Rows of the index that a task sorts and writes.
+ROWS = 500_000
 _SCHEMA = "path string, kind string, number double, whole decimal(38,0), text string, field string"
 
 
@@ -64,11 +66,13 @@ def shredded(documents: DataFrame, names: Iterable[str], metadata: str = "metada
     return each.select("path", kind.alias("kind"), number.alias("number"), F.when(number == F.floor(number), whole).alias("whole"), F.when(e.isNotNull(), V.canonical(e)).alias("text"), "field")
 
 
-def build(documents: DataFrame, names: Iterable[str], *, path: str | None = None, metadata: str = "metadata", parts: int = 8) -> FieldIndex:
+def build(documents: DataFrame, names: Iterable[str], *, path: str | None = None, metadata: str = "metadata", parts: int | None = None) -> FieldIndex:
     """The stored index: a folder for each field, its files sorted by kind and text, so that a predicate reads the folder
-    of its field and, by statistics, the row groups that can match.
+    of its field and, by statistics, the row groups that can match. Without `parts` the documents are counted, and a task
+    gets about ROWS rows, however many documents there are.
     """
     names = tuple(sorted(set(names)))
+    parts = parts or documents.count() * len(names) // ROWS + 1
     return FieldIndex(stored(shredded(documents, names, metadata), "fields", by="field", order=("kind", "text", "number", "path"), parts=parts, path=path), names)
 
 
@@ -79,7 +83,8 @@ def refreshed(index: FieldIndex, changed: DataFrame, gone: DataFrame, *, path: s
     touched = changed.select("path").unionByName(gone.select("path")).distinct()
     rows = index.frame.join(touched, "path", "left_anti").select(*[c.split()[0] for c in _SCHEMA.split(", ")])
     rows = rows.unionByName(shredded(changed, index.names, metadata))
-    return FieldIndex(stored(rows, "fields", by="field", order=("kind", "text", "number", "path"), path=path), index.names)
+    parts = (index.frame.count() + changed.count() * len(index.names)) // ROWS + 1
+    return FieldIndex(stored(rows, "fields", by="field", order=("kind", "text", "number", "path"), parts=parts, path=path), index.names)
 
 
 # -- predicates as tests of index rows -----------------------------------------------------------

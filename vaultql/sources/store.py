@@ -24,18 +24,18 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-def stored(frame: DataFrame, name: str, by: str | None = None, order: tuple[str, ...] = (), parts: int = 8, path: str | None = None) -> DataFrame:
+def stored(frame: DataFrame, name: str, by: str | None = None, order: tuple[str, ...] = (), parts: int = 1, path: str | None = None) -> DataFrame:
     """frame as a Parquet table, read back; it cuts lineage and outlives lost executors.
 
-    With `by` the table has a folder for each value of that column, of which there are few, and each folder has `parts`
-    files at most, whichever value holds most rows. Files are sorted by `order`, so that their statistics serve filters.
+    With `by` the table has a folder for each value of that column, of which there are few. Its rows are dealt out evenly
+    to `parts` tasks, so each folder has that many files at most, whichever value holds most rows. Files are sorted by `order`, so that their statistics serve filters.
     Without `path` the table is in the shared folder and goes when this process ends.
     """
     spark = frame.sparkSession
     where = path or f"{shared_folder(spark)}/vaultql-{uuid.uuid4().hex}/{name}"
     out = frame
     if by:
-        out = out.repartition(by, F.pmod(F.xxhash64(*[c for c in frame.columns if c != by]), F.lit(parts)))
+        out = out.repartition(parts, *frame.columns)
     if order:
         out = out.sortWithinPartitions(*([by] if by else []), *order)
     writer = out.write.mode("overwrite" if path else "errorifexists")
