@@ -37,8 +37,12 @@ NAVIGATION = r"(\|[^|]*\|)|(»[^»]*»)|(›[^›]*›)|(^[\x20\x09-\x0D]*(" + _
 BOILERPLATE = "(" + _any_of(PHRASES) + ")"
 
 
-def _lower(c: Column) -> Column:
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def _word_chars(c: Column) -> Column:
+    return F.length(F.regexp_replace(c, BLANK + "+", ""))
+
+
+def _symbols(c: Column) -> Column:
+    return F.regexp_count(c, F.lit(f"[{SYMBOLS}]"))
 
 
 def clean_lines(
@@ -69,10 +73,10 @@ def clean_lines(
         "_vq_words": F.transform(F.filter(F.split("_vq_text", BLANK + "+"), lambda w: w != ""), lambda w: F.xxhash64(w)),
         "_vq_all": F.split("_vq_text", "\n", -1),
     })
-    has_word = lambda x: F.translate(x, " \t\n\x0b\f\r", "") != ""
+    has_word = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
     words = lambda x: F.size(F.filter(F.split(x, BLANK + "+"), lambda w: w != ""))
-    noisy = lambda x: 100 * (F.length(x) - F.length(F.translate(x, SYMBOLS, ""))) > max_symbol_percent * words(x)
-    bad = lambda x: ~x.rlike(SENTENCE_END) | noisy(x) | _lower(x).rlike(NAVIGATION) | _lower(x).rlike(BOILERPLATE)
+    noisy = lambda x: x.rlike(f"[{SYMBOLS}]") & (100 * _symbols(x) > max_symbol_percent * words(x))
+    bad = lambda x: ~x.rlike(SENTENCE_END) | noisy(x) | x.rlike("(?i)" + NAVIGATION) | x.rlike("(?i)" + BOILERPLATE)
     starts = F.when(F.size("_vq_words") >= window, F.sequence(F.lit(1), F.size("_vq_words") - (window - 1))).otherwise(F.array().cast("array<int>"))
     hashed = F.transform(starts, lambda i: F.xxhash64(*[F.element_at("_vq_words", i + k) for k in range(window)]))
     out = out.withColumns({"_vq_windows": hashed, "_vq_lines": F.filter("_vq_all", has_word)})
@@ -88,12 +92,12 @@ def clean_lines(
     gap = F.transform("_vq_at", lambda x, i: F.least(F.lit(window), F.coalesce(F.get("_vq_at", i + 1) - x, F.lit(window))))
     covered = F.coalesce(F.aggregate(gap, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))
     n_words = F.size("_vq_words").cast("long")
-    chars = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + F.length(F.translate(x, " \t\n\x0b\f\r", "")))
+    chars = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + _word_chars(x))
     long = lambda c: c.cast("long")
     out = out.select(
         *kept, "_vq_text", n_words.alias("n_words"),
-        long(F.length(F.translate("_vq_text", " \t\n\x0b\f\r", ""))).alias("word_chars"),
-        long(F.length("_vq_text") - F.length(F.translate("_vq_text", SYMBOLS, ""))).alias("n_symbols"),
+        long(_word_chars(F.col("_vq_text"))).alias("word_chars"),
+        long(_symbols(F.col("_vq_text"))).alias("n_symbols"),
         long(F.size("_vq_lines") - F.size(F.array_distinct(F.transform("_vq_lines", lambda x: F.xxhash64(x))))).alias("n_dup_lines"),
         covered.alias("n_repeat_words"), long(F.size("_vq_lines")).alias("n_lines"),
         long(F.size("_vq_all") - F.size("_vq_ok")).alias("n_bad_lines"), chars(F.col("_vq_ok")).alias("kept_chars"), F.array_join("_vq_ok", "\n").alias("clean_text"),
